@@ -59,11 +59,12 @@ def p5_found(spark, d):
 
 def p5_by_entry(spark, d):
     weighted = skew.compress(load(spark, d, "forms"), "entry_id", "form_text")
-    return skew.profile(weighted, F.length)
+    return skew.profile(weighted, F.length).withColumn("mode_rows", F.coalesce("mode_rows", F.lit(0)))
 
 
 def p5_by_surface(spark, d):
-    return skew.profile(skew.compress(load(spark, d, "forms"), "form_text", "entry_id"))
+    found = skew.profile(skew.compress(load(spark, d, "forms"), "form_text", "entry_id"))
+    return found.withColumns({"mode_value": F.col("mode_value").cast("string"), "mode_rows": F.coalesce("mode_rows", F.lit(0))})
 
 
 def p6_found(spark, d):
@@ -106,12 +107,12 @@ SQL = {
     "p5_by_entry": """
         with w as (select entry_id as key, form_text as v, count(*) as n from forms where entry_id is not null group by all),
         m as (select key, v, n, row_number() over (partition by key order by n desc, v) as r from w where v is not null)
-        select f.entry_id as key, count(*) as n_rows, count(distinct f.form_text) as n_values, any_value(m.v) as mode_value, any_value(m.n) as mode_rows,
+        select f.entry_id as key, count(*) as n_rows, count(distinct f.form_text) as n_values, any_value(m.v) as mode_value, coalesce(any_value(m.n), 0) as mode_rows,
           quantile_cont(length(f.form_text), 0.5) as p50, quantile_cont(length(f.form_text), 0.9) as p90
         from forms f left join m on m.key = f.entry_id and m.r = 1 where f.entry_id is not null group by f.entry_id""",
     "p5_by_surface": """
         with w as (select form_text as key, entry_id as v, count(*) as n from forms where form_text is not null group by all),
         m as (select key, v, n, row_number() over (partition by key order by n desc, v) as r from w where v is not null)
-        select w.key, cast(sum(w.n) as bigint) as n_rows, count(w.v) as n_values, any_value(m.v) as mode_value, any_value(m.n) as mode_rows
+        select w.key, cast(sum(w.n) as bigint) as n_rows, count(w.v) as n_values, cast(any_value(m.v) as varchar) as mode_value, coalesce(any_value(m.n), 0) as mode_rows
         from w left join m on m.key = w.key and m.r = 1 group by w.key""",
 }
