@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm import frequency, leakage, mixing, subjects
+from lexmill.llm import canonical, frequency, leakage, mixing, subjects
 from lexmill.operators.unpack import TAGS, Parser
 from lexmill.sources import load
 from lexmill.sources.tables import cut
@@ -35,6 +35,23 @@ def _audit_counts(spark, d) -> DataFrame:
     return frequency.frequencies(audit, F.xxhash64(F.coalesce("db", F.lit(""))), "form_tag", _whole, "occurrence_count")
 
 
+def _keyed(spark, d) -> dict[str, DataFrame]:
+    return {tab: load(spark, d, tab) for tab in ("entries", "forms")}
+
+
+def p2_found(spark, d):
+    return canonical.found(_keyed(spark, d))
+
+
+def p2_canonical(spark, d):
+    parts = [canonical.rewritten(df, "db", canonical.FIELDS[tab]).select(F.lit(tab).alias("tab"), "row_id", "field", "canonical") for tab, df in _keyed(spark, d).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p2_lookups(spark, d):
+    return canonical.lookups(_keyed(spark, d))
+
+
 def p7_found(spark, d):
     forms, entries = load(spark, d, "forms"), load(spark, d, "entries")
     n_forms, n_entries = forms.agg(F.count(F.lit(1))).scalar(), entries.agg(F.count(F.lit(1))).scalar()
@@ -82,5 +99,5 @@ def p10_make_up(spark, d):
     return subjects.make_up(load(spark, d, "documents"), load(spark, d, "subject_seed"), load(spark, d, "subjects"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_counts, p8_found, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_make_up)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p2_lookups, p7_found, p7_counts, p8_found, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_make_up)}
 SQL: dict[str, str] = {}
