@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm import canonical, frequency, leakage, mixing, subjects
+from lexmill.llm import canonical, frequency, leakage, mixing, mojibake, subjects
 from lexmill.operators.unpack import TAGS, Parser
 from lexmill.sources import load
 from lexmill.sources.tables import cut
@@ -35,6 +35,18 @@ def _audit_counts(spark, d) -> DataFrame:
     return frequency.frequencies(audit, F.xxhash64(F.coalesce("db", F.lit(""))), "form_tag", _whole, "occurrence_count")
 
 
+def p1_found(spark, d):
+    return mojibake.found(load(spark, d, "entries"))
+
+
+def p1_repaired(spark, d):
+    return mojibake.repaired(load(spark, d, "entries"))
+
+
+def p1_by_source(spark, d):
+    return mojibake.by_source(load(spark, d, "entries"))
+
+
 def _keyed(spark, d) -> dict[str, DataFrame]:
     return {tab: load(spark, d, tab) for tab in ("entries", "forms")}
 
@@ -99,5 +111,5 @@ def p10_make_up(spark, d):
     return subjects.make_up(load(spark, d, "documents"), load(spark, d, "subject_seed"), load(spark, d, "subjects"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p2_lookups, p7_found, p7_counts, p8_found, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_make_up)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p1_by_source, p2_found, p2_canonical, p2_lookups, p7_found, p7_counts, p8_found, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_make_up)}
 SQL: dict[str, str] = {}
