@@ -49,15 +49,12 @@ def _strict(name: str):
     raise ValueError(name)
 
 
-_DECODER = json.JSONDecoder(parse_constant=_strict)
-
-
 def read_object(line: str | None) -> dict | None:
     """The object that a line holds, or None."""
     if not line:
         return None
     try:
-        got = _DECODER.decode(line)
+        got = json.loads(line, parse_constant=_strict)
     except (ValueError, RecursionError):
         return None
     return got if isinstance(got, dict) else None
