@@ -22,7 +22,7 @@ LEGACY = {"word": "headword", "reading": "romanization", "part_of_speech": "pos"
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Tab-separated lines with a header, every column a string (S01, S17); gzip is transparent."""
-    df = spark.read.csv(path, sep="\t", header=True, quote="", escape="", maxCharsPerColumn=-1, mode="PERMISSIVE")
+    df = spark.read.csv(path, sep="\t", header=True, quote="", escape="", maxCharsPerColumn=-1, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return df.select(*columns) if columns else df
 
 
@@ -133,7 +133,7 @@ def write_store(df: DataFrame, path: str) -> None:
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
     """A tab-separated report (K05, K07); tabs and line feeds in values become spaces."""
     plain = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[\\t\\r\\n]", " ").alias(c) for c in df.columns]
-    df.select(*plain).write.mode("overwrite").csv(path, sep="\t", header=header, quote="", escape="", emptyValue="", compression="none")
+    df.select(*plain).write.mode("overwrite").csv(path, sep="\t", header=header, quote="", escape="", emptyValue="", compression="none", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_conllu(tokens: DataFrame, path: str) -> None:
@@ -159,7 +159,8 @@ def write_index(index: DataFrame, path: str) -> str:
 
 def inserted(have: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``have`` with the rows of ``new`` whose key it lacks, each key once."""
-    first = new.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*sorted(set(new.columns) - set(keys)))))
+    rest = sorted(set(new.columns) - set(keys)) or keys
+    first = new.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*rest)))
     fresh = first.where("_k = 1").drop("_k")
     missing = fresh.alias("n").join(have.select(*keys).distinct().alias("h"), [F.col(f"n.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys], "left_anti")
     return have.unionByName(missing.select(*have.columns))

@@ -36,7 +36,7 @@ def sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> D
     return by.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
-def limited(rows: DataFrame, most: int, seconds: float) -> DataFrame:
+def limited(rows: DataFrame, most: int, seconds: float, late: str = "1 day") -> DataFrame:
     """event_id, admitted: fewer than ``most`` admissions per user in the last ``seconds``; refusals don't count."""
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,9 +54,9 @@ def limited(rows: DataFrame, most: int, seconds: float) -> DataFrame:
                     times.append(now)
             yield pd.DataFrame(out, columns=["event_id", "admitted"])
         state.update((times,))
-        state.setTimeoutDuration(int(seconds * 1000) + 60_000)
+        state.setTimeoutTimestamp(max(int((times[-1] + seconds) * 1000) if times else 0, state.getCurrentWatermarkMs() + 1))
 
-    return rows.groupBy("user_id").applyInPandasWithState(step, "event_id bigint, admitted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.withWatermark("at", late).groupBy("user_id").applyInPandasWithState(step, "event_id bigint, admitted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(df: DataFrame, mode: str = "append") -> DataFrame:
