@@ -15,3 +15,14 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True, scope="session")
+def _workers_find_tests():
+    """Functions of test modules are sent to workers by value."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    for name in [n for n in sys.modules if n.startswith("test_")]:
+        cloudpickle.register_pickle_by_value(sys.modules[name])
