@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from lexmill.functions.exprs import lang_of, strip
 from lexmill.functions.normalize import anusvara, key_column, text_column
 from lexmill.operators import prune
+from lexmill.sources.tables import cut, spread
 
 
 def cut_entries(entries: DataFrame) -> DataFrame:
     """Entries with the reason of their cut: id, db, headword, romanization, pos, glosses, reason."""
-    own = entries.select("id", "db", *(strip(F.col(c)).alias(c) for c in ("headword", "romanization", "pos", "glosses")))
+    own = spread(entries.select("id", "db", "headword", "romanization", "pos", "glosses")).select("id", "db", *(strip(F.col(c)).alias(c) for c in ("headword", "romanization", "pos", "glosses")))
     return own.withColumn("reason", prune.entry_cut(prune.gloss_bucket(prune.glosses(F.col("glosses")))))
 
 
@@ -31,19 +32,19 @@ def survivors(entries: DataFrame) -> DataFrame:
     return live.join(first, "content").select("id", "survivor_id", "db", "headword", "pos")
 
 
-def form_hits(entries: DataFrame, forms: DataFrame, white: DataFrame | None = None, black: DataFrame | None = None) -> DataFrame:
+def form_hits(entries: DataFrame, forms: DataFrame, white: DataFrame | None = None, black: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Kept form occurrences: db, form_text, entry_id (survivor), form_id, morph_tags, romanization, kept_as.
 
     Variants are reduced to their first row (W02). Occurrences with an always-keep tag stay; the others stay
     unless cut for themselves or because too many live entries share the surface (W03).
     """
-    heads = survivors(entries).select(F.col("id").alias("entry_id"), "survivor_id", "headword")
+    heads = (known if known is not None else survivors(entries)).select(F.col("id").alias("entry_id"), "survivor_id", "headword")
     own = forms.select(F.col("id").alias("form_id"), "entry_id", "db", strip(F.col("form_text")).alias("form_text"), strip(F.col("morph_tags")).alias("morph_tags"), strip(F.col("romanization")).alias("romanization")).where("form_text <> ''")
     joined = own.join(heads, "entry_id")
     variant = ["db", "form_text", "survivor_id", "morph_tags", "romanization"]
     first = joined.groupBy(*variant).agg(F.min(F.struct("entry_id", "form_id", "headword")).alias("v")).select(*variant, "v.form_id", "v.headword")
     flagged = prune.exact_list(prune.exact_list(first, white, "white"), black, "black").withColumn("tags", prune.folded_tags(F.col("morph_tags")))
-    judged = flagged.withColumns({"keep": prune.always_kept(F.col("tags")), "reason": prune.occurrence_cut(F.col("db"), F.col("form_text"), F.col("headword"), F.col("tags"), F.col("white"), F.col("black"))})
+    judged = cut(flagged.withColumns({"keep": prune.always_kept(F.col("tags")), "reason": prune.occurrence_cut(F.col("db"), F.col("form_text"), F.col("headword"), F.col("tags"), F.col("white"), F.col("black"))}))
     candidates = judged.where("not keep and reason = ''")
     fan = candidates.select("db", "form_text", "survivor_id").distinct().groupBy("db", "form_text").agg(F.count(F.lit(1)).alias("n"))
     crowded = fan.where(prune.fanout_cut(F.col("db"), F.col("n"))).select("db", "form_text")
@@ -62,7 +63,8 @@ def promoted(hits: DataFrame, heads: DataFrame) -> DataFrame:
 
 def key_index(entries: DataFrame, forms: DataFrame) -> DataFrame:
     """kind (headword, form), db, key, entry_id, form_id; keys are computed once per distinct text and language."""
-    heads, hits = survivors(entries).where("id = survivor_id"), form_hits(entries, forms)
+    known = cut(survivors(entries))
+    heads, hits = known.where("id = survivor_id"), cut(form_hits(entries, forms, known=known))
     pages = promoted(hits, heads).select(F.col("entry_id").alias("survivor_id"), F.col("form_text").alias("page_form"))
     named = heads.join(pages, "survivor_id", "left").select("db", F.col("survivor_id").alias("entry_id"), F.coalesce("page_form", "headword").alias("text"), "pos")
     stem = F.when(F.lower("pos").isin("verb", "adj") & F.col("text").endswith("다") & (F.length("text") > 1) & (lang_of(F.col("db")) == "ko"), F.expr("left(text, length(text) - 1)"))

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.sources.tables import spread
+
 #: Child table -> path of the repeated ancestor (fixed names of the dump format).
 TABLES = {
     "senses": ("senses",),
@@ -121,7 +123,7 @@ def flatten(raw: DataFrame, id_col: str = "rec_id", raw_col: str = "raw") -> Dat
             yield pd.DataFrame(out, columns=names)
 
     picked = raw.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(raw_col).cast("string").alias("raw"))
-    return picked.where("rec_id is not null and raw is not null").mapInPandas(run, SCHEMA)
+    return spread(picked.where("rec_id is not null and raw is not null")).mapInPandas(run, SCHEMA)
 
 
 def found(raw: DataFrame) -> DataFrame:

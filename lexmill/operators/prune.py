@@ -42,6 +42,7 @@ ROMAN_NUMERAL = "^(?=.)M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,
 CLASS_CODES = ["\\d+(?:[a-z]|\\+[1-9])?(?:\\s+Anglian)?", "\\d+\\s+(?:strong|weak)", "[IVXLCDM]+\\s+[a-z]\\.?", "[IVXLCDM]+\\.?", "[A-Za-z]\\.", "a\\*\\d?", "a\\*\\[[^\\]]+\\]", "b\\*\\d?", "c(?:ʹ)?\\*", "[1-9]\\d*[a-z]?\\s+(?:perfective|imperfective).+", "accent-[a-z]", ".+-stem"]
 BROKEN_TEMPLATE = "\\{\\{\\{.+\\}\\}\\}|[{}]|[()]?.+\\([^-)]*$"
 HEBREW_PLACEHOLDER = "^[\\u0590-\\u05FF\\uFB1D-\\uFB4F]+$"
+PLAIN_WORD = "^(?![IVXLCDM]+$)[\\p{L}\\p{M}&&[^\\u0590-\\u05FF\\uFB1D-\\uFB4F]]+$"
 SPLIT_PAGE = "(?i)/languages [A-Z] to [A-Z]$"
 RELATION_GLOSS = "(?i)^(?:alternative|obsolete|archaic|dated|rare|nonstandard|plural|feminine|masculine|past|present|inflection|variant|synonym|form|spelling|misspelling|abbreviation|initialism|romanization)\\b.*\\bof\\s+\\S+"
 
@@ -134,8 +135,8 @@ def tag_cut(tags: Column) -> Column:
 
 
 def text_cut(db: Column, form: Column) -> Column:
-    """Why the text of a form is cut, empty for kept."""
-    s, code = strip(form), ~F.lower(strip(db)).isin(CODELIKE_EXEMPT_DBS)
+    """Why the text of a stripped form is cut, empty for kept (F08). Plain words are passed by one test."""
+    s, code = form, ~F.lower(db).isin(CODELIKE_EXEMPT_DBS)
     unbalanced = F.length(F.regexp_replace(s, "[^(]", "")) != F.length(F.regexp_replace(s, "[^)]", ""))
     prose = (word_count(s) >= 4) & s.rlike("[A-Za-z]") & (s.rlike(PROSE_HINT) | s.rlike("[.:]"))
     hebrew = s.rlike(HEBREW_PLACEHOLDER) & F.regexp_replace(s, "[\\p{M}\\p{P}]", "").rlike("קטל|קטר")
@@ -148,7 +149,8 @@ def text_cut(db: Column, form: Column) -> Column:
         (prose, "english_prose"),
         (hebrew, "hebrew_placeholder"),
     ]
-    return F.coalesce(*(F.when(test, F.lit(f"hard_text:{name}")) for test, name in rules), F.lit(""))
+    found = F.coalesce(*(F.when(test, F.lit(f"hard_text:{name}")) for test, name in rules), F.lit(""))
+    return F.when(s.rlike(PLAIN_WORD), F.lit("")).otherwise(found)
 
 
 def edge_hyphen_mismatch(form: Column, head: Column) -> Column:
@@ -165,23 +167,24 @@ def disjoint_scripts(form: Column, head: Column) -> Column:
 
 def zero_overlap(form: Column, head: Column) -> Column:
     """No common script and no common character."""
-    return disjoint_scripts(form, head) & ~F.arrays_overlap(F.split(form, ""), F.split(head, ""))
+    return (F.substring(form, 1, 1) != F.substring(head, 1, 1)) & ~F.arrays_overlap(F.split(form, ""), F.split(head, "")) & disjoint_scripts(form, head)
 
 
 def word_count_cut(db: Column, form: Column, head: Column, tags: Column) -> Column:
     """Another number of words than the headword."""
-    exempt = F.lower(strip(db)).isin(WORD_COUNT_EXEMPT_DBS) | always_kept(tags) | F.arrays_overlap(tags, F.array(*map(F.lit, SCRIPT_TAGS)))
-    return F.when(~exempt & (word_count(form) != word_count(head)), "rule_a_word_count").otherwise(F.lit(""))
+    exempt = F.lower(db).isin(WORD_COUNT_EXEMPT_DBS) | always_kept(tags) | F.arrays_overlap(tags, F.array(*map(F.lit, SCRIPT_TAGS)))
+    single = ~form.rlike("(?U)\\s") & ~head.rlike("(?U)\\s") & (form != "") & (head != "")
+    return F.when(~exempt & ~single & (word_count(form) != word_count(head)), "rule_a_word_count").otherwise(F.lit(""))
 
 
 def occurrence_cut(db: Column, form: Column, head: Column, tags: Column, white: Column | None = None, black: Column | None = None) -> Column:
-    """Why an occurrence is cut, by fixed precedence; empty for kept.
+    """Why an occurrence (stripped texts) is cut, by fixed precedence; empty for kept.
 
     ``white`` and ``black`` tell whether the form is on an exact list (F15).
     """
     white, black = (F.coalesce(c, F.lit(False)) if c is not None else F.lit(False) for c in (white, black))
     f, h = F.coalesce(form, F.lit("")), F.coalesce(head, F.lit(""))
-    code = ~F.lower(strip(db)).isin(CODELIKE_EXEMPT_DBS)
+    code = ~F.lower(db).isin(CODELIKE_EXEMPT_DBS)
 
     def named(c: Column) -> Column:
         return F.when(c != "", c)

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.sources.tables import spread
+
 
 @dataclass(frozen=True)
 class Grammar:
@@ -184,5 +186,5 @@ def unpack(df: DataFrame, id_col: str, value_col: str, grammar: Grammar, least:
             yield pa.RecordBatch.from_arrays([batch.column(0), items], names=["row_id", "items"])
 
     packed = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(value_col).cast("string").alias("packed")).where("packed is not null and packed <> ''")
-    parsed = packed.mapInArrow(run, "row_id bigint, items array<struct<val:string,kind:string,flag:string>>")
+    parsed = spread(packed).mapInArrow(run, "row_id bigint, items array<struct<val:string,kind:string,flag:string>>")
     return parsed.where(F.size("items") > 0).select("row_id", F.posexplode("items").alias("k", "item")).select("row_id", (F.col("k") + 1).cast("bigint").alias("pos"), "item.val", "item.kind", "item.flag")

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators import alignment, corpus
-from lexmill.sources import load
+from lexmill.sources import load, spread
 
 
 def _docs(spark, d) -> DataFrame:
-    return load(spark, d, "documents").where("text is not null")
+    return spread(load(spark, d, "documents").where("text is not null"))
 
 
 def _words(spark, d) -> DataFrame:

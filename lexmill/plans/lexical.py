@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import exprs, normalize
 from lexmill.operators import fuzzy, lexicon, prune, segmentation
-from lexmill.sources import load
-from lexmill.sources.tables import cut
+from lexmill.sources import cut, load, spread
 
 
 def _store(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -20,7 +19,7 @@ def _occurrences(spark, d) -> DataFrame:
     entries, forms = _store(spark, d)
     heads = entries.select(F.col("id").alias("entry_id"), "headword")
     joined = forms.select("id", "entry_id", "db", "form_text", "morph_tags").join(heads, "entry_id")
-    return joined.withColumn("tags", prune.folded_tags(F.col("morph_tags")))
+    return spread(joined).withColumn("tags", prune.folded_tags(F.col("morph_tags")))
 
 
 def f02_gloss_buckets(spark, d):
@@ -38,7 +37,7 @@ def f07_tag_cuts(spark, d):
 
 
 def f08_text_cuts(spark, d):
-    return load(spark, d, "forms").select(prune.text_cut(F.col("db"), F.col("form_text")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return load(spark, d, "forms").select(prune.text_cut(F.col("db"), exprs.strip(F.col("form_text"))).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def f09_word_counts(spark, d):

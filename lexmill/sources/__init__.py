@@ -1,3 +1,3 @@
-from lexmill.sources.tables import load
+from lexmill.sources.tables import cut, load, spread
 
-__all__ = ["load"]
+__all__ = ["cut", "load", "spread"]
