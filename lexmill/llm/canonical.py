@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.sources.tables import spread
+
 # Language codes by family.
 LANGUAGES = {
     "latin": "ang de en es et fi fr it la nl pl pt sv tr vi",
@@ -243,7 +245,7 @@ def rewritten(df: DataFrame, db_col: str, fields: list[str], id_col: str = "id")
             out = batch[["row_id", "field", "value"]].assign(canonical=got)
             yield out[out["value"] != out["canonical"]]
 
-    return asked.mapInPandas(run, "row_id bigint, field string, value string, canonical string")
+    return spread(asked).mapInPandas(run, "row_id bigint, field string, value string, canonical string")
 
 
 def consistent(df: DataFrame, db_col: str, fields: list[str]) -> DataFrame:

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.sources.tables import spread
+
 CHUNK_BITS = 16
 ARRAY_MOST = 4096
 FLUSH_IDS = 2_000_000
@@ -107,7 +109,7 @@ def bitmaps(rows: DataFrame, terms_of: Callable[[str], list[str]]) -> DataFrame:
                 held, size = {}, 0
         yield flush(held)
 
-    return rows.mapInPandas(run, _SCHEMA)
+    return spread(rows).mapInPandas(run, _SCHEMA)
 
 
 def merged(partial: DataFrame) -> DataFrame:

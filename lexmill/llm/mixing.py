@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.sources.tables import spread
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,7 +54,7 @@ def sized(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> Da
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "n_tokens": np.array([len(encode(t)) if t else 0 for t in batch["text"]], dtype="int64")})
 
-    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
+    return spread(docs.select("doc_id", "source", "text")).mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
 
 
 def demands(sizes: DataFrame, targets: DataFrame) -> DataFrame:
