@@ -156,6 +156,18 @@ def frequency_score(tags: Column) -> Column:
 
 
 def feats_list(feats: Column, order: list[str]) -> Column:
-    """A CoNLL feature string as lower-case values in a fixed key order."""
-    m = F.str_to_map(F.coalesce(feats, F.lit("")), F.lit("\\|"), F.lit("="))
-    return F.concat_ws(";", F.array_compact(F.array(*(F.lower(F.try_element_at(m, F.lit(k))) for k in order))))
+    """A CoNLL feature string as lower-case values in a fixed key order; of a repeated key the last counts."""
+    parts = F.split(F.coalesce(feats, F.lit("")), "\\|")
+
+    def of(key):
+        return F.try_element_at(F.filter(parts, lambda p: p.startswith(key + "=")), F.lit(-1))
+
+    last = [of(k) for k in order]
+    return F.concat_ws(";", F.array_compact(F.array(*(F.lower(F.substring(x, len(k) + 2, 1000)) for k, x in zip(order, last)))))
+
+
+def ordered_glosses(items: Column) -> Column:
+    """Glosses without repeats: compared without case, width and extra white space, the first spelling kept."""
+    key = lambda x: F.lower(F.trim(F.regexp_replace(x, "(?U)\\s+", " ")))
+    keys = F.transform(items, key)
+    return F.filter(items, lambda x, i: F.array_position(keys, key(x)) == i + 1)

@@ -202,7 +202,11 @@ def fanout_cut(db: Column, entries: Column, most: int = FANOUT_MOST) -> Column:
 def chosen_reason(reasons: Column) -> Column:
     """The one reason shown for a bucket of them."""
     order = ["exact_blacklist", "hard_tag:", "hard_text:", "rule_a_word_count", "fanout_gt_10"]
-    return F.coalesce(*(F.try_element_at(F.filter(reasons, lambda r, p=p: r.startswith(p)), F.lit(1)) for p in order), F.try_element_at(reasons, F.lit(1)), F.lit(""))
+
+    def first(prefix):
+        return F.try_element_at(F.filter(reasons, lambda r: r.startswith(prefix)), F.lit(1))
+
+    return F.coalesce(*map(first, order), F.try_element_at(reasons, F.lit(1)), F.lit(""))
 
 
 def extra_rules(db: Column, form: Column, head: Column, tags: Column) -> Column:

@@ -120,3 +120,9 @@ def test_key_index_finds_every_headword(spark):
     got = {tuple(r) for r in lexicon.key_index(entries, forms).collect()}
     assert got == {("headword", "de", "haus", 1, 0), ("headword", "ko", "먹다", 3, 0), ("headword", "ko", "먹", 3, 0), ("form", "de", "hauses", 1, 10)}
     assert lexicon.key_index(entries.limit(0), forms.limit(0)).count() == 0
+
+
+def test_chosen_reason(spark):
+    rows = [(["hard_text:x", "exact_blacklist"],), (["rule_a_word_count", "hard_tag:class"],), (["odd"],), ([],)]
+    got = [r[0] for r in spark.createDataFrame(rows, "r array<string>").select(prune.chosen_reason(F.col("r"))).collect()]
+    assert got == ["exact_blacklist", "hard_tag:class", "odd", ""]

@@ -150,3 +150,17 @@ def test_upserts(spark, tmp_path):
     assert sorted((r.k, r.v or "") for r in files.replaced(have, spark.createDataFrame([(2, "z")], "k int, v string"), "k").collect()) == [(1, "a"), (2, "z")]
     version = files.write_index(spark.createDataFrame([("form", "k", "de", 1, 2)], "kind string, key string, db string, entry_id int, form_id int"), str(tmp_path / "idx"))
     assert len(version) == 40
+
+
+def test_feats_glosses_and_scores(spark):
+    df = spark.createDataFrame([("Case=Nom|Tense=Past|Tense=Pres|X=1", ["A  b", "a b", "c"], ["nf03", "nf01", "x"])], "f string, g array<string>, t array<string>")
+    r = df.select(corpus.feats_list(F.col("f"), ["Tense", "Case", "Number"]).alias("f"), corpus.ordered_glosses(F.col("g")).alias("g"), corpus.frequency_score(F.col("t")).alias("s")).first()
+    assert r.f == "pres;nom" and r.g == ["A  b", "c"] and r.s == 100.0
+
+
+def test_stream_equals_batch(spark):
+    from lexmill.plans import analytics, transfer
+
+    d = "/root/testdata/sf0.001"
+    batch = {(r.event_id, r.admitted) for r in analytics.b03_limited(spark, d).collect()}
+    assert {(r.event_id, r.admitted) for r in transfer.str_limited(spark, d).collect()} == batch
