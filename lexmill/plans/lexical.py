@@ -18,8 +18,8 @@ def _occurrences(spark, d) -> DataFrame:
     """Forms beside their headword, with folded tags."""
     entries, forms = _store(spark, d)
     heads = entries.select(F.col("id").alias("entry_id"), "headword")
-    joined = forms.select("id", "entry_id", "db", "form_text", "morph_tags").join(heads, "entry_id")
-    return spread(joined).withColumn("tags", prune.folded_tags(F.col("morph_tags")))
+    tagged = spread(forms.select("id", "entry_id", "db", "form_text", "morph_tags")).withColumn("tags", prune.folded_tags(F.col("morph_tags")))
+    return tagged.join(heads, "entry_id")
 
 
 def f02_gloss_buckets(spark, d):
@@ -242,8 +242,8 @@ def t06_lookup(spark, d):
     entries, forms = _store(spark, d)
     words = load(spark, d, "documents").where("text is not null").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([\\p{L}\\p{M}\\p{N}-]+)"), F.lit(1)))).alias("word")).distinct()
     index = cut(lexicon.key_index(entries, forms))
-    langs = index.select(exprs.lang_of(F.col("db")).alias("lang")).distinct()
-    refs = lexicon.lookup(words.join(F.broadcast(langs)), index)
+    langs = sorted(r.lang for r in index.select(exprs.lang_of(F.col("db")).alias("lang")).where("lang <> ''").distinct().collect())
+    refs = lexicon.lookup(words.withColumn("lang", F.explode(F.array(*map(F.lit, langs)))), index)
     return lexicon.hydrate(refs, entries, forms).select("word", "lang", "match_kind", "match_key", "ref_key", "headword", "pos", "matched_form")
 
 

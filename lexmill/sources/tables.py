@@ -47,7 +47,8 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its scan has fewer parts than they are; a large table stays as it is.
 
-    For stages in Python that would else run in one task on a small file.
+    For stages in Python that would else run in one task on a small file. To be used on a scan: asking for the
+    parts of a plan with exchanges would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
