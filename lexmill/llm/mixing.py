@@ -47,14 +47,14 @@ def encoder(path: str):
 def sized(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id, source, n_tokens of the documents of the target sources."""
     wanted = F.broadcast(targets.where("source is not null").select("source").distinct())
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.col("text").cast("string").alias("text")).join(wanted, "source", "left_semi")
+    docs = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.col("text").cast("string").alias("text"))).join(wanted, "source", "left_semi")
 
     def run(batches):
         encode = encoder(path).encode_ordinary
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "n_tokens": np.array([len(encode(t)) if t else 0 for t in batch["text"]], dtype="int64")})
 
-    return spread(docs.select("doc_id", "source", "text")).mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
+    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
 
 
 def demands(sizes: DataFrame, targets: DataFrame) -> DataFrame:
