@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.sources.tables import cut
+
 BUCKETS = 4096
 
 
@@ -24,3 +26,19 @@ def global_rank(df: DataFrame, order: Column, name: str = "rank", tie: str | Non
 def top_per_group(df: DataFrame, group: list[str], order: list, k: int, name: str = "place") -> DataFrame:
     """The first ``k`` rows of each group; Spark keeps only ``k`` rows per group and task before the shuffle."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= k)
+
+
+def ranked(df: DataFrame, group: list[str], order: list, name: str = "place", parts: int | None = None) -> DataFrame:
+    """Every row with its 1-based place in its group; ``order`` has no ties and groups aren't null.
+
+    Rows fall into ranges of (group, order), so a large group lies in many of them; only the counts of ranges are
+    summed in one place. The ranges are written first, as both passes must see the same ones.
+    """
+    by = [*group, *order]
+    ranges = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    held = cut(ranges.withColumn("_p", F.spark_partition_id()))
+    sizes = held.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*group, "_p", F.coalesce(before, F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_p").orderBy(*order))
+    return held.join(F.broadcast(offsets), [*group, "_p"]).withColumn(name, (F.col("_o") + inside).cast("bigint")).select(*df.columns, name)

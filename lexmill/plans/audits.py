@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import exprs
 from lexmill.operators import audit, lexicon, prune
-from lexmill.operators.ordering import top_per_group
+from lexmill.operators.ordering import ranked, top_per_group
 from lexmill.sources import load
 
 
@@ -107,10 +107,20 @@ def w03_kept(spark, d):
     return hits.groupBy("db", "kept_as").agg(F.count(F.lit(1)).alias("n"))
 
 
-def w13_fanout_order(spark, d):
-    """Surfaces by fan-out, rows, dictionary and spelling, each with its place in the dictionary."""
+def _fanout(spark, d):
+    """Surfaces of two or more entries, and their order in a dictionary."""
     fan = audit.high_fanout(load(spark, d, "forms").where("db is not null"), 2)
-    return top_per_group(fan, ["db"], [F.desc("n_entries"), F.desc("n_rows"), "form_text"], 20)
+    return fan, ["db"], [F.desc("n_entries"), F.desc("n_rows"), F.asc("form_text")]
+
+
+def w13_fanout_places(spark, d):
+    """Every surface of two or more entries with its place in the dictionary by fan-out, rows and spelling."""
+    return ranked(*_fanout(spark, d))
+
+
+def w13_fanout_order(spark, d):
+    """The head of ``w13_fanout_places``: the first 20 surfaces of each dictionary."""
+    return top_per_group(*_fanout(spark, d), 20)
 
 
 def f04_scripts(spark, d):
@@ -118,7 +128,7 @@ def f04_scripts(spark, d):
     return rows.select("db", F.explode("s").alias("script")).groupBy("db", "script").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (a06_high_fanout, a07_duplicates, a08_deduped_fanout, a09_tag_combinations, a10_pos, a11_ngrams, a12_tag_master, a13_examples, a14_collapsed, a15_tag_shares, a16_review, a23_top_unigrams, a25_scripts, a26_offsets, a27_marks, o04_sample, w03_kept, w13_fanout_order, f04_scripts)}
+QUERIES = {f.__name__: f for f in (a06_high_fanout, a07_duplicates, a08_deduped_fanout, a09_tag_combinations, a10_pos, a11_ngrams, a12_tag_master, a13_examples, a14_collapsed, a15_tag_shares, a16_review, a23_top_unigrams, a25_scripts, a26_offsets, a27_marks, o04_sample, w03_kept, w13_fanout_order, w13_fanout_places, f04_scripts)}
 
 SQL = {
     "a06_high_fanout": "select db, form_text, count(distinct entry_id) as n_entries, count(*) as n_rows from forms where form_text <> '' group by 1, 2 having count(distinct entry_id) >= 5",
@@ -166,4 +176,7 @@ SQL = {
     "w13_fanout_order": """
         with f as (select db, form_text, count(distinct entry_id) as n_entries, count(*) as n_rows from forms where form_text <> '' and db is not null group by 1, 2 having count(distinct entry_id) >= 2)
         select * from (select *, cast(row_number() over (partition by db order by n_entries desc, n_rows desc, form_text) as integer) as place from f) where place <= 20""",
+    "w13_fanout_places": """
+        with f as (select db, form_text, count(distinct entry_id) as n_entries, count(*) as n_rows from forms where form_text <> '' and db is not null group by 1, 2 having count(distinct entry_id) >= 2)
+        select *, row_number() over (partition by db order by n_entries desc, n_rows desc, form_text) as place from f""",
 }
