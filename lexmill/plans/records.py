@@ -46,10 +46,14 @@ def m01_custom_forms(spark, d):
     return rows.select("store", "id", F.inline(_triples(F.col("raw"))))
 
 
+def m05_form_spellings(spark, d):
+    """Every spelling of an entry's forms with the number of rows: one row per pair, as a hot entry has too many for a string."""
+    return load(spark, d, "forms").where("entry_id is not null and romanization <> ''").groupBy("entry_id", "romanization").agg(F.count(F.lit(1)).alias("n"))
+
+
 def m05_form_maps(spark, d):
-    """Per entry the spellings of its forms with the number of rows, as one sorted string; at most 50 spellings are shown."""
-    counts = load(spark, d, "forms").where("entry_id is not null and romanization <> ''").groupBy("entry_id", "romanization").agg(F.count(F.lit(1)).alias("n"))
-    top = top_per_group(counts, ["entry_id"], ["romanization"], 50)
+    """The head of ``m05_form_spellings``: the first 50 spellings of each entry as one sorted string."""
+    top = top_per_group(m05_form_spellings(spark, d), ["entry_id"], ["romanization"], 50)
     return top.groupBy("entry_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("romanization", "n"))), lambda x: F.concat_ws("=", x["romanization"], x["n"])), ";").alias("spellings"))
 
 
@@ -91,9 +95,10 @@ def f20_reclassified(spark, d):
     return load(spark, d, "entries").groupBy(F.coalesce(pos, F.lit("")).alias("pos")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (m01_custom_forms, m05_form_maps, x13_glosses, x19_feats, x21_frequency, j06_batch, f16_promotable, f20_reclassified)}
+QUERIES = {f.__name__: f for f in (m01_custom_forms, m05_form_maps, m05_form_spellings, x13_glosses, x19_feats, x21_frequency, j06_batch, f16_promotable, f20_reclassified)}
 
 SQL = {
+    "m05_form_spellings": "select entry_id, romanization, count(*) as n from forms where entry_id is not null and romanization <> '' group by 1, 2",
     "m05_form_maps": """
         with c as (select entry_id, romanization, count(*) as n from forms where entry_id is not null and romanization <> '' group by 1, 2),
         r as (select *, row_number() over (partition by entry_id order by romanization) as k from c)

@@ -25,3 +25,10 @@ def test_ranked_over_ranges_equals_a_sort(spark):
     out = ranked(spark.createDataFrame(rows, "g string, n int, k int"), ["g"], [F.desc("n"), F.asc("k")], parts=7)
     want = {(g, n, k, at) for x in "abc" for at, (g, n, k) in enumerate(sorted((r for r in rows if r[0] == x), key=lambda r: (-r[1], r[2])), 1)}
     assert {tuple(r) for r in out.collect()} == want
+
+
+def test_m05_an_entry_of_many_spellings_keeps_them_all(spark, tmp_path):
+    rows = [(1, f"s{k:03d}") for k in range(120)] + [(1, "s000"), (2, "x"), (None, "x"), (3, "")]
+    d = tables(spark, tmp_path, forms=(rows, "entry_id bigint, romanization string"))
+    got = {(r.entry_id, r.romanization): r.n for r in entry.queries()["m05_form_spellings"](spark, d).collect()}
+    assert got == {(1, f"s{k:03d}"): 1 + (k == 0) for k in range(120)} | {(2, "x"): 1}
