@@ -157,13 +157,17 @@ def frequency_score(tags: Column) -> Column:
 
 def feats_list(feats: Column, order: list[str]) -> Column:
     """A CoNLL feature string as lower-case values in a fixed key order; of a repeated key the last counts."""
-    parts = F.split(F.coalesce(feats, F.lit("")), "\\|")
+    return feats_values(F.split(F.coalesce(feats, F.lit("")), "\\|"), order)
+
+
+def feats_values(parts: Column, order: list[str]) -> Column:
+    """``feats_list`` of features that are split already."""
 
     def of(key):
         return F.try_element_at(F.filter(parts, lambda p: p.startswith(key + "=")), F.lit(-1))
 
     last = [of(k) for k in order]
-    return F.concat_ws(";", F.array_compact(F.array(*(F.lower(F.substring(x, len(k) + 2, 1000)) for k, x in zip(order, last)))))
+    return F.concat_ws(";", F.array_compact(F.array(*(F.lower(x.substr(F.lit(len(k) + 2), F.length(x))) for k, x in zip(order, last)))))
 
 
 def ordered_glosses(items: Column) -> Column:

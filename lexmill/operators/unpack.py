@@ -166,8 +166,8 @@ _ITEM = pa.struct([("val", pa.string()), ("kind", pa.string()), ("flag", pa.stri
 MEMO = 100_000
 
 
-def unpack(df: DataFrame, id_col: str, value_col: str, grammar: Grammar, least: int = 1) -> DataFrame:
-    """row_id, pos (from 1), val, kind, flag: one row per value of fields with at least ``least`` values."""
+def parsed(df: DataFrame, id_col: str, value_col: str, grammar: Grammar, least: int = 1) -> DataFrame:
+    """row_id, items (val, kind, flag): the values of fields with at least ``least`` values, in order."""
 
     def run(batches):
         parser, memo = Parser(grammar), {}
@@ -186,5 +186,11 @@ def unpack(df: DataFrame, id_col: str, value_col: str, grammar: Grammar, least:
             yield pa.RecordBatch.from_arrays([batch.column(0), items], names=["row_id", "items"])
 
     packed = df.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(value_col).cast("string").alias("packed")).where("packed is not null and packed <> ''")
-    parsed = spread(packed).mapInArrow(run, "row_id bigint, items array<struct<val:string,kind:string,flag:string>>")
-    return parsed.where(F.size("items") > 0).select("row_id", F.posexplode("items").alias("k", "item")).select("row_id", (F.col("k") + 1).cast("bigint").alias("pos"), "item.val", "item.kind", "item.flag")
+    lists = spread(packed).mapInArrow(run, "row_id bigint, items array<struct<val:string,kind:string,flag:string>>")
+    return lists.where(F.size("items") > 0)
+
+
+def unpack(df: DataFrame, id_col: str, value_col: str, grammar: Grammar, least: int = 1) -> DataFrame:
+    """row_id, pos (from 1), val, kind, flag: one row per value of fields with at least ``least`` values."""
+    items = parsed(df, id_col, value_col, grammar, least).select("row_id", F.posexplode("items").alias("k", "item"))
+    return items.select("row_id", (F.col("k") + 1).cast("bigint").alias("pos"), "item.val", "item.kind", "item.flag")

@@ -7,7 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import functions as F
 
-from lexmill.operators import corpus, prune
+from lexmill.operators import corpus, prune, unpack
 from lexmill.operators.ordering import top_per_group
 from lexmill.sources import load, spread
 
@@ -64,10 +64,10 @@ def x13_glosses(spark, d):
 
 
 def x19_feats(spark, d):
-    """Feature tags (Key=Value) of staged forms as lower-case values in a fixed key order."""
-    feats = F.array_join(F.filter(F.split(F.coalesce("morph_tags", F.lit("")), ";"), lambda t: t.contains("=")), "|")
-    rows = load(spark, d, "forms").where("morph_tags like '%=%' and morph_tags not like '%\"%'").select("id", corpus.feats_list(feats, ["Case", "Number", "Tense", "Gender"]).alias("feats"))
-    return rows.where("feats <> ''")
+    """Feature tags (Key=Value) of forms as lower-case values in a fixed key order."""
+    rows = unpack.parsed(load(spark, d, "forms").where("morph_tags like '%=%'"), "id", "morph_tags", unpack.TAGS)
+    feats = F.filter(F.col("items.val"), lambda t: t.contains("="))
+    return rows.select(F.col("row_id").alias("id"), corpus.feats_values(feats, ["Case", "Number", "Tense", "Gender"]).alias("feats")).where("feats <> ''")
 
 
 def x21_frequency(spark, d):

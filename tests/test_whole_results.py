@@ -32,3 +32,10 @@ def test_m05_an_entry_of_many_spellings_keeps_them_all(spark, tmp_path):
     d = tables(spark, tmp_path, forms=(rows, "entry_id bigint, romanization string"))
     got = {(r.entry_id, r.romanization): r.n for r in entry.queries()["m05_form_spellings"](spark, d).collect()}
     assert got == {(1, f"s{k:03d}"): 1 + (k == 0) for k in range(120)} | {(2, "x"): 1}
+
+
+def test_x19_reads_quoted_tags_and_every_separator(spark, tmp_path):
+    rows = [(1, 'Case=Nom;feminine;"accusative"'), (2, "Number=Sing；Case=Acc"), (3, "Case=Gen , Tense=Past"), (4, '["Gender=Fem", "Case=Dat"]'), (5, '"Case=Loc|x"|Number=Plur'), (6, "noun"), (7, None), (8, "Case=Nom;Case=Voc")]
+    d = tables(spark, tmp_path, forms=(rows, "id bigint, morph_tags string"))
+    got = {r.id: r.feats for r in entry.queries()["x19_feats"](spark, d).collect()}
+    assert got == {1: "nom", 2: "acc;sing", 3: "gen;past", 4: "dat;fem", 5: "loc|x;plur", 8: "voc"}
