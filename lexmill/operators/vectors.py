@@ -218,6 +218,21 @@ def weighted_jaccard(bags: DataFrame, group: str, item: str, n: str, pairs: Data
     return whole.select("a", "b", F.round(F.col("shared") / (F.col("sa") + F.col("sb") - F.col("shared")), 6).alias("jaccard"))
 
 
+def weighted_jaccard_all(bags: DataFrame, group: str, item: str, n: str) -> DataFrame:
+    """Weighted Jaccard of every pair a < b of groups, 0 where nothing is shared or both are empty.
+
+    Bags meet on their items, so pairs without a shared one cost nothing but their row. The groups are bounded.
+    """
+    size = bags.groupBy(group).agg(F.sum(n).alias("size"))
+    sizes = bags.sparkSession.createDataFrame([(x, int(s)) for x, s in bounded(size).itertuples(index=False)], "g string, s bigint")
+    sides = [bags.select(F.col(group).alias(s), F.col(item).alias("i"), F.col(n).alias(f"n{s}")) for s in "ab"]
+    shared = sides[0].join(sides[1], "i").where("a < b").groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("shared"))
+    pairs = sizes.select(F.col("g").alias("a"), F.col("s").alias("sa")).crossJoin(sizes.select(F.col("g").alias("b"), F.col("s").alias("sb"))).where("a < b")
+    whole = pairs.join(shared, ["a", "b"], "left").na.fill({"shared": 0})
+    union = F.col("sa") + F.col("sb") - F.col("shared")
+    return whole.select("a", "b", F.when(union > 0, F.round(F.col("shared") / union, 6)).otherwise(0.0).alias("jaccard"))
+
+
 def cooccurrence(words: DataFrame, width: int, least: int) -> DataFrame:
     """Ordered word pairs within ``width`` places of a document, counted from ``least`` on, with Dice.
 

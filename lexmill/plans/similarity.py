@@ -75,10 +75,19 @@ def v14_tfidf(spark, d):
     return vectors.tfidf(words, "doc_id", "term", 3, 10).select("doc_id", "place", "term", "score")
 
 
+def _tag_bags(spark, d):
+    return load(spark, d, "form_tags_flat").where("form_tag <> '' and db is not null").groupBy("db", "form_tag").agg(F.sum(F.coalesce("occurrence_count", F.lit(0))).alias("n"))
+
+
+def v15_jaccard_pairs(spark, d):
+    """Weighted Jaccard of the tag bags of every pair of dictionaries."""
+    return vectors.weighted_jaccard_all(_tag_bags(spark, d), "db", "form_tag", "n")
+
+
 def v15_jaccard(spark, d):
-    """Weighted Jaccard of the tag bags of neighbouring dictionaries in name order."""
-    bags = load(spark, d, "form_tags_flat").where("form_tag <> '' and db is not null").groupBy("db", "form_tag").agg(F.sum(F.coalesce("occurrence_count", F.lit(0))).alias("n"))
-    names = sorted(r.db for r in bags.select("db").distinct().limit(vectors.MOST_TAGS).collect())
+    """Adjacent-pairs report: only the dictionaries that are neighbours in name order; ``v15_jaccard_pairs`` has all."""
+    bags = _tag_bags(spark, d)
+    names = sorted(vectors.bounded(bags.select("db").distinct())["db"])
     pairs = spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
     return vectors.weighted_jaccard(bags, "db", "form_tag", "n", pairs)
 
@@ -107,7 +116,7 @@ def u05_families(spark, d):
     return vectors.components(edges).select(F.col("node").alias("id"), F.col("component").alias("family"))
 
 
-QUERIES = {f.__name__: f for f in (o02_top_similar, v01_centroids, v02_tag_cosines, v03_mutual_knn, v04_communities, v07_assigned, v07_gated, v08_seed_groups, v09_merged_groups, v12_kmeans, v14_tfidf, v15_jaccard, v17_cooccurrence, v18_rotation, u05_families)}
+QUERIES = {f.__name__: f for f in (o02_top_similar, v01_centroids, v02_tag_cosines, v03_mutual_knn, v04_communities, v07_assigned, v07_gated, v08_seed_groups, v09_merged_groups, v12_kmeans, v14_tfidf, v15_jaccard, v15_jaccard_pairs, v17_cooccurrence, v18_rotation, u05_families)}
 
 _UNIT = """
 with u as (select vec_id, label, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * y)))) as v from embeddings),
@@ -136,6 +145,12 @@ SQL = {
         z as (select db, sum(n) as size from b group by 1),
         s as (select n.a, n.b, sum(least(x.n, y.n)) as shared from n join b x on x.db = n.a join b y on y.db = n.b and y.form_tag = x.form_tag group by 1, 2)
         select n.a, n.b, round(coalesce(shared, 0) / (p.size + q.size - coalesce(shared, 0)), 6) as jaccard from n join z p on p.db = n.a join z q on q.db = n.b left join s on s.a = n.a and s.b = n.b where n.b is not null""",
+    "v15_jaccard_pairs": """
+        with b as (select db, form_tag, sum(coalesce(occurrence_count, 0)) as n from form_tags_flat where form_tag <> '' and db is not null group by 1, 2),
+        z as (select db, sum(n) as size from b group by 1),
+        s as (select x.db as a, y.db as b, sum(least(x.n, y.n)) as shared from b x join b y on y.form_tag = x.form_tag and x.db < y.db group by 1, 2)
+        select p.db as a, q.db as b, case when p.size + q.size > coalesce(shared, 0) then round(coalesce(shared, 0) / (p.size + q.size - coalesce(shared, 0)), 6) else 0 end as jaccard
+        from z p join z q on p.db < q.db left join s on s.a = p.db and s.b = q.db""",
     "v17_cooccurrence": r"""
         with s as (select doc_id, string_split(lower(replace(text, chr(10), ' ')), ' ') as l from documents where text is not null),
         u as (select doc_id, unnest(l) as word, unnest(range(len(l))) as p from s), w as (select doc_id, word, row_number() over (partition by doc_id order by p) as k from u where word <> ''),

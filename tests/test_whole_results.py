@@ -39,3 +39,10 @@ def test_x19_reads_quoted_tags_and_every_separator(spark, tmp_path):
     d = tables(spark, tmp_path, forms=(rows, "id bigint, morph_tags string"))
     got = {r.id: r.feats for r in entry.queries()["x19_feats"](spark, d).collect()}
     assert got == {1: "nom", 2: "acc;sing", 3: "gen;past", 4: "dat;fem", 5: "loc|x;plur", 8: "voc"}
+
+
+def test_v15_every_pair_is_compared(spark, tmp_path):
+    rows = [("a", "t", 2), ("a", "u", 2), ("b", "v", 5), ("c", "t", 1), ("c", "t", 2), ("d", "w", None), ("e", "x", 0)]
+    d = tables(spark, tmp_path, form_tags_flat=(rows, "db string, form_tag string, occurrence_count bigint"))
+    got = {(r.a, r.b): r.jaccard for r in entry.queries()["v15_jaccard_pairs"](spark, d).collect()}
+    assert got == {(x, y): 0.4 if (x, y) == ("a", "c") else 0.0 for x in "abcde" for y in "abcde" if x < y}
