@@ -256,7 +256,8 @@ def j19_hits(spark, d):
     index = cut(lexicon.key_index(*_store(spark, d)))
     heads = index.where("kind = 'headword'").select("db", "key", "entry_id")
     rest = index.where("kind = 'form'").join(heads, ["db", "key", "entry_id"], "left_anti")
-    return index.where("kind = 'headword'").unionByName(rest).groupBy("db", "kind").agg(F.count(F.lit(1)).alias("n_postings"), F.approx_count_distinct("key").alias("n_keys"))
+    keys = index.where("kind = 'headword'").unionByName(rest).groupBy("db", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    return keys.groupBy("db", "kind").agg(F.sum("n").alias("n_postings"), F.count("key").alias("n_keys"))
 
 
 QUERIES = {

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lexmill.operators import lexicon
 from lexmill.operators.ordering import ranked
+from lexmill.plans import lexical
 
 
 def tables(spark, folder, **given):
@@ -46,3 +48,12 @@ def test_v15_every_pair_is_compared(spark, tmp_path):
     d = tables(spark, tmp_path, form_tags_flat=(rows, "db string, form_tag string, occurrence_count bigint"))
     got = {(r.a, r.b): r.jaccard for r in entry.queries()["v15_jaccard_pairs"](spark, d).collect()}
     assert got == {(x, y): 0.4 if (x, y) == ("a", "c") else 0.0 for x in "abcde" for y in "abcde" if x < y}
+
+
+def test_j19_keys_are_counted_exactly(spark, monkeypatch):
+    rows = [("headword", f"k{k}", "xx", k) for k in range(5000)] + [("form", f"k{k}", "xx", k // 2) for k in range(3000)]
+    index = spark.createDataFrame(rows, "kind string, key string, db string, entry_id bigint")
+    monkeypatch.setattr(lexical, "_store", lambda s, d: (None, None))
+    monkeypatch.setattr(lexicon, "key_index", lambda entries, forms: index)
+    got = {r.kind: (r.n_postings, r.n_keys) for r in entry.queries()["j19_hits"](spark, "").collect()}
+    assert got == {"headword": (5000, 5000), "form": (2999, 2999)}
