@@ -1,4 +1,4 @@
-"""Alignments of strings and token sequences."""
+"""Alignments of strings and token sequences."""
 
 from __future__ import annotations
 

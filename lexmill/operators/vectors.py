@@ -1,4 +1,4 @@
-"""Vectors, similarity and clustering.
+"""Vectors, similarity and clustering.
 
 Rows of any number are compared with a stated set of queries, or with a bounded set of centres, block by
 block in numpy: a block goes to the tasks, each task keeps only its top k per query, and these are ranked
@@ -167,7 +167,7 @@ def seed_groups(m: np.ndarray, counts: np.ndarray, least: float) -> list[int]:
 
 
 def merge_groups(m: np.ndarray, counts: np.ndarray, least: float) -> list[int]:
-    """Agglomerative merging of the most similar pair of weighted centres until none is similar enough."""
+    """Agglomerative merging of the most similar pair of weighted centres until none is similar enough."""
     groups = {i: (m[i] * counts[i], [i]) for i in range(len(m))}
     while len(groups) > 1:
         keys = sorted(groups)
@@ -255,6 +255,27 @@ def tfidf(tokens: DataFrame, doc: str, term: str, least_df: int, top: int) -> Da
     return top_per_group(tf.join(df, term).select(doc, term, score.alias("score")), [doc], [F.desc("score"), term], top)
 
 
+def ngram_features(grams: DataFrame, doc: str, least_df: int = 2, most_share: float = 0.3, top: int = 180) -> DataFrame:
+    """doc, gram, weight: the ``top`` grams of each document by sublinear TF-IDF, scaled to length one.
+
+    Grams of fewer than ``least_df`` documents or of more than ``most_share`` of them are left out; ties go by spelling.
+    """
+    n = grams.select(doc).distinct().agg(F.count(F.lit(1))).scalar()
+    tf = grams.groupBy(doc, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= least_df) & (F.col("df") <= most_share * n))
+    scored = tf.join(df, "gram").select(doc, "gram", ((1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("x"))
+    kept = top_per_group(scored, [doc], [F.desc("x"), "gram"], top)
+    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(doc)))
+    return kept.select(doc, "gram", (F.col("x") / length).alias("weight"))
+
+
+def feature_cosines(features: DataFrame, doc: str) -> DataFrame:
+    """a < b, cosine of every pair of documents with a shared feature; other pairs are 0 and have no row."""
+    a = features.select(F.col(doc).alias("a"), "gram", F.col("weight").alias("wa"))
+    b = features.select(F.col(doc).alias("b"), "gram", F.col("weight").alias("wb"))
+    return a.join(b, "gram").where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine"))
+
+
 def procrustes(pairs: DataFrame, a: str, b: str) -> np.ndarray:
     """The rotation that best maps ``a`` vectors to ``b`` vectors (V18); tasks sum the D by D products."""
 
@@ -271,3 +292,37 @@ def procrustes(pairs: DataFrame, a: str, b: str) -> np.ndarray:
     m[sums["i"], sums["j"]] = sums["x"]
     u, _, v = np.linalg.svd(m)
     return u @ v
+
+
+def csls(rows: DataFrame, centres: pd.DataFrame, rotation: np.ndarray, id_col: str, vec_col: str, label: str, k: int = 10) -> DataFrame:
+    """id, label, csls: for each rotated row the centre with the highest CSLS, 2 cos minus both mean cosines to the ``k`` nearest of the other side.
+
+    The centres are bounded; tasks keep only the ``k`` best rows of each centre. Ties go to the first centre.
+    """
+    names, c = centres[label].to_numpy(), unit(np.stack(centres["centroid"]))
+
+    def cosines(batch):
+        return np.round(unit(np.stack(batch[vec_col].to_numpy())) @ rotation @ c.T, 9)
+
+    def nearest(batches):
+        best = np.empty((0, len(c)))
+        for batch in batches:
+            if len(batch):
+                best = -np.sort(-np.vstack([best, cosines(batch)]), axis=0)[:k]
+        yield pd.DataFrame([(t, float(x)) for row in best for t, x in enumerate(row)], columns=["t", "x"])
+
+    have = rows.where(F.col(vec_col).isNotNull()).select(id_col, vec_col)
+    means = top_per_group(have.mapInPandas(nearest, "t int, x double"), ["t"], [F.desc("x")], k).groupBy("t").agg(F.avg("x").alias("x")).toPandas()
+    of_centre = np.zeros(len(c))
+    of_centre[means["t"]] = means["x"]
+
+    def pick(batches):
+        for batch in batches:
+            if len(batch):
+                sims = cosines(batch)
+                of_row = -np.sort(-sims, axis=1)[:, :k].mean(axis=1)
+                scores = np.round(2 * sims - of_row[:, None] - of_centre[None, :], 9)
+                at = scores.argmax(axis=1)
+                yield pd.DataFrame({"id": batch[id_col].to_numpy(), "label": names[at], "csls": scores[np.arange(len(at)), at]})
+
+    return have.mapInPandas(pick, "id bigint, label int, csls double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lexmill.operators import vectors
+from lexmill.operators import audit, vectors
 from lexmill.operators.ordering import top_per_group
 from lexmill.sources import load
 
@@ -75,6 +75,15 @@ def v14_tfidf(spark, d):
     return vectors.tfidf(words, "doc_id", "term", 3, 10).select("doc_id", "place", "term", "score")
 
 
+def v14_ngram_cosines(spark, d):
+    """Cosines of audit tags over the word 1- to 3-grams of their labels and examples; pairs that share none are 0 and left out."""
+    rows = load(spark, d, "form_tags_flat").where("trim(form_tag) <> ''").select(F.lower(F.trim("form_tag")).alias("tag"), "form_tag", F.coalesce("sample_examples", F.lit("")).alias("ex"))
+    texts = rows.select("tag", F.explode(F.concat(F.array("form_tag"), F.split("ex", " \\| "))).alias("text"))
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^\\p{L}]+", " "), " "), lambda w: F.length(w) > 1)
+    grams = texts.select("tag", F.explode(audit.ngrams(words, 1, 3)).alias("gram"))
+    return vectors.feature_cosines(vectors.ngram_features(grams, "tag"), "tag")
+
+
 def _tag_bags(spark, d):
     return load(spark, d, "form_tags_flat").where("form_tag <> '' and db is not null").groupBy("db", "form_tag").agg(F.sum(F.coalesce("occurrence_count", F.lit(0))).alias("n"))
 
@@ -107,6 +116,13 @@ def v18_rotation(spark, d):
     return spark.createDataFrame([(int(r.shape[0]), eye < 1e-6)], "dims int, orthogonal boolean")
 
 
+def v18_lexicon(spark, d):
+    """Each row with the label whose centre is its translation by CSLS, after the rotation fitted on rows and their centres."""
+    rows = load(spark, d, "embeddings")
+    pairs = rows.where("embedding is not null").join(vectors.centroids(rows, "label", "embedding").select("label", "centroid"), "label")
+    return vectors.csls(rows, _tags(spark, d), vectors.procrustes(pairs, "embedding", "centroid"), "vec_id", "embedding", "label").select(F.col("id").alias("vec_id"), "label", F.round("csls", 6).alias("csls"))
+
+
 def u05_families(spark, d):
     """Entries joined through an equal headword or lemma of their dictionary: entry id and family."""
     entries = load(spark, d, "entries")
@@ -116,7 +132,7 @@ def u05_families(spark, d):
     return vectors.components(edges).select(F.col("node").alias("id"), F.col("component").alias("family"))
 
 
-QUERIES = {f.__name__: f for f in (o02_top_similar, v01_centroids, v02_tag_cosines, v03_mutual_knn, v04_communities, v07_assigned, v07_gated, v08_seed_groups, v09_merged_groups, v12_kmeans, v14_tfidf, v15_jaccard, v15_jaccard_pairs, v17_cooccurrence, v18_rotation, u05_families)}
+QUERIES = {f.__name__: f for f in (o02_top_similar, v01_centroids, v02_tag_cosines, v03_mutual_knn, v04_communities, v07_assigned, v07_gated, v08_seed_groups, v09_merged_groups, v12_kmeans, v14_tfidf, v14_ngram_cosines, v15_jaccard, v15_jaccard_pairs, v17_cooccurrence, v18_rotation, v18_lexicon, u05_families)}
 
 _UNIT = """
 with u as (select vec_id, label, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * y)))) as v from embeddings),
@@ -139,6 +155,19 @@ SQL = {
         s as (select doc_id, term, round((1 + ln(tf)) * (ln((1 + (select count(distinct doc_id) from w)) / (1 + df)) + 1), 6) as score from t join f using (term)),
         r as (select *, row_number() over (partition by doc_id order by score desc, term) as place from s)
         select doc_id, cast(place as integer) as place, term, score from r where place <= 10""",
+    "v14_ngram_cosines": r"""
+        with f as (select row_number() over () as r, lower(trim(form_tag)) as tag, form_tag, coalesce(sample_examples, '') as ex from form_tags_flat where trim(form_tag) <> ''),
+        x as (select r, tag, unnest(list_concat([form_tag], string_split(ex, ' | '))) as text, unnest(range(len(string_split(ex, ' | ')) + 1)) as p from f),
+        l as (select r, p, tag, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g'), ' '), lambda y: length(y) > 1) as l from x),
+        u as (select r, p, tag, unnest(l) as w, unnest(range(len(l))) as k from l),
+        v as (select tag, w, lead(w) over (partition by r, p order by k) as w2, lead(w, 2) over (partition by r, p order by k) as w3 from u),
+        g as (select tag, w as gram from v union all select tag, w || ' ' || w2 from v where w2 is not null union all select tag, w || ' ' || w2 || ' ' || w3 from v where w3 is not null),
+        n as (select count(distinct tag) as n from g), t as (select tag, gram, count(*) as tf from g group by 1, 2),
+        d as (select gram, count(*) as df from t group by 1 having count(*) >= 2 and count(*) <= 0.3 * (select n from n)),
+        s as (select tag, gram, (1 + ln(tf)) * (ln((1 + (select n from n)) / (1 + df)) + 1) as x from t join d using (gram)),
+        k as (select * from (select *, row_number() over (partition by tag order by x desc, gram) as place from s) where place <= 180),
+        z as (select tag, gram, x / sqrt(sum(x * x) over (partition by tag)) as x from k)
+        select a.tag as a, b.tag as b, round(sum(a.x * b.x), 6) as cosine from z a join z b on a.gram = b.gram and a.tag < b.tag group by 1, 2""",
     "v15_jaccard": """
         with b as (select db, form_tag, sum(coalesce(occurrence_count, 0)) as n from form_tags_flat where form_tag <> '' and db is not null group by 1, 2),
         n as (select db as a, lead(db) over (order by db) as b from (select distinct db from b)),

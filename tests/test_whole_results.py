@@ -1,9 +1,11 @@
 """Results that were cut short once: every row, pair or value must come out."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lexmill.operators import lexicon
+from lexmill.operators import lexicon, vectors
 from lexmill.operators.ordering import ranked
 from lexmill.plans import lexical
 
@@ -57,3 +59,24 @@ def test_j19_keys_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(lexicon, "key_index", lambda entries, forms: index)
     got = {r.kind: (r.n_postings, r.n_keys) for r in entry.queries()["j19_hits"](spark, "").collect()}
     assert got == {"headword": (5000, 5000), "form": (2999, 2999)}
+
+
+def test_v14_cosines_of_grams_up_to_three_words(spark, tmp_path):
+    rows = [("xx", "one two three", None), ("xx", "zero one two three", ""), ("xx", "two", "one | three"), *(("xx", f"w{c}w", None) for c in "abcdefgh")]
+    d = tables(spark, tmp_path, form_tags_flat=(rows, "db string, form_tag string, sample_examples string"))
+    got = {(r.a, r.b): r.cosine for r in entry.queries()["v14_ngram_cosines"](spark, d).collect()}
+    rare, common = np.log(12 / 3) + 1, np.log(12 / 4) + 1
+    part = np.sqrt(3 * common**2 / (3 * common**2 + 3 * rare**2))
+    assert got == {("one two three", "zero one two three"): 1.0, ("one two three", "two"): round(part, 6), ("two", "zero one two three"): round(part, 6)}
+
+
+def test_v18_csls_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    x, c = rng.normal(size=(60, 4)), rng.normal(size=(5, 4))
+    r = np.linalg.qr(rng.normal(size=(4, 4)))[0]
+    rows = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "id bigint, v array<double>").repartition(3)
+    got = {a.id: (a.label, a.csls) for a in vectors.csls(rows, pd.DataFrame({"label": range(5), "centroid": list(c)}), r, "id", "v", "label", 3).collect()}
+    sims = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ r @ (c / np.linalg.norm(c, axis=1, keepdims=True)).T
+    score = 2 * sims - np.sort(sims, axis=1)[:, -3:].mean(axis=1)[:, None] - np.sort(sims, axis=0)[-3:].mean(axis=0)
+    assert {i: s[0] for i, s in got.items()} == dict(enumerate(score.argmax(axis=1)))
+    assert all(abs(got[i][1] - score[i].max()) < 1e-6 for i in got)
