@@ -57,7 +57,7 @@ def s14_pruned_scan(spark, d):
 
 def s19_sanitized(spark, d):
     page = F.concat(F.lit("<p>"), "text", F.lit("</p><script>x < 1</script><!-- y -->"))
-    return load(spark, d, "documents").where("text not like '%<%' and text not like '%>%'").select("doc_id", files.sanitized(page).alias("text"))
+    return load(spark, d, "documents").where("text is not null").select("doc_id", files.sanitized(page).alias("text"))
 
 
 def k01_store(spark, d):
@@ -67,11 +67,18 @@ def k01_store(spark, d):
 
 
 def k03_inserted(spark, d):
+    """The even half of the staged forms, with the rest inserted; ``k03_inserted_forms`` runs on whole tables."""
     stage = load(spark, d, "forms_stage").where("entry_id is not null").select("entry_id", "form_text", "morph_tags")
     half = stage.where("entry_id % 2 = 0").distinct()
     return files.inserted(half, stage, ["entry_id", "form_text", "morph_tags"]).select("entry_id", "form_text", "morph_tags")
 
 
+def k03_inserted_forms(spark, d):
+    """All forms, with the staged forms that they lack."""
+    keys = ["entry_id", "form_text", "morph_tags"]
+    return files.inserted(load(spark, d, "forms").select(*keys), load(spark, d, "forms_stage").select(*keys), keys)
+
+
 def k04_index(spark, d):
     index = load(spark, d, "forms").where("form_key <> ''").select(F.lit("form").alias("kind"), F.col("form_key").alias("key"), "db", F.coalesce("entry_id", F.lit(0)).alias("entry_id"), F.col("id").alias("form_id"))
     path = _folder(spark, "index")
@@ -80,11 +87,19 @@ def k04_index(spark, d):
 
 
 def k08_replaced(spark, d):
+    """Forms of each seventh custom entry replaced by its headword; ``k08_replaced_all`` replaces those of all entries."""
     have = load(spark, d, "custom_dict_forms").where("entry_pk is not null").select("entry_pk", "form_text")
     new = load(spark, d, "custom_dict_entries").where("id % 7 = 0").select(F.col("id").alias("entry_pk"), F.col("headword").alias("form_text"))
     return files.replaced(have, new, "entry_pk")
 
 
+def k08_replaced_all(spark, d):
+    """Forms of every custom entry replaced by its headword; forms without an entry stay."""
+    have = load(spark, d, "custom_dict_forms").select("entry_pk", "form_text")
+    new = load(spark, d, "custom_dict_entries").select(F.col("id").alias("entry_pk"), F.col("headword").alias("form_text"))
+    return files.replaced(have, new, "entry_pk")
+
+
 def b05_newest(spark, d):
     """Last write wins per language and headword."""
     return load(spark, d, "custom_dict_entries").where("headword is not null").groupBy(F.lower("language").alias("language"), "headword").agg(F.max_by("id", F.struct("updated_at", "id")).alias("id"))
@@ -108,7 +123,7 @@ def str_limited(spark, d):
     return events.drained(events.limited(_stream(spark, d), 2, 3600.0))
 
 
-QUERIES = {f.__name__: f for f in (s01_tsv_round_trip, s02_unified, s05_sources, s07_refs, s08_dump, s12_conllu_round_trip, s14_pruned_scan, s19_sanitized, k01_store, k03_inserted, k04_index, k08_replaced, b05_newest, str_windows, str_sessions, str_limited)}
+QUERIES = {f.__name__: f for f in (s01_tsv_round_trip, s02_unified, s05_sources, s07_refs, s08_dump, s12_conllu_round_trip, s14_pruned_scan, s19_sanitized, k01_store, k03_inserted, k03_inserted_forms, k04_index, k08_replaced, k08_replaced_all, b05_newest, str_windows, str_sessions, str_limited)}
 
 SQL = {
     "s01_tsv_round_trip": r"select id, regexp_replace(coalesce(headword, ''), '[\t\r\n]', ' ', 'g') as headword, regexp_replace(coalesce(pos, ''), '[\t\r\n]', ' ', 'g') as pos from entries",
@@ -121,10 +136,17 @@ SQL = {
     "s14_pruned_scan": "select l_orderkey, l_linenumber, l_quantity from lineitem where l_quantity > 45",
     "k01_store": "select id, headword from entries where db = 'es'",
     "k03_inserted": "select distinct entry_id, form_text, morph_tags from forms_stage where entry_id is not null",
+    "k03_inserted_forms": """
+        select entry_id, form_text, morph_tags from forms union all
+        select distinct entry_id, form_text, morph_tags from forms_stage s
+        where not exists (select 1 from forms f where f.entry_id is not distinct from s.entry_id and f.form_text is not distinct from s.form_text and f.morph_tags is not distinct from s.morph_tags)""",
     "k04_index": "select form_key as key, count(*) as n from forms where form_key <> '' group by 1",
     "k08_replaced": """
         select entry_pk, form_text from custom_dict_forms where entry_pk is not null and entry_pk not in (select id from custom_dict_entries where id % 7 = 0)
         union all select id, headword from custom_dict_entries where id % 7 = 0""",
+    "k08_replaced_all": """
+        select entry_pk, form_text from custom_dict_forms f where not exists (select 1 from custom_dict_entries e where e.id = f.entry_pk)
+        union all select id, headword from custom_dict_entries""",
     "b05_newest": """
         select language, headword, id from (select lower(language) as language, headword, id, row_number() over (partition by lower(language), headword order by updated_at desc nulls last, id desc) as r
         from custom_dict_entries where headword is not null) where r = 1""",

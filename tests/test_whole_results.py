@@ -98,3 +98,26 @@ def test_p10_wrapped_lines_are_one_paragraph(spark):
 
 def test_p10_short_paragraphs_need_two_votes():
     assert [subjects.least_votes(n) for n in (1, 2, 3, 4, 5, 12)] == [2, 2, 2, 2, 3, 3]
+
+
+def test_e02_long_texts_are_compared_whole(spark, tmp_path):
+    d = tables(spark, tmp_path, documents=([(1, " ".join(f"w{k}" for k in range(100_050)))], "doc_id bigint, text string"))
+    assert [tuple(r) for r in entry.queries()["e02_agreement"](spark, d).collect()] == [(1, 100_050, 0, 100_050, 100.0)]
+
+
+def test_s19_texts_with_tags_are_sanitized(spark, tmp_path):
+    rows = [(1, "a <b>bold</b> word<script>bad()</script>"), (2, "plain"), (3, None), (4, "x<!-- y > z -->")]
+    d = tables(spark, tmp_path, documents=(rows, "doc_id bigint, text string"))
+    got = {r.doc_id: r.text for r in entry.queries()["s19_sanitized"](spark, d).collect()}
+    assert got == {1: "a bold word", 2: "plain", 4: "x"}
+
+
+def test_k03_and_k08_run_on_whole_tables(spark, tmp_path):
+    form = "entry_id bigint, form_text string, morph_tags string"
+    d = tables(
+        spark, tmp_path, forms=([(1, "a", None), (1, "a", None)], form), forms_stage=([(1, "a", None), (2, "b", "x"), (2, "b", "x"), (None, "c", None)], form),
+        custom_dict_forms=([(1, "old"), (9, "orphan"), (None, "loose")], "entry_pk bigint, form_text string"), custom_dict_entries=([(1, "new"), (2, "other")], "id bigint, headword string"),
+    )
+    got = {name: sorted((tuple(r) for r in entry.queries()[name](spark, d).collect()), key=str) for name in ("k03_inserted_forms", "k08_replaced_all")}
+    assert got["k03_inserted_forms"] == [(1, "a", None), (1, "a", None), (2, "b", "x"), (None, "c", None)]
+    assert got["k08_replaced_all"] == [(1, "new"), (2, "other"), (9, "orphan"), (None, "loose")]
