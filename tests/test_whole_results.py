@@ -5,7 +5,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from lexmill.llm import subjects
 from lexmill.operators import lexicon, vectors
 from lexmill.operators.ordering import ranked
 from lexmill.plans import lexical
@@ -83,23 +82,6 @@ def test_v18_csls_equals_brute_force(spark):
     assert all(abs(got[i][1] - score[i].max()) < 1e-6 for i in got)
 
 
-def test_p10_the_leaf_mixture_carries_the_decision():
-    lexicon_ = subjects.Lexicon([("x", "law"), ("x", "linguistics")])
-    lexicon_.of = {"case": {"linguistics": 0.6, "law": 0.4}}
-    assert lexicon_.subject([["case"]] * 6, {"law": 0.95, "linguistics": 0.05}) == ("law", 6)
-    assert lexicon_.subject([["case"]] * 6, {"law": 0.5, "linguistics": 0.5}) == ("linguistics", 6)
-
-
-def test_p10_wrapped_lines_are_one_paragraph(spark):
-    texts = [(1, "One is here. Two goes\non. Three\r\nends.\nFour stands alone.\n \nFive."), (2, "A line\nanother line")]
-    got = sorted((r.doc_id, r.paragraph) for r in subjects.paragraphs(spark.createDataFrame(texts, "doc_id bigint, text string")).collect())
-    assert got == [(1, "Five."), (1, "Four stands alone."), (1, "One is here. Two goes on. Three ends."), (2, "A line"), (2, "another line")]
-
-
-def test_p10_short_paragraphs_need_two_votes():
-    assert [subjects.least_votes(n) for n in (1, 2, 3, 4, 5, 12)] == [2, 2, 2, 2, 3, 3]
-
-
 def test_e02_long_texts_are_compared_whole(spark, tmp_path):
     d = tables(spark, tmp_path, documents=([(1, " ".join(f"w{k}" for k in range(100_050)))], "doc_id bigint, text string"))
     assert [tuple(r) for r in entry.queries()["e02_agreement"](spark, d).collect()] == [(1, 100_050, 0, 100_050, 100.0)]
