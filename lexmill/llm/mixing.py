@@ -7,8 +7,8 @@ their share. Documents of a source stand one after another in a hashed order, re
 document whose middle lies c tokens into the source's demand gets the position t at which the integrated
 schedule has asked for c tokens (a closed form). All documents are then range-sorted by position.
 
-The running sums inside a source are taken in two levels, over ``BUCKETS`` hashed buckets and inside each
-bucket, so a source with most of the documents is spread over as many tasks.
+The running sums inside a source are taken in two levels, over hashed buckets and inside each
+bucket, whose number grows with the documents, so a source with most of them is spread over as many tasks.
 
 Cases: documents whose source isn't exactly a target's are left out; null and empty texts have size 0 and
 are not placed; a source without documents has size 0; targets with null shares or repeats count as 0.
@@ -23,12 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.sources.tables import spread
+from lexmill.sources.tables import cut, spread
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Session setting that names the vocabulary file, which every executor must see; where it is unset, ``TOKENIZER`` is used.
+SETTING, TOKENIZER = "spark.lexmill.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BUCKETS = 4096
+LEAST_BUCKETS, DOCS_PER_BUCKET = 64, 20_000
 SLOPE = 0.5
 _loaded: dict = {}
 
@@ -44,9 +45,10 @@ def encoder(path: str):
     return _loaded[path]
 
 
-def sized(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def sized(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens of the documents of the target sources."""
-    wanted = F.broadcast(targets.where("source is not null").select("source").distinct())
+    path = path or documents.sparkSession.conf.get(SETTING, TOKENIZER)
+    wanted = targets.where("source is not null").select("source").distinct()
     docs = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.col("text").cast("string").alias("text"))).join(wanted, "source", "left_semi")
 
     def run(batches):
@@ -66,9 +68,10 @@ def demands(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return totals.withColumns({"short": most < asked, "demand": F.least(asked, most.cast("double"))})
 
 
-def short_sources(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """The sources that can't reach their share."""
-    return demands(sized(documents, targets, path), targets).where("short").select("source")
+def short_sources(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
+    """The sources that can't reach their share: in the mix, all their repeats are used up below the target."""
+    mix = shares(cut(sized(documents, targets, path)), targets)
+    return mix.where((F.col("used_tokens") == F.col("max_repeats") * F.col("size")) & (F.col("used_tokens") < F.col("target_tokens"))).select("source")
 
 
 def slopes(demand: DataFrame) -> DataFrame:
@@ -86,9 +89,10 @@ def slopes(demand: DataFrame) -> DataFrame:
 
 def placed(sizes: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
     """The mix in training order: position, source, doc_id, repeat, n_tokens."""
-    plan = F.broadcast(slopes(demands(sizes, targets)).select("source", "size", "demand", "slope").where("demand > 0"))
+    plan = slopes(demands(sizes, targets)).select("source", "size", "demand", "slope").where("demand > 0")
+    buckets = max(LEAST_BUCKETS, sizes.count() // DOCS_PER_BUCKET)
     order = F.xxhash64(F.lit(seed), "doc_id")
-    docs = sizes.where("n_tokens > 0").withColumns({"h": order, "bucket": F.pmod(F.shiftright(order, 20), F.lit(BUCKETS))})
+    docs = sizes.where("n_tokens > 0").withColumns({"h": order, "bucket": F.pmod(F.shiftright(order, 20), F.lit(buckets))})
     per_bucket = docs.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("b"))
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("source", "bucket", F.coalesce(F.sum("b").over(running), F.lit(0)).alias("offset"))
@@ -104,8 +108,8 @@ def placed(sizes: DataFrame, targets: DataFrame, seed: int = 11) -> DataFrame:
 
 
 def shares(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, actual_share, size, used_tokens, max_repeats."""
+    """source, target_share, actual_share, size, used_tokens, target_tokens, max_repeats."""
     used = placed(sizes, targets).groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"))
     joined = demands(sizes, targets).join(used, "source", "left").withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
     whole = F.sum("used_tokens").over(Window.partitionBy(F.lit(1)))
-    return joined.select("source", "target_share", F.when(whole > 0, F.col("used_tokens") / whole).otherwise(F.lit(0.0)).alias("actual_share"), "size", "used_tokens", "max_repeats")
+    return joined.select("source", "target_share", F.when(whole > 0, F.col("used_tokens") / whole).otherwise(F.lit(0.0)).alias("actual_share"), "size", "used_tokens", (F.col("target_share") * F.col("total")).alias("target_tokens"), "max_repeats")
