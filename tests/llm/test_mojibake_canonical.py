@@ -5,6 +5,7 @@ import random
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill.llm import canonical, mojibake
 
@@ -77,6 +78,26 @@ def test_rates_follow_the_evidence():
     assert abs(rates["cp1252"] - 0.1) < 0.01 and abs(rates[mojibake.WHOLE] - 0.9) < 0.02
 
 
+def test_evidence_of_a_source_decides_weak_tokens(spark):
+    strong, weak = [("cp1252", 20.0, "é")], [("cp1252", 2.5, "è")]
+    rows = [("a", "de", "glosses", f"t{i}", 1, strong if i % 5 < 3 else []) for i in range(500)] + [("b", "de", "glosses", f"t{i}", 1, []) for i in range(500)]
+    rows += [(s, "de", "glosses", "weak", 1, weak) for s in "ab"] + [("b", "de", "glosses", "strong", 1, strong)]
+    scored = spark.createDataFrame(rows, "source string, db string, field string, token string, n bigint, scored array<struct<chain string, score double, text string>>")
+    pooled, rates = mojibake.chain_rates(scored)
+    got = {(r.source, r.token) for r in mojibake.decisions(scored, rates).where("not token like 't%'").collect()}
+    assert got == {("a", "weak"), ("b", "strong")} and 0.2 < pooled["cp1252"] < 0.4
+    constant = rates.withColumn("rates", F.create_map(F.lit(mojibake.WHOLE), F.lit(0.97), F.lit("cp1252"), F.lit(0.001)))
+    assert {(r.source, r.token) for r in mojibake.decisions(scored, constant).where("not token like 't%'").collect()} == {("b", "strong")}
+
+
+def test_many_kinds_of_evidence_are_counted_in_coarser_steps(spark, monkeypatch):
+    monkeypatch.setattr(mojibake, "MOST_SIGNATURES", 5)
+    rows = [("a", "de", "glosses", f"t{i}", 1, [("cp1252", i / 4, "é")] if i % 2 else []) for i in range(200)]
+    scored = spark.createDataFrame(rows, "source string, db string, field string, token string, n bigint, scored array<struct<chain string, score double, text string>>")
+    pooled, _ = mojibake.chain_rates(scored)
+    assert 0.3 < pooled["cp1252"] < 0.7
+
+
 CASES = [
     ("de", "ｈａｕｓ", "haus"), ("de", "schön", "schön"), ("de", "Kаße", "Kaße"), ("es", "niño", "niño"), ("fr", "a b", "a b"),
     ("fr", "ﬁn", "fin"), ("en", "co‑op", "co-op"), ("tr", "ﬁş", "fiş"), ("vi", "đợi", "đợi"), ("ru", "cлoво", "слово"), ("ru", "ёж", "ёж"),

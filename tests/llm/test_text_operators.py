@@ -91,6 +91,22 @@ def test_leaks_and_blocks(spark):
     assert {r.item_id: r.n_docs for r in leakage.report(leakage.found(d, items), items).collect()} == {1: 5, 2: 0, 3: 0, 4: 5}
 
 
+def test_many_items_are_joined_and_common_ones_scanned(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(vocabulary, k=30)) for _ in range(60)]
+    d = spark.createDataFrame([(k, " ".join(rng.choices(vocabulary, k=20)) + " " + (t if k % 2 else " ".join(t.split()[:17]))) for k, t in enumerate(texts)] + [(100, ITEM)], "doc_id bigint, text string")
+    items = spark.createDataFrame([*enumerate(texts), *((1000 + k, ITEM) for k in range(40))], "item_id bigint, text string")
+    one, many = ({tuple(r) for r in leakage.found(d, items, size).collect()} for size in (200_000, 500))
+    assert one == many and {(k, k) for k in range(60)} <= one and {(100, 1000 + k) for k in range(40)} <= one
+
+
+def test_unspaced_scripts_have_words():
+    item = "春眠不覚暁処処聞啼鳥夜来風雨声花落知多少"
+    assert leakage.Items([(1, item)]).leaked("前の文。" + item[:16] + "後の文。") == [1]
+    assert leakage.Items([(1, item)]).leaked("前の文。" + item[:6] + "後の文。") == []
+
+
 def test_long_text():
     text = " ".join(f"x{i % 977}" for i in range(60_000)) + " " + ITEM
     assert leakage.Items([(1, ITEM)]).leaked(text) == [1]
@@ -127,6 +143,22 @@ def test_mix(spark):
     assert mixing.placed(sizes.limit(0), targets).count() == 0 and mixing.short_sources(d.limit(0), targets).count() == 0
 
 
+def test_schedule(spark):
+    d, targets = mix_frames(spark)
+    sizes = mixing.sized(d, targets).cache()
+    plan = mixing.slopes(mixing.demands(sizes, targets)).where("demand > 0").collect()
+    assert abs(sum(r.slope * r.demand for r in plan)) < 1e-6 and all(abs(r.slope) <= mixing.SLOPE for r in plan)
+    for source in ("big", "small"):
+        own = [(r.repeat, r.position) for r in mixing.placed(sizes, targets).where(F.col("source") == source).collect()]
+        assert own == sorted(own)
+    # exactly enough is not short; the rows come from the placed mix
+    exact = spark.createDataFrame([(1, "a", "word " * 10), (2, "b", "word " * 10)], "doc_id bigint, source string, text string")
+    wanted = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), ("c", 0.0, 1)], "source string, target_share double, max_repeats bigint")
+    assert mixing.short_sources(exact, wanted).count() == 0
+    more = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 1), (None, 0.1, None)], "source string, target_share double, max_repeats bigint")
+    assert [r.source for r in mixing.short_sources(exact, more).collect()] == ["b"]
+
+
 TOPICS = {"sport": "goal referee league striker match penalty stadium coach", "law": "judge verdict statute witness appeal lease court plaintiff", "music": "violin chord tempo sonata choir flute melody rhythm"}
 
 
@@ -155,6 +187,41 @@ def test_subjects(spark):
     made = {r.subject: r.n_docs for r in subjects.make_up(d, s, listed).collect()}
     assert made["other"] == 0 and made["law"] == sum(t == "law" for _, t in got)
     assert subjects.found(d.limit(0), s).count() == 0 and subjects.found(d, s.limit(0)).count() == 0
+    # the rows come from the leaf mixtures: without them there are none, with those of other leaves they change
+    assert subjects.assigned(d, s, lambda mixed: [{} for _ in mixed]).count() == 0
+    turned = {"sport": "law", "law": "music", "music": "sport"}
+    other = {(r.doc_id, r.subject) for r in subjects.assigned(d, s, lambda mixed: [{turned[k]: p for k, p in m.items()} for m in mixed]).collect()}
+    assert len(other & want) < 0.1 * len(want)
+
+
+def test_tree_parts_rows_and_sends_new_rows_to_their_leaf():
+    rng = random.Random(2)
+    terms = [[f"{g}{rng.randrange(6)}" for _ in range(5)] for k in range(400) for g in ["abcd"[k % 4]]]
+    weights = {t: (j, 1.0) for j, t in enumerate(sorted({t for x in terms for t in x}))}
+    rows = subjects.Rows(terms, weights)
+    tree, members = subjects.grown(rows, len(weights), lambda own: max(Counter(k % 4 for k in own).values()) / len(own))
+    assert sorted(k for some in members for k in some) == list(range(400))
+    at = tree.leaves(rows)
+    assert all(set(at[some]) == {leaf} for leaf, some in enumerate(members)) and all(len({k % 4 for k in some}) == 1 for some in members)
+    assert list(tree.leaves(subjects.Rows([["zzz"], terms[3]], weights))) == [-1, at[3]]
+
+
+def test_the_leaf_mixture_carries_the_decision():
+    lexicon = subjects.Lexicon([("x", "law"), ("x", "linguistics")])
+    lexicon.of = {"case": {"linguistics": 0.6, "law": 0.4}}
+    assert lexicon.subject([["case"]] * 6, {"law": 0.95, "linguistics": 0.05}) == ("law", 6)
+    assert lexicon.subject([["case"]] * 6, {"law": 0.5, "linguistics": 0.5}) == ("linguistics", 6)
+    assert lexicon.subject([["case"]] * 6, {"law": 0.97, "linguistics": 0.03}) == ("law", 6) and lexicon.subject([["case"]] * 6, {}) is None
+
+
+def test_wrapped_lines_are_one_paragraph(spark):
+    texts = [(1, "One is here. Two goes\non. Three\r\nends.\nFour stands alone.\n \nFive."), (2, "A line\nanother line")]
+    got = sorted((r.doc_id, r.paragraph) for r in subjects.paragraphs(spark.createDataFrame(texts, "doc_id bigint, text string")).collect())
+    assert got == [(1, "Five."), (1, "Four stands alone."), (1, "One is here. Two goes on. Three ends."), (2, "A line"), (2, "another line")]
+
+
+def test_short_paragraphs_need_two_votes():
+    assert [subjects.least_votes(n) for n in (1, 2, 3, 4, 5, 12)] == [2, 2, 2, 2, 3, 3]
 
 
 @pytest.mark.parametrize("text", ["plain words", "ünï ☃ code"])
