@@ -2,9 +2,10 @@
 
 References of all tables and the parents' validity intervals are co-partitioned on (space, key, salt),
 sorted and merged linearly: a left sort-merge join of two sorted streams. Keys that hold more than
-``1 / hot_parts`` of all references are salted: their references spread over ``salts`` partitions and
-their parent interval is repeated for each. There can't be more than ``hot_parts`` such keys, so the list
-of them that is broadcast has at most that many rows.
+``1 / hot_parts`` of all references are salted: their references spread over as many partitions as they hold
+shares of that size, so none keeps more than about one share however large a key is, and their parent interval is
+repeated for each. There can't be more than ``hot_parts`` such keys, nor more than twice as many salts, so the list
+that is broadcast has at most that many rows.
 
 Cases: a null key is no reference, 0 is one; a row or parent without a time is never late; a key that was
 deleted and created again is present; repeated rows and repeated log entries change nothing; empty tables
@@ -32,7 +33,7 @@ def intervals(parents: dict[str, DataFrame], deletions: DataFrame | None) -> Dat
     return merged.groupBy("space", "key").agg(F.max("present").alias("present"), F.min("valid_from").alias("valid_from"), F.max("deleted").alias("deleted"))
 
 
-def orphans(references: list[tuple[str, str, DataFrame]], parents: dict[str, DataFrame], deletions: DataFrame | None, salts: int = 16, hot_parts: int = 200) -> DataFrame:
+def orphans(references: list[tuple[str, str, DataFrame]], parents: dict[str, DataFrame], deletions: DataFrame | None, hot_parts: int = 200) -> DataFrame:
     """Orphan references: tab, row_id, kind (deleted, missing, late), at.
 
     ``references`` has (table, key space, frame (row_id, key, at)).
@@ -40,10 +41,11 @@ def orphans(references: list[tuple[str, str, DataFrame]], parents: dict[str, Dat
     refs = reduce(DataFrame.unionByName, [df.where("key is not null").select(F.lit(tab).alias("tab"), F.lit(space).alias("space"), F.col("row_id").cast("bigint").alias("row_id"), F.col("key").cast("bigint").alias("key"), F.col("at")) for tab, space, df in references])
     counted = refs.groupBy("space", "key").agg(F.count(F.lit(1)).alias("n"))
     total = counted.agg(F.sum("n")).scalar()
-    hot = F.broadcast(counted.where(F.col("n") * hot_parts > total).select("space", "key", F.lit(True).alias("hot")))
-    salted = refs.join(hot, ["space", "key"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("tab", "row_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int")).drop("hot")
+    share = F.col("n") * hot_parts / total
+    hot = F.broadcast(counted.where(share > 1).select("space", "key", F.ceil(share).cast("int").alias("salts")))
+    salted = refs.join(hot, ["space", "key"], "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("tab", "row_id"), "salts"), F.lit(0)).cast("int")).drop("salts")
     spans = intervals(parents, deletions).join(hot, ["space", "key"], "left")
-    spans = spans.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    spans = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     merged = salted.join(spans.hint("merge"), ["space", "key", "salt"], "left")
     kind = F.when(F.col("present"), F.when(F.col("valid_from") > F.col("at"), F.lit("late"))).when(F.col("deleted"), F.lit("deleted")).otherwise(F.lit("missing"))
     return merged.select("tab", "row_id", kind.alias("kind"), "at").where("kind is not null")

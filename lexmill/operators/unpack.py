@@ -11,7 +11,7 @@ A parsing expression grammar with ordered choice:
 ``Bracketed`` is JSON that reads to the end. Where ``Quoted`` fails, because the quote isn't closed or text
 follows it, the parser backtracks to the quote and takes ``Bare``; the value then carries the flag
 ``malformed_quote``. Brackets that can't be read as JSON fall back to ``Values`` for tags, with the flag
-``malformed_bracket``, and to nothing for glosses.
+``malformed_bracket``; glosses have no values then, but one error row with that flag and neither position nor value.
 
 Each Arrow batch is dictionary-encoded, so the grammar runs once per distinct string of the batch, and
 positions are emitted by Spark's ``posexplode``.
@@ -81,7 +81,7 @@ class Parser:
         chars = re.escape(grammar.separators)
         self.sep = re.compile(f"[{chars}]" + ("|(?<= )/(?= )" if grammar.slash else ""))
 
-    def parse(self, text: str | None) -> list[tuple[str, str, str]]:
+    def parse(self, text: str | None) -> list[tuple[str | None, str, str]]:
         if not text:
             return []
         flag, head = "", text.lstrip()[:1]
@@ -90,7 +90,7 @@ class Parser:
             if got is not _UNREADABLE:
                 return [(x.strip(" "), "bracketed", "") for x in self._strings(got) if x.strip(" ")]
             if self.g.bracketed == "glosses":
-                return []
+                return [(None, "error", "malformed_bracket")]
             flag = "malformed_bracket"
         return [(v.strip(" "), kind, f or flag) for v, kind, f in self._values(text) if v.strip(" ")]
 
@@ -191,6 +191,10 @@ def parsed(df: DataFrame, id_col: str, value_col: str, grammar: Grammar, least:
 
 
 def unpack(df: DataFrame, id_col: str, value_col: str, grammar: Grammar, least: int = 1) -> DataFrame:
-    """row_id, pos (from 1), val, kind, flag: one row per value of fields with at least ``least`` values."""
+    """row_id, pos (from 1), val, kind, flag: one row per value of fields with at least ``least`` values.
+
+    With ``least`` 1 also the error rows of unreadable fields.
+    """
     items = parsed(df, id_col, value_col, grammar, least).select("row_id", F.posexplode("items").alias("k", "item"))
-    return items.select("row_id", (F.col("k") + 1).cast("bigint").alias("pos"), "item.val", "item.kind", "item.flag")
+    pos = F.when(F.col("item.kind") != "error", (F.col("k") + 1).cast("bigint"))
+    return items.select("row_id", pos.alias("pos"), "item.val", "item.kind", "item.flag")

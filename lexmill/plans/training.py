@@ -45,6 +45,11 @@ def p3_senses(spark, d):
     return nested.child_table(load(spark, d, "kaikki_raw"), "sense_examples")
 
 
+def p3_columns(spark, d):
+    """The tables that were discovered in the records, with their members."""
+    return nested.columns(load(spark, d, "kaikki_raw"))
+
+
 def p4_found(spark, d):
     return _orphans(spark, d).select("tab", "row_id", "kind")
 
@@ -75,7 +80,7 @@ def p6_errors(spark, d):
     return _unpacked(spark, d, 1).where("flag <> ''").groupBy("tab", "field", "flag").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p3_senses, p4_found, p4_report, p5_found, p5_by_entry, p5_by_surface, p6_found, p6_errors)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_forms, p3_senses, p3_columns, p4_found, p4_report, p5_found, p5_by_entry, p5_by_surface, p6_found, p6_errors)}
 
 _ORPHANS = """
 with refs as (
@@ -96,7 +101,42 @@ orphans as (
   where r.k is not null)
 """
 
+
+
+def _listed(x: str) -> str:
+    """A member as a list: a single object or string stands for a list of one."""
+    return f"case json_type({x}) when 'ARRAY' then json_extract({x}, '$[*]') when 'OBJECT' then [{x}] when 'VARCHAR' then [{x}] else [] end"
+
+
+def _children(name: str, source: str, member: str, parent: str) -> str:
+    """A relation of the elements of a member: rec_id, parent_pos, pos, e."""
+    return f"""{name} as (select rec_id, parent_pos, cast(pos as bigint) as pos, e from (select rec_id, {parent} as parent_pos, unnest(l) as e, unnest(range(len(l))) as pos
+          from (select *, {_listed(f"json_extract(e, '$.{member}')")} as l from {source} where json_type(e) = 'OBJECT')) where json_type(e) <> 'NULL')"""
+
+
+_NESTED = "with o as (select rec_id, 0 as pos, cast(raw as json) as e from (select * from kaikki_raw where json_valid(raw) and trim(raw) <> '')), " + ", ".join(
+    _children(*x) for x in (("senses", "o", "senses", "-1"), ("sounds", "o", "sounds", "-1"), ("forms_", "o", "forms", "-1"), ("sense_glosses", "senses", "glosses", "pos"), ("sense_examples", "senses", "examples", "pos"), ("sense_tags", "senses", "tags", "pos"), ("sound_tags", "sounds", "tags", "pos"), ("form_tags", "forms_", "tags", "pos"))
+)
+
+
+def _string(member: str) -> str:
+    return f"case when json_type(e, '$.{member}') in ('OBJECT', 'ARRAY') then null else e->>'$.{member}' end as {member}"
+
+
 SQL = {
+    "p3_found": _NESTED + " " + " union all ".join(f"select rec_id, '{t}' as tab, parent_pos, pos from {r}" for t, r in (("senses", "senses"), ("sounds", "sounds"), ("forms", "forms_"), ("sense_glosses", "sense_glosses"), ("sense_examples", "sense_examples"), ("sense_tags", "sense_tags"), ("sound_tags", "sound_tags"), ("form_tags", "form_tags"))),
+    "p3_forms": f"{_NESTED} select rec_id, parent_pos, pos, {_string('form')}, {_string('roman')}, {_string('source')} from forms_",
+    "p3_senses": f"{_NESTED} select rec_id, parent_pos, pos, case when json_type(e) = 'VARCHAR' then e->>'$' end as val, {_string('text')}, {_string('english')} from sense_examples",
+    "p3_columns": """
+        with v as (select rec_id, raw from kaikki_raw where json_valid(raw) and trim(raw) <> '' and json_type(raw) = 'OBJECT'),
+        t as (select v.rec_id, x.fullkey, x.type, x.key from v, lateral (select * from json_tree(v.raw)) x where x.type <> 'NULL'),
+        p as (select rec_id, fullkey, type, key, regexp_matches(fullkey, '\\]$') as listed, regexp_replace(regexp_replace(regexp_replace(fullkey, '\\]\\[', '].[].[', 'g'), '\\[[0-9]+\\]', '', 'g'), '^\\$\\.?', '') as path from t),
+        a as (select rec_id, path, null as member from p where listed or type = 'OBJECT'
+          union all select rec_id, path, null from p where not listed and type = 'VARCHAR' and path in ('senses', 'senses.glosses', 'senses.examples', 'senses.tags', 'sounds', 'sounds.tags', 'forms', 'forms.tags')
+          union all select rec_id, case when position('.' in path) > 0 then regexp_replace(path, '\\.[^.]*$', '') else '' end, key from p
+            where not listed and type not in ('OBJECT', 'ARRAY') and not (type = 'VARCHAR' and path in ('senses', 'senses.glosses', 'senses.examples', 'senses.tags', 'sounds', 'sounds.tags', 'forms', 'forms.tags')))
+        select path, member, count(*) as n_rows, count(distinct rec_id) as n_records from a group by 1, 2""",
+    "p6_errors": "select 'entries' as tab, 'glosses' as field, 'malformed_bracket' as flag, count(*) as n from entries where ltrim(glosses)[1] in ('[', '{') and not json_valid(glosses) having count(*) > 0",
     "p4_found": _ORPHANS + "select tab, row_id, kind from orphans where kind is not null",
     "p4_report": _ORPHANS + "select tab, strftime(t, '%Y-%m') as month, kind, count(*) as orphans from orphans where kind is not null group by 1, 2, 3",
     "p5_found": """

@@ -11,7 +11,7 @@ from lexmill.operators.unpack import GLOSSES, TAGS, Parser
 
 
 def rows(record):
-    return sorted(nested.rows_of(1, record))
+    return sorted(nested.rows_of(1, json.dumps(record)), key=str)
 
 
 def found(record):
@@ -33,9 +33,87 @@ def test_examples_keep_members_and_links():
     assert (wide["parent_pos"], wide["pos"], wide["text"], wide["english"]) == (0, 0, "t", "e")
 
 
-@pytest.mark.parametrize("line", [None, "", "  ", "[]", "null", "3", '{"a":1', '{"a":NaN}', '{"a":1} x'])
+BROKEN = [None, "", "  ", "[]", "null", "3", '"a"', "{", '{"a"', '{"a":', '{"a":1', '{"a":NaN}', '{"a":1} x', '{"a":1}{', "{,}", '{"a":1,}', '{"a":[1,]}', '{"a":[,1]}', '{"a" 1}', '{"a"::1}', '{1:2}', '{"a":1]', '{"a":[1}', '{"a":01}', '{"a":+1}', '{"a":.5}', '{"a":1.}', '{"a":"\n"}', '{"a":"\\x"}', '{"a":"x', '{"a":tru}', '{"a":1 2}', '{"a":[1 2]}', '{"a":[]]}']
+
+
+@pytest.mark.parametrize("line", BROKEN)
 def test_unreadable_lines_give_nothing(line):
-    assert nested.read_object(line) is None
+    assert nested.triples(line) is None
+
+
+values = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False, allow_infinity=False), st.text(max_size=4)), lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.sampled_from(["a", "b", "senses", "tags", "[]x", ""]), x, max_size=3)), max_leaves=12)
+
+
+def walked(node, path=(), at=()):
+    """Triples by a direct walk over the tree."""
+    out = []
+    for key, v in node.items():
+        here = path + (key,)
+        listed = here in nested._BY_PATH and len(at) == len(here) - 1
+        if isinstance(v, list):
+            out += walked_list(v, here, at)
+        elif isinstance(v, dict):
+            out += [(here, at + (0,), None), *walked(v, here, at + (0,))]
+        elif isinstance(v, str):
+            out.append((here, at + (0,) if listed else at, v))
+        elif v is not None:
+            out.append((here, at, json.dumps(v)))
+    return out
+
+
+def walked_list(items, path, at):
+    out = []
+    for k, v in enumerate(items):
+        if v is None:
+            continue
+        out.append((path, at + (k,), v if isinstance(v, str) else None if isinstance(v, (list, dict)) else json.dumps(v)))
+        if isinstance(v, dict):
+            out += walked(v, path, at + (k,))
+        elif isinstance(v, list):
+            out += walked_list(v, path + ("[]",), at + (k,))
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.sampled_from(["a", "b", "senses", "forms", ""]), values, max_size=4), st.sampled_from([None, 1]), st.booleans())
+def test_triples_equal_a_direct_walk(record, indent, escaped):
+    assert nested.triples(json.dumps(record, indent=indent, ensure_ascii=escaped)) == walked(record)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet='{}[]:,"a1 e-.0nul\\', max_size=14))
+def test_what_is_an_object_agrees_with_the_json_module(line):
+    try:
+        got = isinstance(json.loads(line, parse_constant=lambda c: 1 / 0), dict)
+    except (ValueError, ZeroDivisionError):
+        got = False
+    assert (nested.triples(line) is not None) == got
+
+
+def test_the_later_of_repeated_members_counts_and_depth_is_no_matter():
+    line = '{"senses":[{"glosses":["a","b"]}],"x":1,"senses":[{"glosses":["c"],"glosses":["d","e"]}],"x":2}'
+    assert nested.triples(line) == [(("senses",), (0,), None), (("senses", "glosses"), (0, 0), "d"), (("senses", "glosses"), (0, 1), "e"), (("x",), (), "2")]
+    deep = '{"a":' + "[" * 5000 + "]" * 5000 + "}"
+    assert len(nested.triples(deep)) == 4999
+
+
+def test_every_member_has_a_table(spark):
+    line = '{"word":"w","head_templates":[{"name":"n","args":{"1":"x"}}],"senses":[{"categories":[{"name":"c","parents":["p","q"]}],"form_of":{"word":"o"}}],"sounds":{"formats":[["mp3","ogg"],null]}}'
+    got = {(r.path, tuple(r.ordinals)): (r.val, r.members) for r in nested.elements(spark.createDataFrame([(1, line), (2, "{"), (3, "{}")], "rec_id bigint, raw string")).where("rec_id = 1").collect()}
+    assert got == {
+        ("", ()): (None, {"word": "w"}),
+        ("head_templates", (0,)): (None, {"name": "n"}),
+        ("head_templates.args", (0, 0)): (None, {"1": "x"}),
+        ("senses", (0,)): (None, {}),
+        ("senses.categories", (0, 0)): (None, {"name": "c"}),
+        ("senses.categories.parents", (0, 0, 0)): ("p", {}),
+        ("senses.categories.parents", (0, 0, 1)): ("q", {}),
+        ("senses.form_of", (0, 0)): (None, {"word": "o"}),
+        ("sounds", (0,)): (None, {}),
+        ("sounds.formats", (0, 0)): (None, {}),
+        ("sounds.formats.[]", (0, 0, 0)): ("mp3", {}),
+        ("sounds.formats.[]", (0, 0, 1)): ("ogg", {}),
+    }
 
 
 def plain_count(record):
@@ -91,7 +169,7 @@ CASES = [
     (GLOSSES, "chapter 1. of two; x", ["chapter 1. of two", "x"]),
     (GLOSSES, '"a; b"; c', ["a; b", "c"]),
     (GLOSSES, '[{"glosses":["a; b"],"qualifier":"q"},{"gloss":"c"},[["d"]],"e"]', ["a; b", "c", "d", "e"]),
-    (GLOSSES, '["a"', []),
+    (GLOSSES, '["a"', [None]),
 ]
 
 

@@ -20,7 +20,7 @@ def frames(spark):
 def test_kinds(spark):
     refs, parents, gone = frames(spark)
     for hot_parts in (2, 200):
-        got = {(r.row_id, r.kind) for r in references.orphans([("forms", "entries", refs)], {"entries": parents}, gone, salts=4, hot_parts=hot_parts).collect()}
+        got = {(r.row_id, r.kind) for r in references.orphans([("forms", "entries", refs)], {"entries": parents}, gone, hot_parts=hot_parts).collect()}
         assert got == {(1, "late"), (2, "deleted"), (3, "missing"), (4, "missing")}
 
 
