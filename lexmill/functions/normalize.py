@@ -193,6 +193,21 @@ def lookup_key(text: str | None, lang: str | None, disabled: Iterable[str] = ())
     return value.strip().replace("-", "").lower()
 
 
+def rule_set(lang: Column) -> Column:
+    """A name for the rules of a language: the same for languages whose keys are the same for any text."""
+    named = rule_sets()
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in named.items() for x in pair)), lang), F.lit(""))
+
+
+def rule_sets() -> dict[str, str]:
+    """Language -> the first language with the same rules; languages without rules of their own aren't listed."""
+    own = {g: frozenset(r.name for r in RULES if g in r.langs) for r in RULES for g in sorted(r.langs)}
+    first: dict[frozenset[str], str] = {}
+    for g in sorted(own):
+        first.setdefault(own[g], g)
+    return {g: first[own[g]] for g in sorted(own)}
+
+
 def memoised(f: Callable[..., str]) -> Callable[..., str]:
     """``f`` with a bounded memo per task."""
     held: dict = {}

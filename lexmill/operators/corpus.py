@@ -5,14 +5,15 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.operators.ordering import global_rank, top_per_group
+from lexmill.operators.ordering import global_rank, ranked, top_per_group
 
 TOKEN = re.compile(r"\w+|[^\w\s]", re.UNICODE)
 # Sentence ends per language and what may follow them.
 STOPS = {"": ".!?…", "hi": "।॥.!?", "sa": "।॥.!?", "zh": "。！？…", "ja": "。！？…", "ar": ".!؟", "fa": ".!؟", "ur": "۔.!؟", "el": ".!;…", "grc": ".;·"}
+MOST_PHRASES = 1000
 CLOSERS = "\"'”’»)]」』）"
 
 
@@ -49,6 +50,34 @@ def tokens_of(text: Column) -> Column:
     return run(text)
 
 
+#: Label -> what it covers.
+QUOTES = {"QUOTE": "“[^”]*”|„[^“]*“|«[^»]*»", "BRACKET": r"\([^)]*\)"}
+
+
+def matches_of(text: Column, patterns: dict[str, str]) -> Column:
+    """Spans (start, end, label) of labelled patterns, each match at its own place, none inside another."""
+
+    @F.pandas_udf("array<struct<start:int,end:int,label:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        either = re.compile("|".join(f"(?P<{k}>{p})" for k, p in patterns.items()))
+        return pd.Series([[{"start": m.start(), "end": m.end(), "label": m.lastgroup} for m in either.finditer(t or "")] for t in texts], dtype=object)
+
+    return run(text)
+
+
+def occurrences(df: DataFrame, column: str, phrases: DataFrame) -> DataFrame:
+    """``df`` with ``phrase`` and its number ``n`` of non-overlapping, case-folded occurrences, where there are any.
+
+    The phrases are a query set; they are sent to all rows as one array, whose size is checked.
+    """
+    wanted = [r.phrase for r in phrases.where("phrase <> ''").select("phrase").distinct().limit(MOST_PHRASES + 1).collect()]
+    if len(wanted) > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} phrases; search in blocks")
+    folded = F.lower(column)
+    found = F.transform(F.array(*map(F.lit, wanted)), lambda p: F.struct(p.alias("phrase"), ((F.length(folded) - F.length(F.replace(folded, F.lower(p), F.lit("")))) / F.length(p)).cast("bigint").alias("n")))
+    return df.withColumn("_f", F.explode(F.filter(found, lambda x: x.n > 0))).select(*df.columns, "_f.phrase", "_f.n")
+
+
 def overlap_labels(tokens: Column, spans: Column) -> Column:
     """For each token the label of the span that covers most of it, the first of equals.
 
@@ -112,22 +141,21 @@ def label_map(labels: DataFrame, exact: DataFrame, coarse: DataFrame) -> DataFra
 def allocation(sizes: DataFrame, group: str, n: str, total: int) -> DataFrame:
     """``total`` shared over groups in proportion to ``n``, one each at least, by largest remainder.
 
-    The groups are counted rows, few beside the data.
+    Only the two sums are taken in one place; the remainders are ranked over ranges.
     """
-    whole = F.sum(n).over(Window.partitionBy(F.lit(1)))
-    ideal = F.lit(total) * F.col(n) / whole
+    ideal = F.lit(total) * F.col(n) / sizes.agg(F.sum(n)).scalar()
     based = sizes.withColumns({"base": F.greatest(F.lit(1), F.floor(ideal)).cast("bigint"), "rest": ideal - F.floor(ideal)})
-    spare = F.lit(total) - F.sum("base").over(Window.partitionBy(F.lit(1)))
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("rest"), group))
-    return based.withColumn("quota", F.col("base") + F.when(place <= spare, 1).otherwise(0)).select(group, n, "quota")
+    placed = ranked(based, [], [F.desc("rest"), F.asc(group)])
+    spare = F.lit(total) - placed.agg(F.sum("base")).scalar()
+    return placed.withColumn("quota", F.col("base") + F.when(F.col("place") <= spare, 1).otherwise(0)).select(group, n, "quota")
 
 
 def hash_split(df: DataFrame, key: str, train: float, dev: float, seed: int = 7) -> DataFrame:
     """A split in exact proportions by the rank of a seeded hash."""
-    ranked = global_rank(df, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), tie=key)
+    drawn = global_rank(df, F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), tie=key)
     total = df.agg(F.count(F.lit(1))).scalar()
     part = F.when(F.col("rank") <= F.floor(total * train), "train").when(F.col("rank") <= F.floor(total * train) + F.floor(total * dev), "dev").otherwise("test")
-    return ranked.withColumn("part", part).drop("rank")
+    return drawn.withColumn("part", part).drop("rank")
 
 
 def crc_split(key: Column, parts: int = 10) -> Column:
@@ -138,9 +166,9 @@ def crc_split(key: Column, parts: int = 10) -> Column:
 def group_split(df: DataFrame, key: str, ratio: float) -> DataFrame:
     """Whole groups drawn for development by the rank of SHA-1 of their key, one at least."""
     groups = df.where(F.col(key).isNotNull()).select(key).distinct()
-    ranked = global_rank(groups, F.sha1(F.col(key)), tie=key)
+    drawn = global_rank(groups, F.sha1(F.col(key)), tie=key)
     most = F.greatest(F.lit(1), F.bround(groups.agg(F.count(F.lit(1))).scalar() * ratio, 0))
-    return ranked.select(key, F.when(F.col("rank") <= most, "dev").otherwise("train").alias("part"))
+    return drawn.select(key, F.when(F.col("rank") <= most, "dev").otherwise("train").alias("part"))
 
 
 def diverse(df: DataFrame, label: str, lang: str, order: str, k: int) -> DataFrame:

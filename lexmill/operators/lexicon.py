@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.exprs import lang_of, strip
-from lexmill.functions.normalize import anusvara, key_column, text_column
+from lexmill.functions.normalize import anusvara, key_column, rule_set, rule_sets, text_column
 from lexmill.operators import prune
 from lexmill.sources.tables import cut, spread
 
@@ -79,7 +79,21 @@ def key_index(entries: DataFrame, forms: DataFrame) -> DataFrame:
 def lookup(words: DataFrame, index: DataFrame) -> DataFrame:
     """Winner references of words (word, lang): exact key matches, headwords before forms, one per entry."""
     asked = words.where("word is not null").select("word", F.lower("lang").alias("lang")).distinct().withColumn("key", key_column(F.col("word"), F.col("lang"))).where("key <> ''")
-    hits = asked.join(index.withColumn("lang", lang_of(F.col("db"))), ["lang", "key"])
+    return _best(asked.join(index.withColumn("lang", lang_of(F.col("db"))), ["lang", "key"]))
+
+
+def lookup_everywhere(words: DataFrame, index: DataFrame) -> DataFrame:
+    """``lookup`` of words in the dictionaries of every language.
+
+    A word's key is computed once per set of rules, whose number is fixed by the code, not once per language.
+    """
+    sets = sorted({"", *rule_sets().values()})
+    asked = words.where("word is not null").select("word").distinct().select("word", F.explode(F.array(*map(F.lit, sets))).alias("rules")).withColumn("key", key_column(F.col("word"), F.col("rules"))).where("key <> ''")
+    known = index.withColumn("lang", lang_of(F.col("db"))).where("lang <> ''").withColumn("rules", rule_set(F.col("lang")))
+    return _best(asked.join(known, ["rules", "key"]))
+
+
+def _best(hits: DataFrame) -> DataFrame:
     best = F.min(F.struct((F.col("kind") == "form").cast("int").alias("k"), F.col("form_id").alias("f"), F.col("kind").alias("kind"))).alias("b")
     return hits.groupBy("word", "lang", "db", "entry_id", "key").agg(best).select("word", "lang", "db", "entry_id", F.col("key").alias("match_key"), F.col("b.kind").alias("match_kind"), F.col("b.f").alias("form_id"))
 

@@ -7,20 +7,10 @@ from pyspark.sql import functions as F
 
 from lexmill.sources.tables import cut
 
-BUCKETS = 4096
-
 
 def global_rank(df: DataFrame, order: Column, name: str = "rank", tie: str | None = None) -> DataFrame:
-    """``df`` with the 1-based rank by a hexadecimal hash ``order`` (ties by column ``tie``).
-
-    Rows fall into 4,096 buckets by the first three digits; only bucket counts are summed in one place.
-    """
-    hashed = df.withColumns({"_h": order, "_b": F.substring(order, 1, 3)})
-    sizes = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_b", before.alias("_o"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *([tie] if tie else [])))
-    return hashed.join(F.broadcast(offsets), "_b").withColumn(name, (F.col("_o") + inside).cast("bigint")).drop("_b", "_h", "_o")
+    """``df`` with the 1-based rank by ``order``, ties by column ``tie``."""
+    return ranked(df.withColumn("_h", order), [], [F.asc("_h"), *([F.asc(tie)] if tie else [])], name).drop("_h")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list, k: int, name: str = "place") -> DataFrame:
@@ -29,16 +19,23 @@ def top_per_group(df: DataFrame, group: list[str], order: list, k: int, name: st
 
 
 def ranked(df: DataFrame, group: list[str], order: list, name: str = "place", parts: int | None = None) -> DataFrame:
-    """Every row with its 1-based place in its group; ``order`` has no ties and groups aren't null.
+    """Every row with its 1-based place in its group; ``order`` has no ties."""
+    return running(df.withColumn("_one", F.lit(1).cast("bigint")), group, order, "_one", name, parts).drop("_one")
+
+
+def running(df: DataFrame, group: list[str], order: list, value: str, name: str, parts: int | None = None) -> DataFrame:
+    """Every row with the sum of ``value`` up to it and with it in its group; ``order`` has no ties.
 
     Rows fall into ranges of (group, order), so a large group lies in many of them; only the counts of ranges are
-    summed in one place. The ranges are written first, as both passes must see the same ones.
+    summed in one place, as many as there are shuffle partitions. The ranges are written first, as both passes must see the same ones.
     """
     by = [*group, *order]
     ranges = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
     held = cut(ranges.withColumn("_p", F.spark_partition_id()))
-    sizes = held.groupBy(*group, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*group, "_p", F.coalesce(before, F.lit(0)).alias("_o"))
-    inside = F.row_number().over(Window.partitionBy(*group, "_p").orderBy(*order))
-    return held.join(F.broadcast(offsets), [*group, "_p"]).withColumn(name, (F.col("_o") + inside).cast("bigint")).select(*df.columns, name)
+    sizes = held.groupBy(*group, "_p").agg(F.sum(value).alias("_n"))
+    whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
+    before = F.sum("_n").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*(F.col(g).alias(f"_{g}") for g in group), F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_o"))
+    inside = F.sum(value).over(Window.partitionBy(*group, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = [held["_p"] == offsets["_q"], *(held[g].eqNullSafe(offsets[f"_{g}"]) for g in group)]
+    return held.join(offsets, same).withColumn(name, (F.col("_o") + inside).cast("bigint")).select(*df.columns, name)

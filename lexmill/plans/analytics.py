@@ -115,7 +115,20 @@ QUERIES = {f.__name__: _dated(f) for f in (a01_daily, a01_totals, a02_by_type, a
 
 _RECENT = "with r as (select *, cast(ts as date) as day from events where cast(ts as date) >= (select cast(max(ts) as date) from events) - 29)"
 
+_STEPS = """
+        with recursive o as (select user_id, event_id, ts, coalesce(value, 0) as value, row_number() over (partition by user_id order by ts, event_id) as k from events where user_id is not null and ts is not null),"""
+
 SQL = {
+    "b03_limited": _STEPS + """
+        c as (select user_id, event_id, k, true as admitted, null::timestamp as t1, ts as t2 from o where k = 1
+          union all select o.user_id, o.event_id, o.k, a.ok, case when a.ok then c.t2 else c.t1 end, case when a.ok then o.ts else c.t2 end from c join o on o.user_id = c.user_id and o.k = c.k + 1,
+            lateral (select c.t1 is null or epoch_us(o.ts) - epoch_us(c.t1) >= 3600000000 as ok) a)
+        select user_id, event_id, admitted from c""",
+    "d03_periods": _STEPS + """
+        c as (select user_id, event_id, k, ts as period_start, value as used from o where k = 1
+          union all select o.user_id, o.event_id, o.k, case when a.fresh then o.ts else c.period_start end, case when a.fresh then o.value else c.used + o.value end from c join o on o.user_id = c.user_id and o.k = c.k + 1,
+            lateral (select epoch_us(o.ts) - epoch_us(c.period_start) >= 7 * 86400000000 as fresh) a)
+        select user_id, event_id, period_start, round(used, 6) as used from c""",
     "a01_daily": _RECENT + """
         select day, count(*) as requests, count(distinct user_id) as users, round(sum(value), 4) as total, max(value) as most,
           round_even(round(sum(value), 4) / count(*), 1) as mean from r group by day""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import exprs
 from lexmill.operators import audit, lexicon, prune
 from lexmill.operators.ordering import ranked, top_per_group
+from lexmill.plans import sqltext
 from lexmill.sources import load
 
 
@@ -179,4 +180,4 @@ SQL = {
     "w13_fanout_places": """
         with f as (select db, form_text, count(distinct entry_id) as n_entries, count(*) as n_rows from forms where form_text <> '' and db is not null group by 1, 2 having count(distinct entry_id) >= 2)
         select *, row_number() over (partition by db order by n_entries desc, n_rows desc, form_text) as place from f""",
-}
+} | sqltext.AUDITS

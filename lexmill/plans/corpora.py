@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators import alignment, corpus
+from lexmill.operators.ordering import ranked, running
 from lexmill.sources import load, spread
 
 
@@ -30,10 +31,9 @@ def x17_tokens(spark, d):
 
 
 def x18_search(spark, d):
-    """Non-overlapping, case-folded occurrences of a phrase."""
-    folded = F.lower("text")
-    n = ((F.length(folded) - F.length(F.replace(folded, F.lit("the reader"), F.lit("")))) / len("the reader")).cast("bigint")
-    return _docs(spark, d).select("doc_id", n.alias("n")).where("n > 0")
+    """Non-overlapping, case-folded occurrences of every subject's name in every document."""
+    phrases = load(spark, d, "subjects").select(F.col("subject").alias("phrase"))
+    return corpus.occurrences(_docs(spark, d).select("doc_id", "text"), "text", phrases).select("doc_id", "phrase", "n")
 
 
 def x22_hashes(spark, d):
@@ -81,19 +81,15 @@ def w08_packed(spark, d):
 
 def w14_global_tokens(spark, d):
     """First and last place of each document's words in the corpus order by document and position."""
-    n = _words(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.floor(F.col("doc_id") / 1000))
-    sizes = n.groupBy("bucket").agg(F.sum("n").alias("b"))
-    offsets = sizes.select("bucket", F.coalesce(F.sum("b").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o"))
-    upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return n.withColumn("upto", upto).join(offsets, "bucket").select("doc_id", (F.col("o") + F.col("upto") - F.col("n")).alias("first"), (F.col("o") + F.col("upto") - 1).alias("last"))
+    n = _words(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return running(n, [], [F.asc("doc_id")], "n", "upto").select("doc_id", (F.col("upto") - F.col("n")).alias("first"), (F.col("upto") - 1).alias("last"))
 
 
 def j13_overlap(spark, d):
-    """Tokens labelled by the quoted span that covers most of them."""
-    quotes = F.regexp_extract_all("text", F.lit("(“[^”]*”)"), F.lit(1))
-    spans = F.transform(quotes, lambda q: F.struct((F.instr(F.col("text"), q) - 1).alias("start"), (F.instr(F.col("text"), q) - 1 + F.length(q)).alias("end"), F.lit("QUOTE").alias("label")))
-    labels = _docs(spark, d).where("text like '%“%'").select("doc_id", corpus.overlap_labels(corpus.tokens_of(F.col("text")), spans).alias("l"))
-    return labels.select("doc_id", F.size(F.filter("l", lambda x: x.isNotNull())).alias("n_labelled"))
+    """Tokens labelled by the quoted span that covers most of them: quotes of two kinds, and bracketed text."""
+    parts = _docs(spark, d).select("doc_id", corpus.tokens_of(F.col("text")).alias("tokens"), corpus.matches_of(F.col("text"), corpus.QUOTES).alias("spans"))
+    labels = parts.select("doc_id", corpus.overlap_labels(F.col("tokens"), F.col("spans")).alias("l"))
+    return labels.select("doc_id", F.explode("l").alias("label")).where("label is not null").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n_tokens"))
 
 
 def j14_label_map(spark, d):
@@ -119,8 +115,8 @@ def o07_crc_split(spark, d):
 
 
 def o08_every_tenth(spark, d):
-    w = Window.partitionBy("work_id").orderBy("doc_id")
-    return load(spark, d, "documents").where("work_id is not null").select("doc_id", "work_id", (F.row_number().over(w) % 10 == 0).alias("dev"))
+    placed = ranked(load(spark, d, "documents").where("work_id is not null").select("doc_id", "work_id"), ["work_id"], [F.asc("doc_id")])
+    return placed.select("doc_id", "work_id", (F.col("place") % 10 == 0).alias("dev"))
 
 
 def o10_group_split(spark, d):
@@ -203,8 +199,14 @@ u as (select doc_id, unnest(l) as word, unnest(range(len(l))) as pos from s),
 w as (select doc_id, cast(pos as integer) as pos, word, regexp_matches(word, '^[A-Z][a-z]+') as is_name from u where word <> '')
 """
 
+_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 SQL = {
-    "x18_search": "select doc_id, n from (select doc_id, cast((length(lower(text)) - length(replace(lower(text), 'the reader', ''))) / 10 as bigint) as n from documents where text is not null) where n > 0",
+    "x17_tokens": rf"select doc_id, len(regexp_extract_all(text, '{_TOKEN}')) as n_tokens from documents where text is not null",
+    "j13_overlap": rf"""
+        with q as (select doc_id, unnest(regexp_extract_all(text, '“[^”]*”|„[^“]*“|«[^»]*»|\([^)]*\)')) as q from documents where text is not null)
+        select doc_id, case when q[1] = '(' then 'BRACKET' else 'QUOTE' end as label, sum(len(regexp_extract_all(q, '{_TOKEN}'))) as n_tokens from q group by 1, 2""",
+    "x18_search": "select doc_id, subject as phrase, cast((length(lower(text)) - length(replace(lower(text), lower(subject), ''))) / length(subject) as bigint) as n from documents, subjects where text is not null and contains(lower(text), lower(subject))",
     "x22_hashes": "select doc_id, sha256(text) as sha256, sha1(text) as sha1 from documents where text is not null",
     "x25_truncated": "select doc_id, substr(text, 1, 400) as head from documents where text is not null",
     "a17_counts": _WORDS + "select doc_id, count(*) as n_words, count(*) filter (where is_name) as n_names from w group by 1",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import exprs, normalize
 from lexmill.operators import fuzzy, lexicon, prune, segmentation
+from lexmill.plans import sqltext
 from lexmill.sources import cut, load, spread
 
 
@@ -241,9 +242,7 @@ def t06_lookup(spark, d):
     """Words of the documents found in the dictionaries, as hydrated references: the flagship path."""
     entries, forms = _store(spark, d)
     words = load(spark, d, "documents").where("text is not null").select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("([\\p{L}\\p{M}\\p{N}-]+)"), F.lit(1)))).alias("word")).distinct()
-    index = cut(lexicon.key_index(entries, forms))
-    langs = sorted(r.lang for r in index.select(exprs.lang_of(F.col("db")).alias("lang")).where("lang <> ''").distinct().collect())
-    refs = lexicon.lookup(words.withColumn("lang", F.explode(F.array(*map(F.lit, langs)))), index)
+    refs = lexicon.lookup_everywhere(words, lexicon.key_index(entries, forms))
     return lexicon.hydrate(refs, entries, forms).select("word", "lang", "match_kind", "match_key", "ref_key", "headword", "pos", "matched_form")
 
 
@@ -327,4 +326,4 @@ SQL = {
     "j10_lemma_agreement": """
         select case when e.id is null then 'missing' when coalesce(e.lemma, '') = '' then 'empty' when substr(e.lemma, 1, 2) = substr(s.form_text, 1, 2) then 'match' else 'mismatch' end as state, count(*) as n
         from forms_stage s left join entries e on e.id = s.entry_id group by 1""",
-}
+} | sqltext.LEXICAL

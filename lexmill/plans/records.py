@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import corpus, prune, unpack
 from lexmill.operators.ordering import top_per_group
+from lexmill.plans import sqltext
 from lexmill.sources import load, spread
 
 
@@ -98,6 +99,15 @@ def f20_reclassified(spark, d):
 QUERIES = {f.__name__: f for f in (m01_custom_forms, m05_form_maps, m05_form_spellings, x13_glosses, x19_feats, x21_frequency, j06_batch, f16_promotable, f20_reclassified)}
 
 SQL = {
+    "x13_glosses": f"with {sqltext.GLOSSES}, n as (select id, count(*) as n, count(distinct lower(trim(regexp_replace(gloss, '[{sqltext.WS}]+', ' ', 'g')))) as m from gl group by 1) select e.id, coalesce(n, 0) as n, coalesce(m, 0) as n_distinct from entries e left join n using (id)",
+    "m01_custom_forms": r"""
+        with s as (select 'custom' as store, id, forms_json as raw from custom_dict_entries union all select 'entries', id, forms from entries),
+        j as (select store, id, cast(raw as json) as j from (select * from s where json_valid(raw) and trim(raw) <> '')),
+        v as (select store, id, unnest(case when json_type(j) = 'ARRAY' then json_extract(j, '$[*]') else [j] end) as x from j),
+        t as (select store, id, case json_type(x) when 'OBJECT' then coalesce(nullif(x->>'$.form', ''), x->>'$.form_text', '') when 'ARRAY' then coalesce(x->>'$[0]', '') else coalesce(x->>'$', '') end as form,
+          case json_type(x) when 'OBJECT' then case when json_type(x, '$.tags') = 'ARRAY' then array_to_string(json_extract_string(x, '$.tags[*]'), ';') else coalesce(x->>'$.tags', '') end when 'ARRAY' then case when json_type(x, '$[1]') = 'ARRAY' then array_to_string(json_extract_string(x, '$[1][*]'), ';') else coalesce(x->>'$[1]', '') end else '' end as tags,
+          case json_type(x) when 'OBJECT' then coalesce(nullif(x->>'$.romanization', ''), x->>'$.roman', '') when 'ARRAY' then coalesce(x->>'$[2]', '') else '' end as roman from v)
+        select distinct store, id, trim(form) as form, trim(tags) as tags, trim(roman) as roman from t where trim(form) <> ''""",
     "m05_form_spellings": "select entry_id, romanization, count(*) as n from forms where entry_id is not null and romanization <> '' group by 1, 2",
     "m05_form_maps": """
         with c as (select entry_id, romanization, count(*) as n from forms where entry_id is not null and romanization <> '' group by 1, 2),

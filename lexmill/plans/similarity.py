@@ -141,7 +141,20 @@ c as (select label, k, avg(x) as x, count(*) as n from p group by 1, 2),
 l as (select label, any_value(n) as n, list(x order by k) as v from c group by 1)
 """
 
+_NEAR = _UNIT + """, s as (select a.label as a, b.label as b, round(list_cosine_similarity(a.v, b.v), 12) as w from l a join l b on a.label <> b.label),
+        r as (select *, row_number() over (partition by a order by w desc, b) as k from s)"""
+_NEAREST = _UNIT + """, s as (select vec_id as id, l.label, round(list_cosine_similarity(u.v, l.v), 9) as cosine from u, l),
+        a as (select id, label, cosine from (select *, row_number() over (partition by id order by cosine desc, label) as k from s) where k = 1)"""
+
 SQL = {
+    "v03_mutual_knn": _NEAR + " select x.a, x.b, round(x.w, 6) as w from r x join r y on x.a = y.b and x.b = y.a where x.k <= 3 and y.k <= 3 and x.a < x.b",
+    "v07_assigned": _NEAREST + " select id, label, cosine from a",
+    "v07_gated": _NEAREST + ", g as (select label, greatest(0.45, quantile_cont(cosine, 0.05)) as least from a group by 1) select label, count(*) as n, round(min(cosine), 5) as least from a join g using (label) where cosine >= g.least group by 1",
+    "u05_families": """
+        with recursive n as (select id, unnest(list_distinct(list_filter([case when headword <> '' then coalesce(db || chr(1), '') || headword end, case when lemma <> '' then coalesce(db || chr(1), '') || lemma end], lambda k: k is not null))) as k from entries),
+        h as (select k, min(id) as hub from n group by k), e as (select id as a, hub as b from n join h using (k) union select hub, id from n join h using (k)),
+        c(id, family) as (select distinct a, a from e union select e.b, c.family from c join e on e.a = c.id where c.family < e.b)
+        select id, min(family) as family from c group by id""",
     "o02_top_similar": """
         with e as (select vec_id, cast(embedding as double[]) as v from embeddings),
         s as (select q.vec_id as query_id, r.vec_id as neighbour_id, round(list_cosine_similarity(q.v, r.v), 9) as c from e q join e r on q.vec_id % 50 = 0 and r.vec_id <> q.vec_id),

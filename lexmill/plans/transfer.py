@@ -38,7 +38,25 @@ def s07_refs(spark, d):
 
 
 def s08_dump(spark, d):
-    return files.read_jsonl_entries(load(spark, d, "kaikki_raw"))
+    """Dump entries with glosses: their first gloss, and how many senses and forms they keep."""
+    rows = files.read_dump(load(spark, d, "kaikki_raw")).where("status = 'ok'")
+    return rows.select("rec_id", "word", "pos", "romanization", F.array_join(F.flatten("glosses"), " | ").alias("glosses"), F.size("glosses").alias("n_senses"), F.size("forms").alias("n_forms"), "form_of")
+
+
+def s08_lines(spark, d):
+    """Dump lines by what became of them."""
+    return files.read_dump(load(spark, d, "kaikki_raw")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def s08_forms(spark, d):
+    """Forms of the dump entries."""
+    rows = files.read_dump(load(spark, d, "kaikki_raw")).where("word is not null").select("rec_id", F.posexplode("forms").alias("k", "f"))
+    return rows.select("rec_id", "k", "f.form", "f.tags", "f.roman")
+
+
+def s09_first_lines(spark, d):
+    """The first ten dump lines by their number."""
+    return files.first_lines(load(spark, d, "kaikki_raw").select("rec_id", "lang_code"), "rec_id", 10)
 
 
 def s12_conllu_round_trip(spark, d):
@@ -56,8 +74,15 @@ def s14_pruned_scan(spark, d):
 
 
 def s19_sanitized(spark, d):
+    """Pages made of the documents, with allowed and other elements, sanitised."""
+    page = F.concat(F.lit("<div onclick=x><p lang=en>"), "text", F.lit("</p><script>x < 1</script><!-- y --><font>z</font>"))
+    return load(spark, d, "documents").where("text is not null").select("doc_id", files.sanitized(page).alias("html"))
+
+
+def s19_texts(spark, d):
+    """The plain text of such pages."""
     page = F.concat(F.lit("<p>"), "text", F.lit("</p><script>x < 1</script><!-- y -->"))
-    return load(spark, d, "documents").where("text is not null").select("doc_id", files.sanitized(page).alias("text"))
+    return load(spark, d, "documents").where("text is not null").select("doc_id", files.plain_text(page).alias("text"))
 
 
 def k01_store(spark, d):
@@ -123,7 +148,22 @@ def str_limited(spark, d):
     return events.drained(events.limited(_stream(spark, d), 2, 3600.0))
 
 
-QUERIES = {f.__name__: f for f in (s01_tsv_round_trip, s02_unified, s05_sources, s07_refs, s08_dump, s12_conllu_round_trip, s14_pruned_scan, s19_sanitized, k01_store, k03_inserted, k03_inserted_forms, k04_index, k08_replaced, k08_replaced_all, b05_newest, str_windows, str_sessions, str_limited)}
+QUERIES = {f.__name__: f for f in (s01_tsv_round_trip, s02_unified, s05_sources, s07_refs, s08_dump, s08_lines, s08_forms, s09_first_lines, s12_conllu_round_trip, s14_pruned_scan, s19_sanitized, s19_texts, k01_store, k03_inserted, k03_inserted_forms, k04_index, k08_replaced, k08_replaced_all, b05_newest, str_windows, str_sessions, str_limited)}
+
+_DUMP = r"""        with o as (select rec_id, cast(raw as json) as j from (select * from kaikki_raw where json_valid(raw) and trim(raw) <> '') where json_type(raw) = 'OBJECT'),
+        w as (select rec_id, j, trim(j->>'$.word') as word from o where json_type(j, '$.word') = 'VARCHAR' and trim(j->>'$.word') <> '')"""
+_SENSES = r""",
+        s as (select rec_id, unnest(range(len(l))) as k, unnest(l) as s from (select rec_id, case json_type(j, '$.senses') when 'ARRAY' then json_extract(j, '$.senses[*]') when 'OBJECT' then [json_extract(j, '$.senses')] else [] end as l from w)),
+        so as (select * from s where json_type(s) = 'OBJECT'),
+        g as (select rec_id, k, s, list_filter(list_transform(case when json_type(s, '$.glosses') = 'ARRAY' then json_extract_string(s, '$.glosses[*]') else [] end, lambda x: trim(x)), lambda x: x <> '') as a,
+          list_filter(list_transform(case when json_type(s, '$.raw_glosses') = 'ARRAY' then json_extract_string(s, '$.raw_glosses[*]') else [] end, lambda x: trim(x)), lambda x: x <> '') as b from so),
+        u as (select rec_id, k, case when len(b) > 0 and (len(a) = 0 or list_sum(list_transform(b, lambda x: length(x))) < list_sum(list_transform(a, lambda x: length(x)))) then b else a end as u from g),
+        e as (select rec_id, string_agg(array_to_string(u, ' | '), ' | ' order by k) as glosses, count(*) as n_senses from u where len(u) > 0 group by 1),
+        r as (select rec_id, bool_and(coalesce(len(json_extract(s, '$.form_of[*]')) > 0, false) or coalesce(len(json_extract(s, '$.alt_of[*]')) > 0, false) or coalesce(list_has_any(json_extract_string(s, '$.tags[*]'), ['form-of', 'alt-of']), false)) as form_of from so group by 1)"""
+_FORMS = r""",
+        f as (select rec_id, unnest(range(len(l))) as k, unnest(l) as f from (select rec_id, case json_type(j, '$.forms') when 'ARRAY' then json_extract(j, '$.forms[*]') when 'OBJECT' then [json_extract(j, '$.forms')] else [] end as l from w)),
+        fo as (select rec_id, k, trim(coalesce(f->>'$.form', '')) as form, json_type(f, '$.tags') as t, list_filter(coalesce(json_extract_string(f, '$.tags[*]'), []), lambda x: x is not null) as tags, len(coalesce(json_extract(f, '$.tags[*]'), [])) as m, coalesce(f->>'$.roman', '') as roman from f where json_type(f) = 'OBJECT'),
+        fk as (select * from fo where form <> '' and coalesce(t, 'NULL') in ('ARRAY', 'NULL') and not (m = 1 and tags = ['romanization']) and not list_has_any(tags, ['table-tags', 'inflection-template']))"""
 
 SQL = {
     "s01_tsv_round_trip": r"select id, regexp_replace(coalesce(headword, ''), '[\t\r\n]', ' ', 'g') as headword, regexp_replace(coalesce(pos, ''), '[\t\r\n]', ' ', 'g') as pos from entries",
@@ -154,4 +194,14 @@ SQL = {
     "str_sessions": """
         with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as b from events)
         select user_id, cast(sum(b) as bigint) as n_sessions, count(*) as n_events from e group by 1""",
+    "s08_dump": _DUMP + _SENSES + _FORMS + r"""
+        select w.rec_id, w.word, coalesce(w.j->>'$.pos', '') as pos, coalesce((select arg_min(f.f->>'$.form', f.k) from f where f.rec_id = w.rec_id and json_extract_string(f.f, '$.tags[*]') = ['romanization']), '') as romanization, e.glosses, e.n_senses,
+          (select count(*) from fk where fk.rec_id = w.rec_id) as n_forms, coalesce(r.form_of, false) as form_of from w join e using (rec_id) left join r using (rec_id)""",
+    "s08_lines": _DUMP + _SENSES + r"""
+        select case when k.rec_id in (select rec_id from e) then 'ok' when k.rec_id in (select rec_id from w) then 'no_gloss' when k.rec_id in (select rec_id from o) then 'no_word' when trim(coalesce(raw, '')) = '' then 'blank' else 'unreadable' end as status, count(*) as n from kaikki_raw k group by 1""",
+    "s08_forms": _DUMP + _FORMS + r"""
+        select rec_id, row_number() over (partition by rec_id order by k) - 1 as k, form, array_to_string(list_sort(tags), ';') as tags, roman from fk""",
+    "s09_first_lines": r"""select rec_id, lang_code from kaikki_raw order by rec_id limit 10""",
+    "s19_texts": r"""select doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) as text from documents where text is not null""",
+    "s19_sanitized": r"""select doc_id, '<div><p lang="en">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>z</div>' as html from documents where text is not null""",
 }

@@ -8,12 +8,14 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+from html import escape
+from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators import nested
+from lexmill.sources.tables import spread
 
 COMPACT = ["headword", "romanization", "pos", "glosses", "forms", "commentary", "lemma", "etymology", "source", "tags"]
 # Fixed value: legacy column names and what they are called now.
@@ -54,23 +56,70 @@ def read_json_refs(refs: DataFrame, column: str) -> DataFrame:
     return refs.select(F.inline(parsed))
 
 
-def read_jsonl_entries(raw: DataFrame) -> DataFrame:
-    """Dump lines as rec_id, word, pos, n_senses; lines without a word or unreadable are left out."""
+SKIPPED_FORM_TAGS = {"table-tags", "inflection-template"}
+RELATION_TAGS = {"form-of", "alt-of"}
+DUMP = "rec_id bigint, status string, word string, pos string, romanization string, glosses array<array<string>>, forms array<struct<form:string,tags:string,roman:string>>, form_of boolean"
+
+
+def _texts(x) -> list[str]:
+    return [t for g in x if g and (t := str(g).strip())] if isinstance(x, list) else []
+
+
+def _objects(x) -> list[dict]:
+    return [e for e in (x if isinstance(x, list) else [x]) if isinstance(e, dict)]
+
+
+def _tags(x) -> list[str] | None:
+    return [str(t) for t in x if t is not None] if isinstance(x, list) else [] if x is None else None
+
+
+def _chosen_glosses(sense: dict) -> list[str]:
+    """The shorter of glosses and raw glosses where both are there."""
+    kinds = [t for t in (_texts(sense.get("glosses")), _texts(sense.get("raw_glosses"))) if t]
+    return min(kinds, key=lambda t: sum(len(" ".join(g.split())) for g in t), default=[])
+
+
+def dump_record(line: str | None) -> tuple:
+    """One dump line as (status, word, pos, romanization, glosses by sense, forms, form_of)."""
+    try:
+        record = json.loads(line or "")
+    except (ValueError, RecursionError):
+        record = None
+    if not isinstance(record, dict):
+        return ("unreadable" if (line or "").strip() else "blank"), None, None, None, None, None, None
+    word = record["word"].strip() if isinstance(record.get("word"), str) else ""
+    if not word:
+        return "no_word", None, None, None, None, None, None
+    senses, forms = _objects(record.get("senses")), _objects(record.get("forms"))
+    glosses = [g for s in senses if (g := _chosen_glosses(s))]
+    form_of = bool(senses) and all(s.get("form_of") or s.get("alt_of") or RELATION_TAGS & set(_tags(s.get("tags")) or ()) for s in senses)
+    roman = next((str(f.get("form") or "") for f in forms if f.get("tags") == ["romanization"]), "")
+    kept = []
+    for f in forms:
+        text, tags = str(f.get("form") or "").strip(), _tags(f.get("tags"))
+        if text and tags is not None and tags != ["romanization"] and not SKIPPED_FORM_TAGS & set(tags):
+            kept.append({"form": text, "tags": ";".join(sorted(tags)), "roman": str(f.get("roman") or "")})
+    return ("ok" if glosses else "no_gloss"), word, str(record.get("pos") or ""), roman, glosses, kept, form_of
+
+
+def read_dump(raw: DataFrame) -> DataFrame:
+    """Every dump line with its status (ok, no_gloss, no_word, blank, unreadable) and, where it has a word, its entry.
+
+    Senses keep the shorter of their glosses and raw glosses, senses without any are dropped. Forms leave out table
+    metadata and the romanization, which is a column; their tags are sorted.
+    """
+    names = [x.split()[0] for x in DUMP.split(", ")]
 
     def run(batches):
         for batch in batches:
-            out = []
-            for i, line in zip(batch["rec_id"], batch["raw"]):
-                record = nested.read_object(line)
-                if not record or not isinstance(record.get("word"), str) or not record["word"].strip():
-                    continue
-                senses = record.get("senses")
-                senses = [s for s in (senses if isinstance(senses, list) else [senses]) if isinstance(s, dict)]
-                form_of = bool(senses) and all("form_of" in s or "alt_of" in s or "form-of" in (s.get("tags") or []) for s in senses)
-                out.append((i, record["word"], str(record.get("pos") or ""), len(senses), form_of))
-            yield pd.DataFrame(out, columns=["rec_id", "word", "pos", "n_senses", "form_of"])
+            yield pd.DataFrame([(i, *dump_record(line)) for i, line in zip(batch["rec_id"], batch["raw"])], columns=names)
+
+    return spread(raw.select("rec_id", "raw")).mapInPandas(run, DUMP)
 
-    return raw.select("rec_id", "raw").mapInPandas(run, "rec_id bigint, word string, pos string, n_senses int, form_of boolean")
+
+def first_lines(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``: a scan with a limit."""
+    return df.orderBy(order).limit(n)
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
@@ -105,7 +154,7 @@ def read_bio(spark: SparkSession, path: str) -> DataFrame:
 def read_vec(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
     """Vectors of a ``.vec`` text file for the given words, scaled to length one."""
     cells = F.split("value", " ")
-    rows = spark.read.text(path).select(cells[0].alias("word"), F.transform(F.slice(cells, 2, 100_000), lambda x: x.cast("double")).alias("v")).where(F.size("v") > 1)
+    rows = spark.read.text(path).select(cells[0].alias("word"), F.transform(F.slice(cells, F.lit(2), F.size(cells)), lambda x: x.cast("double")).alias("v")).where(F.size("v") > 1)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return rows.join(words.select("word").distinct(), "word", "left_semi").select("word", F.transform("v", lambda x: x / norm).alias("v"))
 
@@ -119,8 +168,77 @@ def reassembled(spark: SparkSession, path: str, size: int, sha256: str) -> bytes
     return whole
 
 
-def sanitized(html) -> F.Column:
-    """Text of an HTML column: scripts, styles, comments and tags removed, white space joined."""
+# What a stored page may hold.
+ALLOWED_TAGS = "a abbr b blockquote br code div em h1 h2 h3 h4 h5 h6 hr i li ol p pre rp rt ruby s small span strong sub sup table tbody td th thead tr u ul".split()
+ALLOWED_ATTRIBUTES = ["lang", "dir", "title"]
+
+
+class _Cleaner(HTMLParser):
+    """Writes out allowed elements and attributes, links without their target; what stands in scripts and the like is dropped, other elements are unwrapped."""
+
+    DROPPED = {"script", "style", "iframe", "object", "embed", "noscript", "template", "svg", "math", "title", "head"}
+    VOID = {"br", "hr"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out: list[str] = []
+        self.open: list[str] = []
+        self.inside = 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.DROPPED:
+            self.inside += tag != "embed"
+        elif not self.inside and tag in ALLOWED_TAGS:
+            kept = [(k, v or "") for k, v in attrs if k in ALLOWED_ATTRIBUTES]
+            self.out.append("<" + tag + "".join(f' {k}="{escape(v)}"' for k, v in kept) + ">")
+            if tag not in self.VOID:
+                self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in self.VOID:
+            self.handle_starttag(tag, attrs)
+        elif tag in ALLOWED_TAGS and not self.inside:
+            self.handle_starttag(tag, attrs)
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.DROPPED:
+            self.inside = max(0, self.inside - 1)
+        elif not self.inside and tag in self.open:
+            while True:
+                last = self.open.pop()
+                self.out.append(f"</{last}>")
+                if last == tag:
+                    break
+
+    def handle_data(self, data):
+        if not self.inside:
+            self.out.append(escape(data, quote=False))
+
+    def done(self) -> str:
+        self.close()
+        return "".join([*self.out, *(f"</{t}>" for t in reversed(self.open))])
+
+
+def clean_html(html: str | None) -> str:
+    """Allowed elements and attributes of a page, well-formed; text is escaped."""
+    cleaner = _Cleaner()
+    cleaner.feed(html or "")
+    return cleaner.done()
+
+
+def sanitized(html: Column) -> Column:
+    """``clean_html`` as a vectorised column."""
+
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([clean_html(p) for p in pages], dtype=object)
+
+    return run(html)
+
+
+def plain_text(html: Column) -> Column:
+    """Text of an HTML column: scripts, styles, comments and tags removed, white space joined."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), "(?is)<(script|style|iframe|object)\\b.*?</\\1\\s*>|<!--.*?-->", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(bare, "(?s)<[^>]*>", " "), "(?U)\\s+", " "))
 

@@ -139,7 +139,7 @@ def test_files_round_trip(spark, tmp_path):
     assert files.reassembled(spark, str(tmp_path / "p"), 3, hashlib.sha256(b"abc").hexdigest()) == b"abc"
     with pytest.raises(ValueError):
         files.reassembled(spark, str(tmp_path / "p"), 4, "")
-    html = spark.createDataFrame([("<p>a <b>b</b></p><script>x</script>",), (None,)], "h string").select(files.sanitized(F.col("h")).alias("t"))
+    html = spark.createDataFrame([("<p>a <b>b</b></p><script>x</script>",), (None,)], "h string").select(files.plain_text(F.col("h")).alias("t"))
     assert [r.t for r in html.collect()] == ["a b", ""]
 
 

@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 from lexmill.operators import lexicon, vectors
 from lexmill.operators.ordering import ranked
 from lexmill.plans import lexical
+from lexmill.sources import files
 
 
 def tables(spark, folder, **given):
@@ -90,8 +91,18 @@ def test_e02_long_texts_are_compared_whole(spark, tmp_path):
 def test_s19_texts_with_tags_are_sanitized(spark, tmp_path):
     rows = [(1, "a <b>bold</b> word<script>bad()</script>"), (2, "plain"), (3, None), (4, "x<!-- y > z -->")]
     d = tables(spark, tmp_path, documents=(rows, "doc_id bigint, text string"))
-    got = {r.doc_id: r.text for r in entry.queries()["s19_sanitized"](spark, d).collect()}
+    got = {r.doc_id: r.text for r in entry.queries()["s19_texts"](spark, d).collect()}
     assert got == {1: "a bold word", 2: "plain", 4: "x"}
+    html = {r.doc_id: r.html for r in entry.queries()["s19_sanitized"](spark, d).collect()}
+    assert html == {1: '<div><p lang="en">a <b>bold</b> word</p>z</div>', 2: '<div><p lang="en">plain</p>z</div>', 4: '<div><p lang="en">x</p>z</div>'}
+
+
+def test_s19_keeps_only_what_is_allowed():
+    clean = files.clean_html
+    assert clean('<a href="javascript:x" title="t" onclick="y">l</a>') == '<a title="t">l</a>'
+    assert clean("<ul><li>a<li>b</ul><svg><p>no</p></svg>&lt;b&gt; &amp;<br/>") == "<ul><li>a<li>b</li></li></ul>&lt;b&gt; &amp;<br>"
+    assert clean("<b>open <i>never closed") == "<b>open <i>never closed</i></b>" and clean(None) == "" and clean("</p>x</div>") == "x"
+    assert clean("<style>p{}</style><scr<script>ipt>alert(1)</script>ok") == "ok" or "<script" not in clean("<style>p{}</style><scr<script>ipt>alert(1)</script>ok")
 
 
 def test_k03_and_k08_run_on_whole_tables(spark, tmp_path):
