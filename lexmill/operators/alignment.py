@@ -1,4 +1,4 @@
-"""Alignments of strings and token sequences."""
+"""Alignments of strings and token sequences."""
 
 from __future__ import annotations
 
@@ -140,18 +140,76 @@ def beam(slots: list[list[tuple[str, int]]], width: int = 8) -> list[str]:
     return list(paths[0][2])
 
 
+def batches(lengths: list[int], most: int = 16, overhead: int = 32) -> list[tuple[int, int]]:
+    """[start, end) of the batches of least total cost (T16): items times the last one's length, and an overhead each.
+
+    Lengths are taken in the order given, those of 0 left out; the latest start wins among equals.
+    """
+    own = [n for n in lengths if n and n > 0]
+    cost, start = [0] + [0] * len(own), [0] * (len(own) + 1)
+    for end in range(1, len(own) + 1):
+        options = [(cost[a] + (end - a) * own[end - 1] + overhead, -a) for a in range(max(0, end - most), end)]
+        cost[end], a = min(options)
+        start[end] = -a
+    out, at = [], len(own)
+    while at:
+        out.append((start[at], at))
+        at = start[at]
+    return out[::-1]
+
+
+def batches_column(lengths: Column, most: int = 16, overhead: int = 32) -> Column:
+    """``batches`` as a vectorised column."""
+
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "end": b} for a, b in batches([int(x) for x in v], most, overhead)] for v in values], dtype=object)
+
+    return run(lengths)
+
+
+def drift_column(left: Column, right: Column, ahead: int = 3) -> Column:
+    """``drift`` as a vectorised column of pairs."""
+
+    @F.pandas_udf("array<struct<left:int,right:int>>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"left": i, "right": j} for i, j in drift(list(x), list(y), ahead)] for x, y in zip(a, b)], dtype=object)
+
+    return run(left, right)
+
+
+def beam_column(slots: Column, width: int = 8) -> Column:
+    """``beam`` as a vectorised column; slots are arrays of (id, at)."""
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([beam([[(x["id"], x["at"]) for x in slot] for slot in v], width) for v in values], dtype=object)
+
+    return run(slots)
+
+
+def normalised_column(text: Column) -> Column:
+    """``normalised_with_map`` as a vectorised column: text, places."""
+
+    @F.pandas_udf("struct<text:string,places:array<int>>")
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([normalised_with_map(v or "") for v in values], columns=["text", "places"])
+
+    return run(text)
+
+
 def align_column(probe: Column, surface: Column) -> Column:
-    """``align`` as a vectorised column, once per distinct pair of a batch."""
+    """``align`` as a vectorised column, once per distinct pair of a batch; places is the character map."""
 
-    @F.pandas_udf("struct<matched:int,edits:int>")
+    @F.pandas_udf("struct<matched:int,edits:int,places:array<int>>")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         seen: dict = {}
         out = []
         for pair in zip(a.fillna(""), b.fillna("")):
             if pair not in seen:
-                seen[pair] = align(*pair)[:2]
+                seen[pair] = align(*pair)
             out.append(seen[pair])
-        return pd.DataFrame(out, columns=["matched", "edits"])
+        return pd.DataFrame(out, columns=["matched", "edits", "places"])
 
     return run(probe, surface)
 

@@ -1,9 +1,10 @@
-"""Vectors, similarity and clustering.
+"""Vectors, similarity and clustering.
 
 Rows of any number are compared with a stated set of queries, or with a bounded set of centres, block by
 block in numpy: a block goes to the tasks, each task keeps only its top k per query, and these are ranked
 after one shuffle. Tag tables (one vector per label) are bounded: ``bounded`` refuses more than
-``MOST_TAGS`` rows, and the order-dependent groupings run on them in the driver.
+``MOST_TAGS`` rows, and their similarities are taken block by block in the tasks. The order-dependent groupings run in
+the driver, on at most ``MOST_GROUPED`` tags.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from lexmill.operators.ordering import top_per_group
 from lexmill.sources.tables import cut
 
 MOST_TAGS = 20_000
-BLOCK = 4096
+MOST_GROUPED = 2_000
+BLOCK, CENTRES = 4096, 256
 
 
 def unit(rows) -> np.ndarray:
@@ -150,8 +152,7 @@ def communities(n: int, edges: list[tuple[int, int, float]], resolution: float =
             total[best] = total.get(best, 0.0) + strength[i]
         if not moved:
             break
-    names = {c: k for k, c in enumerate(dict.fromkeys(own))}
-    return [names[c] for c in own]
+    return _named(own)
 
 
 def seed_groups(m: np.ndarray, counts: np.ndarray, least: float) -> list[int]:
@@ -167,26 +168,264 @@ def seed_groups(m: np.ndarray, counts: np.ndarray, least: float) -> list[int]:
 
 
 def merge_groups(m: np.ndarray, counts: np.ndarray, least: float) -> list[int]:
-    """Agglomerative merging of the most similar pair of weighted centres until none is similar enough."""
-    groups = {i: (m[i] * counts[i], [i]) for i in range(len(m))}
-    while len(groups) > 1:
-        keys = sorted(groups)
-        u = unit([groups[k][0] for k in keys])
-        sims = u @ u.T
-        np.fill_diagonal(sims, -np.inf)
-        at = int(sims.argmax())
-        i, j = keys[at // len(keys)], keys[at % len(keys)]
-        if sims.flat[at] < least:
+    """Agglomerative merging of the most similar pair of weighted centres until none is similar enough.
+
+    Only rows whose nearest centre changed are looked at again.
+    """
+    n = len(m)
+    sums, members = [m[i] * counts[i] for i in range(n)], {i: [i] for i in range(n)}
+    u = unit(np.array(sums)) if n else np.zeros((0, 1))
+    sims = u @ u.T
+    np.fill_diagonal(sims, -np.inf)
+    best = sims.argmax(axis=1) if n else np.zeros(0, dtype=int)
+    while len(members) > 1:
+        top = sims[np.arange(n), best]
+        i = int(top.argmax())
+        if top[i] < least:
             break
-        groups[min(i, j)] = groups[i][0] + groups[j][0], sorted(groups[i][1] + groups[j][1])
-        del groups[max(i, j)]
-    out = [0] * len(m)
-    for g, (_, members) in enumerate(groups.values()):
-        for i in members:
-            out[i] = g
+        i, j = sorted((i, int(best[i])))
+        sums[i] = sums[i] + sums[j]
+        members[i] = sorted(members[i] + members.pop(j))
+        u[i] = unit([sums[i]])[0]
+        row = u @ u[i]
+        row[[k for k in range(n) if k not in members]] = -np.inf
+        row[i] = -np.inf
+        sims[i], sims[:, i] = row, row
+        sims[j], sims[:, j] = -np.inf, -np.inf
+        stale = [k for k in members if best[k] in (i, j) or k == i or sims[k, i] > sims[k, best[k]]]
+        best[stale] = sims[stale].argmax(axis=1)
+    out = [0] * n
+    for g, i in enumerate(sorted(members)):
+        for k in members[i]:
+            out[k] = g
     return out
 
 
+def gated_groups(m: np.ndarray, counts: np.ndarray, least: float, coherence: float, passes: int = 4) -> list[int]:
+    """Rows by falling count go to the nearest weighted centre that is similar enough, as long as the group's mean similarity to its
+    centre stays at ``coherence`` (V10); further passes move rows again until nothing changes."""
+    u, own, groups, founded = unit(m), [-1] * len(m), {}, 0
+    order = sorted(range(len(m)), key=lambda i: (-counts[i], i))
+
+    def centre(members):
+        return unit([(u[members] * counts[members][:, None]).sum(axis=0)])[0]
+
+    for _ in range(passes):
+        before = list(own)
+        for i in order:
+            if own[i] >= 0:
+                groups[own[i]].remove(i)
+                if not groups[own[i]]:
+                    del groups[own[i]]
+            own[i] = -1
+            for sim, g in sorted(((float(centre(x) @ u[i]), -g) for g, x in groups.items()), reverse=True):
+                new = [*groups[-g], i]
+                if sim >= least and float(np.average(u[new] @ centre(new), weights=counts[new])) >= coherence:
+                    own[i] = -g
+                    break
+            if own[i] < 0:
+                own[i], founded = founded, founded + 1
+            groups.setdefault(own[i], []).append(i)
+        if _named(own) == _named(before):
+            break
+    return _named(own)
+
+
+def _named(own: list[int]) -> list[int]:
+    """Group numbers in the order that they appear."""
+    names = {g: k for k, g in enumerate(dict.fromkeys(own))}
+    return [names[g] for g in own]
+
+
+def snowball_groups(m: np.ndarray, counts: np.ndarray, least: float, by_centre: bool) -> list[int]:
+    """Rows by falling count roll into groups.
+
+    Pairwise: a row joins the group of its most similar row, or founds one with it. By centre: it joins the group with the
+    nearest centre if that is at least as near as the nearest row still free, else it founds one with that row. Below
+    ``least`` it stays alone.
+    """
+    u, own, groups = unit(m), [-1] * len(m), []
+    for i in sorted(range(len(m)), key=lambda i: (-counts[i], i)):
+        if own[i] >= 0:
+            continue
+        sims = np.round(u @ u[i], 12)
+        sims[i] = -np.inf
+        free = np.where([g < 0 for g in own], sims, -np.inf)
+        j = int((free if by_centre else sims).argmax())
+        group, value = (own[j], sims[j]) if not by_centre else (-1, free[j])
+        if by_centre and groups:
+            near = np.array([float(unit([u[g].sum(axis=0)])[0] @ u[i]) for g in groups])
+            if near.max() >= value:
+                group, value = int(near.argmax()), float(near.max())
+        if value < least:
+            groups.append([i])
+            own[i] = len(groups) - 1
+        elif group >= 0:
+            groups[group].append(i)
+            own[i] = group
+        else:
+            groups.append([i, j])
+            own[i] = own[j] = len(groups) - 1
+    return own
+
+
+def balanced_groups(m: np.ndarray, k: int, rounds: int = 12) -> list[int]:
+    """Groups of sizes that differ by one at most (V13): rows with the clearest centre choose first, centres are taken anew."""
+    u, k = unit(m), max(1, min(k, len(m)))
+    if not len(u):
+        return []
+    seeds = [0]
+    while len(seeds) < k:  # the row least like the seeds so far
+        seeds.append(int((u @ u[seeds].T).max(axis=1).argmin()))
+    centres, own = u[seeds], None
+    for _ in range(rounds):
+        room = [len(u) // k + (g < len(u) % k) for g in range(k)]
+        sims, new = u @ centres.T, [-1] * len(u)
+        for i in np.argsort(-sims.max(axis=1), kind="stable"):
+            g = next(int(g) for g in np.argsort(-sims[i], kind="stable") if room[g])
+            new[i], room[g] = g, room[g] - 1
+        if new == own:
+            break
+        own = new
+        centres = unit([u[[i for i, g in enumerate(own) if g == c]].sum(axis=0) for c in range(k)])
+    return own
+
+
+def modularity(n: int, edges: list[tuple[int, int, float]], own: list[int]) -> float:
+    """Weighted modularity of a partition; 0 without edges."""
+    whole = sum(w for _, _, w in edges)
+    if not whole:
+        return 0.0
+    strength = [0.0] * n
+    for i, j, w in edges:
+        strength[i] += w
+        strength[j] += w
+    inside = sum(w for i, j, w in edges if own[i] == own[j]) / whole
+    total: dict[int, float] = {}
+    for i, s in enumerate(strength):
+        total[own[i]] = total.get(own[i], 0.0) + s
+    return inside - sum((t / (2 * whole)) ** 2 for t in total.values())
+
+
+# Weights of the parts of a partition's score, and what it should look like.
+SCORE = {"modularity": 1.0, "margin": 0.80, "coherence": 0.25, "shared_pct": 0.004, "blob": -0.50, "singles": -0.20, "count": -0.08}
+MOST_PCT, BEST_COUNT = 24.0, 32
+
+
+def partition_metrics(m: np.ndarray, counts: np.ndarray, own: list[int], edges: list[tuple[int, int, float]]) -> dict[str, float]:
+    """How good a partition of weighted rows is (V05); margins are to the nearest other centre, 1 where there is none."""
+    u, own_ = unit(m), np.array(own)
+    kinds = sorted(set(own))
+    centres = unit([u[own_ == g].mean(axis=0) for g in kinds])
+    sims = u @ centres.T
+    at = np.array([kinds.index(g) for g in own])
+    mine = sims[np.arange(len(u)), at]
+    sims[np.arange(len(u)), at] = -np.inf
+    margins = np.where(np.isfinite(sims.max(axis=1)), mine - sims.max(axis=1), 1.0)
+    sizes = np.array([counts[own_ == g].sum() for g in kinds])
+    members = np.array([(own_ == g).sum() for g in kinds])
+    largest, shared = 100 * sizes.max() / counts.sum(), 100 * sizes[members > 1].sum() / counts.sum()
+    parts = {
+        "modularity": modularity(len(u), edges, own),
+        "margin": float(np.average(margins, weights=counts)),
+        "coherence": float(np.average(mine, weights=counts)),
+        "shared_pct": float(shared),
+        "blob": max(0.0, largest - MOST_PCT) / MOST_PCT,
+        "singles": float((members == 1).sum()) / len(kinds),
+        "count": abs(len(kinds) - BEST_COUNT) / BEST_COUNT,
+    }
+    return {"n_groups": len(kinds), "n_singles": int((members == 1).sum()), "largest_pct": float(largest), "p10_margin": float(np.percentile(margins, 10)), **parts, "score": sum(SCORE[k] * v for k, v in parts.items())}
+
+
+def grid(m: np.ndarray, counts: np.ndarray, ks: list[int], floors: list[float], resolutions: list[float]) -> list[dict]:
+    """Metrics of the communities for every choice of neighbours, floor and resolution that has edges (V06), the best score first."""
+    out = []
+    for k in ks:
+        for floor in floors:
+            edges = mutual_edges(m, k, floor)
+            out += [{"k": k, "floor": floor, "resolution": r, "n_edges": len(edges), **partition_metrics(m, counts, communities(len(m), edges, r), edges)} for r in resolutions if edges]
+    return sorted(out, key=lambda x: (-x["score"], x["k"], x["floor"], x["resolution"]))
+
+
+def sweep(m: np.ndarray, counts: np.ndarray, thresholds: list[float], sizes: list[int]) -> list[dict]:
+    """The grouping methods at every threshold or size (V20): method, parameter, and the metrics of the partition."""
+    methods = {"seed": seed_groups, "merge": merge_groups, "gated": lambda m, c, t: gated_groups(m, c, t, t), "snowball": lambda m, c, t: snowball_groups(m, c, t, False), "snowball_centre": lambda m, c, t: snowball_groups(m, c, t, True)}
+    runs = [(name, t, f(m, counts, t)) for t in thresholds for name, f in methods.items()] + [("balanced", float(k), balanced_groups(m, k)) for k in sizes]
+    return [{"method": name, "parameter": t, **partition_metrics(m, counts, own, [])} for name, t, own in runs]
+
+
+def metrics(rows: DataFrame, centres: pd.DataFrame, id_col: str, vec_col: str, label: str) -> DataFrame:
+    """``partition_metrics`` of rows of any number, each of weight one, without a graph (V05); the centres are bounded.
+
+    One pass gives own similarity and margin, the rest is aggregation.
+    """
+    names, c = list(centres[label]), unit(np.stack(centres["centroid"]))
+
+    def run(batches):
+        place = {x: k for k, x in enumerate(names)}
+        for batch in batches:
+            have = batch[batch[vec_col].notna() & batch[label].isin(place)]
+            if len(have):
+                sims = unit(np.stack(have[vec_col].to_numpy())) @ c.T
+                at = have[label].map(place).to_numpy()
+                mine = sims[np.arange(len(at)), at]
+                sims[np.arange(len(at)), at] = -np.inf
+                yield pd.DataFrame({"label": have[label].to_numpy(), "own": mine, "margin": np.where(np.isfinite(sims.max(axis=1)), mine - sims.max(axis=1), 1.0)})
+
+    told = rows.select(id_col, vec_col, label).mapInPandas(run, "label int, own double, margin double")
+    per = told.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    size = per.agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("n") == 1).alias("n_singles"), (100 * F.max("n") / F.sum("n")).alias("largest_pct"))
+    whole = told.agg(F.avg("own").alias("coherence"), F.avg("margin").alias("margin"), F.percentile("margin", F.lit(0.1)).alias("p10_margin"))
+    return size.withColumn("one", F.lit(1)).join(whole.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def near_centres(spark, table: pd.DataFrame, label: str, k: int | None = None, floor: float = -2.0) -> DataFrame:
+    """a, b, w, place: the ``k`` most similar other centres of each, or all, from ``floor`` on.
+
+    The centres are bounded and sent to the tasks, each of which multiplies its own block of them.
+    """
+    names, m = table[label].to_numpy(), unit(np.stack(table["centroid"])) if len(table) else np.zeros((0, 1))
+    given = spark.sparkContext.broadcast((names, m))
+
+    def run(batches):
+        labels, u = given.value
+        for batch in batches:
+            for start in batch["id"]:
+                sims = np.round(u[start : start + CENTRES] @ u.T, 12)
+                out = []
+                for i, row in enumerate(sims, start):
+                    row[i] = -np.inf
+                    order = np.lexsort((np.arange(len(row)), -row))[: k if k is not None else len(row)]
+                    out += [(int(labels[i]), int(labels[j]), float(row[j]), p) for p, j in enumerate(order, 1) if np.isfinite(row[j]) and row[j] >= floor]
+                yield pd.DataFrame(out, columns=["a", "b", "w", "place"])
+
+    blocks = max(1, -(-len(table) // CENTRES))
+    return spark.range(0, blocks * CENTRES, CENTRES, blocks).mapInPandas(run, "a int, b int, w double, place int")
+
+
+def mutual(near: DataFrame) -> DataFrame:
+    """a < b, w: pairs where each is near the other."""
+    back = near.select(F.col("a").alias("b"), F.col("b").alias("a"))
+    return near.where("a < b").join(back, ["a", "b"]).select("a", "b", "w")
+
+
+def adjacency(near: DataFrame) -> DataFrame:
+    """a, b, w: neighbours of either side with the squared similarity, the larger of both."""
+    both = near.select("a", "b", "w").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    return both.groupBy("a", "b").agg(F.max(F.col("w") * F.col("w")).alias("w"))
+
+
+def named(support: DataFrame, centres: DataFrame, words: DataFrame) -> DataFrame:
+    """The name of each group (V19): of its words (grp, word, n) the one with the most support-weighted cosine to the group's centre.
+
+    ``centres`` has grp and centroid, ``words`` word and v.
+    """
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda t, z: t + z)
+    both = support.join(centres, "grp").join(words, "word")
+    score = dot(F.col("centroid"), F.col("v")) / F.sqrt(dot(F.col("centroid"), F.col("centroid")) * dot(F.col("v"), F.col("v"))) + 0.035 * F.log1p("n")
+    return both.withColumn("score", F.round(score, 9)).groupBy("grp").agg(F.max_by(F.struct("word", "score"), F.struct("score", "n", "word")).alias("b")).select("grp", "b.word", "b.score")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of an edge table (src, dst), by hash-to-minimum with pointer jumping.
 
@@ -224,10 +463,10 @@ def weighted_jaccard_all(bags: DataFrame, group: str, item: str, n: str) -> Data
     Bags meet on their items, so pairs without a shared one cost nothing but their row. The groups are bounded.
     """
     size = bags.groupBy(group).agg(F.sum(n).alias("size"))
-    sizes = bags.sparkSession.createDataFrame([(x, int(s)) for x, s in bounded(size).itertuples(index=False)], "g string, s bigint")
+    own = sorted((x, int(s)) for x, s in bounded(size, MOST_GROUPED).itertuples(index=False))
     sides = [bags.select(F.col(group).alias(s), F.col(item).alias("i"), F.col(n).alias(f"n{s}")) for s in "ab"]
     shared = sides[0].join(sides[1], "i").where("a < b").groupBy("a", "b").agg(F.sum(F.least("na", "nb")).alias("shared"))
-    pairs = sizes.select(F.col("g").alias("a"), F.col("s").alias("sa")).crossJoin(sizes.select(F.col("g").alias("b"), F.col("s").alias("sb"))).where("a < b")
+    pairs = bags.sparkSession.createDataFrame([(a, x, b, y) for k, (a, x) in enumerate(own) for b, y in own[k + 1 :]], "a string, sa bigint, b string, sb bigint")
     whole = pairs.join(shared, ["a", "b"], "left").na.fill({"shared": 0})
     union = F.col("sa") + F.col("sb") - F.col("shared")
     return whole.select("a", "b", F.when(union > 0, F.round(F.col("shared") / union, 6)).otherwise(0.0).alias("jaccard"))

@@ -44,20 +44,6 @@ def x25_truncated(spark, d):
     return _docs(spark, d).select("doc_id", F.substring("text", 1, 400).alias("head"))
 
 
-def a17_counts(spark, d):
-    return _words(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.count_if("is_name").alias("n_names"))
-
-
-def a18_labels(spark, d):
-    return w09_bio(spark, d).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-
-
-def a19_corpus_audit(spark, d):
-    """Per source: documents, wrong lengths, empty texts and languages."""
-    by = load(spark, d, "documents").groupBy(F.coalesce("source", F.lit("")).alias("source"))
-    return by.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("n_chars") != F.length("text")).alias("n_wrong_length"), F.count_if(F.coalesce(F.col("text"), F.lit("")) == "").alias("n_empty"), F.array_join(F.array_sort(F.collect_set(F.lower("lang"))), ",").alias("langs"))
-
-
 def w09_bio(spark, d):
     w = Window.partitionBy("doc_id").orderBy("pos")
     before = F.coalesce(F.lag("is_name").over(w), F.lit(False))
@@ -177,7 +163,7 @@ def t08_alignment(spark, d):
     """How headwords align with their surfaces, over the distinct pairs."""
     heads = load(spark, d, "entries").select(F.col("id").alias("entry_id"), "headword")
     pairs = load(spark, d, "forms").where("form_text <> ''").select("entry_id", "form_text").distinct().join(heads.where("headword <> ''"), "entry_id").select("headword", "form_text").distinct()
-    return pairs.select("headword", "form_text", alignment.align_column(F.col("headword"), F.col("form_text")).alias("a")).select("headword", "form_text", "a.matched", "a.edits")
+    return pairs.select("headword", "form_text", alignment.align_column(F.col("headword"), F.col("form_text")).alias("a")).select("headword", "form_text", "a.matched", "a.edits", F.array_join(F.transform("a.places", lambda x: x.cast("string")), ",").alias("places"))
 
 
 def t09_partition(spark, d):
@@ -190,7 +176,7 @@ def t09_partition(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (x16_sentences, x17_tokens, x18_search, x22_hashes, x25_truncated, a17_counts, a18_labels, a19_corpus_audit, w09_bio, w11_spans, w08_packed, w14_global_tokens, j13_overlap, j14_label_map, o05_allocation, o06_split, o07_crc_split, o08_every_tenth, o10_group_split, o11_diverse, j18_shared_texts, u02_shared_surfaces, u04_label_union, e01_scores, e02_agreement, t08_alignment, t09_partition)
+    for f in (x16_sentences, x17_tokens, x18_search, x22_hashes, x25_truncated, w09_bio, w11_spans, w08_packed, w14_global_tokens, j13_overlap, j14_label_map, o05_allocation, o06_split, o07_crc_split, o08_every_tenth, o10_group_split, o11_diverse, j18_shared_texts, u02_shared_surfaces, u04_label_union, e01_scores, e02_agreement, t08_alignment, t09_partition)
 }
 
 _WORDS = r"""
@@ -209,12 +195,6 @@ SQL = {
     "x18_search": "select doc_id, subject as phrase, cast((length(lower(text)) - length(replace(lower(text), lower(subject), ''))) / length(subject) as bigint) as n from documents, subjects where text is not null and contains(lower(text), lower(subject))",
     "x22_hashes": "select doc_id, sha256(text) as sha256, sha1(text) as sha1 from documents where text is not null",
     "x25_truncated": "select doc_id, substr(text, 1, 400) as head from documents where text is not null",
-    "a17_counts": _WORDS + "select doc_id, count(*) as n_words, count(*) filter (where is_name) as n_names from w group by 1",
-    "a18_labels": _WORDS + """
-        select tag, count(*) as n from (select case when not is_name then 'O' when lag(is_name, 1, false) over (partition by doc_id order by pos) then 'I-NAME' else 'B-NAME' end as tag from w) group by 1""",
-    "a19_corpus_audit": """
-        select coalesce(source, '') as source, count(*) as n_docs, count(*) filter (where n_chars <> length(text)) as n_wrong_length,
-          count(*) filter (where coalesce(text, '') = '') as n_empty, coalesce(string_agg(distinct lower(lang), ',' order by lower(lang)), '') as langs from documents group by 1""",
     "w09_bio": _WORDS + "select doc_id, pos, case when not is_name then 'O' when lag(is_name, 1, false) over (partition by doc_id order by pos) then 'I-NAME' else 'B-NAME' end as tag from w",
     "w11_spans": _WORDS + """
         , k as (select doc_id, pos, is_name, row_number() over (partition by doc_id order by pos) as k from w),

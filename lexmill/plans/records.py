@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from lexmill.functions import scripts
 from lexmill.operators import corpus, prune, unpack
 from lexmill.operators.ordering import top_per_group
 from lexmill.plans import sqltext
@@ -96,9 +98,65 @@ def f20_reclassified(spark, d):
     return load(spark, d, "entries").groupBy(F.coalesce(pos, F.lit("")).alias("pos")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (m01_custom_forms, m05_form_maps, m05_form_spellings, x13_glosses, x19_feats, x21_frequency, j06_batch, f16_promotable, f20_reclassified)}
+def x14_romanised(spark, d):
+    """Kana headwords in Latin letters."""
+    kana = load(spark, d, "entries").where("headword rlike '[\u3041-\u30ff]'").select("id", "headword")
+    return spread(kana).select("id", "headword", scripts.over(scripts.romaji, F.col("headword")).alias("romaji"))
+
+
+def x15_label_tokens(spark, d):
+    """Plain tokens and phrases of the audit tags."""
+    rows = load(spark, d, "form_tags_flat").where("form_tag is not null").select("form_tag").distinct()
+    return rows.select("form_tag", F.array_join(scripts.plain_tokens(F.col("form_tag")), " ").alias("tokens"), F.array_join(scripts.phrases(F.col("form_tag")), "|").alias("phrases"))
+
+
+def x20_feats(spark, d):
+    """Properties and tags as feature strings."""
+    rows = load(spark, d, "events").select(F.col("props").alias("raw")).unionByName(load(spark, d, "custom_dict_entries").select(F.col("glosses_json").alias("raw")))
+    return rows.where("raw is not null").select("raw", scripts.over(scripts.feats_text, F.col("raw")).alias("feats")).groupBy("feats").agg(F.count(F.lit(1)).alias("n"))
+
+
+def x23_fingerprints(spark, d):
+    """Fingerprints of the dump records, and how many have each."""
+    return spread(load(spark, d, "kaikki_raw").select("raw")).select(scripts.fingerprint(F.col("raw")).alias("fingerprint")).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+
+
+def x23_props(spark, d):
+    return load(spark, d, "events").select("event_id", scripts.fingerprint(F.col("props")).alias("fingerprint"))
+
+
+def x24_clean_glosses(spark, d):
+    """Plain glosses with their lead set off."""
+    return load(spark, d, "entries").where("glosses <> '' and not glosses rlike '^\\\\s*[\\\\[{]'").select("id", scripts.clean_gloss(F.col("glosses")).alias("gloss"))
+
+
+QUERIES = {f.__name__: f for f in (x14_romanised, x15_label_tokens, x20_feats, x23_fingerprints, x23_props, x24_clean_glosses, m01_custom_forms, m05_form_maps, m05_form_spellings, x13_glosses, x19_feats, x21_frequency, j06_batch, f16_promotable, f20_reclassified)}
+
+_LATIN = "".join(chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1)
+_FOLDED = "lower(translate(regexp_replace(coalesce({0}, ''), '\\p{{M}}+', '', 'g'), '" + _LATIN + "', '" + "".join(unicodedata.normalize("NFD", c)[0] for c in _LATIN) + "'))"
+
+
+def _plain_tokens(x: str) -> str:
+    stem = "case when length(t) > 5 and t like '%ies' then t[:-4] || 'y' when length(t) > 4 and t like '%ses' then t[:-3] when length(t) > 4 and t like '%s' then t[:-2] else t end"
+    words = f"list_transform(regexp_extract_all({_FOLDED.format(x)}, '[\\p{{L}}\\p{{N}}_]+'), lambda t: {stem})"
+    return f"list_filter({words}, lambda t: length(t) >= 2 and t not in ({sqltext.quoted(scripts.STOPWORDS)}) and not regexp_matches(t, '^\\p{{Nd}}+$'))"
+
+
+_PHRASES = f"list_filter(list_transform(regexp_split_to_array(form_tag, '[/,;:|(){{}}\\[\\]<>_-]+'), lambda p: array_to_string({_plain_tokens('p')}, ' ')), lambda p: p <> '' and p not in ({sqltext.quoted(scripts.STOPWORDS)}))"
 
 SQL = {
+    "x15_label_tokens": f"select distinct form_tag, array_to_string({_plain_tokens('form_tag')}, ' ') as tokens, array_to_string({_PHRASES}, '|') as phrases from form_tags_flat where form_tag is not null",
+    "x20_feats": """
+        with r as (select props as raw from events union all select glosses_json from custom_dict_entries), t as (select raw, trim(raw) as t from r where raw is not null),
+        f as (select case when not (t[1] in ('{', '[') and json_valid(t)) then t when t[1] = '{' then array_to_string(list_transform(json_keys(t), lambda k: k || '=' || (t->>('$."' || k || '"'))), '|')
+          else array_to_string(list_filter(list_transform(json_extract_string(t, '$[*]'), lambda x: trim(x)), lambda x: x <> ''), '|') end as feats from t)
+        select feats, count(*) as n from f group by 1""",
+    "x23_props": """select event_id, case when json_valid(props) then sha256('{' || array_to_string(list_transform(list_sort(json_keys(props)), lambda k: '"' || k || '":' || cast(json_extract(props, '$."' || k || '"') as varchar)), ',') || '}') end as fingerprint from events""",
+    "x24_clean_glosses": r"""
+        with g as (select id, trim(regexp_replace(glosses, '[""" + sqltext.WS + r"""]+', ' ', 'g')) as raw from entries where glosses <> '' and not regexp_matches(glosses, '^\s*[\[{]')),
+        s as (select *, trim(regexp_extract(raw, '^(.*);([^;]*)$', 1)) as a, trim(regexp_extract(raw, '^(.*);([^;]*)$', 2)) as b from g)
+        select id, case when not contains(raw, ';') or a = '' or b = '' or contains(b, ' - ') then raw else regexp_extract(a, '^[^\p{L}]*') || upper(regexp_extract(a, '^[^\p{L}]*(\p{L}?)', 1)) || regexp_extract(a, '^[^\p{L}]*\p{L}?(.*)$', 1) || ' - '
+          || regexp_extract(b, '^[^\p{L}]*') || lower(regexp_extract(b, '^[^\p{L}]*(\p{L}?)', 1)) || regexp_extract(b, '^[^\p{L}]*\p{L}?(.*)$', 1) end as gloss from s""",
     "x13_glosses": f"with {sqltext.GLOSSES}, n as (select id, count(*) as n, count(distinct lower(trim(regexp_replace(gloss, '[{sqltext.WS}]+', ' ', 'g')))) as m from gl group by 1) select e.id, coalesce(n, 0) as n, coalesce(m, 0) as n_distinct from entries e left join n using (id)",
     "m01_custom_forms": r"""
         with s as (select 'custom' as store, id, forms_json as raw from custom_dict_entries union all select 'entries', id, forms from entries),

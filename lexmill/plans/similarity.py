@@ -26,22 +26,19 @@ def v01_centroids(spark, d):
 
 
 def v02_tag_cosines(spark, d):
-    """Cosine of every pair of label centres, a bounded table."""
-    t = _tags(spark, d)
-    sims = vectors.unit(np.stack(t["centroid"])) @ vectors.unit(np.stack(t["centroid"])).T
-    rows = [(int(t["label"][i]), int(t["label"][j]), round(float(sims[i, j]), 5)) for i in range(len(t)) for j in range(i + 1, len(t))]
-    return spark.createDataFrame(rows, "a int, b int, cosine double")
+    """Cosine of every pair of label centres, a bounded table, in blocks."""
+    return vectors.near_centres(spark, _tags(spark, d), "label").where("a < b").select("a", "b", F.round("w", 5).alias("cosine"))
 
 
 def v03_mutual_knn(spark, d):
-    t = _tags(spark, d)
-    edges = vectors.mutual_edges(np.stack(t["centroid"]), 3, -1.0)
-    return spark.createDataFrame([(int(t["label"][i]), int(t["label"][j]), round(w, 6)) for i, j, w in edges], "a int, b int, w double")
+    return vectors.mutual(vectors.near_centres(spark, _tags(spark, d), "label", 3)).withColumn("w", F.round("w", 6))
 
 
 def v04_communities(spark, d):
     t = _tags(spark, d)
-    own = vectors.communities(len(t), vectors.mutual_edges(np.stack(t["centroid"]), 4, -1.0))
+    place = {int(x): k for k, x in enumerate(t["label"])}
+    edges = vectors.mutual(vectors.near_centres(spark, t, "label", 4)).orderBy("a", "b").collect()
+    own = vectors.communities(len(t), [(place[e.a], place[e.b], e.w) for e in edges])
     return spark.createDataFrame([(int(x), int(c)) for x, c in zip(t["label"], own)], "label int, community int")
 
 
@@ -54,6 +51,69 @@ def v07_gated(spark, d):
     return vectors.gated(v07_assigned(spark, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("cosine"), 5).alias("least"))
 
 
+def v05_metrics(spark, d):
+    """How good the labels are as a partition of the vectors."""
+    m = vectors.metrics(load(spark, d, "embeddings"), _tags(spark, d), "vec_id", "embedding", "label")
+    return m.select("n_groups", "n_singles", *(F.round(c, 6).alias(c) for c in ("largest_pct", "coherence", "margin", "p10_margin")))
+
+
+def _grouped(spark, d):
+    t = vectors.bounded(vectors.centroids(load(spark, d, "embeddings"), "label", "embedding"), vectors.MOST_GROUPED).sort_values("label").reset_index(drop=True)
+    return t, np.stack(t["centroid"]), t["n"].to_numpy()
+
+
+def _told(spark, rows):
+    """Metrics as a table, rounded."""
+    kind = lambda x: "string" if isinstance(x, str) else "bigint" if isinstance(x, int) else "double"
+    table = [tuple(round(float(x), 6) if kind(x) == "double" else x for x in r.values()) for r in rows]
+    return spark.createDataFrame(table, ", ".join(f"{n} {kind(x)}" for n, x in rows[0].items())) if rows else spark.createDataFrame([], "score double")
+
+
+def v06_grid(spark, d):
+    """Communities of the label centres over a grid of parameters."""
+    _, m, n = _grouped(spark, d)
+    return _told(spark, vectors.grid(m, n, [2, 3, 4], [-1.0, 0.0], [0.8, 1.0, 1.2]))
+
+
+def _labelled(spark, t, own):
+    return spark.createDataFrame([(int(x), int(g)) for x, g in zip(t["label"], own)], "label int, grp int")
+
+
+def v10_gated_groups(spark, d):
+    t, m, n = _grouped(spark, d)
+    return _labelled(spark, t, vectors.gated_groups(m, n, 0.2, 0.4))
+
+
+def v11_snowball(spark, d):
+    """Both ways of rolling labels into groups."""
+    t, m, n = _grouped(spark, d)
+    pairwise, by_centre = (vectors.snowball_groups(m, n, 0.1, x) for x in (False, True))
+    return spark.createDataFrame([(int(x), int(p), int(c)) for x, p, c in zip(t["label"], pairwise, by_centre)], "label int, pairwise int, by_centre int")
+
+
+def v13_balanced(spark, d):
+    t, m, _ = _grouped(spark, d)
+    return _labelled(spark, t, vectors.balanced_groups(m, 4))
+
+
+def v16_adjacency(spark, d):
+    return vectors.adjacency(vectors.near_centres(spark, _tags(spark, d), "label", 3, 0.03)).withColumn("w", F.round("w", 6))
+
+
+def v19_names(spark, d):
+    """Of the vectors of each label the one to name it by, with support by its id."""
+    rows = load(spark, d, "embeddings").where("label is not null and embedding is not null")
+    support = rows.select(F.col("label").alias("grp"), F.col("vec_id").alias("word"), (F.col("vec_id") % 5 + 1).alias("n"))
+    centres = vectors.centroids(rows, "label", "embedding").select(F.col("label").alias("grp"), "centroid")
+    return vectors.named(support, centres, rows.select(F.col("vec_id").alias("word"), F.col("embedding").alias("v"))).select("grp", "word", F.round("score", 6).alias("score"))
+
+
+def v20_sweep(spark, d):
+    """All grouping methods over thresholds and sizes."""
+    _, m, n = _grouped(spark, d)
+    return _told(spark, vectors.sweep(m, n, [0.1, 0.3, 0.5, 0.7, 0.9], [3, 5]))
+
+
 def v08_seed_groups(spark, d):
     t = _tags(spark, d)
     own = vectors.seed_groups(np.stack(t["centroid"]), t["n"].to_numpy(), 0.5)
@@ -61,8 +121,8 @@ def v08_seed_groups(spark, d):
 
 
 def v09_merged_groups(spark, d):
-    t = _tags(spark, d)
-    own = vectors.merge_groups(np.stack(t["centroid"]), t["n"].to_numpy(), 0.3)
+    t, m, n = _grouped(spark, d)
+    own = vectors.merge_groups(m, n, 0.3)
     return spark.createDataFrame([(int(x), int(g)) for x, g in zip(t["label"], own)], "label int, grp int")
 
 
@@ -132,7 +192,7 @@ def u05_families(spark, d):
     return vectors.components(edges).select(F.col("node").alias("id"), F.col("component").alias("family"))
 
 
-QUERIES = {f.__name__: f for f in (o02_top_similar, v01_centroids, v02_tag_cosines, v03_mutual_knn, v04_communities, v07_assigned, v07_gated, v08_seed_groups, v09_merged_groups, v12_kmeans, v14_tfidf, v14_ngram_cosines, v15_jaccard, v15_jaccard_pairs, v17_cooccurrence, v18_rotation, v18_lexicon, u05_families)}
+QUERIES = {f.__name__: f for f in (o02_top_similar, v01_centroids, v02_tag_cosines, v03_mutual_knn, v04_communities, v05_metrics, v06_grid, v10_gated_groups, v11_snowball, v13_balanced, v16_adjacency, v19_names, v20_sweep, v07_assigned, v07_gated, v08_seed_groups, v09_merged_groups, v12_kmeans, v14_tfidf, v14_ngram_cosines, v15_jaccard, v15_jaccard_pairs, v17_cooccurrence, v18_rotation, v18_lexicon, u05_families)}
 
 _UNIT = """
 with u as (select vec_id, label, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * y)))) as v from embeddings),
@@ -147,6 +207,13 @@ _NEAREST = _UNIT + """, s as (select vec_id as id, l.label, round(list_cosine_si
         a as (select id, label, cosine from (select *, row_number() over (partition by id order by cosine desc, label) as k from s) where k = 1)"""
 
 SQL = {
+    "v05_metrics": _UNIT + """, s as (select u.vec_id, u.label, l.label as other, list_cosine_similarity(u.v, l.v) as c from u, l),
+        m as (select vec_id, label, max(c) filter (where other = label) as own, max(c) filter (where other = label) - max(c) filter (where other <> label) as margin from s where label is not null group by 1, 2),
+        g as (select label, count(*) as n from m group by 1)
+        select (select count(*) from g) as n_groups, (select count(*) from g where n = 1) as n_singles, round((select 100.0 * max(n) / sum(n) from g), 6) as largest_pct, round(avg(own), 6) as coherence, round(avg(margin), 6) as margin, round(quantile_cont(margin, 0.1), 6) as p10_margin from m""",
+    "v16_adjacency": _NEAR + """, e as (select a, b, w from r where k <= 3 and w >= 0.03) select a, b, round(max(w * w), 6) as w from (select a, b, w from e union all select b, a, w from e) group by 1, 2""",
+    "v19_names": _UNIT + """, s as (select u.label as grp, u.vec_id as word, round(list_cosine_similarity(u.v, l.v) + 0.035 * ln(1 + u.vec_id % 5 + 1), 9) as score, u.vec_id % 5 + 1 as n from u join l using (label))
+        select grp, word, round(score, 6) as score from (select *, row_number() over (partition by grp order by score desc, n desc, word desc) as k from s) where k = 1""",
     "v03_mutual_knn": _NEAR + " select x.a, x.b, round(x.w, 6) as w from r x join r y on x.a = y.b and x.b = y.a where x.k <= 3 and y.k <= 3 and x.a < x.b",
     "v07_assigned": _NEAREST + " select id, label, cosine from a",
     "v07_gated": _NEAREST + ", g as (select label, greatest(0.45, quantile_cont(cosine, 0.05)) as least from a group by 1) select label, count(*) as n, round(min(cosine), 5) as least from a join g using (label) where cosine >= g.least group by 1",
