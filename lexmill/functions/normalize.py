@@ -26,26 +26,39 @@ URDU_LETTERS = {"ی": "ي", "ک": "ك"}
 TURKISH_CASE = {"İ": "i", "I": "ı"}
 OLD_ENGLISH = {"ā": "a", "ē": "e", "ī": "i", "ō": "o", "ū": "u", "ȳ": "y", "ǣ": "æ", "ð": "þ", "ċ": "c", "ġ": "g", "ƿ": "w", "ᵹ": "g", "Ᵹ": "g", "ꝿ": "g"}
 GREEK_WORDS = {"ἐξ": "ἐκ", "οὐκ": "οὐ", "οὐχ": "οὐ"}
-GREEK_ELISIONS = "ἀλλ' ἀλλά ἀνθ' ἀντί ἀπ' ἀπό ἀφ' ἀπό γ' γε γένοιτ' γένοιτο δ' δέ δεῦρ' δεῦρο δι' διά δύναιτ' δύναιτο εἶτ' εἶτα ἐπ' ἐπί ἔτ' ἔτι ἐφ' ἐπί ἡγοῖντ' ἡγοῖντο ἵν' ἵνα καθ' κατά κατ' κατά μ' με μεθ' μετά μετ' μετά μηδ' μηδέ μήδ' μηδέ ὅτ' ὅτε οὐδ' οὐδέ πάνθ' πάντα πάντ' πάντα παρ' παρά ποτ' ποτε σ' σε τ' τε ταῦθ' ταῦτα ταῦτ' ταῦτα τοῦτ' τοῦτο ὑπ' ὑπό ὑφ' ὑπό"
+#: Elided words and their full forms.
+GREEK_ELISIONS = {
+    "ἀλλ'": "ἀλλά", "ἀνθ'": "ἀντί", "ἀπ'": "ἀπό", "ἀφ'": "ἀπό", "γ'": "γε", "γένοιτ'": "γένοιτο", "δ'": "δέ", "δεῦρ'": "δεῦρο", "δι'": "διά", "δύναιτ'": "δύναιτο",
+    "εἶτ'": "εἶτα", "ἐπ'": "ἐπί", "ἔτ'": "ἔτι", "ἐφ'": "ἐπί", "ἡγοῖντ'": "ἡγοῖντο", "ἵν'": "ἵνα", "καθ'": "κατά", "κατ'": "κατά", "μ'": "με", "μεθ'": "μετά",
+    "μετ'": "μετά", "μηδ'": "μηδέ", "μήδ'": "μηδέ", "ὅτ'": "ὅτε", "οὐδ'": "οὐδέ", "πάνθ'": "πάντα", "πάντ'": "πάντα", "παρ'": "παρά", "ποτ'": "ποτε", "σ'": "σε",
+    "τ'": "τε", "ταῦθ'": "ταῦτα", "ταῦτ'": "ταῦτα", "τοῦτ'": "τοῦτο", "ὑπ'": "ὑπό", "ὑφ'": "ὑπό",
+}
 SANSKRIT_PAIRS = [("r̥̄", "ṝ"), ("r̥", "ṛ"), ("l̥̄", "ḹ"), ("l̥", "ḷ"), ("m̐", "ṃ"), ("aí", "ai"), ("aú", "au"), ("aì", "ai"), ("aù", "au")]
 SANSKRIT_LETTERS = {"ṁ": "ṃ", "ē": "e", "ō": "o", "ḗ": "e", "ṓ": "o", "ẖ": "ḥ", "ᳵ": "ḥ", "ᳶ": "ḥ", "á": "a", "é": "e", "í": "i", "ó": "o", "ú": "u", "à": "a", "è": "e", "ì": "i", "ò": "o", "ù": "u", "`": "'", "‘": "'", "’": "'", "ʼ": "'"}
 SANSKRIT_SUPERSCRIPTS = "²³¹⁰-⁹ᴬ-ᵪᶛ-ᶿ"
 ANUSVARA = [("ṅ", "kg"), ("ñ", "cj"), ("ṇ", "ṭḍ"), ("n", "td"), ("m", "pb")]
 LETTERS_SLP1 = {"ā": "A", "ī": "I", "ū": "U", "ṛ": "f", "ṝ": "F", "ḷ": "x", "ḹ": "X", "ṃ": "M", "ṁ": "M", "ḥ": "H", "ṅ": "N", "ñ": "Y", "ṭ": "w", "ḍ": "q", "ṇ": "R", "ś": "S", "ṣ": "z", "’": "'"}
 PAIRS_SLP1 = {"ai": "E", "au": "O", "kh": "K", "gh": "G", "ch": "C", "jh": "J", "ṭh": "W", "ḍh": "Q", "th": "T", "dh": "D", "ph": "P", "bh": "B", "m̐": "~"}
-DEVANAGARI_VOWELS = "अ a आ ā इ i ई ī उ u ऊ ū ऋ ṛ ॠ ṝ ऌ ḷ ए e ऐ ai ओ o औ au"
-DEVANAGARI_SIGNS = "ा ā ि i ी ī ु u ू ū ृ ṛ ॄ ṝ ॢ ḷ े e ै ai ो o ौ au"
-DEVANAGARI_CONSONANTS = "क k ख kh ग g घ gh ङ ṅ च c छ ch ज j झ jh ञ ñ ट ṭ ठ ṭh ड ḍ ढ ḍh ण ṇ त t थ th द d ध dh न n प p फ ph ब b भ bh म m य y र r ल l व v श ś ष ṣ स s ह h ळ ḷ"
-DEVANAGARI_MARKS = "ं ṃ ः ḥ ँ m̐ ऽ '"
+#: Independent vowels.
+DEVANAGARI_VOWELS = {
+    "अ": "a", "आ": "ā", "इ": "i", "ई": "ī", "उ": "u", "ऊ": "ū", "ऋ": "ṛ", "ॠ": "ṝ", "ऌ": "ḷ", "ए": "e", "ऐ": "ai", "ओ": "o", "औ": "au",
+}
+#: Vowel signs.
+DEVANAGARI_SIGNS = {
+    "ा": "ā", "ि": "i", "ी": "ī", "ु": "u", "ू": "ū", "ृ": "ṛ", "ॄ": "ṝ", "ॢ": "ḷ", "े": "e", "ै": "ai", "ो": "o", "ौ": "au",
+}
+#: Consonants.
+DEVANAGARI_CONSONANTS = {
+    "क": "k", "ख": "kh", "ग": "g", "घ": "gh", "ङ": "ṅ", "च": "c", "छ": "ch", "ज": "j", "झ": "jh", "ञ": "ñ", "ट": "ṭ", "ठ": "ṭh", "ड": "ḍ", "ढ": "ḍh", "ण": "ṇ", "त": "t",
+    "थ": "th", "द": "d", "ध": "dh", "न": "n", "प": "p", "फ": "ph", "ब": "b", "भ": "bh", "म": "m", "य": "y", "र": "r", "ल": "l", "व": "v", "श": "ś", "ष": "ṣ", "स": "s",
+    "ह": "h", "ळ": "ḷ",
+}
+#: Other signs.
+DEVANAGARI_MARKS = {
+    "ं": "ṃ", "ः": "ḥ", "ँ": "m̐", "ऽ": "'",
+}
 
 
-def _table(pairs: str) -> dict[str, str]:
-    items = pairs.split()
-    return dict(zip(items[::2], items[1::2]))
-
-
-_ELISIONS = _table(GREEK_ELISIONS)
-_VOWELS, _SIGNS, _CONSONANTS, _MARKS = map(_table, (DEVANAGARI_VOWELS, DEVANAGARI_SIGNS, DEVANAGARI_CONSONANTS, DEVANAGARI_MARKS))
 _CACHE: dict[str, re.Pattern] = {}
 
 
@@ -118,14 +131,14 @@ def devanagari_to_iast(text: str) -> str:
     while at < len(text):
         c = text[at]
         after = text[at + 1 : at + 2]
-        if c in _CONSONANTS:
-            out.append(_CONSONANTS[c])
+        if c in DEVANAGARI_CONSONANTS:
+            out.append(DEVANAGARI_CONSONANTS[c])
             if after == "्":
                 at += 1
-            elif after not in _SIGNS:
+            elif after not in DEVANAGARI_SIGNS:
                 out.append("a")
         else:
-            out.append(_VOWELS.get(c) or _SIGNS.get(c) or _MARKS.get(c) or c)
+            out.append(DEVANAGARI_VOWELS.get(c) or DEVANAGARI_SIGNS.get(c) or DEVANAGARI_MARKS.get(c) or c)
         at += 1
     return "".join(out)
 
@@ -183,7 +196,7 @@ def lookup_key(text: str | None, lang: str | None, disabled: Iterable[str] = ())
     value, lang = text or "", (lang or "").strip().lower().split("-")[0]
     if lang == "grc":
         value = re.sub("[‘’ʼʽ᾽᾿＇]", "'", value)
-        value = _ELISIONS.get(value) or GREEK_WORDS.get(value) or value
+        value = GREEK_ELISIONS.get(value) or GREEK_WORDS.get(value) or value
     value = unicodedata.normalize("NFKC", value).strip()
     keep = "'" if lang == "sa" else ""
     value = "".join("-" if c in AFFIX_MARKERS and c != keep else c for c in value)
@@ -193,6 +206,34 @@ def lookup_key(text: str | None, lang: str | None, disabled: Iterable[str] = ())
     return value.strip().replace("-", "").lower()
 
 
+#: Letters that a language's keys don't tell apart, and the marks they leave out.
+FOLDS = {"ar": ARABIC_LETTERS, "fa": PERSIAN_LETTERS, "ur": URDU_LETTERS, "tr": TURKISH_CASE, "ang": OLD_ENGLISH}
+MARKS = {"ar": ARABIC_MARKS, "fa": ARABIC_MARKS, "ur": ARABIC_MARKS, "he": HEBREW_MARKS}
+
+
+def letter_folds(text: Column, lang: Column) -> Column:
+    """The letters of each language folded (X03); all stays in the JVM."""
+    out = text
+    for g, letters in FOLDS.items():
+        out = F.when(lang == g, F.translate(text, "".join(letters), "".join(letters.values()))).otherwise(out)
+    return out
+
+
+def mark_strips(text: Column, lang: Column) -> Column:
+    """Texts without the marks of their script."""
+    out = text
+    for g, marks in MARKS.items():
+        out = F.when(lang == g, F.regexp_replace(text, f"[{marks}]", "")).otherwise(out)
+    return out
+
+
+def korean_stems(text: Column, pos: Column) -> Column:
+    """``korean_stem`` as an expression."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    verbal = F.lower(F.trim(F.coalesce(pos, F.lit("")))).isin("verb", "adj") & (F.length(t) > 1) & t.endswith("다")
+    return F.when(verbal, F.trim(t.substr(F.lit(1), F.length(t) - 1))).otherwise(F.lit(""))
+
+
 def rule_set(lang: Column) -> Column:
     """A name for the rules of a language: the same for languages whose keys are the same for any text."""
     named = rule_sets()

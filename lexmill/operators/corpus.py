@@ -183,6 +183,26 @@ def frequency_score(tags: Column) -> Column:
     return F.when(F.size(bands) > 0, (F.lit(49) - F.array_min(bands)) / 48 * 100)
 
 
+def span_scores(gold: DataFrame, pred: DataFrame, on: list[str], label: str) -> DataFrame:
+    """label, n_gold, precision, recall, f1 in percent of predicted spans; a span is right when all of ``on`` and the label agree."""
+    g, p = gold.select(*on, label).distinct(), pred.select(*on, label).distinct()
+    told = g.groupBy(label).agg(F.count(F.lit(1)).alias("n_gold")).join(p.groupBy(label).agg(F.count(F.lit(1)).alias("n_pred")), label, "full")
+    right = g.join(p, [*on, label], "left_semi").groupBy(label).agg(F.count(F.lit(1)).alias("n_right"))
+    counts = told.join(right, label, "left").na.fill(0, ["n_gold", "n_pred", "n_right"])
+    precision = F.when(F.col("n_pred") > 0, 100 * F.col("n_right") / F.col("n_pred")).otherwise(0.0)
+    recall = F.when(F.col("n_gold") > 0, 100 * F.col("n_right") / F.col("n_gold")).otherwise(0.0)
+    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    return counts.select(F.col(label).alias("label"), "n_gold", F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1")).orderBy(F.desc("n_gold"), "label")
+
+
+def split_by_place(df: DataFrame, order: str, train: float, dev: float, total: int | None = None) -> DataFrame:
+    """A split by place in the order (O09): the first share trains, the next is held out; ``total`` is a recorded number of rows."""
+    placed = ranked(df, [], [F.asc(order)])
+    n = F.lit(total) if total is not None else df.agg(F.count(F.lit(1))).scalar()
+    part = F.when(F.col("place") <= F.floor(n * train), "train").when(F.col("place") <= F.floor(n * train) + F.floor(n * dev), "dev").otherwise("test")
+    return placed.withColumn("part", part).drop("place")
+
+
 def feats_list(feats: Column, order: list[str]) -> Column:
     """A CoNLL feature string as lower-case values in a fixed key order; of a repeated key the last counts."""
     return feats_values(F.split(F.coalesce(feats, F.lit("")), "\\|"), order)

@@ -39,7 +39,21 @@ LETTER_OF = {name: f"[\\p{{L}}&&[{members}]]" for name, members in SCRIPTS.items
 PROSE_HINT = "(?i)\\b(?:form|forms|formed|using|present|past|future|perfect|imperfect|simple|particle|appendix|information|note|marks|case|instead|other|desiderative|imperative|indicative|subjunctive|conditional|participle|voice|aspect|declension|conjugation|dialect|modern|standard|swahili|absent|table)\\b"
 ALTERNATION_LABEL = "(?i)^[a-z][a-z-]*-[a-z][a-z-]*\\s+alternation$"
 ROMAN_NUMERAL = "^(?=.)M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})\\.?$"
-CLASS_CODES = ["\\d+(?:[a-z]|\\+[1-9])?(?:\\s+Anglian)?", "\\d+\\s+(?:strong|weak)", "[IVXLCDM]+\\s+[a-z]\\.?", "[IVXLCDM]+\\.?", "[A-Za-z]\\.", "a\\*\\d?", "a\\*\\[[^\\]]+\\]", "b\\*\\d?", "c(?:ʹ)?\\*", "[1-9]\\d*[a-z]?\\s+(?:perfective|imperfective).+", "accent-[a-z]", ".+-stem"]
+#: Inflection classes that stand where a form should: each names what it matches.
+CLASS_CODES = {
+    "numbered class, perhaps with a letter or a plus": "\\d+(?:[a-z]|\\+[1-9])?(?:\\s+Anglian)?",
+    "strong or weak class": "\\d+\\s+(?:strong|weak)",
+    "Roman class with a letter": "[IVXLCDM]+\\s+[a-z]\\.?",
+    "Roman class": "[IVXLCDM]+\\.?",
+    "letter with a stop": "[A-Za-z]\\.",
+    "starred a class": "a\\*\\d?",
+    "starred a class in brackets": "a\\*\\[[^\\]]+\\]",
+    "starred b class": "b\\*\\d?",
+    "starred c class": "c(?:ʹ)?\\*",
+    "class with an aspect": "[1-9]\\d*[a-z]?\\s+(?:perfective|imperfective).+",
+    "accent class": "accent-[a-z]",
+    "stem label": ".+-stem",
+}
 BROKEN_TEMPLATE = "\\{\\{\\{.+\\}\\}\\}|[{}]|[()]?.+\\([^-)]*$"
 HEBREW_PLACEHOLDER = "^[\\u0590-\\u05FF\\uFB1D-\\uFB4F]+$"
 PLAIN_WORD = "^(?![IVXLCDM]+$)[\\p{L}\\p{M}&&[^\\u0590-\\u05FF\\uFB1D-\\uFB4F]]+$"
@@ -144,7 +158,7 @@ def text_cut(db: Column, form: Column) -> Column:
         (s == "", "blank"),
         (s.rlike(ALTERNATION_LABEL), "alternation_label"),
         (code & s.rlike(ROMAN_NUMERAL), "roman_numeral"),
-        (code & s.rlike("^(?:" + "|".join(CLASS_CODES) + ")$"), "class_code"),
+        (code & s.rlike("^(?:" + "|".join(CLASS_CODES.values()) + ")$"), "class_code"),
         (s.rlike(BROKEN_TEMPLATE) | unbalanced, "template_leak"),
         (prose, "english_prose"),
         (hebrew, "hebrew_placeholder"),

@@ -83,21 +83,30 @@ def spans(words: DataFrame, keys: DataFrame, longest: int = 24) -> DataFrame:
 
 
 def segmented(words: DataFrame, keys: DataFrame) -> DataFrame:
-    """lang, word, pieces (joined by |), n_pieces, n_unknown. A word of n characters has at most n² spans."""
+    """lang, word, pieces (joined by |), n_pieces, n_unknown. A word of n characters has at most n² spans.
+
+    ``words`` may have bounds (array of code point places that no known piece may cross, T02) and hints (lemmas that the
+    word should hold, each used once, T04).
+    """
+    extra = [c for c in ("bounds", "hints") if c in words.columns]
     most = keys.agg(F.max(F.length("key"))).first()[0] or 1
 
     @F.pandas_udf("struct<pieces:string,n_pieces:int,n_unknown:int>")
-    def cover(word: pd.Series, found: pd.Series) -> pd.DataFrame:
+    def cover(word: pd.Series, found: pd.Series, bounds: pd.Series, hints: pd.Series) -> pd.DataFrame:
         out = []
-        for w, s in zip(word, found):
+        for w, s, edges, wanted in zip(word, found, bounds, hints):
             parts = graphemes(w)
             at, place = {0: 0}, 0
             for i, g in enumerate(parts):
                 place += len(g)
                 at[place] = i + 1
             known = {(at[x["start"]], at[x["end"]]): w[x["start"] : x["end"]] for x in (s if s is not None else []) if x["start"] in at and x["end"] in at}
-            got = segment(parts, known)
+            got = segment(parts, known, [at[b] for b in (edges if edges is not None else []) if b in at], wanted if wanted is not None else [])
             out.append(("|".join("".join(parts[a:b]) for a, b, _ in got), len(got), sum(not k for _, _, k in got)))
         return pd.DataFrame(out, columns=["pieces", "n_pieces", "n_unknown"])
 
-    return spans(words, keys, most).withColumn("s", cover("word", "spans")).select("lang", "word", "s.pieces", "s.n_pieces", "s.n_unknown")
+    asked = spans(words, keys, most)
+    if extra:
+        asked = asked.join(words.groupBy("lang", "word").agg(*(F.first(c, True).alias(c) for c in extra)), ["lang", "word"])
+    given = [F.col("bounds") if "bounds" in extra else F.lit(None).cast("array<int>"), F.col("hints") if "hints" in extra else F.lit(None).cast("array<string>")]
+    return asked.withColumn("s", cover(F.col("word"), F.col("spans"), *given)).select("lang", "word", "s.pieces", "s.n_pieces", "s.n_unknown")

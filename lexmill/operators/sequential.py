@@ -80,6 +80,22 @@ def rollover(days: int) -> Callable[[], Callable[[tuple], tuple]]:
     return machine
 
 
+def bounded_store(budget: int, ttl: float) -> Callable[[], Callable[[tuple], tuple]]:
+    """A ``BoundedStore`` per key; rows are (key, id, time, size); gives (key, id, number evicted, bytes held)."""
+
+    def machine():
+        store = BoundedStore(budget, ttl)
+
+        def step(row):
+            key, i, at, size = row
+            gone = store.put(i, int(size or 0), at.timestamp())
+            return key, i, len(gone), store.size
+
+        return step
+
+    return machine
+
+
 class BoundedStore:
     """Items with a time to live, a byte budget and least-recently-used eviction."""
 

@@ -60,6 +60,17 @@ def b03_limited(spark, d):
     return sequential.stepped(rows, ["user_id"], ["ts", "event_id"], "user_id bigint, event_id bigint, admitted boolean", sequential.limiter(2, 3600.0))
 
 
+def d01_window(spark, d):
+    """First and last day of the trailing window, and its events."""
+    return _recent(spark, d).agg(F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), F.count(F.lit(1)).alias("n"))
+
+
+def b04_evictions(spark, d):
+    """Events kept in a bounded store per kind: with a time to live, a budget of bytes and the least recently used first to go."""
+    rows = load(spark, d, "events").where("event_type is not null and ts is not null").select("event_type", "event_id", "ts", F.length("props").alias("size"))
+    return sequential.stepped(rows, ["event_type"], ["ts", "event_id"], "event_type string, event_id bigint, n_evicted int, held int", sequential.bounded_store(200, 3600.0))
+
+
 def d02_daily_counter(spark, d):
     return load(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("used"))
 
@@ -111,7 +122,7 @@ def _dated(f):
     return run
 
 
-QUERIES = {f.__name__: _dated(f) for f in (a01_daily, a01_totals, a02_by_type, a03_new_per_day, a04_filtered_count, a05_unique_visitors, b01_timings, b03_limited, d02_daily_counter, d03_periods, d04_epochs, d05_safe_numbers, a20_group_stats, a21_percentiles, a22_weighted_mean, w06_cumulative_share)}
+QUERIES = {f.__name__: _dated(f) for f in (a01_daily, a01_totals, a02_by_type, a03_new_per_day, a04_filtered_count, a05_unique_visitors, b01_timings, b03_limited, d01_window, b04_evictions, d02_daily_counter, d03_periods, d04_epochs, d05_safe_numbers, a20_group_stats, a21_percentiles, a22_weighted_mean, w06_cumulative_share)}
 
 _RECENT = "with r as (select *, cast(ts as date) as day from events where cast(ts as date) >= (select cast(max(ts) as date) from events) - 29)"
 
@@ -119,6 +130,7 @@ _STEPS = """
         with recursive o as (select user_id, event_id, ts, coalesce(value, 0) as value, row_number() over (partition by user_id order by ts, event_id) as k from events where user_id is not null and ts is not null),"""
 
 SQL = {
+    "d01_window": "select min(cast(ts as date)) as first_seen, max(cast(ts as date)) as last_seen, count(*) as n from events where cast(ts as date) >= (select cast(max(ts) as date) - 29 from events)",
     "b03_limited": _STEPS + """
         c as (select user_id, event_id, k, true as admitted, null::timestamp as t1, ts as t2 from o where k = 1
           union all select o.user_id, o.event_id, o.k, a.ok, case when a.ok then c.t2 else c.t1 end, case when a.ok then o.ts else c.t2 end from c join o on o.user_id = c.user_id and o.k = c.k + 1,

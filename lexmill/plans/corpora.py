@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.operators import alignment, corpus
+from lexmill.operators import alignment, annotations, corpus
 from lexmill.operators.ordering import ranked, running
 from lexmill.sources import load, spread
 
@@ -105,6 +105,39 @@ def o08_every_tenth(spark, d):
     return placed.select("doc_id", "work_id", (F.col("place") % 10 == 0).alias("dev"))
 
 
+def o09_place_split(spark, d):
+    """Documents split by their place in the order of ids."""
+    return corpus.split_by_place(load(spark, d, "documents").select("doc_id"), "doc_id", 0.8, 0.1)
+
+
+def o01_most_common(spark, d):
+    """The hundred most common words; ties by spelling."""
+    return _words(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(100)
+
+
+def j15_label_use(spark, d):
+    """Languages of documents by their raw spelling, else by their folded one, with the label that was used."""
+    known = load(spark, d, "subject_seed").where("lang is not null").groupBy(F.col("lang").alias("label")).agg(F.count(F.lit(1)).alias("n_seeds"))
+    names = known.withColumn("target", F.col("label")).drop("n_seeds")
+    mapped = corpus.label_map(load(spark, d, "documents").select("doc_id", F.col("lang").alias("label")), names, names)
+    return mapped.groupBy("label", "target").agg(F.count(F.lit(1)).alias("n"))
+
+
+def w10_repaired(spark, d):
+    """Tags that all claim to go on, with the first of each run mended."""
+    rows = w09_bio(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.regexp_replace("tag", "^B-", "I-").alias("tag")))).alias("t"))
+    fixed = rows.select("doc_id", F.posexplode(corpus.repaired(F.transform("t", lambda x: x.tag))).alias("k", "tag"))
+    return fixed.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def w12_span_texts(spark, d):
+    """Texts of the runs of name words, with their first place among the document's words."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    seq = _words(spark, d).withColumn("k", F.row_number().over(w)).where("is_name").withColumn("g", F.col("k") - F.row_number().over(w))
+    runs = seq.groupBy("doc_id", "g").agg(F.min("k").alias("k"), F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("t"))
+    return runs.select("doc_id", F.lit("NAME").alias("type"), (F.col("k") - 1).alias("start"), F.array_join(F.transform("t", lambda x: x.word), " ").alias("text"))
+
+
 def o10_group_split(spark, d):
     return corpus.group_split(load(spark, d, "documents").select("work_id"), "work_id", 0.1)
 
@@ -115,11 +148,15 @@ def o11_diverse(spark, d):
 
 
 def j18_shared_texts(spark, d):
-    """Held-out texts that stand as whole documents, by hash of their words."""
-    key = lambda c: F.sha2(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")), 256)
-    items = load(spark, d, "heldout_items").select("item_id", key(F.col("text")).alias("k"))
-    docs = _docs(spark, d).select(key(F.col("text")).alias("k")).distinct()
-    return items.join(docs, "k", "left_semi").select("item_id")
+    """Sentences of held-out texts that stand in documents too, by the hash of their words; sentences of under four words are left out."""
+
+    def keyed(df, name):
+        sentences = df.where("text is not null").select(name, F.explode(F.split("text", "[.!?\\n]+")).alias("s"))
+        plain = F.trim(F.lower(F.regexp_replace("s", "[^\\p{L}\\p{N}]+", " ")))
+        return sentences.select(name, plain.alias("plain")).where(F.size(F.split("plain", " ")) >= 4).select(name, F.sha2("plain", 256).alias("k")).distinct()
+
+    items, docs = keyed(load(spark, d, "heldout_items"), "item_id"), keyed(_docs(spark, d), "doc_id").select("k").distinct()
+    return items.join(docs, "k", "left_semi").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
 def u02_shared_surfaces(spark, d):
@@ -134,21 +171,12 @@ def u04_label_union(spark, d):
 
 
 def e01_scores(spark, d):
-    """Precision, recall and F1 per language of a rule that counts articles."""
-    article = {"en": " (the|a) ", "de": " (der|die|das|ein|eine) ", "fr": " (le|la|les|un|une) ", "es": " (el|los|las|una) "}
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), "[^\\p{L}]+", "  "), F.lit(" "))
-    n = {k: F.regexp_count(plain, F.lit(p)) for k, p in article.items()}
-    most = F.greatest(*n.values())
-    guess = F.when(most == 0, "none")
-    for k, x in n.items():
-        guess = guess.when(x == most, k)
-    rows = _docs(spark, d).where(F.lower("lang").isin(*article)).select(F.lower("lang").alias("gold"), guess.alias("pred"))
-    gold = rows.groupBy(F.col("gold").alias("label")).agg(F.count(F.lit(1)).alias("n_gold"), F.count_if(F.col("gold") == F.col("pred")).alias("n_right"))
-    pred = rows.groupBy(F.col("pred").alias("label")).agg(F.count(F.lit(1)).alias("n_pred"))
-    joined = gold.join(pred, "label", "full").na.fill(0)
-    p = F.when(F.col("n_pred") > 0, 100 * F.col("n_right") / F.col("n_pred")).otherwise(0.0)
-    r = F.when(F.col("n_gold") > 0, 100 * F.col("n_right") / F.col("n_gold")).otherwise(0.0)
-    return joined.select("label", "n_gold", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4).alias("f1"))
+    """Names and numbers found by shape, scored against those inside sentences."""
+    rows = annotations.tokens(_docs(spark, d))
+    shape = F.when(F.col("word").rlike("^[0-9]+[.,]?$"), "NUM").when(F.col("word").rlike("^[A-Z][a-z]+"), "NAME")
+    pred = rows.withColumn("label", shape).where("label is not null")
+    gold = pred.where("id > 1 or label = 'NUM'").unionByName(rows.where("word rlike '^[0-9]+[.]?$'").withColumn("label", F.lit("NUM")))
+    return corpus.span_scores(gold, pred, ["doc_id", "start", "stop"], "label")
 
 
 def e02_agreement(spark, d):
@@ -176,7 +204,7 @@ def t09_partition(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (x16_sentences, x17_tokens, x18_search, x22_hashes, x25_truncated, w09_bio, w11_spans, w08_packed, w14_global_tokens, j13_overlap, j14_label_map, o05_allocation, o06_split, o07_crc_split, o08_every_tenth, o10_group_split, o11_diverse, j18_shared_texts, u02_shared_surfaces, u04_label_union, e01_scores, e02_agreement, t08_alignment, t09_partition)
+    for f in (x16_sentences, x17_tokens, x18_search, x22_hashes, x25_truncated, w09_bio, w11_spans, w08_packed, w14_global_tokens, j13_overlap, j14_label_map, o05_allocation, o06_split, o07_crc_split, o08_every_tenth, o09_place_split, o01_most_common, j15_label_use, w10_repaired, w12_span_texts, o10_group_split, o11_diverse, j18_shared_texts, u02_shared_surfaces, u04_label_union, e01_scores, e02_agreement, t08_alignment, t09_partition)
 }
 
 _WORDS = r"""
@@ -188,6 +216,13 @@ w as (select doc_id, cast(pos as integer) as pos, word, regexp_matches(word, '^[
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 SQL = {
+    "o09_place_split": "with r as (select doc_id, row_number() over (order by doc_id) as k, count(*) over () as n from documents) select doc_id, case when k <= floor(n * 0.8) then 'train' when k <= floor(n * 0.8) + floor(n * 0.1) then 'dev' else 'test' end as part from r",
+    "o01_most_common": _WORDS + "select word, count(*) as n from w group by 1 order by n desc, word limit 100",
+    "j15_label_use": "with k as (select distinct lang from subject_seed where lang is not null) select d.lang as label, coalesce(a.lang, b.lang) as target, count(*) as n from documents d left join k a on a.lang = d.lang left join k b on b.lang = lower(trim(d.lang)) where coalesce(a.lang, b.lang) is not null group by 1, 2",
+    "w10_repaired": _WORDS + ", t as (select doc_id, case when not is_name then 'O' when lag(is_name, 1, false) over (partition by doc_id order by pos) then 'I-NAME' else 'B-NAME' end as tag from w) select doc_id, tag, count(*) as n from t group by 1, 2",
+    "w12_span_texts": _WORDS + """
+        , k as (select doc_id, pos, word, is_name, row_number() over (partition by doc_id order by pos) as k from w), g as (select doc_id, word, k, k - row_number() over (partition by doc_id order by pos) as g from k where is_name)
+        select doc_id, 'NAME' as type, min(k) - 1 as start, string_agg(word, ' ' order by k) as text from g group by doc_id, g""",
     "x17_tokens": rf"select doc_id, len(regexp_extract_all(text, '{_TOKEN}')) as n_tokens from documents where text is not null",
     "j13_overlap": rf"""
         with q as (select doc_id, unnest(regexp_extract_all(text, '“[^”]*”|„[^“]*“|«[^»]*»|\([^)]*\)')) as q from documents where text is not null)
@@ -224,17 +259,19 @@ SQL = {
         p as (select *, row_number() over (partition by subject order by turn, lang, seed_id) as place from t where turn <= 10)
         select subject, lang, seed_id, cast(place as integer) as place from p where place <= 10""",
     "j18_shared_texts": r"""
-        select item_id from heldout_items where lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) in (select lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) from documents where text is not null)""",
+        with i as (select item_id, unnest(regexp_split_to_array(text, '[.!?\n]+')) as s from heldout_items where text is not null), d as (select unnest(regexp_split_to_array(text, '[.!?\n]+')) as s from documents where text is not null),
+        p as (select distinct item_id, trim(lower(regexp_replace(s, '[^\p{L}\p{N}]+', ' ', 'g'))) as k from i), q as (select distinct trim(lower(regexp_replace(s, '[^\p{L}\p{N}]+', ' ', 'g'))) as k from d)
+        select item_id, count(*) as n_shared from p where len(string_split(k, ' ')) >= 4 and k in (select k from q) group by 1""",
     "u02_shared_surfaces": "select form_text from forms where form_text is not null intersect select form_text from forms_stage where form_text is not null",
     "u04_label_union": """
         select coalesce(a.subject, b.subject) as subject, coalesce(n_seeds, 0) as n_seeds, case when b.subject is null then 0 else 1 end as listed
         from (select subject, count(*) as n_seeds from subject_seed group by 1) a full join subjects b on a.subject = b.subject""",
     "e01_scores": r"""
-        with n as (select lower(lang) as gold, len(regexp_extract_all(t, ' (the|a) ')) as en, len(regexp_extract_all(t, ' (der|die|das|ein|eine) ')) as de,
-          len(regexp_extract_all(t, ' (le|la|les|un|une) ')) as fr, len(regexp_extract_all(t, ' (el|los|las|una) ')) as es from (select lang, text, ' ' || regexp_replace(lower(text), '[^\p{L}]+', '  ', 'g') || ' ' as t from documents) where text is not null and lower(lang) in ('en', 'de', 'fr', 'es')),
-        p as (select gold, case when greatest(en, de, fr, es) = 0 then 'none' when en = greatest(en, de, fr, es) then 'en' when de = greatest(en, de, fr, es) then 'de' when fr = greatest(en, de, fr, es) then 'fr' else 'es' end as pred from n),
-        g as (select gold as label, count(*) as n_gold, count(*) filter (where gold = pred) as n_right from p group by 1), q as (select pred as label, count(*) as n_pred from p group by 1),
-        j as (select coalesce(g.label, q.label) as label, coalesce(n_gold, 0) as n_gold, coalesce(n_right, 0) as n_right, coalesce(n_pred, 0) as n_pred from g full join q on g.label = q.label),
-        s as (select label, n_gold, case when n_pred > 0 then 100.0 * n_right / n_pred else 0.0 end as p, case when n_gold > 0 then 100.0 * n_right / n_gold else 0.0 end as r from j)
-        select label, n_gold, round(cast(p as double), 4) as precision, round(cast(r as double), 4) as recall, round(cast(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end as double), 4) as f1 from s""",
+        with sp as (select doc_id, string_split(replace(text, chr(10), ' '), ' ') as l from documents where text is not null), u as (select doc_id, unnest(l) as word, unnest(range(len(l))) as pos from sp),
+        p as (select *, coalesce(sum(case when regexp_matches(word, '[.!?]$') then 1 else 0 end) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as sent from u),
+        t as (select *, row_number() over (partition by doc_id, sent order by pos) as id, case when regexp_matches(word, '^[0-9]+[.,]?$') then 'NUM' when regexp_matches(word, '^[A-Z][a-z]+') then 'NAME' end as label from p where word <> ''),
+        g as (select doc_id, pos, label from t where label is not null and (id > 1 or label = 'NUM')), q as (select doc_id, pos, label from t where label is not null),
+        c as (select label, (select count(*) from g where g.label = q.label) as n_gold, count(*) as n_pred, (select count(*) from g where g.label = q.label) as n_right from q group by 1),
+        s as (select label, n_gold, 100.0 * n_right / n_pred as p, case when n_gold > 0 then 100.0 * n_right / n_gold else 0 end as r from c)
+        select label, n_gold, round(cast(p as double), 4) as precision, round(cast(r as double), 4) as recall, round(cast(case when p + r > 0 then 2 * p * r / (p + r) else 0 end as double), 4) as f1 from s""",
 }

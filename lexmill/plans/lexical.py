@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import exprs, normalize
-from lexmill.operators import fuzzy, lexicon, prune, segmentation
+from lexmill.operators import display, fuzzy, lexicon, prune, segmentation
 from lexmill.plans import sqltext
 from lexmill.sources import cut, load, spread
 
@@ -27,6 +27,72 @@ def f02_gloss_buckets(spark, d):
     return lexicon.cut_entries(load(spark, d, "entries")).groupBy("db", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def f01_glosses(spark, d):
+    """The glosses of every entry, of any stored shape."""
+    return spread(load(spark, d, "entries").select("id", "glosses")).select("id", F.explode(prune.glosses(F.col("glosses"))).alias("gloss"))
+
+
+def f03_entry_cuts(spark, d):
+    return lexicon.cut_entries(load(spark, d, "entries")).select("id", "reason")
+
+
+def f06_always_kept(spark, d):
+    return _occurrences(spark, d).where(prune.always_kept(F.col("tags"))).select("id")
+
+
+def u03_disjoint(spark, d):
+    """Forms that share no script with their headword."""
+    return _occurrences(spark, d).where(prune.disjoint_scripts(F.coalesce("form_text", F.lit("")), F.coalesce("headword", F.lit("")))).select("id")
+
+
+def x08_stems(spark, d):
+    """Stems of Korean verbs and adjectives."""
+    rows = load(spark, d, "entries").where(exprs.lang_of(F.col("db")) == "ko").select("id", "headword", "pos")
+    return rows.select("id", "headword", "pos", normalize.korean_stems(F.col("headword"), F.col("pos")).alias("stem")).where("stem <> ''").select("id", "stem")
+
+
+def x03_letter_folds(spark, d):
+    """Headwords with the letters of their language folded."""
+    folded = normalize.letter_folds(F.col("headword"), exprs.lang_of(F.col("db")))
+    return load(spark, d, "entries").where("headword is not null").select("id", folded.alias("folded"))
+
+
+def x04_without_marks(spark, d):
+    """Headwords without the marks of their script."""
+    bare = normalize.mark_strips(F.col("headword"), exprs.lang_of(F.col("db")))
+    return load(spark, d, "entries").where("headword is not null").select("id", bare.alias("bare"))
+
+
+def x02_without_rules(spark, d):
+    """How many keys change when rules are switched off."""
+    texts = load(spark, d, "entries").where("headword <> ''").select("headword", exprs.lang_of(F.col("db")).alias("lang")).distinct()
+    keys = [normalize.key_column(F.col("headword"), F.col("lang"), off) for off in ((), ("turkish_case", "arabic_letters", "ancient_greek", "persian_letters"))]
+    return spread(texts).select("lang", keys[0].alias("a"), keys[1].alias("b")).groupBy("lang").agg(F.count_if(F.col("a") != F.col("b")).alias("n_changed"))
+
+
+def j02_hydrated(spark, d):
+    """Surface references with the columns of their entry and matched form."""
+    entries, forms = _store(spark, d)
+    words = load(spark, d, "forms_stage").select(F.col("form_text").alias("word")).unionByName(entries.select(F.col("lemma").alias("word")))
+    return lexicon.hydrate(display.surface_refs(words, entries, forms), entries, forms).select("word", "ref_key", "headword", "pos", "lemma", "matched_form", "matched_tags")
+
+
+def u01_stores(spark, d):
+    """Headwords found in both stores, the entries and the custom ones, in one list."""
+    own = load(spark, d, "entries").where("headword <> ''").select(F.lit("entries").alias("store"), exprs.lang_of(F.col("db")).alias("lang"), "headword", "id", "pos")
+    custom = load(spark, d, "custom_dict_entries").where("headword <> ''").select(F.lit("custom").alias("store"), F.lower(F.trim("language")).alias("lang"), "headword", "id", "pos")
+    return own.unionByName(custom)
+
+
+def t02_bounded(spark, d):
+    """Headwords with hyphens or spaces, cut into keys that may not cross them; the lemma is a hint."""
+    entries, _ = _store(spark, d)
+    lang = exprs.lang_of(F.col("db"))
+    places = F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.length("headword")), lambda i: F.substring("headword", i, 1).rlike("[ -]")), lambda i: F.array(i - 1, i))).cast("array<int>")
+    words = entries.where("headword rlike '[^ -][ -]+[^ -]'").select(lang.alias("lang"), F.col("headword").alias("word"), places.alias("bounds"), F.array_compact(F.array("lemma")).alias("hints"))
+    return segmentation.segmented(words, entries.where("headword_key <> ''").select(lang.alias("lang"), F.col("headword_key").alias("key")))
+
+
 def f05_folded_tags(spark, d):
     folded = load(spark, d, "entries").select("id", F.posexplode(prune.folded_tags(F.col("tags"))).alias("k", "tag"))
     return folded.select("id", (F.col("k") + 1).alias("place"), "tag")
@@ -200,9 +266,10 @@ def j10_lemma_agreement(spark, d):
 
 
 def j12_redirects(spark, d):
-    """Glosses that name a variant resolved to the entry of that headword; self-redirects are skipped."""
+    """Entries that name another as their lemma, or in a gloss as a variant, resolved to the entry of that headword; self-redirects are skipped."""
     entries = load(spark, d, "entries")
-    variants = entries.select("id", "db", F.regexp_extract("glosses", "variant of ([^\\s\";|,.]+)", 1).alias("target")).where("target <> ''")
+    told = F.array(F.regexp_extract("glosses", "variant of ([^\\s\";|,.]+)", 1), F.trim("lemma"))
+    variants = entries.select("id", "db", F.explode(F.array_distinct(F.array_compact(told))).alias("target")).where("target <> ''")
     heads = entries.where("headword <> ''").groupBy("db", F.col("headword").alias("target")).agg(F.min("id").alias("target_id"))
     return variants.join(heads, ["db", "target"]).where("id <> target_id").select("id", "db", "target", "target_id")
 
@@ -262,7 +329,7 @@ def j19_hits(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        f02_gloss_buckets, f05_folded_tags, f07_tag_cuts, f08_text_cuts, f09_word_counts, f10_edge_hyphens, f11_zero_overlap, f12_occurrence_cuts,
+        f01_glosses, f02_gloss_buckets, f03_entry_cuts, f06_always_kept, u03_disjoint, x08_stems, x03_letter_folds, x04_without_marks, x02_without_rules, j02_hydrated, u01_stores, t02_bounded, f05_folded_tags, f07_tag_cuts, f08_text_cuts, f09_word_counts, f10_edge_hyphens, f11_zero_overlap, f12_occurrence_cuts,
         f13_fanout, f14_bucket_reason, f15_exact_lists, f17_pos_groups, f19_preferred_pos, f21_tag_contains, f22_unshared_chars, f23_extra_rules,
         f24_of_targets, f25_relation_only, f26_pos_buckets, f27_importable, w01_survivors, w02_form_hits, w04_canonical_first, w05_keeper,
         j01_forms_entries, j04_tag_or_headword, j05_notes, j07_suffixed_twins, j08_missing_heads, j09_stage_insert, j10_lemma_agreement, j12_redirects,

@@ -34,6 +34,16 @@ def v03_mutual_knn(spark, d):
     return vectors.mutual(vectors.near_centres(spark, _tags(spark, d), "label", 3)).withColumn("w", F.round("w", 6))
 
 
+def j16_similar_pairs(spark, d):
+    """Pairs of label centres from a similarity on."""
+    return vectors.near_centres(spark, _tags(spark, d), "label", None, 0.05).where("a < b").select("a", "b", F.round("w", 6).alias("w"))
+
+
+def j17_mutual_nearest(spark, d):
+    """Label centres that are each other's nearest."""
+    return vectors.mutual(vectors.near_centres(spark, _tags(spark, d), "label", 1)).withColumn("w", F.round("w", 6))
+
+
 def v04_communities(spark, d):
     t = _tags(spark, d)
     place = {int(x): k for k, x in enumerate(t["label"])}
@@ -192,7 +202,7 @@ def u05_families(spark, d):
     return vectors.components(edges).select(F.col("node").alias("id"), F.col("component").alias("family"))
 
 
-QUERIES = {f.__name__: f for f in (o02_top_similar, v01_centroids, v02_tag_cosines, v03_mutual_knn, v04_communities, v05_metrics, v06_grid, v10_gated_groups, v11_snowball, v13_balanced, v16_adjacency, v19_names, v20_sweep, v07_assigned, v07_gated, v08_seed_groups, v09_merged_groups, v12_kmeans, v14_tfidf, v14_ngram_cosines, v15_jaccard, v15_jaccard_pairs, v17_cooccurrence, v18_rotation, v18_lexicon, u05_families)}
+QUERIES = {f.__name__: f for f in (o02_top_similar, v01_centroids, v02_tag_cosines, v03_mutual_knn, j16_similar_pairs, j17_mutual_nearest, v04_communities, v05_metrics, v06_grid, v10_gated_groups, v11_snowball, v13_balanced, v16_adjacency, v19_names, v20_sweep, v07_assigned, v07_gated, v08_seed_groups, v09_merged_groups, v12_kmeans, v14_tfidf, v14_ngram_cosines, v15_jaccard, v15_jaccard_pairs, v17_cooccurrence, v18_rotation, v18_lexicon, u05_families)}
 
 _UNIT = """
 with u as (select vec_id, label, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * y)))) as v from embeddings),
@@ -207,6 +217,8 @@ _NEAREST = _UNIT + """, s as (select vec_id as id, l.label, round(list_cosine_si
         a as (select id, label, cosine from (select *, row_number() over (partition by id order by cosine desc, label) as k from s) where k = 1)"""
 
 SQL = {
+    "j16_similar_pairs": _NEAR + " select a, b, round(w, 6) as w from s where a < b and w >= 0.05",
+    "j17_mutual_nearest": _NEAR + " select x.a, x.b, round(x.w, 6) as w from r x join r y on x.a = y.b and x.b = y.a where x.k = 1 and y.k = 1 and x.a < x.b",
     "v05_metrics": _UNIT + """, s as (select u.vec_id, u.label, l.label as other, list_cosine_similarity(u.v, l.v) as c from u, l),
         m as (select vec_id, label, max(c) filter (where other = label) as own, max(c) filter (where other = label) - max(c) filter (where other <> label) as margin from s where label is not null group by 1, 2),
         g as (select label, count(*) as n from m group by 1)

@@ -10,6 +10,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+from lexmill.functions import normalize
 from lexmill.operators import prune
 
 WS = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -133,7 +134,7 @@ def text_cut(db: str, s: str) -> str:
         (f"{s} = ''", "blank"),
         (f"regexp_matches({s}, '{prune.ALTERNATION_LABEL}')", "alternation_label"),
         (f"{code} and {s} <> '' and regexp_matches({s}, '{_re(prune.ROMAN_NUMERAL)}')", "roman_numeral"),
-        (f"{code} and regexp_matches({s}, '^(?:{'|'.join(prune.CLASS_CODES)})$')", "class_code"),
+        (f"{code} and regexp_matches({s}, '^(?:{'|'.join(prune.CLASS_CODES.values())})$')", "class_code"),
         (f"regexp_matches({s}, '{prune.BROKEN_TEMPLATE}') or {unbalanced}", "template_leak"),
         (f"{word_count(s)} >= 4 and regexp_matches({s}, '[A-Za-z]') and (regexp_matches({s}, '{prune.PROSE_HINT}') or regexp_matches({s}, '[.:]'))", "english_prose"),
         (hebrew, "hebrew_placeholder"),
@@ -170,6 +171,15 @@ cr as (select db, form_text from ca group by 1, 2 having count(distinct survivor
 hits as (select db, form_text, survivor_id as entry_id, form_id, 'always' as kept_as from ju where keep
   union all select db, form_text, survivor_id, form_id, 'candidate' from ca where not exists (select 1 from cr where cr.db is not distinct from ca.db and cr.form_text = ca.form_text))"""
 
+LANG = f"lower(split_part({strip('db')}, '-', 1))"
+
+
+def _replaced(x: str, letters: dict[str, str]) -> str:
+    for a, b in letters.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 _CHARS = "list_distinct(string_split(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g'), ''))"
 _ROMANISED = "len(list_filter(tags, lambda t: regexp_matches(t, 'romani[sz]ation|transliteration'))) > 0"
 _EDGE = "(regexp_matches(f, '^-|-$') and not regexp_matches(h, '^-|-$'))"
@@ -195,8 +205,20 @@ LEXICAL = {
     "f25_relation_only": rf"with {GLOSSES} select id, db from gl group by 1, 2 having bool_and(regexp_matches(gloss, '{prune.RELATION_GLOSS}'))",
     "w01_survivors": f"with {SURVIVORS} select id, survivor_id from sv",
     "w02_form_hits": f"{_HITS} select * from hits",
-    "j12_redirects": r"""with v as (select id, db, regexp_extract(glosses, 'variant of ([^\s";|,.]+)', 1) as target from entries), h as (select db, headword as target, min(id) as target_id from entries where headword <> '' group by 1, 2)
+    "j12_redirects": r"""with v as (select distinct id, db, unnest([regexp_extract(glosses, 'variant of ([^\s";|,.]+)', 1), trim(lemma)]) as target from entries), h as (select db, headword as target, min(id) as target_id from entries where headword <> '' group by 1, 2)
         select v.id, v.db, v.target, target_id from v join h on h.db = v.db and h.target = v.target where v.target <> '' and v.id <> target_id""",
+    "f01_glosses": f"with {GLOSSES} select id, gloss from gl",
+    "f03_entry_cuts": f"with {CUTS} select id, reason from cuts",
+    "f06_always_kept": f"with {OCCURRENCES} select id from occ where {always_kept('tags')}",
+    "u03_disjoint": f"with {OCCURRENCES} select id from ocs where {no_common_script('fs', 'hs')}",
+    "x08_stems": "select id, trim(substr(trim(headword), 1, length(trim(headword)) - 1)) as stem from entries where (db = 'ko' or db like 'ko-%') and lower(trim(pos)) in ('verb', 'adj') and trim(headword) like '%다' and length(trim(headword)) > 1",
+    "x03_letter_folds": f"select id, case {LANG} " + " ".join(f"when '{g}' then {_replaced('headword', letters)}" for g, letters in normalize.FOLDS.items()) + " else headword end as folded from entries where headword is not null",
+    "x04_without_marks": f"select id, case {LANG} " + " ".join(f"when '{g}' then regexp_replace(headword, '[{marks}]', '', 'g')" for g, marks in normalize.MARKS.items()) + " else headword end as bare from entries where headword is not null",
+    "u01_stores": f"select 'entries' as store, {LANG} as lang, headword, id, pos from entries where headword <> '' union all select 'custom', lower(trim(language)), headword, id, pos from custom_dict_entries where headword <> ''",
+    "j02_hydrated": """with a as (select form_text as word from forms_stage where form_text <> '' union select lemma from entries where lemma <> ''),
+        m as (select a.word, e.db, e.id as entry_id, 0 as form_id from a join entries e on e.headword = a.word union all select a.word, e.db, e.id, f.id from a join forms f on f.form_text = a.word join entries e on e.id = f.entry_id),
+        r as (select word, db, entry_id, min(form_id) as form_id from m group by 1, 2, 3)
+        select r.word, concat_ws('|', 'sqlite', r.db, r.entry_id, case when r.form_id > 0 then r.form_id end) as ref_key, e.headword, e.pos, e.lemma, f.form_text as matched_form, f.morph_tags as matched_tags from r join entries e on e.id = r.entry_id left join forms f on f.id = r.form_id""",
 }
 
 AUDITS = {

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.operators import annotations, corpus
 from lexmill.sources import files, load
 from lexmill.sources.tables import ensure_checkpoint_dir
 from lexmill.streaming import events
@@ -85,6 +86,65 @@ def s19_texts(spark, d):
     return load(spark, d, "documents").where("text is not null").select("doc_id", files.plain_text(page).alias("text"))
 
 
+def _annotated(spark, d) -> DataFrame:
+    rows = annotations.tokens(load(spark, d, "documents")).where("word <> '_'")
+    label = F.when(F.col("word").rlike("^[0-9]+[.,]?$"), "B-NUM").otherwise("O")
+    return rows.select(F.concat_ws("-", "doc_id", "sent").alias("sent_id"), "id", F.col("word").alias("form"), F.when(F.col("id") == 1, 0).otherwise(F.col("id") - 1).alias("head"), label.alias("label"))
+
+
+def s13_bio_round_trip(spark, d):
+    """Labelled tokens written as blocks and read again: label histogram of the valid sentences."""
+    path = _folder(spark, "docs.bio")
+    files.write_bio(_annotated(spark, d), path)
+    return files.read_bio(spark, path).where("valid").select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def s15_parquet_conllu(spark, d):
+    """A token table in Parquet written as CoNLL-U and read again."""
+    table, path = _folder(spark, "tokens"), _folder(spark, "tokens.conllu")
+    _annotated(spark, d).write.parquet(table)
+    files.write_conllu(spark.read.parquet(table), path)
+    return files.read_conllu(spark, path).select("sent_id", F.col("id").cast("bigint").alias("id"), "form", F.col("head").cast("bigint").alias("head"))
+
+
+def s16_vectors(spark, d):
+    """Vectors written as text and read for the words of two labels."""
+    rows = load(spark, d, "embeddings").where("embedding is not null")
+    path = _folder(spark, "words.vec")
+    rows.select(F.concat_ws(" ", F.col("vec_id").cast("string"), F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), " "))).write.text(path)
+    back = files.read_vec(spark, path, rows.where("label in (1, 2)").select(F.col("vec_id").cast("string").alias("word")))
+    return back.select(F.col("word").cast("bigint").alias("vec_id"), F.posexplode("v").alias("k", "x")).select("vec_id", "k", F.round("x", 5).alias("x"))
+
+
+def s17_gzip_tsv(spark, d):
+    """A gzip TSV dictionary read again."""
+    path = _folder(spark, "dictionary.tsv")
+    files.write_tsv(load(spark, d, "entries").select("headword", "pos"), path, compression="gzip")
+    return files.read_tsv(spark, path).select(F.coalesce("headword", F.lit("")).alias("headword"), F.coalesce("pos", F.lit("")).alias("pos")).groupBy("headword", "pos").agg(F.count(F.lit(1)).alias("n"))
+
+
+def k05_report(spark, d):
+    """A report with a fixed header, written and read."""
+    path = _folder(spark, "report.tsv")
+    files.write_tsv(load(spark, d, "entries").groupBy("db", "pos").agg(F.count(F.lit(1)).alias("n")), path)
+    return files.read_tsv(spark, path, ["db", "pos", "n"]).select("db", F.coalesce("pos", F.lit("")).alias("pos"), F.col("n").cast("bigint").alias("n")).groupBy("db", "pos").agg(F.sum("n").alias("n"))
+
+
+def k06_spans(spark, d):
+    """Documents with the spans of their quotes as JSON lines, written and read."""
+    path = _folder(spark, "spans")
+    docs = load(spark, d, "documents").where("text is not null")
+    files.write_spans(docs.select("doc_id", "text", corpus.matches_of(F.col("text"), corpus.QUOTES).alias("spans")), path)
+    return files.read_spans(spark, path).select("doc_id", F.length("text").alias("n_chars"), F.size("spans").alias("n_spans"))
+
+
+def k07_exported(spark, d):
+    """Custom entries of one source as TSV, read again."""
+    path = _folder(spark, "assistant.tsv")
+    files.exported(load(spark, d, "custom_dict_entries"), "assistant", path)
+    return files.read_tsv(spark, path).select(F.col("id").cast("bigint").alias("id"), "key", F.coalesce("headword", F.lit("")).alias("headword"))
+
+
 def k01_store(spark, d):
     path = _folder(spark, "store")
     files.write_store(load(spark, d, "entries").select("id", "db", "headword"), path)
@@ -148,7 +208,7 @@ def str_limited(spark, d):
     return events.drained(events.limited(_stream(spark, d), 2, 3600.0))
 
 
-QUERIES = {f.__name__: f for f in (s01_tsv_round_trip, s02_unified, s05_sources, s07_refs, s08_dump, s08_lines, s08_forms, s09_first_lines, s12_conllu_round_trip, s14_pruned_scan, s19_sanitized, s19_texts, k01_store, k03_inserted, k03_inserted_forms, k04_index, k08_replaced, k08_replaced_all, b05_newest, str_windows, str_sessions, str_limited)}
+QUERIES = {f.__name__: f for f in (s01_tsv_round_trip, s02_unified, s05_sources, s07_refs, s08_dump, s08_lines, s08_forms, s09_first_lines, s12_conllu_round_trip, s13_bio_round_trip, s15_parquet_conllu, s16_vectors, s17_gzip_tsv, k05_report, k06_spans, k07_exported, s14_pruned_scan, s19_sanitized, s19_texts, k01_store, k03_inserted, k03_inserted_forms, k04_index, k08_replaced, k08_replaced_all, b05_newest, str_windows, str_sessions, str_limited)}
 
 _DUMP = r"""        with o as (select rec_id, cast(raw as json) as j from (select * from kaikki_raw where json_valid(raw) and trim(raw) <> '') where json_type(raw) = 'OBJECT'),
         w as (select rec_id, j, trim(j->>'$.word') as word from o where json_type(j, '$.word') = 'VARCHAR' and trim(j->>'$.word') <> '')"""
@@ -165,7 +225,20 @@ _FORMS = r""",
         fo as (select rec_id, k, trim(coalesce(f->>'$.form', '')) as form, json_type(f, '$.tags') as t, list_filter(coalesce(json_extract_string(f, '$.tags[*]'), []), lambda x: x is not null) as tags, len(coalesce(json_extract(f, '$.tags[*]'), [])) as m, coalesce(f->>'$.roman', '') as roman from f where json_type(f) = 'OBJECT'),
         fk as (select * from fo where form <> '' and coalesce(t, 'NULL') in ('ARRAY', 'NULL') and not (m = 1 and tags = ['romanization']) and not list_has_any(tags, ['table-tags', 'inflection-template']))"""
 
+_TK = r"""
+        with sp as (select doc_id, string_split(replace(text, chr(10), ' '), ' ') as l from documents where text is not null), u as (select doc_id, unnest(l) as word, unnest(range(len(l))) as pos from sp),
+        p as (select *, cast(coalesce(sum(case when regexp_matches(word, '[.!?]$') then 1 else 0 end) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as bigint) as sent from u),
+        t as (select doc_id || '-' || sent as sent_id, row_number() over (partition by doc_id, sent order by pos) as id, word from p where word <> '')"""
+
 SQL = {
+    "s13_bio_round_trip": _TK + " select case when regexp_matches(word, '^[0-9]+[.,]?$') then 'B-NUM' else 'O' end as label, count(*) as n from t where word <> '_' group by 1",
+    "s15_parquet_conllu": _TK + " select sent_id, id, word as form, case when id = 1 then 0 else id - 1 end as head from t where word <> '_'",
+    "s16_vectors": """with u as (select vec_id, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * y)))) as v from embeddings where label in (1, 2) and embedding is not null)
+        select vec_id, unnest(range(len(v))) as k, round(unnest(v), 5) + 0 as x from u""",
+    "s17_gzip_tsv": r"select regexp_replace(coalesce(headword, ''), '[\t\r\n]', ' ', 'g') as headword, regexp_replace(coalesce(pos, ''), '[\t\r\n]', ' ', 'g') as pos, count(*) as n from entries group by 1, 2",
+    "k05_report": "select db, coalesce(pos, '') as pos, count(*) as n from entries group by 1, 2",
+    "k06_spans": r"select doc_id, length(text) as n_chars, len(regexp_extract_all(text, '“[^”]*”|„[^“]*“|«[^»]*»|\([^)]*\)')) as n_spans from documents where text is not null",
+    "k07_exported": "select id, entry_id as key, coalesce(headword, '') as headword from custom_dict_entries where lower(trim(source)) = 'assistant'",
     "s01_tsv_round_trip": r"select id, regexp_replace(coalesce(headword, ''), '[\t\r\n]', ' ', 'g') as headword, regexp_replace(coalesce(pos, ''), '[\t\r\n]', ' ', 'g') as pos from entries",
     "s02_unified": "select pos, count(headword) as n_headwords, count(romanization) as n_romanized, cast(0 as bigint) as n_lemmas from custom_dict_entries group by pos",
     "s05_sources": "select db, count(*) as n from entries where db = 'ja' or db like 'ja-%' group by db",

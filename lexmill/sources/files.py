@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import json
+import zipfile
 from html import escape
 from html.parser import HTMLParser
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lexmill.sources.tables import spread
 
+MOST_WORDS = 1_000_000
 COMPACT = ["headword", "romanization", "pos", "glosses", "forms", "commentary", "lemma", "etymology", "source", "tags"]
 # Fixed value: legacy column names and what they are called now.
 LEGACY = {"word": "headword", "reading": "romanization", "part_of_speech": "pos", "definitions": "glosses", "notes": "commentary"}
@@ -151,6 +154,54 @@ def read_bio(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select(F.transform(lines, lambda x: F.regexp_extract(x, "^(\\S+)", 1)).alias("tokens"), labels.alias("labels"), F.forall(labels, lambda x: x.rlike("^(O|[BIES]-\\S+)$")).alias("valid"))
 
 
+def write_bio(tokens: DataFrame, path: str) -> None:
+    """Tokens (sent_id, id, form, label) as ``token label`` blocks."""
+    lines = tokens.select("sent_id", F.struct(F.col("id").cast("int").alias("o"), F.concat_ws(" ", "form", "label").alias("line")).alias("r"))
+    blocks = lines.groupBy("sent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n").alias("value"))
+    blocks.select("value").write.mode("overwrite").option("lineSep", "\n\n").text(path)
+
+
+def write_spans(spans: DataFrame, path: str) -> None:
+    """Documents (doc_id, text) with their spans (start, end, label) as JSON lines, one document each."""
+    spans.select(F.to_json(F.struct("doc_id", "text", "spans")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_spans(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path, schema="doc_id bigint, text string, spans array<struct<start:int,end:int,label:string>>")
+
+
+def exported(entries: DataFrame, source: str, path: str) -> None:
+    """Custom entries of one source in the compact column set, sorted by id over the files."""
+    rows = entries.where(F.lower(F.trim("source")) == source).select("id", F.col("entry_id").alias("key"), "headword", "romanization", "pos", F.col("glosses_json").alias("glosses"), F.col("forms_json").alias("forms"), "commentary", "lemma", "source")
+    write_tsv(rows.repartitionByRange("id").sortWithinPartitions("id"), path)
+
+
+def read_zipped_vec(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
+    """``read_vec`` of ``.vec`` files inside zip archives (S16): one task per archive reads it as a stream and keeps the lines of the
+    words wanted, a set whose size is checked."""
+    wanted = [r.word for r in words.select("word").where("word is not null").distinct().limit(MOST_WORDS + 1).collect()]
+    if len(wanted) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words; unpack the archive and use read_vec")
+    given = spark.sparkContext.broadcast(frozenset(wanted))
+
+    def run(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                out = []
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in sorted(n for n in z.namelist() if n.endswith(".vec")):
+                        with io.TextIOWrapper(z.open(name), encoding="utf-8", errors="replace") as lines:
+                            for line in lines:
+                                word, _, rest = line.rstrip("\n").partition(" ")
+                                if word in given.value and " " in rest:
+                                    out.append((word, [float(x) for x in rest.split()]))
+                yield pd.DataFrame(out, columns=["word", "v"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "word string, v array<double>")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return rows.select("word", F.transform("v", lambda x: x / norm).alias("v"))
+
+
 def read_vec(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
     """Vectors of a ``.vec`` text file for the given words, scaled to length one."""
     cells = F.split("value", " ")
@@ -248,10 +299,10 @@ def write_store(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("db").parquet(path)
 
 
-def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
+def write_tsv(df: DataFrame, path: str, header: bool = True, compression: str = "none") -> None:
     """A tab-separated report (K05, K07); tabs and line feeds in values become spaces."""
     plain = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[\\t\\r\\n]", " ").alias(c) for c in df.columns]
-    df.select(*plain).write.mode("overwrite").csv(path, sep="\t", header=header, quote="", escape="", emptyValue="", compression="none", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    df.select(*plain).write.mode("overwrite").csv(path, sep="\t", header=header, quote="", escape="", emptyValue="", compression=compression, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_conllu(tokens: DataFrame, path: str) -> None:
