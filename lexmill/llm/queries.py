@@ -81,6 +81,16 @@ def p7_counts(spark, d):
     return reduce(DataFrame.unionByName, [df.select(F.lit(field).alias("field"), "term", "occurrences", "records") for field, df in parts])
 
 
+def p7_pos(spark, d):
+    """Every part of speech with its counts."""
+    return _pos_counts(spark, d).select("term", "occurrences", "records")
+
+
+def p7_audit(spark, d):
+    """Every audit tag with its counts; records are dictionaries."""
+    return _audit_counts(spark, d).select("term", "occurrences", "records")
+
+
 def p8_found(spark, d):
     return leakage.found(load(spark, d, "documents"), load(spark, d, "heldout_items"))
 
@@ -111,5 +121,11 @@ def p10_make_up(spark, d):
     return subjects.make_up(load(spark, d, "documents"), load(spark, d, "subject_seed"), load(spark, d, "subjects"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p1_by_source, p2_found, p2_canonical, p2_lookups, p7_found, p7_counts, p8_found, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_make_up)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p1_by_source, p2_found, p2_canonical, p2_lookups, p7_found, p7_counts, p7_pos, p7_audit, p8_found, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_make_up)}
+#: Width and case folding of the values in these tables, which hold no other compatibility characters than full-width ones.
+_WIDE, _PLAIN = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", "".join(map(chr, range(0x21, 0x7F))).replace("'", "''") + " "
+_FOLDED = f"trim(lower(translate({{0}}, '{_WIDE}', '{_PLAIN}')))"
+SQL: dict[str, str] = {
+    "p7_pos": f"select term, count(*) as occurrences, count(*) as records from (select {_FOLDED.format('pos')} as term from entries) where term <> '' group by 1",
+    "p7_audit": f"""select term, cast(sum(n) as bigint) as occurrences, count(distinct db) as records from (select {_FOLDED.format('form_tag')} as term, coalesce(occurrence_count, 0) as n, coalesce(db, '') as db from form_tags_flat) where term <> '' group by 1""",
+}
