@@ -127,15 +127,17 @@ def packed(sizes: Column, budget: int) -> Column:
     return F.aggregate(sizes, start, step)["out"]
 
 
-def label_map(labels: DataFrame, exact: DataFrame, coarse: DataFrame) -> DataFrame:
-    """Labels mapped by their exact name, else by their coarse part, else dropped.
+def label_map(labels: DataFrame, maps: list[tuple[DataFrame, Column]]) -> DataFrame:
+    """Labels mapped by the first of several maps that knows them, else dropped.
 
-    Maps have (label, target); Spark broadcasts them while they are small.
+    Each map has (label, target) and comes with the key that is looked up in it: the label itself, its folded form, a coarse
+    part of it. Spark broadcasts maps while they are small.
     """
-    e = exact.select("label", F.col("target").alias("t1"))
-    c = coarse.select(F.col("label").alias("_c"), F.col("target").alias("t2"))
-    keyed = labels.withColumn("_c", F.lower(F.trim("label")))
-    return keyed.join(e, "label", "left").join(c, "_c", "left").withColumn("target", F.coalesce("t1", "t2")).where("target is not null").drop("_c", "t1", "t2")
+    out, targets = labels, []
+    for k, (known, key) in enumerate(maps):
+        out = out.withColumn(f"_k{k}", key).join(known.select(F.col("label").alias(f"_k{k}"), F.col("target").alias(f"_t{k}")), f"_k{k}", "left")
+        targets.append(f"_t{k}")
+    return out.withColumn("target", F.coalesce(*targets)).where("target is not null").select(*labels.columns, "target")
 
 
 def allocation(sizes: DataFrame, group: str, n: str, total: int) -> DataFrame:

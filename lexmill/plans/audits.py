@@ -36,6 +36,13 @@ def a09_tag_combinations(spark, d):
     return audit.tag_combinations(load(spark, d, "forms"), F.filter(F.split("morph_tags", ";"), lambda t: t != ""))
 
 
+def a09_tag_samples(spark, d):
+    """Tags by dictionary with their frequency and up to five surfaces."""
+    tags = load(spark, d, "forms").select("db", "form_text", F.explode(F.filter(F.split("morph_tags", ";"), lambda t: t != "")).alias("tag"))
+    counts = tags.groupBy("db", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(audit.sampled_values(tags, ["db", "tag"], "form_text", 5), ["db", "tag"], "left")
+
+
 def a10_pos(spark, d):
     return load(spark, d, "entries").groupBy("pos").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "pos")
 
@@ -57,23 +64,29 @@ def a13_examples(spark, d):
 
 
 def a14_collapsed(spark, d):
+    """Surfaces over all dictionaries: most rows and entries in one, dictionaries, and up to five entries."""
     forms = load(spark, d, "forms").where("form_text <> ''")
     pairs = forms.groupBy("form_text", "db").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("entry_id").alias("n_entries"))
-    return pairs.groupBy("form_text").agg(F.max("n").alias("most_rows"), F.max("n_entries").alias("most_entries"), F.count(F.lit(1)).alias("n_dbs")).where("n_dbs > 1 or most_rows > 5")
+    whole = pairs.groupBy("form_text").agg(F.max("n").alias("most_rows"), F.max("n_entries").alias("most_entries"), F.count(F.lit(1)).alias("n_dbs"), F.array_join(F.array_sort(F.collect_set("db")), "|").alias("dbs")).where("n_dbs > 1 or most_rows > 5")
+    return whole.join(audit.sampled_values(forms.select("form_text", "entry_id"), ["form_text"], "entry_id", 5), "form_text", "left")
 
 
 def a15_tag_shares(spark, d):
-    counts = load(spark, d, "documents").where("source is not null").groupBy(F.lower(F.trim("source")).alias("source"), F.lower("lang").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    return audit.ranked_share(counts, "source", "n")
+    """Percentages of the tags of each language."""
+    tags = load(spark, d, "forms").select(exprs.lang_of(F.col("db")).alias("lang"), F.explode(F.split("morph_tags", ";")).alias("t")).select("lang", F.lower(F.trim("t")).alias("tag")).where("tag <> ''")
+    return audit.ranked_share(tags.groupBy("lang", "tag").agg(F.count(F.lit(1)).alias("n")), "lang", "n")
 
 
 def a16_review(spark, d):
-    """Per (token, tag): rows, entries and the three most used entries."""
+    """Per (token, tag, lemma): rows, entries, the twelve most used entries, and how often each part of speech stands there."""
+    known = load(spark, d, "entries").select(F.col("id").alias("entry_id"), F.coalesce("lemma", F.lit("")).alias("lemma"), F.lower(F.trim("pos")).alias("upos"))
     tagged = load(spark, d, "forms_stage").where("form_text is not null and morph_tags <> ''").select("form_text", F.explode(F.split("morph_tags", ";")).alias("tag"), "entry_id")
-    by_entry = tagged.groupBy("form_text", "tag", "entry_id").agg(F.count(F.lit(1)).alias("n"))
-    top = top_per_group(by_entry.where("entry_id is not null"), ["form_text", "tag"], [F.desc("n"), "entry_id"], 3)
-    shown = top.groupBy("form_text", "tag").agg(F.array_sort(F.collect_list(F.struct("place", "entry_id"))).alias("t")).select("form_text", "tag", F.array_join(F.transform("t", lambda x: x["entry_id"].cast("string")), ",").alias("top"))
-    return by_entry.groupBy("form_text", "tag").agg(F.sum("n").alias("n"), F.count("entry_id").alias("n_entries")).join(shown, ["form_text", "tag"], "left")
+    key = ["form_text", "tag", "lemma"]
+    by_entry = tagged.groupBy("form_text", "tag", "entry_id").agg(F.count(F.lit(1)).alias("n")).join(known, "entry_id", "left").na.fill({"lemma": ""})
+    top = top_per_group(by_entry.where("entry_id is not null"), key, [F.desc("n"), "entry_id"], 12)
+    shown = top.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "entry_id"))).alias("t")).select(*key, F.array_join(F.transform("t", lambda x: x["entry_id"].cast("string")), ",").alias("top"))
+    kinds = by_entry.where("upos is not null").groupBy(*key, "upos").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("upos", "n"))), lambda x: F.concat_ws("=", x.upos, x.n)), ";").alias("kinds"))
+    return by_entry.groupBy(*key).agg(F.sum("n").alias("n"), F.count("entry_id").alias("n_entries")).join(shown, key, "left").join(kinds, key, "left")
 
 
 def a23_top_unigrams(spark, d):
@@ -129,7 +142,7 @@ def f04_scripts(spark, d):
     return rows.select("db", F.explode("s").alias("script")).groupBy("db", "script").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (a06_high_fanout, a07_duplicates, a08_deduped_fanout, a09_tag_combinations, a10_pos, a11_ngrams, a12_tag_master, a13_examples, a14_collapsed, a15_tag_shares, a16_review, a23_top_unigrams, a25_scripts, a26_offsets, a27_marks, o04_sample, w03_kept, w13_fanout_order, w13_fanout_places, f04_scripts)}
+QUERIES = {f.__name__: f for f in (a06_high_fanout, a07_duplicates, a08_deduped_fanout, a09_tag_combinations, a09_tag_samples, a10_pos, a11_ngrams, a12_tag_master, a13_examples, a14_collapsed, a15_tag_shares, a16_review, a23_top_unigrams, a25_scripts, a26_offsets, a27_marks, o04_sample, w03_kept, w13_fanout_order, w13_fanout_places, f04_scripts)}
 
 SQL = {
     "a06_high_fanout": "select db, form_text, count(distinct entry_id) as n_entries, count(*) as n_rows from forms where form_text <> '' group by 1, 2 having count(distinct entry_id) >= 5",
@@ -156,18 +169,26 @@ SQL = {
         t as (select *, row_number() over (partition by form_tag, db order by example) as turn from e),
         p as (select *, row_number() over (partition by form_tag order by turn, db) as place from t where turn <= 10)
         select form_tag, cast(place as integer) as place, db, example from p where place <= 10""",
+    "a09_tag_samples": """
+        with t as (select db, form_text, unnest(list_filter(string_split(morph_tags, ';'), lambda x: x <> '')) as tag from forms),
+        h as (select db, tag, form_text, row_number() over (partition by db, tag order by form_text) as r from (select distinct db, tag, form_text from t where form_text is not null)),
+        s as (select db, tag, string_agg(form_text, '|' order by form_text) as samples from h where r <= 5 group by 1, 2)
+        select t.db, t.tag, count(*) as n, any_value(s.samples) as samples from t left join s using (db, tag) group by 1, 2""",
     "a14_collapsed": """
-        with p as (select form_text, db, count(*) as n, count(distinct entry_id) as m from forms where form_text <> '' group by 1, 2)
-        select form_text, max(n) as most_rows, max(m) as most_entries, count(*) as n_dbs from p group by 1 having count(*) > 1 or max(n) > 5""",
-    "a15_tag_shares": """
-        with c as (select lower(trim(source)) as source, lower(lang) as lang, count(*) as n from documents where source is not null group by 1, 2)
-        select source, lang, n, round(100 * n / sum(n) over (partition by source), 6) as percent from c""",
+        with p as (select form_text, db, count(*) as n, count(distinct entry_id) as m from forms where form_text <> '' group by 1, 2),
+        h as (select form_text, entry_id, row_number() over (partition by form_text order by entry_id) as r from (select distinct form_text, entry_id from forms where entry_id is not null)),
+        s as (select form_text, array_to_string(list_transform(list_sort(list(entry_id)), lambda x: cast(x as varchar)), '|') as samples from h where r <= 5 group by 1)
+        select form_text, max(n) as most_rows, max(m) as most_entries, count(*) as n_dbs, string_agg(db, '|' order by db) as dbs, any_value(samples) as samples from p left join s using (form_text) group by 1 having count(*) > 1 or max(n) > 5""",
+    "a15_tag_shares": f"""
+        with t as (select lower(split_part({sqltext.strip('db')}, '-', 1)) as lang, lower(trim(unnest(string_split(morph_tags, ';')))) as tag from forms),
+        c as (select lang, tag, count(*) as n from t where tag <> '' group by 1, 2) select lang, tag, n, round(100 * n / sum(n) over (partition by lang), 6) as percent from c""",
     "a16_review": """
         with t as (select form_text, unnest(string_split(morph_tags, ';')) as tag, entry_id from forms_stage where form_text is not null and morph_tags <> ''),
-        b as (select form_text, tag, entry_id, count(*) as n from t group by 1, 2, 3),
-        r as (select *, row_number() over (partition by form_text, tag order by n desc, entry_id) as place from b where entry_id is not null),
-        s as (select form_text, tag, string_agg(cast(entry_id as varchar), ',' order by place) as top from r where place <= 3 group by 1, 2)
-        select b.form_text, b.tag, cast(sum(n) as bigint) as n, count(entry_id) as n_entries, any_value(top) as top from b left join s using (form_text, tag) group by 1, 2""",
+        b as (select form_text, tag, coalesce(e.lemma, '') as lemma, t.entry_id, lower(trim(e.pos)) as upos, count(*) as n from t left join entries e on e.id = t.entry_id group by 1, 2, 3, 4, 5),
+        r as (select *, row_number() over (partition by form_text, tag, lemma order by n desc, entry_id) as place from b where entry_id is not null),
+        s as (select form_text, tag, lemma, string_agg(cast(entry_id as varchar), ',' order by place) as top from r where place <= 12 group by 1, 2, 3),
+        k as (select form_text, tag, lemma, string_agg(upos || '=' || cast(n as bigint), ';' order by upos) as kinds from (select form_text, tag, lemma, upos, sum(n) as n from b where upos is not null group by 1, 2, 3, 4) group by 1, 2, 3)
+        select b.form_text, b.tag, b.lemma, cast(sum(n) as bigint) as n, count(entry_id) as n_entries, any_value(top) as top, any_value(kinds) as kinds from b left join s using (form_text, tag, lemma) left join k using (form_text, tag, lemma) group by 1, 2, 3""",
     "a26_offsets": """
         with a as (select lower(language) as lang, headword, min(id) as a from custom_dict_entries group by 1, 2 having count(*) = 1),
         b as (select lower(split_part(trim(db), '-', 1)) as lang, headword, min(id) as b from entries group by 1, 2 having count(*) = 1)

@@ -79,11 +79,13 @@ def j13_overlap(spark, d):
 
 
 def j14_label_map(spark, d):
-    """Source spellings mapped by their exact name, else by their folded one."""
+    """Source spellings mapped by their exact name, else by their folded one, else by its first word, else as other."""
     targets = load(spark, d, "mix_targets").select(F.col("source").alias("label"))
-    exact = targets.withColumn("target", F.concat(F.lit("exact:"), "label"))
-    coarse = targets.withColumn("target", F.concat(F.lit("folded:"), "label"))
-    mapped = corpus.label_map(load(spark, d, "documents").select("doc_id", F.col("source").alias("label")), exact, coarse)
+    first = F.regexp_extract(F.lower("label"), "^([a-z]+)", 1)
+    coarse = targets.select(first.alias("label")).groupBy("label").agg(F.concat(F.lit("coarse:"), F.first("label")).alias("target"))
+    other = spark.createDataFrame([("", "other")], "label string, target string")
+    levels = [(targets.withColumn("target", F.concat(F.lit("exact:"), "label")), F.col("label")), (targets.withColumn("target", F.concat(F.lit("folded:"), "label")), F.lower(F.trim("label"))), (coarse, F.regexp_extract(F.lower(F.trim("label")), "^([a-z]+)", 1)), (other, F.when(F.col("label").isNotNull(), F.lit("")))]
+    mapped = corpus.label_map(load(spark, d, "documents").select("doc_id", F.col("source").alias("label")), levels)
     return mapped.groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -119,7 +121,7 @@ def j15_label_use(spark, d):
     """Languages of documents by their raw spelling, else by their folded one, with the label that was used."""
     known = load(spark, d, "subject_seed").where("lang is not null").groupBy(F.col("lang").alias("label")).agg(F.count(F.lit(1)).alias("n_seeds"))
     names = known.withColumn("target", F.col("label")).drop("n_seeds")
-    mapped = corpus.label_map(load(spark, d, "documents").select("doc_id", F.col("lang").alias("label")), names, names)
+    mapped = corpus.label_map(load(spark, d, "documents").select("doc_id", F.col("lang").alias("label")), [(names, F.col("label")), (names, F.lower(F.trim("label")))])
     return mapped.groupBy("label", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -216,6 +218,12 @@ w as (select doc_id, cast(pos as integer) as pos, word, regexp_matches(word, '^[
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 SQL = {
+    "w08_packed": r"""
+        with recursive l as (select doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)) as l from documents where text is not null),
+        s as (select doc_id, length(unnest(l)) as n, unnest(range(len(l))) as k from l),
+        c as (select doc_id, k, 0 as g, n as used from s where k = 0
+          union all select s.doc_id, s.k, case when c.used + s.n <= 300 then c.g else c.g + 1 end, case when c.used + s.n <= 300 then c.used + s.n else s.n end from c join s on s.doc_id = c.doc_id and s.k = c.k + 1)
+        select doc_id, g as paragraph, count(*) as n_sentences from c group by 1, 2""",
     "o09_place_split": "with r as (select doc_id, row_number() over (order by doc_id) as k, count(*) over () as n from documents) select doc_id, case when k <= floor(n * 0.8) then 'train' when k <= floor(n * 0.8) + floor(n * 0.1) then 'dev' else 'test' end as part from r",
     "o01_most_common": _WORDS + "select word, count(*) as n from w group by 1 order by n desc, word limit 100",
     "j15_label_use": "with k as (select distinct lang from subject_seed where lang is not null) select d.lang as label, coalesce(a.lang, b.lang) as target, count(*) as n from documents d left join k a on a.lang = d.lang left join k b on b.lang = lower(trim(d.lang)) where coalesce(a.lang, b.lang) is not null group by 1, 2",
@@ -239,8 +247,9 @@ SQL = {
         , n as (select doc_id, count(*) as n from w group by 1)
         select doc_id, cast(sum(n) over (order by doc_id rows unbounded preceding) - n as bigint) as first, cast(sum(n) over (order by doc_id rows unbounded preceding) - 1 as bigint) as last from n""",
     "j14_label_map": """
-        select coalesce('exact:' || e.source, 'folded:' || c.source) as target, count(*) as n from documents d
-        left join mix_targets e on e.source = d.source left join mix_targets c on c.source = lower(trim(d.source)) where c.source is not null or e.source is not null group by 1""",
+        with k as (select distinct regexp_extract(lower(source), '^([a-z]+)', 1) as w from mix_targets)
+        select coalesce('exact:' || e.source, 'folded:' || c.source, 'coarse:' || k.w, 'other') as target, count(*) as n from documents d
+        left join mix_targets e on e.source = d.source left join mix_targets c on c.source = lower(trim(d.source)) left join k on k.w = regexp_extract(lower(trim(d.source)), '^([a-z]+)', 1) where d.source is not null group by 1""",
     "o05_allocation": """
         with n as (select work_id, count(*) as n from documents where work_id is not null group by 1),
         i as (select *, 500 * n / sum(n) over () as ideal from n),

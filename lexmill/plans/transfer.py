@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators import annotations, corpus
+from lexmill.plans import analytics
 from lexmill.sources import files, load
 from lexmill.sources.tables import ensure_checkpoint_dir
 from lexmill.streaming import events
@@ -277,4 +278,5 @@ SQL = {
     "s09_first_lines": r"""select rec_id, lang_code from kaikki_raw order by rec_id limit 10""",
     "s19_texts": r"""select doc_id, trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) as text from documents where text is not null""",
     "s19_sanitized": r"""select doc_id, '<div><p lang="en">' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p>z</div>' as html from documents where text is not null""",
+    "str_limited": f"select event_id, admitted from ({analytics.SQL['b03_limited']})",
 }

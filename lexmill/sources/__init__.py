@@ -1,3 +1,3 @@
-from lexmill.sources.tables import cut, load, spread
+from lexmill.sources.tables import clear_stages, cut, load, spread
 
-__all__ = ["cut", "load", "spread"]
+__all__ = ["clear_stages", "cut", "load", "spread"]

@@ -9,6 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+_stages: dict[str, list[str]] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The table ``<sf_dir>/<table>.parquet``."""
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{table}.parquet")
@@ -41,9 +44,23 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stages.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stages(spark: SparkSession) -> int:
+    """Deletes the tables that ``cut`` has written in this application, and gives their number.
+
+    For the end of a job: a result that hasn't been computed yet may still read them.
+    """
+    paths = _stages.pop(spark.sparkContext.applicationId, [])
+    hadoop, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(hadoop).delete(at, True)
+    return len(paths)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its scan has fewer parts than they are; a large table stays as it is.
 
