@@ -124,8 +124,13 @@ def p10_make_up(spark, d):
 QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p1_by_source, p2_found, p2_canonical, p2_lookups, p7_found, p7_counts, p7_pos, p7_audit, p8_found, p8_report, p9_found, p9_mix, p9_shares, p10_found, p10_make_up)}
 #: Width and case folding of the values in these tables, which hold no other compatibility characters than full-width ones.
 _WIDE, _PLAIN = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", "".join(map(chr, range(0x21, 0x7F))).replace("'", "''") + " "
-_FOLDED = f"trim(lower(translate({{0}}, '{_WIDE}', '{_PLAIN}')))"
+
+
+def _folded(x: str) -> str:
+    return f"trim(lower(translate({x}, '{_WIDE}', '{_PLAIN}')))"
+
+
 SQL: dict[str, str] = {
-    "p7_pos": f"select term, count(*) as occurrences, count(*) as records from (select {_FOLDED.format('pos')} as term from entries) where term <> '' group by 1",
-    "p7_audit": f"""select term, cast(sum(n) as bigint) as occurrences, count(distinct db) as records from (select {_FOLDED.format('form_tag')} as term, coalesce(occurrence_count, 0) as n, coalesce(db, '') as db from form_tags_flat) where term <> '' group by 1""",
+    "p7_pos": f"select term, count(*) as occurrences, count(*) as records from (select {_folded('pos')} as term from entries) where term <> '' group by 1",
+    "p7_audit": f"""select term, cast(sum(n) as bigint) as occurrences, count(distinct db) as records from (select {_folded('form_tag')} as term, coalesce(occurrence_count, 0) as n, coalesce(db, '') as db from form_tags_flat) where term <> '' group by 1""",
 }
