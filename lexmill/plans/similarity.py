@@ -177,15 +177,6 @@ def v17_cooccurrence(spark, d):
     return top_per_group(pairs, ["a"], [F.desc("dice"), "b"], 5).select("a", "place", "b", "n", "dice")
 
 
-def v18_rotation(spark, d):
-    """How well a rotation fitted on label centres carries each row to its centre."""
-    rows = load(spark, d, "embeddings")
-    pairs = rows.join(vectors.centroids(rows, "label", "embedding").select("label", "centroid"), "label")
-    r = vectors.procrustes(pairs, "embedding", "centroid")
-    eye = float(np.abs(r @ r.T - np.eye(len(r))).max())
-    return spark.createDataFrame([(int(r.shape[0]), eye < 1e-6)], "dims int, orthogonal boolean")
-
-
 def v18_lexicon(spark, d):
     """Each row with the label whose centre is its translation by CSLS, after the rotation fitted on rows and their centres."""
     rows = load(spark, d, "embeddings")
@@ -202,7 +193,7 @@ def u05_families(spark, d):
     return vectors.components(edges).select(F.col("node").alias("id"), F.col("component").alias("family"))
 
 
-QUERIES = {f.__name__: f for f in (o02_top_similar, v01_centroids, v02_tag_cosines, v03_mutual_knn, j16_similar_pairs, j17_mutual_nearest, v04_communities, v05_metrics, v06_grid, v10_gated_groups, v11_snowball, v13_balanced, v16_adjacency, v19_names, v20_sweep, v07_assigned, v07_gated, v08_seed_groups, v09_merged_groups, v12_kmeans, v14_tfidf, v14_ngram_cosines, v15_jaccard, v15_jaccard_pairs, v17_cooccurrence, v18_rotation, v18_lexicon, u05_families)}
+QUERIES = {f.__name__: f for f in (o02_top_similar, v01_centroids, v02_tag_cosines, v03_mutual_knn, j16_similar_pairs, j17_mutual_nearest, v04_communities, v05_metrics, v06_grid, v10_gated_groups, v11_snowball, v13_balanced, v16_adjacency, v19_names, v20_sweep, v07_assigned, v07_gated, v08_seed_groups, v09_merged_groups, v12_kmeans, v14_tfidf, v14_ngram_cosines, v15_jaccard, v15_jaccard_pairs, v17_cooccurrence, v18_lexicon, u05_families)}
 
 _UNIT = """
 with u as (select vec_id, label, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * y)))) as v from embeddings),
