@@ -234,6 +234,10 @@ def korean_stems(text: Column, pos: Column) -> Column:
     return F.when(verbal, F.trim(t.substr(F.lit(1), F.length(t) - 1))).otherwise(F.lit(""))
 
 
+#: Words whose key is the same in every language, and is the word in lower case without hyphens.
+SAME_EVERYWHERE = "^[a-zA-HJ-Z0-9-]+$"
+
+
 def rule_set(lang: Column) -> Column:
     """A name for the rules of a language: the same for languages whose keys are the same for any text."""
     named = rule_sets()

@@ -1,4 +1,4 @@
-"""Alignments of strings and token sequences."""
+"""Alignments of strings and token sequences."""
 
 from __future__ import annotations
 
@@ -198,6 +198,55 @@ def normalised_column(text: Column) -> Column:
     return run(text)
 
 
+def surface_parts(surface: str, parts: list[str]) -> tuple[str, list[tuple[int, int, tuple[int, ...]]]]:
+    """How the characters of a surface belong to the parts of its analysis (T17): the basis, and (start, end, parts) of each group.
+
+    Parts that make up the surface exactly are ``exact``. Else the decomposed characters (syllables fall into their letters) are cut by
+    ``partition``, the basis being ``units``; a character whose letters belong to several parts belongs to all of them. Where no letter
+    agrees, the surface is divided in proportion to the lengths of the parts.
+    """
+    parts = [p for p in parts if p]
+    if not surface or not parts:
+        return "none", []
+    owner: list[set[int]] = [set() for _ in surface]
+    units = [(u, i) for i, c in enumerate(surface) for u in unicodedata.normalize("NFD", c)]
+    text, own = "".join(u for u, _ in units), [unicodedata.normalize("NFD", p) for p in parts]
+    cuts = partition(own, text) if len(text) >= len(own) else None
+    if cuts is not None and any(align(p, text[a:b])[0] for p, (a, b) in zip(own, cuts)):
+        basis = "exact" if "".join(own) == text else "units"
+        for k, (a, b) in enumerate(cuts):
+            for _, i in units[a:b]:
+                owner[i].add(k)
+    else:
+        basis, at, whole = "proportional", 0, sum(map(len, parts))
+        for k, p in enumerate(parts):
+            last = k == len(parts) - 1
+            size = len(surface) - at if last else min(max(1, (2 * len(surface) * len(p) + whole) // (2 * whole)), len(surface) - at)
+            for i in range(at, at + size):
+                owner[i].add(k)
+            at += size
+        owner = [o or {len(parts) - 1} for o in owner]
+    groups: list[tuple[int, int, tuple[int, ...]]] = []
+    for i, o in enumerate(owner):
+        ids = tuple(sorted(o))
+        if groups and groups[-1][2] == ids:
+            groups[-1] = (groups[-1][0], i + 1, ids)
+        else:
+            groups.append((i, i + 1, ids))
+    return basis, groups
+
+
+def surface_parts_column(surface: Column, parts: Column) -> Column:
+    """``surface_parts`` as a vectorised column."""
+
+    @F.pandas_udf("struct<basis:string,groups:array<struct<start:int,end:int,parts:array<int>>>>")
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        got = [surface_parts(s or "", list(p) if p is not None else []) for s, p in zip(a, b)]
+        return pd.DataFrame([(basis, [{"start": x, "end": y, "parts": list(ids)} for x, y, ids in groups]) for basis, groups in got], columns=["basis", "groups"])
+
+    return run(surface, parts)
+
+
 def align_column(probe: Column, surface: Column) -> Column:
     """``align`` as a vectorised column, once per distinct pair of a batch; places is the character map."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.exprs import lang_of, strip
-from lexmill.functions.normalize import anusvara, key_column, rule_set, rule_sets, text_column
+from lexmill.functions.normalize import SAME_EVERYWHERE, anusvara, key_column, rule_set, rule_sets, text_column
 from lexmill.operators import prune
 from lexmill.sources.tables import cut, spread
 
@@ -85,12 +85,15 @@ def lookup(words: DataFrame, index: DataFrame) -> DataFrame:
 def lookup_everywhere(words: DataFrame, index: DataFrame) -> DataFrame:
     """``lookup`` of words in the dictionaries of every language.
 
-    A word's key is computed once per set of rules, whose number is fixed by the code, not once per language.
+    Words that no language's rules change have one key, which meets the keys of all languages. The key of another word is
+    computed once per set of rules, whose number is fixed by the code, not once per language.
     """
     sets = sorted({"", *rule_sets().values()})
-    asked = words.where("word is not null").select("word").distinct().select("word", F.explode(F.array(*map(F.lit, sets))).alias("rules")).withColumn("key", key_column(F.col("word"), F.col("rules"))).where("key <> ''")
-    known = index.withColumn("lang", lang_of(F.col("db"))).where("lang <> ''").withColumn("rules", rule_set(F.col("lang")))
-    return _best(asked.join(known, ["rules", "key"]))
+    asked = words.where("word <> ''").select("word").distinct()
+    plain = asked.where(F.col("word").rlike(SAME_EVERYWHERE)).withColumn("key", F.lower(F.replace("word", F.lit("-"), F.lit("")))).where("key <> ''")
+    other = asked.where(~F.col("word").rlike(SAME_EVERYWHERE)).select("word", F.explode(F.array(*map(F.lit, sets))).alias("rules")).withColumn("key", key_column(F.col("word"), F.col("rules"))).where("key <> ''")
+    known = cut(index.withColumn("lang", lang_of(F.col("db"))).where("lang <> ''").withColumn("rules", rule_set(F.col("lang"))))
+    return _best(plain.join(known, "key").drop("rules").unionByName(other.join(known, ["rules", "key"]).drop("rules")))
 
 
 def _best(hits: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from lexmill.sources.tables import cut
 
 MOST_TAGS = 20_000
 MOST_GROUPED = 2_000
-BLOCK, CENTRES = 4096, 256
+BLOCK, BLOCK_BYTES, CENTRES = 1024, 64 << 20, 256
 
 
 def unit(rows) -> np.ndarray:
@@ -33,46 +33,57 @@ def unit(rows) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def _blocks(queries: DataFrame, id_col: str, vec_col: str):
+def _blocks(queries: DataFrame, id_col: str, vec_col: str, block_bytes: int):
     ids, vecs = [], []
     for r in queries.select(id_col, vec_col).where(f"{vec_col} is not null").toLocalIterator():
         ids.append(r[0])
-        vecs.append(r[1])
-        if len(ids) == BLOCK:
-            yield np.array(ids), unit(vecs)
+        vecs.append(np.asarray(r[1], dtype="float32"))
+        if len(ids) * vecs[0].nbytes >= block_bytes:
+            yield np.array(ids), np.stack(vecs)
             ids, vecs = [], []
     if ids:
-        yield np.array(ids), unit(vecs)
+        yield np.array(ids), np.stack(vecs)
 
 
-def top_similar(queries: DataFrame, rows: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """query_id, place, neighbour_id, cosine: the ``k`` most similar other rows of each query.
+def _merged(ids: np.ndarray, sims: np.ndarray, own: np.ndarray, more: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``k`` of two lists of candidates per row, by falling similarity and rising id."""
+    all_ids, all_sims = np.hstack([ids, own]), np.hstack([sims, more])
+    order = np.lexsort((all_ids, -all_sims), axis=1)[:, :k]
+    return np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_sims, order, 1)
 
-    Exact; each block of queries reads the rows once. Ties go to the lower id.
+
+def top_similar(queries: DataFrame, rows: DataFrame, id_col: str, vec_col: str, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """query_id, place, neighbour_id, cosine: the ``k`` most similar other rows of each query.
+
+    Exact. Queries go to the tasks in blocks of a bounded number of bytes; each block reads the rows once, and each task keeps
+    ``k`` rows per query over all it reads. Ties go to the lower id.
     """
+    spark = rows.sparkSession
 
     def near(block):
-        ids, q = block
+        given = spark.sparkContext.broadcast(block)
 
         def run(batches):
-            kept: list = []
+            ids, q = given.value
+            top_ids, top_sims = np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), -np.inf)
             for batch in batches:
                 have = batch[batch[vec_col].notna()]
                 if not len(have):
                     continue
-                sims = np.round(q @ unit(np.stack(have[vec_col].to_numpy())).T, 9)
-                own = have[id_col].to_numpy()
-                sims[ids[:, None] == own[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :k]
-                for row, places in enumerate(order):
-                    kept += [(int(ids[row]), int(own[p]), float(sims[row, p])) for p in places if np.isfinite(sims[row, p])]
-            yield pd.DataFrame(kept, columns=["query_id", "neighbour_id", "cosine"])
+                own, u = have[id_col].to_numpy().astype(np.int64), unit(np.stack(have[vec_col].to_numpy())).T
+                for at in range(0, len(ids), BLOCK):
+                    part = slice(at, at + BLOCK)
+                    sims = np.round(unit(q[part]) @ u, 9)
+                    sims[ids[part, None] == own[None, :]] = -np.inf
+                    top_ids[part], top_sims[part] = _merged(top_ids[part], top_sims[part], np.broadcast_to(own, sims.shape), sims, k)
+            row, place = np.nonzero(np.isfinite(top_sims))
+            yield pd.DataFrame({"query_id": ids[row], "neighbour_id": top_ids[row, place], "cosine": top_sims[row, place]})
 
         return rows.select(id_col, vec_col).mapInPandas(run, "query_id bigint, neighbour_id bigint, cosine double")
 
-    parts = [near(b) for b in _blocks(queries, id_col, vec_col)]
+    parts = [near(b) for b in _blocks(queries, id_col, vec_col, block_bytes)]
     if not parts:
-        return rows.sparkSession.createDataFrame([], "query_id bigint, place int, neighbour_id bigint, cosine double")
+        return spark.createDataFrame([], "query_id bigint, place int, neighbour_id bigint, cosine double")
     return top_per_group(reduce(DataFrame.unionByName, parts), ["query_id"], [F.desc("cosine"), "neighbour_id"], k).select("query_id", "place", "neighbour_id", "cosine")
 
 

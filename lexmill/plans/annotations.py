@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.exprs import lang_of
-from lexmill.operators import alignment, annotations
+from lexmill.operators import alignment, annotations, inflection
 from lexmill.plans import sqltext
 from lexmill.sources import load, spread
 
@@ -128,6 +128,21 @@ def t16_batches(spark, d):
     return sizes.select("doc_id", F.posexplode(alignment.batches_column(F.col("l"), 4, 8)).alias("batch", "b")).select("doc_id", "batch", "b.start", "b.end")
 
 
+def t17_surface_parts(spark, d):
+    """Hyphened or divided headwords against the parts of their lemma or of themselves."""
+    rows = load(spark, d, "entries").where("headword rlike '[^ -][ -]+[^ -]'").select("id", F.regexp_replace("headword", "[ -]+", "").alias("s"), F.filter(F.split("headword", "[ -]+"), lambda p: p != "").alias("p"))
+    got = spread(rows).select("id", alignment.surface_parts_column(F.col("s"), F.col("p")).alias("a"))
+    return got.select("id", "a.basis", F.posexplode("a.groups").alias("k", "g")).select("id", "basis", "k", "g.start", "g.end", F.array_join(F.transform("g.parts", lambda x: x.cast("string")), ",").alias("parts"))
+
+
+def t18_forms(spark, d):
+    """Inflected forms of the Japanese headwords that look like verbs and adjectives, and which of them stand among the surfaces."""
+    heads = load(spark, d, "entries").where("db like 'ja%' and headword rlike '[うくぐすつぬぶむるい]$'").select(F.col("headword").alias("lemma"), F.when(F.col("headword").endswith("い"), "i-adj").otherwise("verb").alias("pos")).distinct()
+    table = inflection.inflected(heads)
+    seen = load(spark, d, "forms").where("db like 'ja%'").select(F.col("form_text").alias("form")).distinct().withColumn("seen", F.lit(1))
+    return table.join(seen, "form", "left").groupBy("pos", "tags").agg(F.count(F.lit(1)).alias("n"), F.count("seen").alias("n_seen"))
+
+
 def t19_merged(spark, d):
     """Sentences of the lines of a document numbered anew."""
     sentences = _chunk_tokens(spark, d).groupBy("doc_id", "chunk", "sent").agg(F.count(F.lit(1)).alias("n_tokens"))
@@ -155,7 +170,7 @@ def e03_agreement(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (t10_flat_tokens, e04_collapsed, t11_overlay, a17_counts, a18_labels, a19_corpus_audit, e04_bioes, m06_shifted, m07_remapped, x11_model_texts, t12_normalised, t13_repaired, t15_drift, t16_batches, t19_merged, j11_zipped, w07_best_runs, e03_agreement)
+    for f in (t10_flat_tokens, e04_collapsed, t11_overlay, a17_counts, a18_labels, a19_corpus_audit, e04_bioes, m06_shifted, m07_remapped, x11_model_texts, t12_normalised, t13_repaired, t15_drift, t16_batches, t17_surface_parts, t18_forms, t19_merged, j11_zipped, w07_best_runs, e03_agreement)
 }
 
 
@@ -184,6 +199,10 @@ _FLAT = _TK + r""",
 _PLAIN = f"[^\\p{{L}}\\p{{M}}\\p{{N}}{sqltext.WS}]"
 
 SQL = {
+    "t17_surface_parts": """
+        with s as (select id, list_filter(regexp_split_to_array(headword, '[ -]+'), lambda p: p <> '') as l from entries where regexp_matches(headword, '[^ -][ -]+[^ -]')),
+        u as (select id, unnest(range(len(l))) as k, unnest(l) as p from s), e as (select id, k, p, sum(length(p)) over (partition by id order by k) as stop from u)
+        select id, 'exact' as basis, k, cast(stop - length(p) as bigint) as start, cast(stop as bigint) as "end", cast(k as varchar) as parts from e""",
     "t10_flat_tokens": _FLAT + " select * from flat",
     "e04_collapsed": _FLAT + """, g as (select doc_id, sent, parent, string_agg(word, '' order by part) as word, count(*) as k from flat group by 1, 2, 3), r as (select *, row_number() over (partition by doc_id, sent order by parent) as id from g)
         select doc_id, sent, id, word, id - 1 as head, case when k > 1 then 'MWT=Yes' else '_' end as misc from r""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import annotations, corpus
 from lexmill.plans import analytics
-from lexmill.sources import files, load
+from lexmill.sources import dictionaries, files, load
 from lexmill.sources.tables import ensure_checkpoint_dir
 from lexmill.streaming import events
 
@@ -61,6 +61,24 @@ def s09_first_lines(spark, d):
     return files.first_lines(load(spark, d, "kaikki_raw").select("rec_id", "lang_code"), "rec_id", 10)
 
 
+def s10_jmdict(spark, d):
+    """Japanese entries written as JMdict XML and read again."""
+    path = _folder(spark, "jmdict")
+    rows = load(spark, d, "entries").where("db like 'ja%' and headword <> '' and pos <> ''")
+    some = F.struct(F.array(F.col("pos")).alias("pos"), F.array(F.concat(F.lit("gloss "), "id"), F.lit("second")).alias("gloss"))
+    xml = rows.select(F.col("id").cast("string").alias("ent_seq"), F.array(F.struct(F.col("headword").alias("keb"))).alias("k_ele"), F.array(F.struct(F.concat("headword", F.lit("x")).alias("reb"))).alias("r_ele"), F.array(some).alias("sense"))
+    xml.write.format("xml").option("rowTag", "entry").option("rootTag", "JMdict").save(path)
+    return dictionaries.read_jmdict(spark, path).select(F.col("source_id").cast("bigint").alias("id"), "headword", "romanization", "pos", F.array_join("glosses", "|").alias("glosses"), F.array_join("forms", "|").alias("forms"))
+
+
+def s11_cedict(spark, d):
+    """Chinese entries as CEDICT lines, read again."""
+    path = _folder(spark, "cedict")
+    rows = load(spark, d, "entries").where("db like 'zh%' and headword rlike '^\\\\S+$'")
+    rows.select(F.concat("headword", F.lit(" "), "headword", F.lit(" [pin1 yin1] /gloss "), "id", F.lit("/other/"))).write.text(path)
+    return files.read_cedict(spark, path).select("traditional", "simplified", "pinyin", F.array_join("glosses", "|").alias("glosses"))
+
+
 def s12_conllu_round_trip(spark, d):
     w = Window.partitionBy("doc_id").orderBy("pos")
     words = load(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\\s+", " "), " ")).alias("pos", "form")).where("form <> '' and form <> '_'")
@@ -209,7 +227,7 @@ def str_limited(spark, d):
     return events.drained(events.limited(_stream(spark, d), 2, 3600.0))
 
 
-QUERIES = {f.__name__: f for f in (s01_tsv_round_trip, s02_unified, s05_sources, s07_refs, s08_dump, s08_lines, s08_forms, s09_first_lines, s12_conllu_round_trip, s13_bio_round_trip, s15_parquet_conllu, s16_vectors, s17_gzip_tsv, k05_report, k06_spans, k07_exported, s14_pruned_scan, s19_sanitized, s19_texts, k01_store, k03_inserted, k03_inserted_forms, k04_index, k08_replaced, k08_replaced_all, b05_newest, str_windows, str_sessions, str_limited)}
+QUERIES = {f.__name__: f for f in (s01_tsv_round_trip, s02_unified, s05_sources, s07_refs, s08_dump, s08_lines, s08_forms, s09_first_lines, s10_jmdict, s11_cedict, s12_conllu_round_trip, s13_bio_round_trip, s15_parquet_conllu, s16_vectors, s17_gzip_tsv, k05_report, k06_spans, k07_exported, s14_pruned_scan, s19_sanitized, s19_texts, k01_store, k03_inserted, k03_inserted_forms, k04_index, k08_replaced, k08_replaced_all, b05_newest, str_windows, str_sessions, str_limited)}
 
 _DUMP = r"""        with o as (select rec_id, cast(raw as json) as j from (select * from kaikki_raw where json_valid(raw) and trim(raw) <> '') where json_type(raw) = 'OBJECT'),
         w as (select rec_id, j, trim(j->>'$.word') as word from o where json_type(j, '$.word') = 'VARCHAR' and trim(j->>'$.word') <> '')"""
@@ -232,6 +250,8 @@ _TK = r"""
         t as (select doc_id || '-' || sent as sent_id, row_number() over (partition by doc_id, sent order by pos) as id, word from p where word <> '')"""
 
 SQL = {
+    "s10_jmdict": "select id, trim(headword) as headword, trim(headword || 'x') as romanization, trim(pos) as pos, 'gloss ' || id || '|second' as glosses, trim(headword || 'x') as forms from entries where db like 'ja%' and headword <> '' and pos <> ''",
+    "s11_cedict": r"select headword as traditional, headword as simplified, 'pin1 yin1' as pinyin, 'gloss ' || id || '|other' as glosses from entries where db like 'zh%' and regexp_matches(headword, '^\S+$')",
     "s13_bio_round_trip": _TK + " select case when regexp_matches(word, '^[0-9]+[.,]?$') then 'B-NUM' else 'O' end as label, count(*) as n from t where word <> '_' group by 1",
     "s15_parquet_conllu": _TK + " select sent_id, id, word as form, case when id = 1 then 0 else id - 1 end as head from t where word <> '_'",
     "s16_vectors": """with u as (select vec_id, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * y)))) as v from embeddings where label in (1, 2) and embedding is not null)

@@ -126,3 +126,19 @@ def test_chosen_reason(spark):
     rows = [(["hard_text:x", "exact_blacklist"],), (["rule_a_word_count", "hard_tag:class"],), (["odd"],), ([],)]
     got = [r[0] for r in spark.createDataFrame(rows, "r array<string>").select(prune.chosen_reason(F.col("r"))).collect()]
     assert got == ["exact_blacklist", "hard_tag:class", "odd", ""]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="abcdefghijklmnopqrstuvwxyzABCDEFGHJKLMNOPQRSTUVWXYZ0123456789-", min_size=1, max_size=12))
+def test_plain_words_have_one_key_everywhere(word):
+    keys = {normalize.lookup_key(word, lang) for lang in ("", *normalize.rule_sets(), "de", "zz")}
+    assert keys == {word.replace("-", "").lower()}
+
+
+def test_lookup_everywhere_equals_lookup_in_each_language(spark):
+    index = spark.createDataFrame([("headword", normalize.lookup_key(w, g), g, i, 0) for i, (w, g) in enumerate([("Haus", "de"), ("haus", "fr"), ("Iki", "tr"), ("iki", "de"), ("كتاب", "ar"), ("کتاب", "fa"), ("café", "fr"), ("deva", "sa")])], "kind string, key string, db string, entry_id bigint, form_id bigint")
+    words = ["HAUS", "Iki", "iki", "كتاب", "کتاب", "café", "Ha-us", "déva", "", None]
+    frame = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {(r.word, r.lang, r.entry_id) for r in lexicon.lookup_everywhere(frame, index).collect()}
+    each = spark.createDataFrame([(w, g) for w in words for g in ("de", "fr", "tr", "ar", "fa", "sa")], "word string, lang string")
+    assert got == {(r.word, r.lang, r.entry_id) for r in lexicon.lookup(each, index).collect()} and len(got) > 6
