@@ -13,7 +13,7 @@ def strip(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of words between white space."""
-    return F.when(strip(c) == "", 0).otherwise(F.size(F.split(strip(c), "(?U)\\s+")))
+    return F.regexp_count(F.coalesce(c, F.lit("")), F.lit("(?U)\\S+"))
 
 
 def clamp(c: Column, least, most) -> Column:

@@ -44,7 +44,8 @@ def form_hits(entries: DataFrame, forms: DataFrame, white: DataFrame | None = No
     variant = ["db", "form_text", "survivor_id", "morph_tags", "romanization"]
     first = joined.groupBy(*variant).agg(F.min(F.struct("entry_id", "form_id", "headword")).alias("v")).select(*variant, "v.form_id", "v.headword")
     flagged = prune.exact_list(prune.exact_list(first, white, "white"), black, "black").withColumn("tags", prune.folded_tags(F.col("morph_tags")))
-    judged = cut(flagged.withColumns({"keep": prune.always_kept(F.col("tags")), "reason": prune.occurrence_cut(F.col("db"), F.col("form_text"), F.col("headword"), F.col("tags"), F.col("white"), F.col("black"))}))
+    told = flagged.withColumn("keep", prune.always_kept(F.col("tags")))
+    judged = cut(told.withColumn("reason", prune.occurrence_cut(F.col("db"), F.col("form_text"), F.col("headword"), F.col("tags"), F.col("white"), F.col("black"), F.col("keep"))).drop("tags"))
     candidates = judged.where("not keep and reason = ''")
     fan = candidates.select("db", "form_text", "survivor_id").distinct().groupBy("db", "form_text").agg(F.count(F.lit(1)).alias("n"))
     crowded = fan.where(prune.fanout_cut(F.col("db"), F.col("n"))).select("db", "form_text")

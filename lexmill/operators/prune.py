@@ -184,18 +184,19 @@ def zero_overlap(form: Column, head: Column) -> Column:
     return (F.substring(form, 1, 1) != F.substring(head, 1, 1)) & ~F.arrays_overlap(F.split(form, ""), F.split(head, "")) & disjoint_scripts(form, head)
 
 
-def word_count_cut(db: Column, form: Column, head: Column, tags: Column) -> Column:
+def word_count_cut(db: Column, form: Column, head: Column, tags: Column, kept: Column | None = None) -> Column:
     """Another number of words than the headword."""
-    exempt = F.lower(db).isin(WORD_COUNT_EXEMPT_DBS) | always_kept(tags) | F.arrays_overlap(tags, F.array(*map(F.lit, SCRIPT_TAGS)))
+    exempt = F.lower(db).isin(WORD_COUNT_EXEMPT_DBS) | (always_kept(tags) if kept is None else kept) | F.arrays_overlap(tags, F.array(*map(F.lit, SCRIPT_TAGS)))
     single = ~form.rlike("(?U)\\s") & ~head.rlike("(?U)\\s") & (form != "") & (head != "")
     return F.when(~exempt & ~single & (word_count(form) != word_count(head)), "rule_a_word_count").otherwise(F.lit(""))
 
 
-def occurrence_cut(db: Column, form: Column, head: Column, tags: Column, white: Column | None = None, black: Column | None = None) -> Column:
+def occurrence_cut(db: Column, form: Column, head: Column, tags: Column, white: Column | None = None, black: Column | None = None, kept: Column | None = None) -> Column:
     """Why an occurrence (stripped texts) is cut, by fixed precedence; empty for kept.
 
-    ``white`` and ``black`` tell whether the form is on an exact list (F15).
+    ``white`` and ``black`` tell whether the form is on an exact list (F15), ``kept`` is ``always_kept(tags)`` where that is known.
     """
+    always = always_kept(tags) if kept is None else kept
     white, black = (F.coalesce(c, F.lit(False)) if c is not None else F.lit(False) for c in (white, black))
     f, h = F.coalesce(form, F.lit("")), F.coalesce(head, F.lit(""))
     code = ~F.lower(db).isin(CODELIKE_EXEMPT_DBS)
@@ -203,9 +204,9 @@ def occurrence_cut(db: Column, form: Column, head: Column, tags: Column, white:
     def named(c: Column) -> Column:
         return F.when(c != "", c)
 
-    kept = white | always_kept(tags)
-    later = F.coalesce(F.when(black, F.lit("exact_blacklist")), named(tag_cut(tags)), named(text_cut(db, f)), F.when(code & zero_overlap(f, h), F.lit("hard_text:zero_overlap_cross_script")), named(word_count_cut(db, f, h, tags)), F.lit(""))
-    return F.when((f == h) & (f != ""), F.lit("hard_text:identical_to_headword")).when(edge_hyphen_mismatch(f, h), F.lit("hard_text:hyphen_affix_mismatch")).when(kept, F.lit("")).otherwise(later)
+    passed = white | always
+    later = F.coalesce(F.when(black, F.lit("exact_blacklist")), named(tag_cut(tags)), named(text_cut(db, f)), F.when(code & zero_overlap(f, h), F.lit("hard_text:zero_overlap_cross_script")), named(word_count_cut(db, f, h, tags, always)), F.lit(""))
+    return F.when((f == h) & (f != ""), F.lit("hard_text:identical_to_headword")).when(edge_hyphen_mismatch(f, h), F.lit("hard_text:hyphen_affix_mismatch")).when(passed, F.lit("")).otherwise(later)
 
 
 def fanout_cut(db: Column, entries: Column, most: int = FANOUT_MOST) -> Column:

@@ -121,8 +121,8 @@ def f11_zero_overlap(spark, d):
 
 
 def f12_occurrence_cuts(spark, d):
-    occ = _occurrences(spark, d)
-    return occ.select("db", prune.occurrence_cut(F.col("db"), F.col("form_text"), F.col("headword"), F.col("tags")).alias("reason")).groupBy("db", "reason").agg(F.count(F.lit(1)).alias("n"))
+    occ = _occurrences(spark, d).withColumn("keep", prune.always_kept(F.col("tags")))
+    return occ.select("db", prune.occurrence_cut(F.col("db"), F.col("form_text"), F.col("headword"), F.col("tags"), kept=F.col("keep")).alias("reason")).groupBy("db", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def f13_fanout(spark, d):
