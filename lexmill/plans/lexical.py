@@ -175,10 +175,11 @@ def f23_extra_rules(spark, d):
 
 
 def f24_of_targets(spark, d):
+    """Words that glosses name after "of", and whether the dictionary has them as a headword."""
     entries = load(spark, d, "entries")
     named = entries.select("id", "db", F.explode(prune.of_targets(prune.glosses(F.col("glosses")))).alias("target"))
-    heads = entries.where("headword <> ''").select("db", F.col("headword").alias("target")).distinct()
-    return named.join(heads, ["db", "target"], "left_semi").select("id", "db", "target")
+    heads = entries.where("headword <> ''").select("db", F.col("headword").alias("target"), F.lit(True).alias("known")).distinct()
+    return named.join(heads, ["db", "target"], "left").select("id", "db", "target", F.coalesce("known", F.lit(False)).alias("is_headword"))
 
 
 def f25_relation_only(spark, d):

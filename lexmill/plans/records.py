@@ -81,9 +81,9 @@ def x21_frequency(spark, d):
 
 
 def j06_batch(spark, d):
-    """Forms of the store asked for by (language, surface) of the custom forms."""
-    asked = load(spark, d, "custom_dict_forms").select(F.lower(F.trim("language")).alias("lang"), "form_text").distinct()
-    return load(spark, d, "forms").withColumn("lang", exprs.lang_of(F.col("db"))).join(asked, ["lang", "form_text"], "left_semi").select("id", "lang", "form_text")
+    """Entries of the store asked for by (language, surface) of the custom entries."""
+    asked = load(spark, d, "custom_dict_entries").select(F.lower(F.trim("language")).alias("lang"), "headword").distinct()
+    return load(spark, d, "entries").withColumn("lang", exprs.lang_of(F.col("db"))).join(asked, ["lang", "headword"], "left_semi").select("id", "lang", "headword")
 
 
 def f16_promotable(spark, d):
@@ -173,7 +173,7 @@ SQL = {
         select entry_id, string_agg(romanization || '=' || n, ';' order by romanization) as spellings from r where k <= 50 group by 1""",
     "x21_frequency": """
         select form_tag, round(max((49 - greatest(1, 48 - floor(log2(coalesce(occurrence_count, 0) + 1)))) / 48 * 100), 4) as score from form_tags_flat where form_tag is not null group by 1""",
-    "j06_batch": f"with f as (select id, lower(split_part({sqltext.strip('db')}, '-', 1)) as lang, form_text from forms) select id, lang, form_text from f where exists (select 1 from custom_dict_forms c where lower(trim(c.language)) = f.lang and c.form_text = f.form_text)",
+    "j06_batch": f"with f as (select id, lower(split_part({sqltext.strip('db')}, '-', 1)) as lang, headword from entries) select id, lang, headword from f where exists (select 1 from custom_dict_entries c where lower(trim(c.language)) = f.lang and c.headword = f.headword)",
     "f16_promotable": """
         select db, count(*) filter (where trim(form_text) <> '' and trim(form_text) <> '-' and lower(coalesce(morph_tags, '')) not like '%table-tags%' and lower(coalesce(morph_tags, '')) not like '%inflection-template%') as n_usable, count(*) as n
         from forms where form_text is not null group by db""",

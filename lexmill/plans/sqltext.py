@@ -201,7 +201,7 @@ LEXICAL = {
         case when lower({strip('db')}) not in ({quoted(prune.EAST_ASIAN_DBS)}) and not {_ROMANISED} and {no_common_script('fs', 'hs')} then 'cross_script_non_romanization' end]) as rule from ocs)
         select db, rule, count(*) as n from x where rule is not null group by 1, 2""",
     "f24_of_targets": rf"""with {GLOSSES}, t as (select distinct id, db, regexp_extract(gloss, '\bof\s+(\S+?)[\s.,;:!?)\]}}"''`]*$', 1) as target from gl)
-        select id, db, target from t where target <> '' and exists (select 1 from entries e where e.db = t.db and e.headword = t.target)""",
+        select id, db, target, exists (select 1 from entries e where e.db = t.db and e.headword = t.target) as is_headword from t where target <> ''""",
     "f25_relation_only": rf"with {GLOSSES} select id, db from gl group by 1, 2 having bool_and(regexp_matches(gloss, '{prune.RELATION_GLOSS}'))",
     "w01_survivors": f"with {SURVIVORS} select id, survivor_id from sv",
     "w02_form_hits": f"{_HITS} select * from hits",
