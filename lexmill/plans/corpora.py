@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import alignment, annotations, corpus
 from lexmill.operators.ordering import ranked, running
+from lexmill.plans import sqltext
 from lexmill.sources import load, spread
 
 
@@ -217,7 +218,33 @@ w as (select doc_id, cast(pos as integer) as pos, word, regexp_matches(word, '^[
 
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+def _pieces() -> str:
+    """The text in pieces that end after a sentence, by the stops of its language."""
+    import re
+
+    def pattern(stops: str) -> str:
+        chars, closers = (re.sub(r"([\\\]^-])", r"\\\1", x).replace("'", "''") for x in (stops, corpus.CLOSERS))
+        return f"regexp_extract_all(text, '[^{chars}]*[{chars}]+[{closers}]*|[^{chars}]+$')"
+
+    code = f"lower(split_part({sqltext.strip('lang')}, '-', 1))"
+    return f"case {code} " + " ".join(f"when '{g}' then {pattern(s)}" for g, s in corpus.STOPS.items() if g) + f" else {pattern(corpus.STOPS[''])} end"
+
+
+#: CRC-32 of a string of ASCII characters, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split(k, ''), lambda c: cast(ord(c) as bigint))), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))), 4294967295)"
+
 SQL = {
+    "x16_sentences": f"""
+        with p as (select doc_id, {_pieces()} as l from documents where text is not null), u as (select doc_id, unnest(l) as piece, unnest(range(len(l))) as k from p),
+        o as (select doc_id, piece, k, cast(coalesce(sum(length(piece)) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as offs from u),
+        t as (select doc_id, k, offs + length(piece) - length(regexp_replace(piece, '^[{sqltext.WS}]+', '')) as start, offs + length(regexp_replace(piece, '[{sqltext.WS}]+$', '')) as stop from o where regexp_replace(piece, '[{sqltext.WS}]+', '', 'g') <> '')
+        select doc_id, row_number() over (partition by doc_id order by k) - 1 as sent, start, stop as "end" from t""",
+    "t09_partition": """
+        with s as (select id, list_filter(regexp_split_to_array(headword, '[ -]+'), lambda w: w <> '') as l from entries where regexp_matches(headword, '[^ -][ -]+[^ -]')),
+        u as (select id, unnest(range(len(l))) as k, length(unnest(l)) as n from s), e as (select id, k, n, cast(sum(n) over (partition by id order by k) as bigint) as stop from u)
+        select id, k, stop - n as start, stop as "end" from e""",
+    "o07_crc_split": f"""
+        with k as (select doc_id, coalesce(work_id, '') as k from documents) select doc_id, cast(case when regexp_full_match(k, '[0-9]{{1,18}}') then cast(k as bigint) % 10 when k = '' then 0 else {_CRC} % 10 end as integer) as part from k""",
     "w08_packed": r"""
         with recursive l as (select doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(30), 'g'), chr(30)) as l from documents where text is not null),
         s as (select doc_id, length(unnest(l)) as n, unnest(range(len(l))) as k from l),

@@ -208,6 +208,13 @@ _NEAREST = _UNIT + """, s as (select vec_id as id, l.label, round(list_cosine_si
         a as (select id, label, cosine from (select *, row_number() over (partition by id order by cosine desc, label) as k from s) where k = 1)"""
 
 SQL = {
+    "v08_seed_groups": _UNIT + """, o as (select label, v, row_number() over (order by n desc, label) as k from l),
+        m as (select list(r order by k) as m from (select a.k, list(list_cosine_similarity(a.v, b.v) order by b.k) as r from o a, o b group by a.k))
+        select o.label, g.own[o.k] - 1 as grp from o, (
+          with recursive s as (select 1 as k, [1] as seeds, [1] as own union all
+            select k + 1, case when hit is null then list_append(seeds, k + 1) else seeds end, list_append(own, coalesce(list_position(seeds, hit), len(seeds) + 1))
+            from (select s.*, list_filter(seeds, lambda x: m.m[k + 1][x] >= 0.5)[1] as hit from s, m where k < len(m.m)))
+          select own from s order by k desc limit 1) g""",
     "j16_similar_pairs": _NEAR + " select a, b, round(w, 6) as w from s where a < b and w >= 0.05",
     "j17_mutual_nearest": _NEAR + " select x.a, x.b, round(x.w, 6) as w from r x join r y on x.a = y.b and x.b = y.a where x.k = 1 and y.k = 1 and x.a < x.b",
     "v05_metrics": _UNIT + """, s as (select u.vec_id, u.label, l.label as other, list_cosine_similarity(u.v, l.v) as c from u, l),
