@@ -170,6 +170,12 @@ def k01_store(spark, d):
     return spark.read.parquet(path).where("db = 'es'").select("id", "headword")
 
 
+def k02_meta(spark, d):
+    """Counts kept per dictionary, those of the forms replaced by those of the entries where there are any."""
+    old, new = (load(spark, d, t).where("db is not null").groupBy("db").agg(F.count(F.lit(1)).alias("n")).withColumn("of", F.lit(t)) for t in ("forms", "entries"))
+    return files.replaced(old, new, "db")
+
+
 def k03_inserted(spark, d):
     """The even half of the staged forms, with the rest inserted; ``k03_inserted_forms`` runs on whole tables."""
     stage = load(spark, d, "forms_stage").where("entry_id is not null").select("entry_id", "form_text", "morph_tags")
@@ -227,7 +233,7 @@ def str_limited(spark, d):
     return events.drained(events.limited(_stream(spark, d), 2, 3600.0))
 
 
-QUERIES = {f.__name__: f for f in (s01_tsv_round_trip, s02_unified, s05_sources, s07_refs, s08_dump, s08_lines, s08_forms, s09_first_lines, s10_jmdict, s11_cedict, s12_conllu_round_trip, s13_bio_round_trip, s15_parquet_conllu, s16_vectors, s17_gzip_tsv, k05_report, k06_spans, k07_exported, s14_pruned_scan, s19_sanitized, s19_texts, k01_store, k03_inserted, k03_inserted_forms, k04_index, k08_replaced, k08_replaced_all, b05_newest, str_windows, str_sessions, str_limited)}
+QUERIES = {f.__name__: f for f in (s01_tsv_round_trip, s02_unified, s05_sources, s07_refs, s08_dump, s08_lines, s08_forms, s09_first_lines, s10_jmdict, s11_cedict, s12_conllu_round_trip, s13_bio_round_trip, s15_parquet_conllu, s16_vectors, s17_gzip_tsv, k05_report, k06_spans, k07_exported, s14_pruned_scan, s19_sanitized, s19_texts, k01_store, k02_meta, k03_inserted, k03_inserted_forms, k04_index, k08_replaced, k08_replaced_all, b05_newest, str_windows, str_sessions, str_limited)}
 
 _DUMP = r"""        with o as (select rec_id, cast(raw as json) as j from (select * from kaikki_raw where json_valid(raw) and trim(raw) <> '') where json_type(raw) = 'OBJECT'),
         w as (select rec_id, j, trim(j->>'$.word') as word from o where json_type(j, '$.word') = 'VARCHAR' and trim(j->>'$.word') <> '')"""
@@ -250,6 +256,7 @@ _TK = r"""
         t as (select doc_id || '-' || sent as sent_id, row_number() over (partition by doc_id, sent order by pos) as id, word from p where word <> '')"""
 
 SQL = {
+    "k02_meta": "select db, count(*) as n, 'entries' as of from entries where db is not null group by 1 union all select db, count(*), 'forms' from forms where db is not null and db not in (select db from entries where db is not null) group by 1",
     "s10_jmdict": "select id, trim(headword) as headword, trim(headword || 'x') as romanization, trim(pos) as pos, 'gloss ' || id || '|second' as glosses, trim(headword || 'x') as forms from entries where db like 'ja%' and headword <> '' and pos <> ''",
     "s11_cedict": r"select headword as traditional, headword as simplified, 'pin1 yin1' as pinyin, 'gloss ' || id || '|other' as glosses from entries where db like 'zh%' and regexp_matches(headword, '^\S+$')",
     "s13_bio_round_trip": _TK + " select case when regexp_matches(word, '^[0-9]+[.,]?$') then 'B-NUM' else 'O' end as label, count(*) as n from t where word <> '_' group by 1",

@@ -9,6 +9,7 @@ import gzip
 import hashlib
 import io
 import json
+import sqlite3
 import zipfile
 from html import escape
 from html.parser import HTMLParser
@@ -31,6 +32,36 @@ def read_tsv(spark: SparkSession, path: str, columns: list[str] | None = None) -
     return df.select(*columns) if columns else df
 
 
+SCAN = 5000
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str) -> DataFrame:
+    """Rows of a table of every SQLite file under ``path`` (S03, S04), with ``source``, the file's name without its ending.
+
+    One task per file opens it in memory and streams it in batches of ``SCAN`` rows; files without the table give none. Columns that a
+    file lacks are null, text that isn't UTF-8 has its bad bytes replaced.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                con = sqlite3.connect(":memory:")
+                con.text_factory = lambda b: b.decode("utf-8", "replace")
+                con.deserialize(bytes(content))
+                have = [r[1] for r in con.execute("select * from pragma_table_info(?)", (table,))]
+                if have:
+                    quoted = ", ".join('"' + n.replace('"', '""') + '"' if n in have else "null" for n in names)
+                    cursor = con.execute(f'select {quoted} from "{table}"')
+                    while rows := cursor.fetchmany(SCAN):
+                        frame = pd.DataFrame(rows, columns=names, dtype=object)
+                        frame["source"] = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+                        yield frame
+                con.close()
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"{schema}, source string")
+
+
 def unified(df: DataFrame) -> DataFrame:
     """Rows of the compact or the legacy column set brought to the compact one."""
     have = {c.lower(): c for c in df.columns}

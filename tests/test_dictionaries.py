@@ -73,3 +73,17 @@ def test_surface_parts():
     assert alignment.surface_parts("xyz!", ["ab", "c"])[0] == "proportional" and alignment.surface_parts("xyz!", ["ab", "c"])[1] == [(0, 3, (0,)), (3, 4, (1,))]
     assert alignment.surface_parts("", ["a"]) == ("none", []) and alignment.surface_parts("a", []) == ("none", [])
     assert alignment.surface_parts("x", ["aa", "bb", "cc"])[1] == [(0, 1, (0,))]
+
+
+def test_sqlite_files(spark, tmp_path):
+    import sqlite3
+
+    (tmp_path / "db").mkdir()
+    for name, rows in (("de", [(1, "Haus", 2.5), (2, None, None)]), ("fr-x", [(3, "café", 1.0)])):
+        with sqlite3.connect(tmp_path / "db" / f"{name}.sqlite") as con:
+            con.execute("create table entries (id integer, headword text, w real)")
+            con.executemany("insert into entries values (?, ?, ?)", rows)
+    with sqlite3.connect(tmp_path / "db" / "other.sqlite") as con:
+        con.execute("create table meta (k text)")
+    got = files.read_sqlite(spark, str(tmp_path / "db"), "entries", "id bigint, headword string, w double, pos string")
+    assert {tuple(r) for r in got.collect()} == {(1, "Haus", 2.5, None, "de"), (2, None, None, None, "de"), (3, "café", 1.0, None, "fr-x")}
