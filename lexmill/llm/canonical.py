@@ -1,7 +1,7 @@
 """One consistent form for text that looks the same (problem 2).
 
-A longest-match transducer, compiled once per language family, rewrites a string in one pass over its
-grapheme clusters: full- and half-width letters, presentation forms and compatibility letters to ordinary
+A longest-match transducer, compiled once per language family, rewrites a string in a pass over its
+code points, those that belong together matched together: full- and half-width letters, presentation forms and compatibility letters to ordinary
 ones, base letters with combining accents to composed letters, odd spaces and hyphens to the plain ones,
 look-alike letters of other scripts to the family's own letters; invisible characters are deleted. Its table
 is made from the Unicode properties by rule and from the short look-alike lists below, and is checked before
@@ -216,11 +216,8 @@ def transducer(family: str) -> Transducer:
 def family_of(db: Column) -> Column:
     """Family of a dictionary's language: the part of its name before a hyphen."""
     lang = F.lower(F.trim(F.split_part(db, F.lit("-"), F.lit(1))))
-    out = None
-    for family, codes in LANGUAGES.items():
-        test = lang.isin(*codes.split())
-        out = F.when(test, family) if out is None else out.when(test, family)
-    return out.otherwise("common")
+    named = F.create_map(*(F.lit(x) for family, codes in LANGUAGES.items() for code in codes.split() for x in (code, family)))
+    return F.coalesce(F.element_at(named, lang), F.lit("common"))
 
 
 def suspect(family: Column, value: Column) -> Column:
@@ -236,7 +233,9 @@ def suspect(family: Column, value: Column) -> Column:
 
 def rewritten(df: DataFrame, db_col: str, fields: list[str], id_col: str = "id") -> DataFrame:
     """row_id, field, value, canonical of the values whose consistent form differs."""
-    stacked = df.select(F.col(id_col).cast("bigint").alias("row_id"), family_of(F.col(db_col)).alias("family"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("s"))
+    # the family is a column below the explode, so that it is told once per row and not again in every test of it
+    told = df.select(F.col(id_col).cast("bigint").alias("row_id"), family_of(F.col(db_col)).alias("family"), *(F.col(f).cast("string").alias(f"_{f}") for f in fields))
+    stacked = told.select("row_id", "family", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_{f}").alias("value")) for f in fields))).alias("s"))
     asked = stacked.select("row_id", "family", "s.field", "s.value").where("value is not null and value <> ''").where(suspect(F.col("family"), F.col("value")))
 
     def run(batches):
