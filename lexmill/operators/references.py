@@ -21,16 +21,18 @@ from pyspark.sql import functions as F
 
 
 def intervals(parents: dict[str, DataFrame], deletions: DataFrame | None) -> DataFrame:
-    """Validity of each parent key: space, key, present, valid_from, deleted.
+    """Validity of each parent key: space, key, valid_from, valid_to, ended.
 
-    ``parents`` maps the name of a key space to a frame (key, valid_from).
+    A key in its table is valid from its loading on, without end; one that is only in the log of deletions has ended at the last of
+    them (``ended`` tells so even where the log has no time). ``parents`` maps the name of a key space to a frame (key, valid_from).
     """
-    parts = [df.where("key is not null").select(F.lit(space).alias("space"), F.col("key").cast("bigint").alias("key"), F.lit(True).alias("present"), F.col("valid_from"), F.lit(False).alias("deleted")) for space, df in parents.items()]
+    none = F.lit(None).cast("timestamp_ntz")
+    parts = [df.where("key is not null").select(F.lit(space).alias("space"), F.col("key").cast("bigint").alias("key"), F.lit(True).alias("present"), F.col("valid_from"), none.alias("valid_to")) for space, df in parents.items()]
     if deletions is not None:
         gone = deletions.where(F.col("row_id").isNotNull() & F.col("tab").isin(*parents))
-        parts.append(gone.select(F.col("tab").alias("space"), F.col("row_id").cast("bigint").alias("key"), F.lit(False).alias("present"), F.lit(None).cast("timestamp_ntz").alias("valid_from"), F.lit(True).alias("deleted")))
-    merged = reduce(DataFrame.unionByName, parts)
-    return merged.groupBy("space", "key").agg(F.max("present").alias("present"), F.min("valid_from").alias("valid_from"), F.max("deleted").alias("deleted"))
+        parts.append(gone.select(F.col("tab").alias("space"), F.col("row_id").cast("bigint").alias("key"), F.lit(False).alias("present"), none.alias("valid_from"), F.col("deleted_at").cast("timestamp_ntz").alias("valid_to")))
+    merged = reduce(DataFrame.unionByName, parts).groupBy("space", "key").agg(F.max("present").alias("present"), F.min("valid_from").alias("valid_from"), F.max("valid_to").alias("valid_to"))
+    return merged.select("space", "key", "valid_from", F.when(~F.col("present"), F.col("valid_to")).alias("valid_to"), (~F.col("present")).alias("ended"))
 
 
 def orphans(references: list[tuple[str, str, DataFrame]], parents: dict[str, DataFrame], deletions: DataFrame | None, hot_parts: int = 200) -> DataFrame:
@@ -47,7 +49,7 @@ def orphans(references: list[tuple[str, str, DataFrame]], parents: dict[str, Dat
     spans = intervals(parents, deletions).join(hot, ["space", "key"], "left")
     spans = spans.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     merged = salted.join(spans.hint("merge"), ["space", "key", "salt"], "left")
-    kind = F.when(F.col("present"), F.when(F.col("valid_from") > F.col("at"), F.lit("late"))).when(F.col("deleted"), F.lit("deleted")).otherwise(F.lit("missing"))
+    kind = F.when(F.col("ended").isNull(), F.lit("missing")).when(F.col("ended"), F.lit("deleted")).when(F.col("valid_from") > F.col("at"), F.lit("late"))
     return merged.select("tab", "row_id", kind.alias("kind"), "at").where("kind is not null")
 
 

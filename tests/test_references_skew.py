@@ -24,6 +24,13 @@ def test_kinds(spark):
         assert got == {(1, "late"), (2, "deleted"), (3, "missing"), (4, "missing")}
 
 
+def test_intervals(spark):
+    _, parents, gone = frames(spark)
+    more = gone.unionByName(spark.createDataFrame([("entries", 20, None), ("entries", None, LATE), ("entries", 11, EARLY)], "tab string, row_id bigint, deleted_at timestamp_ntz"))
+    got = {r.key: (r.valid_from, r.valid_to, r.ended) for r in references.intervals({"entries": parents}, more).collect()}
+    assert got == {10: (LATE, None, False), 13: (None, None, False), 11: (None, LATE, True), 20: (None, None, True)}
+
+
 def test_empty_and_report(spark):
     refs, parents, gone = frames(spark)
     assert references.orphans([("forms", "entries", refs.limit(0))], {"entries": parents}, gone).count() == 0
