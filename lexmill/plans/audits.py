@@ -104,12 +104,28 @@ def a26_offsets(spark, d):
     return audit.modal_offset(custom, load(spark, d, "entries").select("id", exprs.lang_of(F.col("db")).alias("lang"), "headword"), ["lang", "headword"])
 
 
-def a27_marks(spark, d):
-    marks = load(spark, d, "entries").where("headword is not null").select("db", "headword", F.explode(F.regexp_extract_all("headword", F.lit("(\\p{M})"), F.lit(1))).alias("mark"))
+def _signs(spark, d, pattern: str):
+    """Signs in the headwords of each dictionary, with their number and up to three headwords."""
+    marks = load(spark, d, "entries").where("headword is not null").select("db", "headword", F.explode(F.regexp_extract_all("headword", F.lit(f"({pattern})"), F.lit(1))).alias("mark"))
     counts = marks.groupBy("db", "mark").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(audit.sampled_values(marks, ["db", "mark"], "headword", 3), ["db", "mark"])
 
 
+def a27_marks(spark, d):
+    return _signs(spark, d, "\\p{M}")
+
+
+def a27_other_signs(spark, d):
+    """What stands in headwords beside letters, marks, numbers, spaces and hyphens."""
+    return _signs(spark, d, "[^\\p{L}\\p{M}\\p{N} -]")
+
+
+def a27_scripts(spark, d):
+    """Letters of each dictionary's headwords by script."""
+    letters = load(spark, d, "entries").where("headword is not null").select("db", *(F.length(F.regexp_replace("headword", f"[^{members}]|\\P{{L}}", "")).alias(name) for name, members in prune.SCRIPTS.items()))
+    return letters.groupBy("db").agg(*(F.sum(n).alias(n.lower()) for n in prune.SCRIPTS))
+
+
 def o04_sample(spark, d):
     """Five entries per dictionary, drawn by a seeded hash."""
     drawn = F.md5(F.concat(F.lit("7:"), F.col("id").cast("string")))
@@ -142,7 +158,7 @@ def f04_scripts(spark, d):
     return rows.select("db", F.explode("s").alias("script")).groupBy("db", "script").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (a06_high_fanout, a07_duplicates, a08_deduped_fanout, a09_tag_combinations, a09_tag_samples, a10_pos, a11_ngrams, a12_tag_master, a13_examples, a14_collapsed, a15_tag_shares, a16_review, a23_top_unigrams, a25_scripts, a26_offsets, a27_marks, o04_sample, w03_kept, w13_fanout_order, w13_fanout_places, f04_scripts)}
+QUERIES = {f.__name__: f for f in (a06_high_fanout, a07_duplicates, a08_deduped_fanout, a09_tag_combinations, a09_tag_samples, a10_pos, a11_ngrams, a12_tag_master, a13_examples, a14_collapsed, a15_tag_shares, a16_review, a23_top_unigrams, a25_scripts, a26_offsets, a27_marks, a27_other_signs, a27_scripts, o04_sample, w03_kept, w13_fanout_order, w13_fanout_places, f04_scripts)}
 
 SQL = {
     "a06_high_fanout": "select db, form_text, count(distinct entry_id) as n_entries, count(*) as n_rows from forms where form_text <> '' group by 1, 2 having count(distinct entry_id) >= 5",

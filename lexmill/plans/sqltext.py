@@ -221,6 +221,13 @@ LEXICAL = {
         select r.word, concat_ws('|', 'sqlite', r.db, r.entry_id, case when r.form_id > 0 then r.form_id end) as ref_key, e.headword, e.pos, e.lemma, f.form_text as matched_form, f.morph_tags as matched_tags from r join entries e on e.id = r.entry_id left join forms f on f.id = r.form_id""",
 }
 
+
+def _signs(pattern: str) -> str:
+    return f"""with m as (select db, headword, unnest(regexp_extract_all(headword, '{pattern}')) as mark from entries where headword is not null), c as (select db, mark, count(*) as n from m group by 1, 2),
+        h as (select db, mark, headword, row_number() over (partition by db, mark order by headword) as k from (select distinct db, mark, headword from m))
+        select c.db, c.mark, c.n, string_agg(h.headword, '|' order by h.headword) as samples from c join h on h.db = c.db and h.mark = c.mark and k <= 3 group by 1, 2, 3"""
+
+
 AUDITS = {
     "a11_ngrams": r"""with w as (select id, list_filter(string_split(lower(regexp_replace(glosses, '[^A-Za-z ]', ' ', 'g')), ' '), lambda x: x <> '') as l from entries where glosses is not null),
         u as (select id, unnest(l) as a, unnest(range(len(l))) as k from w), g as (select a, lead(a) over (partition by id order by k) as b, lead(a, 2) over (partition by id order by k) as c from u),
@@ -232,9 +239,9 @@ AUDITS = {
         m as (select *, ["Latin", "Greek", "Cyrillic", "Arabic", "Devanagari", "Hangul"] as l from n), s as (select db, case when regexp_matches(c, '[\p{Han}\p{Hiragana}\p{Katakana}]') then 'CJK' when list_max(l) = 0 then 'None'
           when len(list_filter(l, lambda x: x = list_max(l))) > 1 then 'Mixed' else ['Latin', 'Greek', 'Cyrillic', 'Arabic', 'Devanagari', 'Hangul'][list_position(l, list_max(l))] end as script from m)
         select db, script, count(*) as n from s group by 1, 2""",
-    "a27_marks": r"""with m as (select db, headword, unnest(regexp_extract_all(headword, '\p{M}')) as mark from entries where headword is not null), c as (select db, mark, count(*) as n from m group by 1, 2),
-        h as (select db, mark, headword, row_number() over (partition by db, mark order by headword) as k from (select distinct db, mark, headword from m))
-        select c.db, c.mark, c.n, string_agg(h.headword, '|' order by h.headword) as samples from c join h on h.db = c.db and h.mark = c.mark and k <= 3 group by 1, 2, 3""",
+    "a27_marks": _signs(r"\p{M}"),
+    "a27_other_signs": _signs(r"[^\p{L}\p{M}\p{N} -]"),
+    "a27_scripts": "select db, " + ", ".join(f"cast(sum(length(regexp_replace(headword, '[^{members}]', '', 'g'))) as bigint) as {name.lower()}" for name, members in _letters().items()) + " from entries where headword is not null group by 1",
     "w03_kept": f"{_HITS} select db, kept_as, count(*) as n from hits group by 1, 2",
     "f04_scripts": f"with s as (select db, unnest({scripts('headword')}) as script from entries where headword is not null) select db, script, count(*) as n from s group by 1, 2",
 }
