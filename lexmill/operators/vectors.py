@@ -576,3 +576,22 @@ def csls(rows: DataFrame, centres: pd.DataFrame, rotation: np.ndarray, id_col: s
                 yield pd.DataFrame({"id": batch[id_col].to_numpy(), "label": names[at], "csls": scores[np.arange(len(at)), at]})
 
     return have.mapInPandas(pick, "id bigint, label int, csls double")
+
+
+def self_learned(rows: DataFrame, centres: pd.DataFrame, rotation: np.ndarray, id_col: str, vec_col: str, label: str, rounds: int = 5, k: int = 10) -> tuple[DataFrame, np.ndarray]:
+    """``csls`` after further rounds (V18): the rotation is fitted anew on the pairs that the last one found, of each centre the row
+    that fits it best, until no row finds another centre or the rounds are over. Gives the last result and its rotation.
+    """
+    spark = rows.sparkSession
+    given = spark.createDataFrame([(int(x), [float(v) for v in c]) for x, c in zip(centres[label], centres["centroid"])], "label int, _centre array<double>")
+    own = cut(csls(rows, centres, rotation, id_col, vec_col, label, k))
+    for _ in range(rounds):
+        best = own.groupBy("label").agg(F.max_by("id", F.struct("csls", -F.col("id"))).alias("id"))
+        pairs = rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("_v")).join(best, "id").join(given, "label")
+        after = procrustes(pairs, "_v", "_centre")
+        new = cut(csls(rows, centres, after, id_col, vec_col, label, k))
+        moved = new.alias("n").join(own.alias("o"), "id").where("n.label <> o.label").isEmpty()
+        own, rotation = new, after
+        if moved:
+            break
+    return own, rotation

@@ -184,6 +184,14 @@ def v18_lexicon(spark, d):
     return vectors.csls(rows, _tags(spark, d), vectors.procrustes(pairs, "embedding", "centroid"), "vec_id", "embedding", "label").select(F.col("id").alias("vec_id"), "label", F.round("csls", 6).alias("csls"))
 
 
+def v18_learned(spark, d):
+    """The same after the rotation has learned from its own pairs."""
+    rows = load(spark, d, "embeddings")
+    pairs = rows.where("embedding is not null").join(vectors.centroids(rows, "label", "embedding").select("label", "centroid"), "label")
+    own, _ = vectors.self_learned(rows, _tags(spark, d), vectors.procrustes(pairs, "embedding", "centroid"), "vec_id", "embedding", "label")
+    return own.select(F.col("id").alias("vec_id"), "label", F.round("csls", 6).alias("csls"))
+
+
 def u05_families(spark, d):
     """Entries joined through an equal headword or lemma of their dictionary: entry id and family."""
     entries = load(spark, d, "entries")
@@ -193,7 +201,7 @@ def u05_families(spark, d):
     return vectors.components(edges).select(F.col("node").alias("id"), F.col("component").alias("family"))
 
 
-QUERIES = {f.__name__: f for f in (o02_top_similar, v01_centroids, v02_tag_cosines, v03_mutual_knn, j16_similar_pairs, j17_mutual_nearest, v04_communities, v05_metrics, v06_grid, v10_gated_groups, v11_snowball, v13_balanced, v16_adjacency, v19_names, v20_sweep, v07_assigned, v07_gated, v08_seed_groups, v09_merged_groups, v12_kmeans, v14_tfidf, v14_ngram_cosines, v15_jaccard, v15_jaccard_pairs, v17_cooccurrence, v18_lexicon, u05_families)}
+QUERIES = {f.__name__: f for f in (o02_top_similar, v01_centroids, v02_tag_cosines, v03_mutual_knn, j16_similar_pairs, j17_mutual_nearest, v04_communities, v05_metrics, v06_grid, v10_gated_groups, v11_snowball, v13_balanced, v16_adjacency, v19_names, v20_sweep, v07_assigned, v07_gated, v08_seed_groups, v09_merged_groups, v12_kmeans, v14_tfidf, v14_ngram_cosines, v15_jaccard, v15_jaccard_pairs, v17_cooccurrence, v18_lexicon, v18_learned, u05_families)}
 
 _UNIT = """
 with u as (select vec_id, label, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: cast(y as double) * y)))) as v from embeddings),

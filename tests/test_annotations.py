@@ -198,3 +198,20 @@ def test_running_sums_and_phrases(spark):
     df = spark.createDataFrame([(1, "aAaa b"), (2, None), (3, "B")], "id int, t string")
     found = corpus.occurrences(df, "t", spark.createDataFrame([("aa",), ("b",), ("",), (None,)], "phrase string"))
     assert {(r.id, r.phrase, r.n) for r in found.collect()} == {(1, "aa", 2), (1, "b", 1), (3, "b", 1)}
+
+
+def test_a_rotation_learns_from_its_own_pairs(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    turn, _ = np.linalg.qr(rng.normal(size=(6, 6)))
+    centres = vectors.unit(rng.normal(size=(12, 6)))
+    points = centres @ turn.T + rng.normal(scale=0.02, size=(12, 6))
+    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(99, None)], "id bigint, v array<double>")
+    table = pd.DataFrame({"label": range(12), "centroid": list(centres)})
+    rough, _ = np.linalg.qr(turn + rng.normal(scale=0.12, size=(6, 6)))
+    rough = rough * np.sign(np.sum(rough * turn, axis=0))
+    own, rotation = vectors.self_learned(rows, table, rough, "id", "v", "label", 5, 3)
+    assert np.abs(rotation @ rotation.T - np.eye(6)).max() < 1e-9
+    assert np.abs(rotation - turn).max() < np.abs(rough - turn).max() and np.abs(rotation - turn).max() < 0.1
+    assert sum(r.id == r.label for r in own.collect()) >= 11
