@@ -170,6 +170,14 @@ def display_rows(entries: DataFrame, special: DataFrame) -> DataFrame:
     return every.select("entry_id", "word", whole.alias("commentary"), "roman").distinct()
 
 
+def imported_forms(entries: DataFrame) -> DataFrame:
+    """entry_id, word, tags, roman of the stored forms that add a surface."""
+    rows = spread(entries.select(F.col("id").alias("entry_id"), "db", F.trim(F.coalesce("headword", F.lit(""))).alias("h"), "forms")).select("entry_id", "h", lang_of(F.col("db")).alias("lang"), F.inline(form_rows(F.col("forms"))))
+    named = rows.select("entry_id", "h", "lang", F.trim("word").alias("word"), F.trim("commentary").alias("tags"), F.trim("roman").alias("roman"))
+    itself = (F.col("word") == F.col("h")) & ((F.col("lang") == "ko") | F.array_contains(F.transform(F.split(F.lower("tags"), ";"), lambda t: F.trim(t)), "alternative"))
+    return named.where((F.col("word") != "") & ~itself).select("entry_id", "word", "tags", "roman").distinct()
+
+
 def alternate(tags: Column) -> Column:
     """Whether tags say that a form only stands for another."""
     return F.arrays_overlap(F.split(F.lower(strip(tags)), "[;|,\\s]+"), F.array(*map(F.lit, ALTERNATE)))

@@ -248,6 +248,12 @@ def of_targets(items: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(items, lambda x: F.regexp_extract(x, "\\bof\\s+(\\S+?)[\\s.,;:!?)\\]}\"'`]*$", 1)), lambda x: x != ""))
 
 
+def placeholder(db: Column, pos: Column, items: Column) -> Column:
+    """Entries of the Korean learners' dictionary without a known part of speech and without any gloss in Latin letters."""
+    unknown = F.lower(strip(pos)).isin("", "[]", "unk", "unknown")
+    return (F.lower(strip(db)) == "ko-krdict") & unknown & ~F.exists(items, lambda x: x.rlike("[A-Za-z]"))
+
+
 def pos_bucket(pos: Column) -> Column:
     """Part of speech by the first matching pattern."""
     p = F.lower(strip(pos))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.operators import display
+from lexmill.operators import display, prune
 from lexmill.plans import sqltext
 from lexmill.sources import load
 
@@ -40,6 +40,16 @@ def f18_vietnamese_sides(spark, d):
     return _sides(spark, d, {t: display.VIETNAMESE.get(t, []) for t in ("V", "N")}, "db like 'vi%'", exempt=display.VIETNAMESE_EXEMPT, hide=display.VIETNAMESE_HIDDEN)
 
 
+def f27_imported_forms(spark, d):
+    """Stored forms that an import keeps: none like its headword that is tagged as an alternative, in Korean none like it at all."""
+    return display.imported_forms(load(spark, d, "entries"))
+
+
+def f16_split_pages(spark, d):
+    """Headwords of each dictionary that only name a part of a split page."""
+    return load(spark, d, "entries").groupBy("db").agg(F.count_if(F.coalesce(F.trim("headword").rlike(prune.SPLIT_PAGE), F.lit(False))).alias("n_pages"), F.count(F.lit(1)).alias("n"))
+
+
 def f20_pos_names(spark, d):
     """Parts of speech after reclassification, and whether entries are hidden beside others."""
     rows = load(spark, d, "entries").select(display.pos_name(F.col("pos"), F.col("tags")).alias("name"), display.hidden(F.col("pos"), F.col("db")).alias("hidden"))
@@ -69,7 +79,7 @@ def j20_merged(spark, d):
     return display.merged(_shown(spark, d), "VERB").select("word", "ref_key", "match_kind", "side")
 
 
-QUERIES = {f.__name__: f for f in (f17_upos_sides, f18_korean_sides, f18_vietnamese_sides, f20_pos_names, m02_matched_forms, m02_special_forms, m03_form_rows, m04_payload, j20_merged)}
+QUERIES = {f.__name__: f for f in (f17_upos_sides, f18_korean_sides, f18_vietnamese_sides, f27_imported_forms, f16_split_pages, f20_pos_names, m02_matched_forms, m02_special_forms, m03_form_rows, m04_payload, j20_merged)}
 
 S = sqltext.strip
 _LANG = f"lower(split_part({S('db')}, '-', 1))"
@@ -117,6 +127,11 @@ SQL = {
     "m02_matched_forms": f"""{_REFS} select r.word, r.entry_id, {S('f.form_text')} as form_text, {S('f.morph_tags')} as tags, {S('f.romanization')} as roman, min(f.id) as form_id
         from refs r join forms f on f.entry_id = r.entry_id and f.form_text = r.word group by 1, 2, 3, 4, 5""",
     "m02_special_forms": f"{_REFS} select * from ({_SPECIAL}) where entry_id in (select entry_id from refs)",
+    "f16_split_pages": f"select db, count(*) filter (where regexp_matches(trim(headword), '{prune.SPLIT_PAGE}')) as n_pages, count(*) as n from entries group by 1",
+    "f27_imported_forms": f"""with v as (select id, trim(coalesce(headword, '')) as h, {_LANG} as lang, unnest(json_extract(cast(forms as json), '$[*]')) as x from (select * from entries where json_valid(forms) and forms <> '') where json_type(cast(forms as json)) = 'ARRAY'),
+        r as (select distinct id, h, lang, trim(case json_type(x) when 'OBJECT' then {_first('word', 'form', 'headword', 'form_text', 'display_text')} when 'ARRAY' then coalesce(x->>'$[0]', '') else coalesce(x->>'$', '') end) as word,
+          trim(case json_type(x) when 'OBJECT' then {_first('commentary', 'tags')} when 'ARRAY' then coalesce(x->>'$[1]', '') else '' end) as tags, trim(case json_type(x) when 'OBJECT' then {_first('romanization', 'reading', 'form_roman')} when 'ARRAY' then coalesce(x->>'$[2]', '') else '' end) as roman from v)
+        select id as entry_id, word, tags, roman from r where word <> '' and not (word = h and (lang = 'ko' or list_contains(list_transform(string_split(lower(tags), ';'), lambda t: trim(t)), 'alternative')))""",
     "m03_form_rows": f"""with v as (select id as entry_id, unnest(json_extract(cast(forms as json), '$[*]')) as x from (select * from entries where json_valid(forms) and forms <> '') where json_type(cast(forms as json)) = 'ARRAY'),
         r as (select entry_id, case json_type(x) when 'OBJECT' then {_first('word', 'form', 'headword', 'form_text', 'display_text')} when 'ARRAY' then coalesce(x->>'$[0]', '') else coalesce(x->>'$', '') end as word,
           case json_type(x) when 'OBJECT' then {_first('commentary', 'tags')} when 'ARRAY' then coalesce(x->>'$[1]', '') else '' end as commentary,

@@ -191,8 +191,10 @@ def f26_pos_buckets(spark, d):
 
 
 def f27_importable(spark, d):
-    entries = load(spark, d, "entries")
-    return entries.where((exprs.strip(F.col("headword")) != "") & (exprs.strip(F.col("glosses")) != "")).groupBy("db").agg(F.count(F.lit(1)).alias("n"))
+    """Entries with a headword and a gloss that are no placeholders, by dictionary."""
+    entries = spread(load(spark, d, "entries").select("db", "headword", "pos", "glosses")).withColumn("told", prune.glosses(F.col("glosses")))
+    empty = prune.placeholder(F.col("db"), F.col("pos"), F.col("told"))
+    return entries.where((exprs.strip(F.col("headword")) != "") & (exprs.strip(F.col("glosses")) != "") & ~empty).groupBy("db").agg(F.count(F.lit(1)).alias("n"))
 
 
 def w01_survivors(spark, d):
@@ -365,7 +367,6 @@ SQL = {
         select case when p = '' then 'blank' when regexp_matches(p, '^(proper )?noun|^name|^proper') then 'nominal' when regexp_matches(p, '^verb') then 'verbal'
           when regexp_matches(p, '^adj|^adv|^det|^num') then 'modifier' when regexp_matches(p, 'fix$|^particle|^prep|^conj|^root|^counter|^character') then 'functional' else 'other' end as bucket, count(*) as n
         from (select lower(trim(coalesce(pos, ''))) as p from entries) group by 1""",
-    "f27_importable": "select db, count(*) as n from entries where trim(coalesce(headword, '')) <> '' and trim(coalesce(glosses, '')) <> '' group by db",
     "w04_canonical_first": """
         select entry_id, id as form_id, form_text from (
           select entry_id, id, form_text, row_number() over (partition by entry_id order by

@@ -207,6 +207,8 @@ LEXICAL = {
     "w02_form_hits": f"{_HITS} select * from hits",
     "j12_redirects": r"""with v as (select distinct id, db, unnest([regexp_extract(glosses, 'variant of ([^\s";|,.]+)', 1), trim(lemma)]) as target from entries), h as (select db, headword as target, min(id) as target_id from entries where headword <> '' group by 1, 2)
         select v.id, v.db, v.target, target_id from v join h on h.db = v.db and h.target = v.target where v.target <> '' and v.id <> target_id""",
+    "f27_importable": f"""with {GLOSSES} select db, count(*) as n from entries e where trim(coalesce(headword, '')) <> '' and trim(coalesce(glosses, '')) <> ''
+        and not (lower({strip('db')}) = 'ko-krdict' and lower({strip('pos')}) in ('', '[]', 'unk', 'unknown') and not exists (select 1 from gl where gl.id = e.id and regexp_matches(gloss, '[A-Za-z]'))) group by db""",
     "f01_glosses": f"with {GLOSSES} select id, gloss from gl",
     "f03_entry_cuts": f"with {CUTS} select id, reason from cuts",
     "f06_always_kept": f"with {OCCURRENCES} select id from occ where {always_kept('tags')}",

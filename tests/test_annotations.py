@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexmill.functions import scripts
-from lexmill.operators import alignment, annotations, corpus, display, fuzzy, vectors
+from lexmill.operators import alignment, annotations, corpus, display, fuzzy, prune, vectors
 from lexmill.operators.ordering import running
 
 
@@ -215,3 +215,12 @@ def test_a_rotation_learns_from_its_own_pairs(spark):
     assert np.abs(rotation @ rotation.T - np.eye(6)).max() < 1e-9
     assert np.abs(rotation - turn).max() < np.abs(rough - turn).max() and np.abs(rotation - turn).max() < 0.1
     assert sum(r.id == r.label for r in own.collect()) >= 11
+
+
+def test_what_an_import_keeps(spark):
+    forms = '[["run","alternative"],["run","plural"],{"form":"ran","tags":"past"},"",["ran","past"]]'
+    df = spark.createDataFrame([(1, "en", "run", forms), (2, "ko-krdict", "말", '[["말","x"],["말이",""]]'), (3, "en", None, None), (4, "en", "x", "{")], "id bigint, db string, headword string, forms string")
+    assert {tuple(r) for r in display.imported_forms(df).collect()} == {(1, "run", "plural", ""), (1, "ran", "past", ""), (2, "말이", "", "")}
+    rows = [("ko-krdict", "", ["말"], True), ("ko-krdict", "unk", [], True), ("ko-krdict", "[]", ["a horse"], False), ("ko-krdict", "noun", [], False), ("ko", "", [], False), ("ko-krdict", None, ["x"], False)]
+    df = spark.createDataFrame(rows, "db string, pos string, g array<string>, want boolean")
+    assert all(r.got == r.want for r in df.select("want", prune.placeholder(F.col("db"), F.col("pos"), F.col("g")).alias("got")).collect())
