@@ -178,16 +178,6 @@ def drift_column(left: Column, right: Column, ahead: int = 3) -> Column:
     return run(left, right)
 
 
-def beam_column(slots: Column, width: int = 8) -> Column:
-    """``beam`` as a vectorised column; slots are arrays of (id, at)."""
-
-    @F.pandas_udf("array<string>")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([beam([[(x["id"], x["at"]) for x in slot] for slot in v], width) for v in values], dtype=object)
-
-    return run(slots)
-
-
 def normalised_column(text: Column) -> Column:
     """``normalised_with_map`` as a vectorised column: text, places."""
 

@@ -6,6 +6,7 @@ range, as an audit needs them), tags by shape. The operators take any such table
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +117,19 @@ def t13_repaired(spark, d):
     return fixed.select("doc_id", F.size(F.filter("r.labels", lambda x: x != "O")).alias("n_labelled"), F.size("r.log").alias("n_fixes"))
 
 
+def t14_slots(spark, d):
+    """The words of the held-out items put back to their places: a slot per word, its places in the item as candidates."""
+    rows = load(spark, d, "heldout_items").where("text is not null").select("item_id", F.filter(F.split("text", "\\s+"), lambda w: w != "").alias("w")).where(F.size("w") > 0)
+
+    def run(batches):
+        for batch in batches:
+            slots = [[[(str(p), p) for p, x in enumerate(own) if x == w] for w in own] for own in map(list, batch["w"])]
+            filled = [sum(map(bool, alignment.beam(s))) for s in slots]
+            yield pd.DataFrame({"item_id": batch["item_id"], "n_slots": [len(s) for s in slots], "n_filled": filled})
+
+    return rows.mapInPandas(run, "item_id bigint, n_slots int, n_filled int")
+
+
 def t15_drift(spark, d):
     """How many tokens two tokenisations share in order, looking three ahead."""
     rows = _docs(spark, d).select("doc_id", F.split("text", "\\s+").alias("a"), F.split(F.regexp_replace("text", "([.,;:!?])", " $1"), "\\s+").alias("b"))
@@ -170,7 +184,7 @@ def e03_agreement(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (t10_flat_tokens, e04_collapsed, t11_overlay, a17_counts, a18_labels, a19_corpus_audit, e04_bioes, m06_shifted, m07_remapped, x11_model_texts, t12_normalised, t13_repaired, t15_drift, t16_batches, t17_surface_parts, t18_forms, t19_merged, j11_zipped, w07_best_runs, e03_agreement)
+    for f in (t10_flat_tokens, e04_collapsed, t11_overlay, a17_counts, a18_labels, a19_corpus_audit, e04_bioes, m06_shifted, m07_remapped, x11_model_texts, t12_normalised, t13_repaired, t14_slots, t15_drift, t16_batches, t17_surface_parts, t18_forms, t19_merged, j11_zipped, w07_best_runs, e03_agreement)
 }
 
 
@@ -199,6 +213,7 @@ _FLAT = _TK + r""",
 _PLAIN = f"[^\\p{{L}}\\p{{M}}\\p{{N}}{sqltext.WS}]"
 
 SQL = {
+    "t14_slots": r"with w as (select item_id, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) as n from heldout_items where text is not null) select item_id, n as n_slots, n as n_filled from w where n > 0",
     "t17_surface_parts": """
         with s as (select id, list_filter(regexp_split_to_array(headword, '[ -]+'), lambda p: p <> '') as l from entries where regexp_matches(headword, '[^ -][ -]+[^ -]')),
         u as (select id, unnest(range(len(l))) as k, unnest(l) as p from s), e as (select id, k, p, sum(length(p)) over (partition by id order by k) as stop from u)
