@@ -3,8 +3,7 @@
 Wu-Manber multi-pattern search over normalised words finds, in one pass over a document, the four-word
 patterns of all items: a shift table over hashed character blocks skips positions where no pattern can end,
 buckets of the zero-shift blocks with their prefix hash select patterns, and a direct comparison confirms.
-An item whose confirmed patterns cover a quarter of its words, and half as large a share of what it must hold beyond
-stock phrases (patterns of ``SHARED`` or more items), is then aligned with the document exactly:
+An item whose confirmed patterns cover a quarter of its words is then aligned with the document exactly:
 passages grow from common three-word runs over single changed, missing or added words.
 
 A passage counts from ``MIN_SCORE`` net words on (one per equal word, less ``PENALTY`` per changed one), so
@@ -12,26 +11,32 @@ that instruction lines, stock phrases and short quotations don't count. Such a p
 three equal words, so no passage is missed by its seed. A document holds an item when its passages have at
 least half of the item's words.
 
+Whether a document holds an item depends on the two alone: what is skipped before can't reach the quarter, so the
+rows are the same for any number of items and any blocks.
+
 Items of up to ``BLOCK_WORDS`` words altogether are compiled into one search, sent to the tasks as a broadcast of
 that bounded size, and the documents are read once, without a shuffle. More items are joined: the hashes of their
 patterns meet those of the documents, after a bitmap of fixed size has dropped nearly all other hashes, and the
-pairs that share enough patterns are confirmed as above. A pattern of more than ``COMMON`` items (an instruction
-line) isn't joined, as it would pair everything; items made of such patterns by more than a tenth are searched in
-blocks. There is no limit on matches.
+pairs that may share enough patterns are confirmed as above. A pattern of more than ``COMMON`` items (an instruction
+line) isn't joined, as it would pair everything; the words that it covers count as held until the pair is confirmed.
+Items of which such patterns cover a quarter are searched in blocks. There is no limit on matches.
 
 Words are runs of letters and digits; in scripts written without spaces every character is one.
 
 Cases: null and empty texts match nothing; items under four words have no pattern and match nothing; repeated
-documents and repeated items count each; extra columns are ignored.
+documents and repeated items count each, whatever their ids; documents without an id keep their rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +49,9 @@ SEED = 3
 BLOCK = 9
 MIN_SCORE, PENALTY, SHARE, SEED_SHARE = 8, 2, 0.5, 0.25
 BLOCK_WORDS = 200_000
-COMMON, COMMON_SHARE, SHARED = 32, 0.1, 8
+COMMON, SHARED = 32, 8
 SLOTS = 1 << 21
+MEMO = 200_000
 
 
 class WuManber:
@@ -92,27 +98,26 @@ class Items:
     """A block of compiled items."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.words = {i: w for i, t in rows if len(w := words(t)) >= SIZE}
+        held = [(i, w) for i, t in rows if len(w := words(t)) >= SIZE]
+        self.ids, self.words = [i for i, _ in held], [w for _, w in held]
         places: dict[str, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for i, w in self.words.items():
+        for i, w in enumerate(self.words):
             for k, p in enumerate(patterns(w)):
                 places[p][i].append(k)
-        self.places = [dict(p) for p in places.values()]
-        self.owners = [[i for i, at in p.items() for _ in at] for p in self.places]
-        self.shared = [len(p) >= SHARED for p in self.places]
-        stock: dict[int, set[int]] = defaultdict(set)  # places of an item's words in stock phrases
-        for k, p in enumerate(self.places):
-            if self.shared[k]:
-                for i, at in p.items():
-                    stock[i].update(x + y for x in at for y in range(SIZE))
-        self.rare_need = {i: SEED_SHARE / SHARE * (SHARE * len(w) - len(stock[i])) for i, w in self.words.items()}
-        self.stocky = {i for i, n in self.rare_need.items() if n <= 0}
-        self.runs: dict[int, dict[tuple, list[int]]] = {}
-        for i, w in self.words.items():
-            self.runs[i] = defaultdict(list)
+        span = (1 << SIZE) - 1
+        #: Per pattern, a bit for every word of an item that it covers.
+        self.covers = [{i: reduce(or_, (span << x for x in at)) for i, at in p.items()} for p in places.values()]
+        self.shared = [len(p) >= SHARED for p in self.covers]
+        self.need = [SEED_SHARE * len(w) for w in self.words]
+        self.runs: list[dict[tuple, list[int]]] = []
+        for w in self.words:
+            own = defaultdict(list)
             for k, run in enumerate(zip(w, w[1:], w[2:])):
-                self.runs[i][run].append(k)
-        self.need = {i: SEED_SHARE * len(w) for i, w in self.words.items()}
+                own[run].append(k)
+            self.runs.append(own)
+        self.pairs = [list(zip(w, w[1:])) for w in self.words]
+        self.stock_memo: dict[frozenset[int], tuple[dict[int, int], list[int]]] = {}
+        self.kept = 0
         self.search = WuManber(list(places))
 
     def leaked(self, text: str | None) -> list[int]:
@@ -121,20 +126,22 @@ class Items:
         if len(w) < SIZE:
             return []
         hits = set(self.search.finditer(" " + " ".join(w) + " "))
-        bound: Counter = Counter()  # of an item's patterns that are no stock phrase
-        for k in hits:
-            if not self.shared[k]:
-                bound.update(self.owners[k])
-        likely = [i for i, c in bound.items() if SIZE * c >= self.rare_need[i]]
-        if self.stocky:
-            likely += {i for k in hits for i in self.places[k] if i in self.stocky and i not in bound}
+        rare = self.covered(k for k in hits if not self.shared[k])
+        stock, enough = self.by_stock(frozenset(k for k in hits if self.shared[k]))
+        likely = [i for i, bits in rare.items() if (bits | stock.get(i, 0)).bit_count() >= self.need[i]] + [i for i in enough if i not in rare]
         if not likely:
             return []
-        runs, index, out = set(zip(w, w[1:], w[2:])), None, []
+        known, pairs, runs, index, out = set(w), None, None, None, []
         for i in likely:
             own = self.words[i]
-            if len({p + x for k in hits for p in self.places[k].get(i, ()) for x in range(SIZE)}) < self.need[i]:
+            if sum(map(known.__contains__, own)) < SHARE * len(own):
+                continue
+            # every word of a passage has an equal one beside it
+            pairs = pairs or set(zip(w, w[1:]))
+            equal = [*map(pairs.__contains__, self.pairs[i])]
+            if sum(map(or_, [False, *equal], [*equal, False])) < SHARE * len(own):
                 continue
+            runs = runs or set(zip(w, w[1:], w[2:]))
             # passages begin and end in common runs, so they lie between the first and the last
             at = [p for run in self.runs[i].keys() & runs for p in self.runs[i][run]]
             if not at or max(at) + SEED - min(at) < SHARE * len(own):
@@ -144,9 +151,28 @@ class Items:
                 for j, run in enumerate(zip(w, w[1:], w[2:])):
                     index[run].append(j)
             if len(passages(own, w, index)) >= SHARE * len(own):
-                out.append(i)
+                out.append(self.ids[i])
         return out
 
+    def covered(self, hits) -> dict[int, int]:
+        """The words of every item that patterns cover, as bits."""
+        got: dict[int, int] = {}
+        for k in hits:
+            for i, bits in self.covers[k].items():
+                got[i] = got.get(i, 0) | bits
+        return got
+
+    def by_stock(self, hits: frozenset[int]) -> tuple[dict[int, int], list[int]]:
+        """The words that stock phrases cover, and the items with enough of them; documents often hold the same phrases."""
+        if hits in self.stock_memo:
+            return self.stock_memo[hits]
+        bits = self.covered(hits)
+        got = bits, [i for i, b in bits.items() if b.bit_count() >= self.need[i]]
+        if self.kept + len(bits) < MEMO:
+            self.kept += len(bits) + 1
+            self.stock_memo[hits] = got
+        return got
+
 
 def patterns(w: list[str]) -> list[str]:
     """The patterns of consecutive words, with their bounds."""
@@ -210,6 +236,16 @@ def blocks(items: DataFrame, block_words: int = BLOCK_WORDS):
     yield got
 
 
+def _lists(batch: pa.RecordBatch, *names: str) -> list[list]:
+    return [batch[n].to_pylist() for n in names]
+
+
+def _pairs(rows) -> pa.RecordBatch:
+    """A batch of (doc_id, item_id); ids may be null."""
+    rows = list(rows)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["doc_id", "item_id"])
+
+
 def scanned(docs: DataFrame, items: DataFrame, block_words: int) -> DataFrame:
     """doc_id, item_id by one scan of the documents per block of items."""
 
@@ -221,10 +257,9 @@ def scanned(docs: DataFrame, items: DataFrame, block_words: int) -> DataFrame:
             if "items" not in held:  # once per worker
                 held["items"] = Items(held["rows"])
             for batch in batches:
-                out = [(d, i) for d, t in zip(batch["doc_id"], batch["text"]) for i in held["items"].leaked(t)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id"])
+                yield _pairs((d, i) for d, t in zip(*_lists(batch, "doc_id", "text")) for i in held["items"].leaked(t))
 
-        return docs.mapInPandas(run, "doc_id bigint, item_id bigint")
+        return docs.mapInArrow(run, "doc_id bigint, item_id bigint")
 
     return reduce(DataFrame.unionByName, [scan(b) for b in blocks(items, block_words)])
 
@@ -237,18 +272,26 @@ def hashed(w: list[str]) -> np.ndarray:
 def joined(docs: DataFrame, items: DataFrame, block_words: int) -> DataFrame:
     """doc_id, item_id by joining pattern hashes."""
     spark = docs.sparkSession
+    rows = cut(items.withColumn("row", F.monotonically_increasing_id()))
 
     def of_items(batches):
         for batch in batches:
-            out = [(i, int(h), len(w), n) for i, t in zip(batch["item_id"], batch["text"]) if len(w := words(t)) >= SIZE for h, n in Counter(hashed(w).tolist()).items()]
-            yield pd.DataFrame(out, columns=["item_id", "h", "n_words", "n"])
-
-    pieces = cut(items.mapInPandas(of_items, "item_id bigint, h bigint, n_words bigint, n bigint"))
+            out = []
+            for i, t in zip(batch["row"], batch["text"]):
+                if len(w := words(t)) >= SIZE:
+                    at = defaultdict(list)
+                    for k, h in enumerate(hashed(w).tolist()):
+                        at[h].append(k)
+                    out += [(i, h, SEED_SHARE * len(w), len(p), sorted({x + y for x in p for y in range(SIZE)})) for h, p in at.items()]
+            yield pd.DataFrame(out, columns=["row", "h", "need", "n", "covers"])
+
+    pieces = cut(rows.mapInPandas(of_items, "row bigint, h bigint, need double, n bigint, covers array<bigint>"))
     common = pieces.groupBy("h").agg(F.count(F.lit(1)).alias("n_items")).where(F.col("n_items") > COMMON).select("h")
-    rare = pieces.join(common, "h", "left_anti")
-    shares = rare.groupBy("item_id", "n_words").agg(F.sum("n").alias("n")).where(F.col("n") >= (1 - COMMON_SHARE) * (F.col("n_words") - SIZE + 1)).select("item_id")
-    chosen = cut(rare.join(shares, "item_id", "left_semi"))
-    slot, bit = F.pmod("h", F.lit(SLOTS)), F.pmod(F.shiftright("h", 32), F.lit(64)).cast("int")
+    covered = cut(pieces.join(common, "h", "left_semi").groupBy("row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covers")))).alias("covered"), F.first("need").alias("need")))
+    left = F.col("need") - F.coalesce("covered", F.lit(0))  # what other patterns must cover
+    rare = pieces.join(common, "h", "left_anti").join(covered.drop("need"), "row", "left").select("row", "h", "n", left.alias("need"))
+    chosen = cut(rare.where("need > 0"))
+    slot = F.pmod("h", F.lit(SLOTS))
     held = chosen.select(slot.cast("int").alias("slot"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 32), 64) as int))").alias("bits")).groupBy("slot").agg(F.bit_or("bits").alias("bits")).toPandas()
     table = np.zeros(SLOTS, dtype=np.int64)
     table[held["slot"].to_numpy()] = held["bits"].to_numpy()
@@ -258,24 +301,23 @@ def joined(docs: DataFrame, items: DataFrame, block_words: int) -> DataFrame:
         bits = given.value.view(np.uint64)
         for batch in batches:
             ids, got = [], []
-            for d, t in zip(batch["doc_id"], batch["text"]):
+            for d, t in zip(*_lists(batch, "doc_id", "text")):
                 h = np.unique(hashed(words(t)))
                 h = h[(bits[h % SLOTS] >> ((h >> 32) % 64).astype(np.uint64)) & np.uint64(1) == 1] if len(h) else h
                 ids += [d] * len(h)
                 got += h.tolist()
-            yield pd.DataFrame({"doc_id": ids, "h": got})
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got, pa.int64())], ["doc_id", "h"])
 
-    meets = docs.mapInPandas(of_docs, "doc_id bigint, h bigint").join(chosen, "h").groupBy("doc_id", "item_id", "n_words").agg(F.sum("n").alias("n"))
-    likely = meets.where(SIZE * F.col("n") >= (SEED_SHARE - COMMON_SHARE) * F.col("n_words")).select("doc_id", "item_id")
-    pairs = cut(likely).join(items.withColumnRenamed("text", "item"), "item_id").join(docs, "doc_id")
+    meets = docs.mapInArrow(of_docs, "doc_id bigint, h bigint").join(chosen, "h").groupBy("doc_id", "row", "need").agg(F.sum("n").alias("n"))
+    likely = cut(meets.where(SIZE * F.col("n") >= F.col("need")).select(F.col("doc_id").alias("of_doc"), "row"))
+    pairs = likely.join(rows.withColumnRenamed("text", "item"), "row").join(docs, F.col("of_doc").eqNullSafe(F.col("doc_id")))
 
     def confirm(batches):
         for batch in batches:
-            out = [(d, i) for d, i, item, t in zip(batch["doc_id"], batch["item_id"], batch["item"], batch["text"]) if Items([(i, item)]).leaked(t)]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id"])
+            yield _pairs((d, i) for d, i, item, t in zip(*_lists(batch, "doc_id", "item_id", "item", "text")) if Items([(i, item)]).leaked(t))
 
-    found_ = pairs.select("doc_id", "item_id", "item", "text").mapInPandas(confirm, "doc_id bigint, item_id bigint")
-    rest = items.join(shares, "item_id", "left_anti")
+    found_ = pairs.select("doc_id", "item_id", "item", "text").mapInArrow(confirm, "doc_id bigint, item_id bigint")
+    rest = rows.join(covered.where("covered >= need"), "row", "left_semi").select("item_id", "text")
     return found_ if rest.isEmpty() else found_.unionByName(scanned(docs, rest, block_words))
 
 

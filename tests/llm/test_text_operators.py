@@ -101,6 +101,22 @@ def test_many_items_are_joined_and_common_ones_scanned(spark):
     assert one == many and {(k, k) for k in range(60)} <= one and {(100, 1000 + k) for k in range(40)} <= one
 
 
+def test_leaks_are_those_of_each_pair_for_any_number_of_items(spark):
+    rng = random.Random(9)
+    line = [f"stock{i}" for i in range(16)]
+    own = [[f"a{k}x{i}" for i in range(24)] for k in range(50)]
+    texts = [" ".join(line + w) for w in own[:10]] + [" ".join(line[:9] + w) for w in own[10:]]
+    # a stock phrase and six words of the item, none of its other patterns
+    rows = [(k, " ".join([*line, "y", *w[1:4], "y", *w[5:8]])) for k, w in enumerate(own[:10])] + [(k + 10, " ".join(rng.sample(line, 16) + w[: rng.randrange(8, 24)])) for k, w in enumerate(own)]
+    rows += [(None, texts[3]), (None, texts[4]), (7, texts[20]), (7, texts[21])]
+    items = [*enumerate(texts), (5, texts[6]), (5, texts[5])]
+    want = Counter((d, i) for d, t in rows for i, x in items for _ in leakage.Items([(i, x)]).leaked(t))
+    assert all(want[k, k] for k in range(10)) and want[None, 3] and want[5, 5] == 2
+    frames = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for size in (10, 300, 200_000):
+        assert Counter(map(tuple, leakage.found(*frames, size).collect())) == want
+
+
 def test_unspaced_scripts_have_words():
     item = "春眠不覚暁処処聞啼鳥夜来風雨声花落知多少"
     assert leakage.Items([(1, item)]).leaked("前の文。" + item[:16] + "後の文。") == [1]
