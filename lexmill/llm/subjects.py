@@ -11,10 +11,12 @@ sentences vote for it (``least_votes``); so a passing mention, or sentences abou
 
 A line feed ends a paragraph. In texts with blank lines, one inside a sentence is only a wrapped line.
 
-Bounds: the examples used are at most ``MAX_SEEDS`` (the lowest seed ids). The tree and its mixtures are fitted on
-at most ``SAMPLE`` paragraphs (those with the lowest hash) and applied to all. Corpus terms need a share of at
-least ``LEAST_SHARE`` of all paragraphs, so the vocabulary and the tree have a size that doesn't grow with
-the corpus. Term shares and the assignment cover all paragraphs, in one pass each.
+Scale: all examples are counted, and the tree and its mixtures are fitted on all paragraphs. These are packed once as
+arrays of term numbers and weights, and stay distributed; the leaves that may be split next are split together, and a
+pass over the rows of open leaves brings their sums, counts or least similar rows. Once open leaves hold no more than
+``NEAR`` terms, the driver makes the same passes over them itself. Sums are of whole numbers, so that neither this nor
+the partitions change the tree. Corpus terms need a share of at least ``LEAST_SHARE`` of all paragraphs, so the
+vocabulary, the tree and what a pass brings to the driver have a size that doesn't grow with the corpus.
 
 Cases: null and empty texts have no subject; repeated documents count each; without examples nothing is
 assigned; extra columns are ignored.
@@ -28,16 +30,17 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.llm.text import words
-from lexmill.sources.tables import cut, spread
+from lexmill.sources.tables import cut, drop, spread
 
-MAX_SEEDS = 50_000
 LEAST_SHARE, LEAST_PARAGRAPHS = 0.0004, 5
-SAMPLE, LEAVES, ITERATIONS, LEAST_LEAF = 20_000, 256, 8, 20
+LEAVES, ITERATIONS, LEAST_LEAF = 256, 8, 20
+STEPS = float(1 << 24)  # weights are summed in such steps
 LEAST_MIX, SETTLED, LIFT = 0.05, 0.98, 1.5
 LEAST_SENTENCES = 3
 UNKNOWN_WEIGHT, KNOWN_FROM = 0.3, 3
@@ -103,16 +106,37 @@ def term_shares(docs: DataFrame) -> tuple[dict[str, float], int]:
     return {t: c / n for t, c in shares.items()}, n
 
 
+def uses(seeds) -> list[tuple[str, str, int]]:
+    """(word, subject, sentences with it) over labelled examples; the empty word counts the examples."""
+    got: Counter = Counter()
+    for text, subject in seeds:
+        got["", subject] += 1
+        for sentence in SENTENCE.split(text):
+            got.update((w, subject) for w in set(words(sentence)))
+    return [(w, s, n) for (w, s), n in got.items()]
+
+
+def lexicon_of(seeds: DataFrame) -> Lexicon:
+    """The lexicon of all examples; words that stand in one sentence only say nothing and aren't collected."""
+
+    def count(batches):
+        for batch in batches:
+            yield pd.DataFrame(uses(zip(batch["text"], batch["subject"])), columns=["term", "subject", "n"])
+
+    labelled = seeds.select("text", "subject").where("text is not null and subject is not null")
+    counts = labelled.mapInPandas(count, "term string, subject string, n bigint").groupBy("term", "subject").agg(F.sum("n").alias("n"))
+    kept = counts.withColumn("of_all", F.sum("n").over(Window.partitionBy("term"))).where("of_all > 1 or term = ''")
+    return Lexicon([], sorted((r.term, r.subject, r.n) for r in kept.collect()))
+
+
 class Lexicon:
     """Subjects of terms: counts from labelled sentences, later also from leaves."""
 
-    def __init__(self, seeds: list[tuple[str, str]]):
-        self.subjects = sorted({s for _, s in seeds})
+    def __init__(self, seeds: list[tuple[str, str]], counted: list[tuple[str, str, int]] = ()):
+        self.subjects = sorted({s for _, s in seeds} | {s for _, s, _ in counted})
         counts: dict[str, Counter] = defaultdict(Counter)
-        for text, subject in seeds:
-            for sentence in SENTENCE.split(text):
-                for w in set(words(sentence)):
-                    counts[w][subject] += 1
+        for w, subject, n in (*uses(seeds), *counted):
+            counts[w][subject] += n
         self.seen = {w: sum(c.values()) for w, c in counts.items()}
         self.of: dict[str, dict[str, float]] = {}
         few = max(1, len(self.subjects) // 3)
@@ -249,76 +273,336 @@ def _halves(row, term, value, n, size, rng) -> tuple[np.ndarray, np.ndarray] | N
     return None if left.all() or not left.any() else (left, axis)
 
 
-def grown(rows: Rows, size: int, settled) -> tuple[Tree, list[np.ndarray]]:
-    """The tree over the rows with known terms, and the rows of every leaf.
+def best_first(size: int, root, split) -> tuple[Tree, list]:
+    """The tree that splits the leaf with most unsettled rows next, and its leaves.
 
-    ``settled(members)`` gives the share of the leading subject in a leaf; the leaf with most unsettled rows is split next.
+    A leaf is (number of rows, share of its leading subject, its own data). ``split(leaves)`` gives for each, the most
+    unsettled first, its axis and two leaves, or None. It may be asked for more than are needed in the end.
     """
-    rng = np.random.default_rng(7)
-    members = {0: np.flatnonzero(~rows.empty)}
-    order = np.argsort(rows.row, kind="stable")
-    row, term, value = rows.row[order], rows.term[order], rows.value[order]
-    axes, children, inner = [], [], {}
-    open_ = {0: len(members[0]) * (1 - settled(members[0]))}
-    named = 1
+    members, done, axes, children, inner, named = {0: root}, {}, [], [], {}, 1
+    open_ = {0: root[0] * (1 - root[1])}
     while open_ and len(members) < LEAVES:
         k = max(open_, key=lambda x: (open_[x], -x))
-        if open_.pop(k) <= 0:
+        if open_[k] <= 0:
             break
-        own = members[k]
-        if len(own) < 2 * LEAST_LEAF:
+        if members[k][0] < 2 * LEAST_LEAF:
+            del open_[k]
             continue
-        place = np.full(rows.n, -1)
-        place[own] = np.arange(len(own))
-        of = place[row] >= 0
-        got = _halves(place[row[of]], term[of], value[of], len(own), size, rng)
-        if got is None or min(got[0].sum(), (~got[0]).sum()) < 2:
+        if k not in done:
+            wanted = sorted((x for x, n in open_.items() if n > 0 and x not in done and members[x][0] >= 2 * LEAST_LEAF), key=lambda x: (-open_[x], x))[: LEAVES - len(members)]
+            done.update(zip(wanted, split([members[x] for x in wanted])))
+        del open_[k]
+        got = done.pop(k)
+        if got is None:
             continue
         inner[k] = len(axes)
-        axes.append(got[1])
+        axes.append(got[0])
         children.append((named, named + 1))
-        for some in (own[got[0]], own[~got[0]]):
-            members[named], share = some, settled(some)
-            open_[named] = len(some) * (1 - share) if share < SETTLED else 0.0
+        for leaf in got[1:]:
+            members[named] = leaf
+            open_[named] = leaf[0] * (1 - leaf[1]) if leaf[1] < SETTLED else 0.0
             named += 1
         del members[k]
-    leaf = {k: j for j, k in enumerate(members)}
-    table = np.array([[inner[c] if c in inner else -1 - leaf[c] for c in pair] for pair in children], dtype=np.int64).reshape(-1, 2)
+    place = {k: j for j, k in enumerate(members)}
+    table = np.array([[inner[c] if c in inner else -1 - place[c] for c in pair] for pair in children], dtype=np.int64).reshape(-1, 2)
     return Tree(np.array(axes).reshape(len(axes), size), table), list(members.values())
 
 
+def grown(rows: Rows, size: int, settled) -> tuple[Tree, list[np.ndarray]]:
+    """The tree over rows in memory with known terms, and the rows of every leaf.
+
+    ``settled(members)`` gives the share of the leading subject in a leaf.
+    """
+    rng = np.random.default_rng(7)
+    order = np.argsort(rows.row, kind="stable")
+    row, term, value = rows.row[order], rows.term[order], rows.value[order]
+
+    def leaf(own):
+        return len(own), settled(own), own
+
+    def halved(own):
+        place = np.full(rows.n, -1)
+        place[own] = np.arange(len(own))
+        of = place[row] >= 0
+        got = _halves(place[row[of]], term[of], value[of], len(own), size, rng)
+        return None if got is None or min(got[0].sum(), (~got[0]).sum()) < 2 else (got[1], leaf(own[got[0]]), leaf(own[~got[0]]))
+
+    tree, leaves = best_first(size, leaf(np.flatnonzero(~rows.empty)), lambda some: [halved(own) for _, _, own in some])
+    return tree, [own for _, _, own in leaves]
+
+
 def _sentences(paragraph: str, kept) -> list[list[str]]:
     return [t for s in SENTENCE.split(paragraph) if (t := sorted({w for w in words(s) if w in kept}))]
 
 
-def fitted(docs: DataFrame, n: int, lexicon: Lexicon, weights: dict[str, tuple[int, float]]) -> tuple[Tree, list[dict[str, float]]]:
-    """The tree and the mixtures of its leaves, from at most ``SAMPLE`` of the ``n`` paragraphs; the last mixture is that of all."""
-    highest = int(min(1.0, 1.5 * SAMPLE / max(n, 1)) * (2**63 - 1))  # half as many again as are needed, then the lowest exactly
+GROUP = 1_000_000  # terms that are packed together
+NEAR = 8_000_000  # terms, at eight bytes each
+PACKED = "n bigint, sizes binary, terms binary, weights binary, nodes binary, keys binary"
 
-    def near(batches):
+
+def packed(docs: DataFrame, place: dict[str, int], weight: np.ndarray) -> DataFrame:
+    """All paragraphs with a weighted term, as arrays: terms of each, their numbers and normalised weights, node 0, a hash of the text."""
+
+    def group(sizes, terms, times, keys):
+        sizes, terms, keys = np.array(sizes, np.int32), np.array(terms, np.int32), np.array(keys, np.int64)
+        raw, row = weight[terms] * np.array(times, np.float64), np.repeat(np.arange(len(sizes)), sizes)
+        norm = np.sqrt(np.bincount(row, raw * raw, len(sizes)))
+        known = norm > 0
+        of = known[row]
+        value = (raw[of] / norm[row[of]]).astype(np.float32)
+        return _packed_batch(sizes[known], terms[of], value, np.zeros(known.sum(), np.int32), keys[known])
+
+    def run(batches):
+        sizes, terms, times, keys = got = [], [], [], []
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                for part in parts_of(text):
+                    own = Counter(t for x in _sentences(part, place) for t in x)
+                    if own:
+                        sizes.append(len(own))
+                        keys.append(xxhash.xxh64_intdigest(part) >> 1)
+                        terms += [place[t] for t in own]
+                        times += own.values()
+                if len(terms) > GROUP:
+                    yield group(*got)
+                    for x in got:
+                        x.clear()
+        yield group(*got)
+
+    return cut(docs.select("text").mapInArrow(run, PACKED))
+
+
+def _packed_batch(sizes, *arrays) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([len(sizes)], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in (sizes, *arrays))], [c.split()[0] for c in PACKED.split(", ")])
+
+
+def _unpacked(batches):
+    """sizes, terms, weights, nodes, keys of every group of rows."""
+    for batch in batches:
+        for own in zip(*(batch[k].to_pylist() for k in range(1, 6))):
+            yield tuple(np.frombuffer(b, t) for b, t in zip(own, (np.int32, np.int32, np.float32, np.int32, np.int64)))
+
+
+def _sides(sizes, terms, weights, slot, axes):
+    """Of rows with a slot: row of each value, and the product of each row with its slot's axis."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.bincount(row, weights * axes[slot[row], terms], len(sizes))
+
+
+def _chosen(own, slots):
+    """The rows of the nodes that have a slot."""
+    sizes, terms, weights, nodes, keys = own
+    slot = slots[nodes]
+    of = slot >= 0
+    if of.all():
+        return sizes, terms, weights, slot, keys
+    inside = np.repeat(of, sizes)
+    return sizes[of], terms[inside], weights[inside], slot[of], keys[of]
+
+
+def _partial(groups, slots: np.ndarray, axes: np.ndarray, what: str) -> tuple[dict[int, tuple], dict[int, np.ndarray]]:
+    """slot -> (score, hash, terms and weights) of the row least similar to its axis, and slot -> totals."""
+    m, size = axes.shape
+    best: dict[int, tuple] = {}
+    width = {"least": 0, "counts": size + 1, "sums": 2 * (size + 1)}[what]
+    total = np.zeros(m * width)
+    for own in groups:
+        sizes, terms, weights, slot, keys = _chosen(own, slots)
+        if not len(sizes):
+            continue
+        if what == "counts":
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            total += np.bincount(slot[row] * width + terms, minlength=len(total)) + np.bincount(slot * width + size, minlength=len(total))
+            continue
+        row, product = _sides(sizes, terms, weights, slot, axes)
+        if what == "sums":
+            at = slot * width + (product <= 0) * (size + 1)
+            total += np.bincount(at[row] + terms, np.rint(weights * STEPS), len(total)) + np.bincount(at + size, minlength=len(total))
+            continue
+        order = np.lexsort((keys, product, slot))
+        ends = np.cumsum(sizes)
+        for k in order[np.flatnonzero(np.diff(slot[order], prepend=-1))]:
+            cell = slice(ends[k] - sizes[k], ends[k])
+            mine = float(product[k]), int(keys[k]), terms[cell].tobytes() + weights[cell].tobytes()
+            best[int(slot[k])] = min(best.get(int(slot[k]), mine), mine)
+    parts = total.reshape(m, width)
+    return best, {k: parts[k] for k in range(m) if width and parts[k].any()}
+
+
+def _pass(stage, slots: np.ndarray, axes: np.ndarray, what: str) -> dict[int, tuple]:
+    """One pass over the rows of the nodes with a slot: slot -> (terms and weights of a row, totals).
+
+    ``stage`` is a table of packed rows, or a list of them. ``what``: "least": the row least similar to the slot's axis,
+    that with the lowest hash of several; "counts": rows with each term and rows; "sums": weights of each term and
+    rows, on the side of the axis and on the other.
+    """
+
+    def unpacked(b):
+        return np.frombuffer(b[: len(b) // 2], np.int32), np.frombuffer(b[len(b) // 2 :], np.float32)
+
+    if isinstance(stage, list):
+        best, total = _partial(stage, slots, axes, what)
+        return {k: (*unpacked(best[k][2] if k in best else b""), total.get(k)) for k in best.keys() | total.keys()}
+    spark = stage.sparkSession
+    given = spark.sparkContext.broadcast((slots, axes))
+    schema = "slot int, score double, key bigint, best binary, total binary"
+
+    def out(best, total):
+        got = [(k, *(best.get(k) or (0.0, 0, b"")), total[k].tobytes() if k in total else b"") for k in sorted(best.keys() | total.keys())]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], t) for k, t in enumerate((pa.int32(), pa.float64(), pa.int64(), pa.binary(), pa.binary()))], ["slot", "score", "key", "best", "total"])
+
+    def run(batches):
+        yield out(*_partial(_unpacked(batches), *given.value, what))
+
+    def merged(batches):
+        best, total = {}, {}
         for batch in batches:
-            out = [(h, p) for t in batch["text"] for p in parts_of(t) if (h := xxhash.xxh64_intdigest(p) >> 1) <= highest]
-            yield pd.DataFrame(out, columns=["h", "paragraph"])
-
-    sample = [r.paragraph for r in docs.select("text").mapInPandas(near, "h bigint, paragraph string").orderBy("h", "paragraph").limit(SAMPLE).collect()]
-    kept = set(weights) | set(lexicon.of)
-    terms = [[t for s in _sentences(p, kept) for t in s] for p in sample]
-    rows = Rows(terms, weights)
-    subject = np.zeros((len(weights), len(lexicon.subjects)))
+            for k, score, key, b, t in zip(*(batch[c].to_pylist() for c in range(5))):
+                if b:
+                    best[k] = min(best.get(k, (score, key, b)), (score, key, b))
+                if t:
+                    total[k] = total[k] + np.frombuffer(t) if k in total else np.frombuffer(t)
+        yield out(best, total)
+
+    rows = stage.mapInArrow(run, schema).repartition(1 + axes.size // GROUP, "slot").mapInArrow(merged, schema).collect()
+    given.destroy()
+    return {r.slot: (*unpacked(bytes(r.best)), np.frombuffer(r.total)) for r in rows}
+
+
+def _children(own, slots, axes, first, kept):
+    """The rows of split nodes under their children, ``first`` and the next number, and those of other nodes in ``kept``."""
+    split = _chosen(own, slots)
+    _, product = _sides(*split[:4], axes)
+    rest = _chosen(own, np.where(kept, np.arange(len(kept)), -1))
+    nodes = first[split[3]] + (product <= 0)
+    return tuple(np.concatenate(x) for x in zip((*split[:3], nodes.astype(np.int32), split[4]), (*rest[:3], rest[3].astype(np.int32), rest[4])))
+
+
+def _parted(stage, *how):
+    if isinstance(stage, list):
+        return [_children(own, *how) for own in stage]
+    given = stage.sparkSession.sparkContext.broadcast(how)
+
+    def run(batches):
+        for own in _unpacked(batches):
+            yield _packed_batch(*_children(own, *given.value))
+
+    return cut(stage.mapInArrow(run, PACKED))
+
+
+def _near(stage: DataFrame, kept: np.ndarray) -> list[tuple]:
+    """The rows of the nodes in ``kept``, in the driver."""
+    slots = np.where(kept, np.arange(len(kept)), -1)
+
+    def run(batches):
+        for own in _unpacked(batches):
+            sizes, terms, weights, slot, keys = _chosen(own, slots)
+            yield _packed_batch(sizes, terms, weights, slot.astype(np.int32), keys)
+
+    return [own for batch in stage.mapInArrow(run, PACKED).toArrow().to_batches() for own in _unpacked([batch])]
+
+
+class Splits:
+    """Leaves of the distributed rows; each splits by bisecting k-means over all of its rows."""
+
+    def __init__(self, stage: DataFrame, size: int, subject: np.ndarray):
+        self.stage, self.size, self.subject, self.named = stage, size, subject, 1
+        self.open: dict[int, int] = {}  # leaves that may be split, and their terms
+
+    def slots(self, nodes: list[int]) -> np.ndarray:
+        got = np.full(self.named, -1)
+        got[nodes] = np.arange(len(nodes))
+        return got
+
+    def leaves(self, nodes: list[int]) -> list[tuple]:
+        """(rows, share of the leading subject, (node, rows with each term)) of nodes."""
+        got, out = _pass(self.stage, self.slots(nodes), np.zeros((len(nodes), self.size)), "counts"), []
+        for k, node in enumerate(nodes):
+            count = got[k][2] if k in got else np.zeros(self.size + 1)
+            mass = count[:-1] @ self.subject
+            share = mass.max() / mass.sum() if mass.sum() else 1.0
+            if share < SETTLED and count[-1] >= 2 * LEAST_LEAF:
+                self.open[node] = int(count[:-1].sum())
+            out.append((int(count[-1]), share, (node, count[:-1])))
+        if not isinstance(self.stage, list) and sum(self.open.values()) <= NEAR:
+            far, kept = self.stage, np.zeros(self.named, dtype=bool)
+            kept[[*self.open, *(nodes if self.named == 1 else ())]] = True
+            self.stage = _near(far, kept)
+            drop(far)
+        return out
+
+    def rows(self, slots: np.ndarray, axes: np.ndarray) -> np.ndarray:
+        """The row least similar to each axis."""
+        got = np.zeros_like(axes)
+        for k, (terms, weights, _) in _pass(self.stage, slots, axes, "least").items():
+            got[k, terms] = weights
+        return got
+
+    def axes(self, slots: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """The axis between the two centres of each slot, and which of them part their rows."""
+        first = self.rows(slots, self.rows(slots, np.zeros((m, self.size))))
+        axes = first - self.rows(slots, first)
+        good, going, before = np.ones(m, dtype=bool), np.ones(m, dtype=bool), {}
+        for _ in range(ITERATIONS):
+            own = np.flatnonzero(going)
+            if not len(own):
+                break
+            place = np.full(m + 1, -1)
+            place[own] = np.arange(len(own))
+            for k, (_, _, total) in _pass(self.stage, place[slots], axes[own], "sums").items():
+                k = own[k]
+                a, b = total.reshape(2, -1)
+                if not a[-1] or not b[-1]:
+                    good[k] = going[k] = False
+                elif k in before and (before[k] == total).all():
+                    going[k] = False
+                else:
+                    before[k] = total
+                    axes[k] = a[:-1] / np.linalg.norm(a[:-1]) - b[:-1] / np.linalg.norm(b[:-1])
+        return axes, good
+
+    def split(self, wanted: list[tuple]) -> list[tuple | None]:
+        nodes = [node for _, _, (node, _) in wanted]
+        slots = self.slots(nodes)
+        for node in nodes:
+            self.open.pop(node, None)
+        axes, good = self.axes(slots, len(nodes))
+        own = np.flatnonzero(good)
+        if not len(own):
+            return [None] * len(nodes)
+        parted = self.slots([nodes[k] for k in own])
+        kept = np.zeros(self.named, dtype=bool)
+        kept[list(self.open)] = True
+        first = self.named + 2 * np.arange(len(own))
+        old, self.stage = self.stage, _parted(self.stage, parted, axes[own], first, kept)
+        self.named += 2 * len(own)
+        if not isinstance(old, list):
+            drop(old)
+        leaves = self.leaves([int(x) for f in first for x in (f, f + 1)])
+        out: list[tuple | None] = [None] * len(nodes)
+        for j, k in enumerate(own):
+            a, b = leaves[2 * j : 2 * j + 2]
+            if min(a[0], b[0]) >= 2:
+                out[k] = axes[k], a, b
+        return out
+
+
+def fitted(docs: DataFrame, lexicon: Lexicon, weights: dict[str, tuple[int, float]]) -> tuple[Tree, list[dict[str, float]]]:
+    """The tree and the mixtures of its leaves, from all paragraphs; the last mixture is that of all."""
+    known = [*weights, *sorted(lexicon.of.keys() - weights.keys())]  # terms of the vectors first
+    place = {t: j for j, t in enumerate(known)}
+    weight = np.array([weights[t][1] if t in weights else 0.0 for t in known])
+    subject = np.zeros((len(known), len(lexicon.subjects)))
     for t, (j, _) in weights.items():
         for s, p in lexicon.of.get(t, {}).items():
             subject[j, lexicon.subjects.index(s)] = p * lexicon.weight(t)
-    own = np.zeros((rows.n, len(lexicon.subjects)))
-    np.add.at(own, rows.row, subject[rows.term])
-
-    def settled(members):
-        mass = own[members].sum(axis=0)
-        return mass.max() / mass.sum() if mass.sum() else 1.0
-
-    tree, members = grown(rows, len(weights), settled)
-    by_leaf = [Counter(t for k in some for t in set(terms[k])) for some in members]
-    everything = lexicon.learn([sum(by_leaf, Counter())])
-    return tree, lexicon.learn(by_leaf) + everything
+    splits = Splits(packed(docs, place, weight), len(known), subject)
+    tree, leaves = best_first(len(known), splits.leaves([0])[0], splits.split)
+    if not isinstance(splits.stage, list):
+        drop(splits.stage)
+    by_leaf = [{known[j]: int(count[j]) for j in np.flatnonzero(count)} for _, _, (_, count) in leaves]
+    everything = lexicon.learn([sum(map(Counter, by_leaf), Counter())])
+    return Tree(tree.axes[:, : len(weights)], tree.children), lexicon.learn(by_leaf) + everything
 
 
 def assigned(documents: DataFrame, seeds: DataFrame, mixtures=None) -> DataFrame:
@@ -328,15 +612,14 @@ def assigned(documents: DataFrame, seeds: DataFrame, mixtures=None) -> DataFrame
     """
     spark = documents.sparkSession
     empty = spark.createDataFrame([], "doc_id bigint, subject string, n_paragraphs bigint")
-    labelled = [(r.text, r.subject) for r in seeds.where("text is not null and subject is not null").orderBy("seed_id").select("text", "subject").limit(MAX_SEEDS).collect()]
-    lexicon = Lexicon(labelled)
+    lexicon = lexicon_of(seeds)
     docs = _texts(documents)
-    shares, n = term_shares(docs)
+    shares, _ = term_shares(docs)
     weighed = {t: w * math.log(1 / share) for t, share in sorted(shares.items()) if (w := lexicon.weight(t)) > 0 and share < 1}
     if not lexicon.of or not weighed:
         return empty
     weights = {t: (j, w) for j, (t, w) in enumerate(weighed.items())}
-    tree, mixed = fitted(docs, n, lexicon, weights)
+    tree, mixed = fitted(docs, lexicon, weights)
     mixed = mixtures(mixed) if mixtures else mixed
     given = spark.sparkContext.broadcast((tree.axes.astype(np.float32), tree.children, mixed))
 

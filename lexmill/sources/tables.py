@@ -61,6 +61,16 @@ def clear_stages(spark: SparkSession) -> int:
     return len(paths)
 
 
+def drop(df: DataFrame) -> None:
+    """Deletes the table of ``cut`` that ``df`` was given as, once nothing reads it any more."""
+    own = _stages.get(df.sparkSession.sparkContext.applicationId, [])
+    for path in {p for f in df.inputFiles() for p in own if f"/{p.rsplit('/', 1)[1]}/" in f}:
+        hadoop, jvm = df.sparkSession.sparkContext._jsc.hadoopConfiguration(), df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+        own.remove(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its scan has fewer parts than they are; a large table stays as it is.
 

@@ -210,6 +210,27 @@ def test_subjects(spark):
     assert len(other & want) < 0.1 * len(want)
 
 
+def test_subjects_are_fitted_on_all_paragraphs_wherever_they_lie(spark, monkeypatch):
+    rng = random.Random(6)
+    seeds = spark.createDataFrame([(i, " ".join(sentence(rng, t) for _ in range(4)), t) for i, t in enumerate(list(TOPICS) * 15)], "seed_id bigint, text string, subject string")
+    d = spark.createDataFrame([(i, "\n".join(sentence(rng, t) + " " + sentence(rng, t) for t in rng.choices(list(TOPICS), k=21))) for i in range(1000)], "doc_id bigint, text string")
+    fits, learn = [], subjects.Lexicon.learn
+
+    def learned(self, by_leaf):
+        got = learn(self, by_leaf)
+        fits.append((by_leaf, got))
+        return got
+
+    monkeypatch.setattr(subjects.Lexicon, "learn", learned)
+    near = subjects.assigned(d, seeds).collect()
+    whole = {t: n for leaf in fits[0][0] for t, n in leaf.items()}
+    parts = [set(p.lower().replace(".", "").split()) for r in d.collect() for p in r.text.split("\n")]
+    assert whole["goal"] and all(n == sum(t in p for p in parts) for t, n in whole.items() if t in " ".join(TOPICS.values()).split())
+    monkeypatch.setattr(subjects, "NEAR", -1)
+    far = subjects.assigned(d.repartition(3), seeds).collect()
+    assert fits[:2] == fits[2:] and sorted(near) == sorted(far)
+
+
 def test_tree_parts_rows_and_sends_new_rows_to_their_leaf():
     rng = random.Random(2)
     terms = [[f"{g}{rng.randrange(6)}" for _ in range(5)] for k in range(400) for g in ["abcd"[k % 4]]]
