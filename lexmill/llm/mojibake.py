@@ -15,8 +15,9 @@ is repaired by its most probable chain.
 Scale: values are split and counted in the JVM, one row per distinct token of a source, dictionary and field;
 these rows lie together by token, so every distinct token is undone once and scored once per model. Rates are
 a table joined by source and field, script counts one joined by dictionary and field, and the decided tokens
-are joined back to the values. What is collected is the character model (bounded by the alphabet) and counts
-of quantised evidence for the pooled rates, in coarser steps while they have over ``MOST_SIGNATURES`` kinds.
+are joined back to the values. Evidence is counted in steps of ``QUANTUM`` at any size; the pooled rates are summed over
+it in place, ``MOST_SIGNATURES`` kinds to a task, in whole numbers, so that the tasks don't change them. What is
+collected is the character model (bounded by the alphabet) and one sum per chain and task.
 Every token of every value is judged, whatever its source.
 
 Cases: null and empty values are whole; repeated entries count each under their ids, rows alike in id and value
@@ -34,6 +35,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,7 +60,8 @@ PLACE = ["source", "db", "field"]
 WHOLE, LOST = "whole", "lost"
 START = {WHOLE: 0.97, LOST: 0.001}
 MOST_SIGNATURES = 50_000
-ROUNDS, PRIOR_ROWS = 30, 50
+ROUNDS, PRIOR_ROWS, FLOOR = 30, 50, 1e-7
+STEPS = float(1 << 24)  # expected counts are summed in such steps
 QUANTUM, LEAST_EVIDENCE, MOST_EVIDENCE = 2, -12, 60
 FIRST_EVIDENCE = -20  # under the first model
 LEAST_WHOLE = 0.5
@@ -432,25 +435,49 @@ def decided(scored: list[tuple[str, float, str]], rates: dict[str, float]) -> tu
     return best[1], best[2]
 
 
-def fit(signatures: dict[str, int], prior: dict[str, float] | None = None) -> dict[str, float]:
-    """Rates of the chains from counted evidence, by expectation-maximization."""
-    parsed = [([(c, float(s)) for c, _, s in (x.rpartition("=") for x in sig.split("|"))] if sig else [], n) for sig, n in signatures.items()]
-    chains = sorted({c for own, _ in parsed for c, _ in own} | {LOST})
-    rates = dict(prior) if prior else {WHOLE: START[WHOLE], **{c: (1 - START[WHOLE]) / len(chains) for c in chains}}
-    floor = 1e-7
+def coded(signatures, chains: list[str]) -> tuple[np.ndarray, ...]:
+    """Counted evidence (signature, n) as arrays: row, chain and likelihood ratio of each piece, count of each row."""
+    place = {c: k for k, c in enumerate(chains)}
+    row, chain, ratio, counts = [], [], [], []
+    for k, (signature, n) in enumerate(signatures):
+        counts.append(n)
+        for piece in signature.split("|") if signature else ():
+            c, _, score = piece.rpartition("=")
+            row.append(k), chain.append(place[c]), ratio.append(math.exp(float(score)))
+    return np.array(row, np.int64), np.array(chain, np.int64), np.array(ratio, np.float64), np.array(counts, np.int64)
+
+
+def expected(evidence_: tuple[np.ndarray, ...], rates: np.ndarray) -> np.ndarray:
+    """Expected number of tokens of each chain, in steps; the first is "whole"."""
+    row, chain, ratio, n = evidence_
+    weight = rates[chain] * ratio
+    share = n / (rates[0] + np.bincount(row, weight, len(n))) * STEPS
+    got = np.zeros(len(rates), np.int64)
+    np.add.at(got, chain, np.rint(weight * share[row]).astype(np.int64))
+    got[0] = np.rint(rates[0] * share).astype(np.int64).sum()
+    return got
+
+
+def maximized(expect, chains: list[str], prior: dict[str, float] | None = None) -> dict[str, float]:
+    """Rates of the chains by expectation-maximization; ``expect(rates)`` sums the expected numbers of tokens."""
+    if prior:
+        rates, held = (np.array([prior.get(c, low) for c in chains]) for low in (FLOOR, 0.0))
+    else:
+        rates, held = np.array([START[WHOLE], *[(1 - START[WHOLE]) / (len(chains) - 1)] * (len(chains) - 1)]), 0.0
     for _ in range(ROUNDS):
-        expected: Counter = Counter({c: PRIOR_ROWS * p for c, p in prior.items()} if prior else {})
-        for own, n in parsed:
-            weights = {WHOLE: rates[WHOLE], **{c: rates.get(c, floor) * math.exp(s) for c, s in own}}
-            total = sum(weights.values())
-            for c, w in weights.items():
-                expected[c] += n * w / total
-        whole = sum(expected.values())
-        if not whole:
+        got = expect(rates) / STEPS + PRIOR_ROWS * held
+        if not got.sum():
             break
-        rates = {c: max(floor, v / whole) for c, v in expected.items()}
-        rates.setdefault(WHOLE, floor)
-    return rates
+        rates = np.maximum(FLOOR, got / got.sum())
+    return dict(zip(chains, map(float, rates)))
+
+
+def fit(signatures: dict[str, int], prior: dict[str, float] | None = None) -> dict[str, float]:
+    """Rates of the chains from counted evidence, by expectation-maximization."""
+    own = {piece.rpartition("=")[0] for s in signatures if s for piece in s.split("|")}
+    chains = [WHOLE, *sorted((own | {LOST} | set(prior or ())) - {WHOLE})]
+    given = coded(signatures.items(), chains)
+    return maximized(lambda rates: expected(given, rates), chains, prior)
 
 
 def _stacked(entries: DataFrame) -> DataFrame:
@@ -561,16 +588,36 @@ def _signature(scored: str, quantum: int):
     return F.array_join(F.transform(F.array_sort(stepped), lambda x: F.concat(x.c, F.lit("="), (-x.s).cast("string"))), "|")
 
 
+def pooled_rates(counts: DataFrame) -> dict[str, float]:
+    """Rates over all counted evidence (signature, n), of any number of kinds."""
+    parts = 1 + counts.count() // MOST_SIGNATURES
+    pieces = counts.where("signature <> ''").select(F.explode(F.split("signature", "[|]")).alias("piece"))
+    named = pieces.select(F.regexp_replace("piece", "=[^=]*$", "").alias("chain")).distinct().collect()
+    chains = [WHOLE, *sorted({r.chain for r in named} | {LOST})]
+    kinds = (np.int64, np.int64, np.float64, np.int64)
+
+    def pack(batches):
+        rows = [x for batch in batches for x in zip(batch["signature"].to_pylist(), batch["n"].to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in coded(rows, chains)], ["row", "chain", "ratio", "n"])
+
+    packed = cut(counts.select("signature", "n").repartition(parts).mapInArrow(pack, "row binary, chain binary, ratio binary, n binary"))
+
+    def expect(rates):
+        def run(batches):
+            for batch in batches:
+                for own in zip(*(batch[k].to_pylist() for k in range(4))):
+                    yield pa.RecordBatch.from_arrays([pa.array([expected(tuple(map(np.frombuffer, own, kinds)), rates).tobytes()], pa.binary())], ["sums"])
+
+        rows = packed.mapInArrow(run, "sums binary").collect()
+        return sum((np.frombuffer(bytes(r.sums), np.int64) for r in rows), np.zeros(len(chains), np.int64))
+
+    return maximized(expect, chains)
+
+
 def chain_rates(scored: DataFrame) -> tuple[dict[str, float], DataFrame]:
     """Pooled rates, and a table of the rates of each source and field."""
-    quantum, spark = QUANTUM, scored.sparkSession
-    while True:
-        counts = cut(scored.groupBy("source", "field", _signature("scored", quantum).alias("signature")).agg(F.sum("n").alias("n")))
-        of_all = counts.groupBy("signature").agg(F.sum("n").alias("n"))
-        if quantum > MOST_EVIDENCE or of_all.count() <= MOST_SIGNATURES:
-            break
-        quantum *= 3
-    pooled = fit({r.signature: r.n for r in of_all.collect()})
+    counts = cut(scored.groupBy("source", "field", _signature("scored", QUANTUM).alias("signature")).agg(F.sum("n").alias("n")))
+    pooled = pooled_rates(cut(counts.groupBy("signature").agg(F.sum("n").alias("n"))))
 
     def own(key, frame):
         rates = fit(dict(zip(frame["signature"], frame["n"])), pooled)

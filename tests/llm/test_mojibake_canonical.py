@@ -1,6 +1,7 @@
 """Problems 1 and 2: wrong encodings and look-alike text."""
 
 import json
+import math
 import random
 import unicodedata
 
@@ -98,6 +99,29 @@ def test_many_kinds_of_evidence_are_counted_in_coarser_steps(spark, monkeypatch)
     assert 0.3 < pooled["cp1252"] < 0.7
 
 
+def test_rates_are_the_same_for_any_number_of_kinds(spark, monkeypatch):
+    rng, chains = random.Random(7), ["cp1252", "latin-1", "koi8_r"]
+    rows = [("ab"[i % 2], "de", "glosses", f"t{i}", 1 + i % 3, [(c, rng.uniform(-11, 15), "é") for c in rng.sample(chains, rng.randrange(4))]) for i in range(400)]
+    scored = spark.createDataFrame(rows, "source string, db string, field string, token string, n bigint, scored array<struct<chain string, score double, text string>>")
+    got = []
+    for most in (50_000, 5):
+        monkeypatch.setattr(mojibake, "MOST_SIGNATURES", most)
+        pooled, rates = mojibake.chain_rates(scored)
+        got.append((pooled, {r.source: r.rates for r in rates.collect()}))
+    assert got[0] == got[1]
+    # as by plain expectation-maximization over the stepped scores
+    stepped = [(n, {c: math.exp(-2 * math.floor(-x / 2 + 0.5)) for c, x, _ in own}) for *_, n, own in rows]
+    want = {"whole": 0.97} | {c: 0.0075 for c in (*chains, "lost")}
+    for _ in range(mojibake.ROUNDS):
+        sums = dict.fromkeys(want, 0.0)
+        for n, own in stepped:
+            weights = {"whole": want["whole"], **{c: want[c] * x for c, x in own.items()}}
+            for c, w in weights.items():
+                sums[c] += n * w / sum(weights.values())
+        want = {c: max(1e-7, v / sum(sums.values())) for c, v in sums.items()}
+    assert all(abs(got[0][0][c] - p) < 1e-6 for c, p in want.items())
+
+
 CASES = [
     ("de", "ｈａｕｓ", "haus"), ("de", "schön", "schön"), ("de", "Kаße", "Kaße"), ("es", "niño", "niño"), ("fr", "a b", "a b"),
     ("fr", "ﬁn", "fin"), ("en", "co‑op", "co-op"), ("tr", "ﬁş", "fiş"), ("vi", "đợi", "đợi"), ("ru", "cлoво", "слово"), ("ru", "ёж", "ёж"),
